@@ -1,0 +1,2 @@
+"""The operators here are batch programs: nothing in their domain is a stream
+of late events, so there is no streaming operator to offer."""
