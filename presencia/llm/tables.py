@@ -1,41 +1,7 @@
-"""Written intermediate tables in the folder that driver and executors share."""
+"""Written intermediate tables; the same helpers as everywhere else."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from presencia.tables import new_path, shared_root, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
-
-    Only where it is unset (tests, a laptop) a folder of its own below the
-    local temporary folder is taken, and remembered for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark, "_presencia_shared_root", None)
-        if root is None:
-            root = "file://" + os.path.join(tempfile.gettempdir(), f"presencia-{uuid.uuid4().hex}")
-            spark._presencia_shared_root = root
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/presencia/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage with files that outlive an executor; what follows reads
-    only the columns it needs. The folder belongs to the job, which clears it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "shared_root", "written"]
