@@ -121,6 +121,10 @@ def group_bits(sample: np.ndarray, parts: int) -> list[tuple[int, ...]]:
     return out
 
 
+#: Moving one key costs about as much as comparing so many pairs.
+KEY_COST = 100.0
+
+
 def _ball(width: int, radius: int) -> int:
     return sum(math.comb(width, j) for j in range(radius + 1))
 
@@ -146,7 +150,7 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 def fit_index(sample: np.ndarray, rows: int, distance: int) -> list[Part]:
     """Parts and radii for ``rows`` fingerprints, judged on the sample.
 
-    Costs are estimated rows moved plus estimated candidate pairs to verify.
+    Costs are estimated keys to move plus estimated candidate pairs to verify.
     """
     sample = np.unique(sample.astype(np.uint64))
     some = sample[np.random.default_rng(7).permutation(len(sample))[:3_000]]
@@ -167,7 +171,7 @@ def fit_index(sample: np.ndarray, rows: int, distance: int) -> list[Part]:
             for t in range(distance + 1):
                 ball = _ball(len(bits), t)
                 share = max(within[t], ball / 2.0 ** len(bits))
-                row.append(rows * (1.0 + ball) * 20 + float(rows) * rows * share / 2)
+                row.append(rows * ball * KEY_COST + float(rows) * rows * share / 2)
             costs.append(row)
         cost, radii = allocate(costs, distance - m + 1)
         if best is None or cost < best[0]:

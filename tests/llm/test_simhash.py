@@ -61,29 +61,29 @@ def test_empty_table(spark):
     assert M.near_dedup(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "fp", "component_id", "bucket"]
 
 
-@pytest.mark.parametrize("block,refinements", [(64, 2), (16, 0), (16, 1)])
-def test_hot_buckets_lose_no_link(spark, block, refinements):
+@pytest.mark.parametrize("block,refinements,distance", [(64, 2, 3), (16, 0, 3), (16, 1, 3), (32, 2, 6), (32, 0, 6)])
+def test_hot_buckets_lose_no_link(spark, block, refinements, distance):
     rng = np.random.default_rng(4)
     centre = int(rng.integers(0, 1 << 62))
     fps = {centre}
     while len(fps) < 250:
         x = centre
-        for b in rng.choice(64, rng.integers(1, 6), replace=False):
+        for b in rng.choice(64, rng.integers(1, 12), replace=False):
             x ^= 1 << int(b)
         fps.add(x)
     fps |= {int(x) for x in rng.integers(0, 1 << 62, 100)}
     fps = sorted(fps)
     df = spark.createDataFrame([(x - (1 << 64) if x >= 1 << 63 else x,) for x in fps], "fp long")
-    params = M.SimHashParams(block_rows=block, refinements=refinements)
+    params = M.SimHashParams(block_rows=block, refinements=refinements, distance=distance)
     got = {r.fp: r.component for r in M.near_duplicate_components(df, params).collect()}
-    want = brute_components(fps, list(range(len(fps))), 3)
+    want = brute_components(fps, list(range(len(fps))), distance)
     groups = {}
     for x, w in zip(fps, want):
         groups.setdefault(w, set()).add(got[x - (1 << 64) if x >= 1 << 63 else x])
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
-@pytest.mark.parametrize("distance", [0, 1, 3, 5])
+@pytest.mark.parametrize("distance", [0, 1, 3, 6])
 def test_index_covers_every_pair(distance):
     rng = np.random.default_rng(distance)
     sample = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
