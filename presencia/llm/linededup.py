@@ -37,7 +37,7 @@ class LineParams:
     window: int = 2
     divisor: int = 2
     least_words: int = 12
-    long_words: int = 50
+    long_words: int = 20
     most_lines: int = 64
 
 
