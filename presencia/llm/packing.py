@@ -2,8 +2,8 @@
 
 Each packer keeps, per residual gap, how many open sequences have it, and puts
 the next item where the sum of the squared counts becomes smallest. Items are
-dealt over many packers of bounded size; sequences that stay underfull are
-then packed again as items of their own, over fewer packers.
+dealt over many packers of bounded size; the items of sequences that stay
+underfull anywhere then meet and are packed once more, if that saves any.
 
 Defined cases: null text is packed as empty (its end token only); a document
 longer than a sequence is cut into full pieces and a rest; repeated rows are
@@ -33,7 +33,7 @@ class PackParams:
     end_id: int = 1
     tokenizer: str | None = None
     packer_items: int = 65_536
-    cache_words: int = 600_000
+    cache_words: int = 900_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,30 +59,49 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.most = most
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: list[bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            (plain if t.isalpha() and max(t) < "\u0130" else other).append((w, t))
+        # words of letters alone are one stretch each, which ends in a token
+        # that is marked as a word's end: many of them go through together
+        for at in range(0, len(plain), 1_024):
+            some = plain[at : at + 1_024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(some):
+                other += some
+                continue
+            data, first = ids.tobytes(), 0
+            for (w, _), stop in zip(some, (4 * stops).tolist()):
+                self.known[w] = data[first:stop]
+                first = stop
         # a slice at a time: one long text must not hold all its encodings at once
-        for at in range(0, len(words), 4_096):
-            some = words[at : at + 4_096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, coded):
+        for at in range(0, len(other), 4_096):
+            some = other[at : at + 4_096]
+            coded = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            for (w, _), e in zip(some, coded):
                 self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
         words, known = text.lower().split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
+        found = list(map(known.get, words))
+        if None not in found:
+            return b"".join(found)
         if len(known) > self.most:
             known.clear()
-        new = {w for w in words if w not in known}
+        new = {w for w, ids in zip(words, found) if ids is None}
         ends = {w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
         need = {w[:-1] for w in ends} | {b".", b","} | (new - ends)
         self.learn([w for w in need if w not in known])
         for w in ends:
             known[w] = known[w[:-1]] + known[w[-1:]]
-        return b"".join([known[w] for w in words])
+        return b"".join([known[w] if ids is None else ids for w, ids in zip(words, found)])
 
 
 _workers: dict[tuple, WordIds] = {}
@@ -182,11 +201,22 @@ def _packed(items: DataFrame, capacity: int, packers: int, order: list) -> DataF
     def pack(batches):
         from pyspark import TaskContext
 
-        me, packer = TaskContext.get().partitionId(), SumOfSquares(capacity)
-        for batch in batches:
-            placed = [packer.place(x) for x in batch.column("length").to_pylist()]
-            more = [pa.array([me] * len(placed), pa.int64()), pa.array([b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
-            yield pa.RecordBatch.from_arrays(batch.columns + more, names=batch.schema.names + ["packer", "bin", "offset"])
+        held = [b for b in batches if b.num_rows]  # no more than a packer's items
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        sizes, best = table.column("length").to_pylist(), None
+        # falling sizes suit few items, a mixed order suits many: the better one counts
+        for order in (range(len(sizes)), np.random.default_rng(1).permutation(len(sizes)).tolist()):
+            packer, placed = SumOfSquares(capacity), [(0, 0)] * len(sizes)
+            for i in order:
+                placed[i] = packer.place(sizes[i])
+            if best is None or packer.bins < best[0]:
+                best = packer.bins, placed
+        me = [TaskContext.get().partitionId()] * len(sizes)
+        for name, values in (("packer", me), ("bin", [b for b, _ in best[1]]), ("offset", [o for _, o in best[1]])):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        yield from table.to_batches(max_chunksize=10_000)
 
     return dealt.mapInArrow(pack, out)
 
@@ -198,20 +228,19 @@ def pack(items: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     total = items.count()
     packers = max(1, -(-total // params.packer_items))
     first = written(_packed(items, params.capacity, packers, [F.desc("length"), *[F.asc(c) for c in names]]), "packing")
-    bins = first.groupBy("packer", "bin").agg(F.sum("length").alias("length")).where(F.col("length") < params.capacity)
-    bins = bins.withColumnsRenamed({"packer": "first_packer", "bin": "first_bin"})
-    bins = written(bins, "packing-bins")
-    again = max(1, -(-bins.count() // params.packer_items))
-    merged = _packed(bins, params.capacity, again, [F.desc("length"), "first_packer", "first_bin"]).select(
-        F.col("first_packer").alias("packer"), F.col("first_bin").alias("bin"),
-        (F.shiftleft("packer", 32) * 2 + F.col("bin") * 2 + 1).alias("merged_id"), F.col("offset").alias("base"),
-    )
-    both = first.join(merged, ["packer", "bin"], "left")
-    return both.select(
-        *names,
-        F.coalesce("merged_id", F.shiftleft("packer", 32) * 2 + F.col("bin") * 2).alias("sequence_id"),
-        (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"),
-    )
+    fill = first.groupBy("packer", "bin").agg((F.sum("length") < params.capacity).alias("open"))
+    marked = written(first.join(fill, ["packer", "bin"]), "packing-marked")
+    loose = marked.where("open").select(*names)
+    waiting = max(1, -(-loose.count() // params.packer_items))
+    again = written(_packed(loose, params.capacity, waiting, [F.desc("length"), *[F.asc(c) for c in names]]), "packing-again")
+
+    def named(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(*names, (F.shiftleft("packer", 32) * 2 + F.col("bin") * 2 + kind).alias("sequence_id"), "offset")
+
+    before = fill.where("open").count()
+    if again.select("packer", "bin").distinct().count() >= before:
+        return named(marked, 0)
+    return named(marked.where("NOT open"), 0).union(named(again, 1))
 
 
 def pack_documents(docs: DataFrame, params: PackParams = PackParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
