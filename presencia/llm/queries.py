@@ -89,5 +89,49 @@ def _secret_sql() -> str:
     FROM d LEFT JOIN g USING (id)"""
 
 
+def _quality_sql() -> str:
+    """Counts from lists and windows; fences from sorted buckets, which have
+    the sketches' quantiles at the same ranks."""
+    p = quality.QualityParams()
+    gamma = (1 + p.accuracy) / (1 - p.accuracy)
+    zero = -(1 << 30)
+    values = " UNION ALL ".join(f"SELECT id, lang, source, '{m}' AS measure, CAST({top} AS DOUBLE) / greatest({below}, 1) AS v FROM f WHERE n_words > 0" for m, (top, below) in quality.MEASURES.items())
+    slack = " ".join(f"WHEN '{m}' THEN {x}" for m, x in p.slack)
+
+    def at(q):
+        return f"list_sort(list(b))[CAST(ceil(count(*) * {q}) AS BIGINT)]"
+
+    def level(name, group):
+        keys = "".join(f"{g}, " for g in group)
+        return f"{name} AS (SELECT {keys}measure, count(*) AS n, {at(0.25)} AS b25, {at(0.75)} AS b75 FROM v GROUP BY {keys}measure)"
+
+    def value(b):
+        return f"(CASE WHEN {b} = {zero} THEN 0.0 ELSE pow({gamma!r}, {b}) * 2 / {gamma + 1!r} END)"
+
+    def pick(q):
+        return f"(CASE WHEN a.n >= {p.least_docs} THEN {value('a.b' + q)} WHEN l.n >= {p.least_docs} THEN {value('l.b' + q)} ELSE {value('g.b' + q)} END)"
+
+    counts = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    s AS (SELECT id, p, words[p:p + 4] AS k FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS p FROM w)),
+    r AS (SELECT id, p FROM (SELECT id, p, count(*) OVER (PARTITION BY id, k) AS n FROM s) WHERE n > 1),
+    c AS (SELECT id, count(DISTINCT p + i) AS n FROM r, (SELECT unnest(range(5)) AS i) GROUP BY id),
+    f AS (SELECT w.id, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN c ON c.id = w.id),
+    m AS ({values}),
+    v AS (SELECT *, CASE WHEN v <= 1e-9 THEN {zero} ELSE CAST(ceil(ln(v) / ln({gamma!r})) AS BIGINT) END AS b FROM m),
+    {level('a', ['lang', 'source'])}, {level('l', ['lang'])}, {level('g', [])},
+    e AS (SELECT a.lang, a.source, a.measure, {pick('75')} + greatest({p.reach} * ({pick('75')} - {pick('25')}), CASE a.measure {slack} END) AS bound
+        FROM a JOIN l ON l.lang IS NOT DISTINCT FROM a.lang AND l.measure = a.measure JOIN g ON g.measure = a.measure),
+    o AS (SELECT v.id, string_agg(v.measure, ',' ORDER BY list_position({list(quality.MEASURES)}, v.measure)) AS over FROM v JOIN e
+        ON e.lang IS NOT DISTINCT FROM v.lang AND e.source IS NOT DISTINCT FROM v.source AND e.measure = v.measure WHERE v.v > e.bound GROUP BY v.id)
+    SELECT {counts}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND o.over IS NULL AS kept, coalesce(o.over, '') AS over
+    FROM f LEFT JOIN o USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": _secret_sql()}
+    return {"op3_secrets": _secret_sql(), "op8_quality": _quality_sql()}

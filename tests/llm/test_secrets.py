@@ -56,13 +56,6 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a [SECRET] z", 2: None, 3: "plain"}
 
 
-def test_query_equals_sql(spark):
-    from presencia.llm.queries import op3_secrets, oracle_sql
-    from tests.duck import SF, assert_same, connection
-
-    assert_same(op3_secrets(spark, SF), oracle_sql()["op3_secrets"], connection())
-
-
 def test_plan_is_native(spark):
     plan = M.secret_report(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
