@@ -32,7 +32,7 @@ from presencia.llm.tables import written
 
 @dataclass(frozen=True)
 class LangParams:
-    docs_per_lang: int = 3_000
+    docs_per_lang: int = 1_000
     bits_of_hash: int = 15
     sharpness: float = 8.0
     ambiguous_below: float = 0.1
