@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 SPACE = "▁"
 
@@ -51,19 +50,20 @@ class Remembered:
         self.vocabulary, self.one, self.both, self.most = vocabulary, one, both, most
         self.known: dict = {}
 
-    def of(self, text: str) -> Iterator:
+    def of(self, text: str) -> list:
         chunks = CHUNK.findall(normalised(text))
         known = self.known
-        try:
-            return [known[c] for c in chunks]
-        except KeyError:
-            pass
+        found = list(map(known.get, chunks))
+        if None not in found:
+            return found
         if len(known) > self.most:
             known.clear()
-        for c in chunks:
-            if c not in known:
-                known[c] = self._new(c)
-        return [known[c] for c in chunks]
+        for i, c in enumerate(chunks):
+            if found[i] is None:
+                if c not in known:
+                    known[c] = self._new(c)
+                found[i] = known[c]
+        return found
 
     def _new(self, chunk: str):
         if len(chunk) > 1 and self.vocabulary.cuts_marks and chunk[-1] in ".," and chunk[-2].isascii() and chunk[-2].isalpha():
