@@ -178,3 +178,36 @@ def test_error_column_must_cover_unique_peptides(spark):
 def test_parameters_are_checked(kw):
     with pytest.raises(ValueError):
         ScoreParams(**kw)
+
+
+@pytest.mark.parametrize("mode", ["all-samples", "metadata"])
+def test_calibration_equals_brute_force(spark, mode):
+    rng = np.random.default_rng(7)
+    counts = [int(rng.poisson(1.0)) for _ in range(220)] + [14, 15, 16, 9, 12, 18] * 3
+    rows = [("u", f"g{i:03d}", u, int(rng.integers(0, 30)), float(u), float(u)) for i, u in enumerate(counts)]
+    params = ScoreParams(unit_mode=mode)
+    c = params.calibration
+
+    def share(fraction):
+        found = brute_background(rows, fraction, 4, 0.95, 0.05)
+        p = [min(1.0, 2 * max(found[r[1]][4], 1e-300)) if r[2] > 0 else 1.0 for r in rows]
+        return float((bh(p) <= c.candidate_q).mean())
+
+    f, want = min(max(c.initial, c.least), c.most), []
+    for i in range(1, c.max_iterations + 1):
+        s = share(f)
+        new = min(max(s, c.least), c.most)
+        want.append((i, f, s, new))
+        settled, f = abs(new - f) < c.settled, new
+        if settled:
+            break
+    df = active_frame(spark, rows).withColumns({"is_target": F.lit(True), "pvalue_shared": F.lit(1.0), "n_matched": F.col("n_unique") + 1})
+    judged, trace = background.calibrate(df, 4, params)
+    got = sorted(tuple(r)[1:] for r in trace.where("iteration IS NOT NULL").collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(a == pytest.approx(b) for g, w in zip(got, want) for a, b in zip(g, w))
+    last = trace.where("iteration IS NULL").first()
+    assert (last.exclude_fraction, last.candidate_fraction) == pytest.approx((f, share(f)))
+    report = background.calibration_report(judged, trace, params).first()
+    assert report.iteration_count == len(want) and report.final_exclusion_fraction == pytest.approx(f)
+    assert report.cap_reached == (f >= c.most - 1e-12)
