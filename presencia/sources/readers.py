@@ -98,14 +98,16 @@ def read_panel(spark: SparkSession, directories: list[str], policy: str = "il-eq
     values of a file read by position must look like peptides. A genome found
     in two places is an error.
     """
-    raw = spark.read.option("pathGlobFilter", "*.tsv").csv(directories, sep="\t", header=False).withColumn("file", F.col("_metadata.file_path"))
-    cells = [c for c in raw.columns if c != "file"]
-    lined = raw.withColumn("at", F.col("_metadata.file_block_start")).withColumn("row", F.monotonically_increasing_id())
+    # files differ in their columns, so each line is cut by its own tabs
+    raw = spark.read.option("pathGlobFilter", "*.tsv").text(directories).select(F.split("value", "\t").alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lined = raw.withColumn("row", F.monotonically_increasing_id())
     first = Window.partitionBy("file").orderBy("at", "row")
-    head = lined.withColumn("r", F.row_number().over(first)).where("r = 1").select("file", F.array(*cells).alias("names"), F.col("row").alias("head_row"))
+    # a file's head is the least of its rows, found without sorting the file
+    head = lined.groupBy("file").agg(F.min(F.struct("at", "row", F.transform("cells", T.strip_all).alias("names"))).alias("head"))
+    head = head.select("file", F.col("head.row").alias("head_row"), F.col("head.names").alias("names"))
     place = F.coalesce(F.nullif(F.array_position("names", F.lit("Peptide")), F.lit(0)), F.lit(1)).cast("int")
     rows = lined.join(head.withColumn("place", place).withColumn("named", F.array_contains("names", "Peptide")), "file").where("row <> head_row")
-    value = T.strip_all(F.element_at(F.array(*cells), F.col("place")))
+    value = T.strip_all(F.try_element_at("cells", F.col("place")))
     rows = rows.select("file", "at", "row", "named", F.regexp_extract("file", r"([^/]+)\.tsv$", 1).alias("genome_id"), value.alias("value")).where("value <> ''")
     guessed = rows.where("NOT named").withColumn("r", F.row_number().over(first)).where("r <= 200")
     odd = guessed.where(~F.col("value").rlike(AMINO_ACIDS)).select("genome_id", "value").limit(5).collect()

@@ -49,8 +49,10 @@ def panel_dir(tmp_path, name, files):
 
 
 def test_panel_by_name_and_by_position(spark, tmp_path):
-    path = panel_dir(tmp_path, "a", {"g1": "Protein\tPeptide\np\tAIL\np\tall\n", "g2": "Sequence\nCCK\n \n"})
-    assert sorted(tuple(r) for r in readers.read_panel(spark, [path]).collect()) == [("g1", "AJJ"), ("g2", "CCK")]
+    named, placed = "Protein\tPeptide\np\tAIL\np\tall\np\n", "Sequence\nCCK\n \n"
+    for a, b in (("g1", "g2"), ("g2", "g1")):
+        path = panel_dir(tmp_path, a, {a: named, b: placed})
+        assert sorted(tuple(r) for r in readers.read_panel(spark, [path]).collect()) == sorted([(a, "AJJ"), (b, "CCK")])
 
 
 def test_panel_errors(spark, tmp_path):
