@@ -187,6 +187,7 @@ def calibration_report(judged: DataFrame, trace: DataFrame, params: ScoreParams)
     step = F.struct("iteration", "exclude_fraction", "candidate_fraction", "new_fraction")
     t = trace.groupBy(UNIT).agg(
         F.count_if(passes).alias("iteration_count"),
+        F.max(F.when(F.col("iteration") == 1, F.col("exclude_fraction"))).alias("initial_exclusion_fraction"),
         F.max(F.when(~passes, F.col("exclude_fraction"))).alias("final_exclusion_fraction"),
         F.max(F.when(~passes, F.col("candidate_fraction"))).alias("next_requested_fraction"),
         F.max_by(F.abs(F.col("new_fraction") - F.col("exclude_fraction")), F.when(passes, F.col("iteration"))).alias("last_change"),
@@ -197,7 +198,8 @@ def calibration_report(judged: DataFrame, trace: DataFrame, params: ScoreParams)
         F.count("*").alias("active_genomes"), F.count_if("in_background").alias("background_size"), F.count_distinct("bin").alias("bin_count"),
         F.min("min_attainable_p").alias("min_p_resolution"), qs.alias("q"),
     )
-    out = t.join(b, UNIT).withColumns({f"background_unique_q{n}": F.col("q")[i] for i, n in enumerate((50, 90, 95, 99))}).drop("q")
+    kept = F.col("active_genomes") - F.least(F.ceil(F.col("active_genomes") * F.col("initial_exclusion_fraction")), F.col("active_genomes") - 1)
+    out = t.join(b, UNIT).withColumn("initial_background_size", kept).withColumn("exclusion_fraction_cap", F.lit(c.most)).withColumns({f"background_unique_q{n}": F.col("q")[i] for i, n in enumerate((50, 90, 95, 99))}).drop("q")
     cap = F.col("final_exclusion_fraction") >= c.most - 1e-12
     above, settled = F.col("next_requested_fraction") > c.most + 1e-12, F.col("last_change") < c.settled
     pressed = bin_report(judged, params).groupBy(UNIT).agg((F.sum(F.when(F.col("cap_pressure"), F.col("active_genomes")).otherwise(0)) / F.sum("active_genomes")).alias("affected_fraction"))
@@ -206,9 +208,17 @@ def calibration_report(judged: DataFrame, trace: DataFrame, params: ScoreParams)
     return out.withColumn("suitable", ~bad).drop("last_change")
 
 
-def bin_report(judged: DataFrame, params: ScoreParams) -> DataFrame:
-    """One row a unit and bin of the last pass. A bin presses on the cap when
-    its candidates exceed the share that may be excluded."""
+def first_bins(active: DataFrame, n_bins: int, params: ScoreParams) -> DataFrame:
+    """Background size per unit and bin of the first pass."""
+    c = params.calibration
+    rows = with_bins(split_background(active, F.lit(min(max(c.initial, c.least), c.most))), n_bins, params)
+    return rows.groupBy(UNIT, "bin").agg(F.count_if("in_background").alias("initial_background_genomes"))
+
+
+def bin_report(judged: DataFrame, params: ScoreParams, initial: DataFrame | None = None) -> DataFrame:
+    """One row a unit and bin of the last pass, beside the first pass's sizes
+    if ``initial`` has them. A bin presses on the cap when its candidates
+    exceed the share that may be excluded."""
     c = params.calibration
     inside = F.when(F.col("in_background"), F.col(U))
     qs = F.percentile(inside, F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99)]))
@@ -218,6 +228,8 @@ def bin_report(judged: DataFrame, params: ScoreParams) -> DataFrame:
         F.count_if(F.col("qvalue") <= c.candidate_q).alias("candidates"),
     )
     out = out.withColumns({f"background_unique_q{n}": F.coalesce(F.col("q")[i], F.lit(0.0)) for i, n in enumerate((50, 90, 95, 99))}).drop("q")
+    if initial is not None:
+        out = out.join(initial, [UNIT, "bin"], "left").fillna(0, ["initial_background_genomes"])
     share = F.col("candidates") / F.col("active_genomes")
     return out.withColumn("candidate_fraction", share).withColumn("cap_pressure", share > c.most + 1e-12)
 

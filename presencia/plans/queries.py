@@ -552,7 +552,7 @@ def bin_diagnostics(spark, d):
     p = _prepared(spark, d)
     rows = decide.with_targets(_active(p)).withColumn("pvalue_shared", F.lit(1.0))
     judged, _ = background.calibrate(rows, 4, p.params)
-    return background.bin_report(judged, p.params)
+    return background.bin_report(judged, p.params, background.first_bins(rows, 4, p.params))
 
 
 @query()

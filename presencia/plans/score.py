@@ -132,8 +132,10 @@ def score(raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScorePara
     rows = with_shared(base, stage1)
     calibration = bin_table = trace = None
     if mode == "empirical-background":
-        judged, trace = background.calibrate(rows.where("n_matched >= 1"), bins, params)
-        calibration, bin_table = background.calibration_report(judged, trace, params), background.bin_report(judged, params)
+        active = rows.where("n_matched >= 1")
+        judged, trace = background.calibrate(active, bins, params)
+        calibration = background.calibration_report(judged, trace, params)
+        bin_table = background.bin_report(judged, params, background.first_bins(active, bins, params))
         extra = [c for c in judged.columns if c not in rows.columns and not c.startswith("pvalue") and c not in ("qvalue", "fraction")]
         found = judged.select(*KEYS, F.col("pvalue_unique").alias("_pu"), *extra)
         base = written(base.join(found, KEYS, "left").withColumn("pvalue_unique", F.coalesce("_pu", F.lit(1.0))).drop("_pu"), "grid-empirical")

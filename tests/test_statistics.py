@@ -211,3 +211,7 @@ def test_calibration_equals_brute_force(spark, mode):
     report = background.calibration_report(judged, trace, params).first()
     assert report.iteration_count == len(want) and report.final_exclusion_fraction == pytest.approx(f)
     assert report.cap_reached == (f >= c.most - 1e-12)
+    assert report.initial_background_size == len(rows) - math.ceil(len(rows) * report.initial_exclusion_fraction)
+    bins = background.bin_report(judged, params, background.first_bins(df, 4, params)).collect()
+    assert sum(b.initial_background_genomes for b in bins) == report.initial_background_size
+    assert sum(b.active_genomes for b in bins) == len(rows)
