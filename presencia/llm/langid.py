@@ -109,15 +109,19 @@ class LangModel:
 def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     """Fit on ``docs`` (id, text, lang): what it may learn from, already chosen."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(params.most_langs + 1).collect())
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(params.most_langs + 1).collect()}
+    langs = sorted(sizes)
     if len(langs) > params.most_langs:
         raise ValueError(f"more than {params.most_langs} languages")
     bits, book = params.bits_of_hash, codebook(len(langs))
     empty = LangModel(langs, book, np.zeros((1 << bits, book.shape[1]), np.float32), np.ones(book.shape[1]), params)
     if len(langs) < 2:
         return empty
+    # about twice as many as needed by a hash of the id, the first of them by another
+    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(2.0 * params.docs_per_lang / n))])
+    some = rows.select("id", "lang").where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= params.docs_per_lang).select("id", "lang").distinct()
+    chosen = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= params.docs_per_lang).select("id", "lang").distinct()
     # at most most_langs * docs_per_lang ids of 8 bytes
     sample = written(rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text"), "lang-sample")
 
