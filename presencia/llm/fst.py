@@ -33,12 +33,12 @@ class FstParams:
     ``cache_pairs`` that of weights of pairs."""
 
     model: str | None = None
-    cache_chunks: int = 400_000
+    cache_chunks: int = 900_000
     cache_pairs: int = 1_000_000
 
 
 class PieceFst:
-    def __init__(self, path: str, chunks: int = 400_000, pairs: int = 1_000_000):
+    def __init__(self, path: str, chunks: int = 900_000, pairs: int = 1_000_000):
         import ahocorasick
 
         self.pieces = Pieces(path)
