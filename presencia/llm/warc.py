@@ -4,7 +4,9 @@ Records are laid out in archives of bounded size; a record's place is its
 archive and its offset there. Its digest is hashed with its offset range into
 the node of the stretch of places it starts in, nodes are hashed in order into
 wider nodes, sixteen to one, up to one root per replica. The audit compares
-roots and goes down only into nodes that differ, to the records that do.
+roots and goes down only into nodes that differ. Records in them are matched by
+record id and digest, wherever they lie: a replica has a layout of its own, and
+one lost or longer record moves all that follow it.
 
 Defined cases: null url or html count as empty; null ids are kept; repeated
 rows are records of their own; an empty table has no records and nothing to
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from presencia.llm.tables import written
+from presencia.llm.tables import new_path, written
 
 
 @dataclass(frozen=True)
@@ -67,21 +69,22 @@ def lay_out(pages: DataFrame, params: WarcParams = WarcParams(), id_col: str = "
     return _placed(_records(pages, params, id_col, url_col, html_col)).select("page_id", "record", "archive", "offset", "length")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, order: tuple[str, ...] = ("offset",)) -> None:
     """One file per archive, below ``path``/archive=N; blank lines end records."""
-    dealt = records.repartition("archive").sortWithinPartitions("archive", "offset")
+    dealt = records.repartition("archive").sortWithinPartitions("archive", *order)
     dealt.select("archive", "record").write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, length, url, record (bytes with their end) of every record
-    of the files below ``path``; plain or gzip members."""
+    """file, archive (of a path with archive=N, else null), offset, length, url,
+    record_id, record (bytes with their end) of every record of the files below
+    ``path``; plain or gzip members."""
 
     def split(batches):
         import zlib
 
-        names = ["file", "offset", "length", "url", "record"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["file", "offset", "length", "url", "record_id", "record"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
             for file, body in zip(batch.column("path").to_pylist(), batch.column("content")):
                 data, out, at = body.as_py(), [[] for _ in names], 0
@@ -98,17 +101,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if data[start : start + 2] != b"\x1f\x8b":
                         at = start + len(head) + 4 + int(fields[b"content-length"]) + 4
                         plain = data[start:at]
-                    for c, v in zip(out, (file, start, at - start, fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), plain)):
+                    url, name = (fields.get(k, b"").decode("utf-8", "replace") for k in (b"warc-target-uri", b"warc-record-id"))
+                    for c, v in zip(out, (file, start, at - start, url, name, plain)):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(split, "file string, offset long, length long, url string, record binary")
+    found = files.select("path", "content").mapInArrow(split, "file string, offset long, length long, url string, record_id string, record binary")
+    archive = F.regexp_extract("file", "/archive=([0-9]+)/", 1).try_cast("long")
+    return found.select("file", archive.alias("archive"), "offset", "length", "url", "record_id", "record")
 
 
-def digests(records: DataFrame) -> DataFrame:
-    """page_id, archive, offset, length, digest (SHA-256 of the record)."""
-    return records.select("page_id", "archive", "offset", "length", F.unhex(F.sha2("record", 256)).alias("digest"))
+def digests(records: DataFrame, *more: str) -> DataFrame:
+    """page_id, record_id, archive, offset, length, digest (SHA-256 of the record)."""
+    name = F.regexp_extract("record", "WARC-Record-ID: (<[^>]*>)", 1)
+    return records.select("page_id", name.alias("record_id"), "archive", "offset", "length", F.unhex(F.sha2("record", 256)).alias("digest"), *more)
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``digests`` but page_id, out of the files of a replica."""
+    body = F.expr("substring(record, 1, length(record) - 4)")
+    return read_warc(spark, path).select("record_id", F.coalesce("archive", F.lit(-1)).alias("archive"), "offset", "length", F.unhex(F.sha2(body, 256)).alias("digest"))
 
 
 def merkle_levels(both: DataFrame, params: WarcParams) -> list[DataFrame]:
@@ -136,13 +149,25 @@ def _differing(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*sides).where(~F.col("primary").eqNullSafe(F.col("copy")))
 
 
+def _matched(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the primary beside the copy's of equal keys, one to one, in the
+    order of their places; null where a side has none left."""
+    nth = F.row_number().over(Window.partitionBy("replica", *keys).orderBy("archive", "offset"))
+    here = F.struct("page_id", "record_id", "archive", "offset", "length", "digest")
+    sides = [F.max(F.when(F.col("replica") == r, here)).alias(r) for r in ("primary", "copy")]
+    return rows.withColumn("nth", nth).groupBy(*keys, "nth").agg(*sides).select("primary", "copy")
+
+
 def audit(primary: DataFrame, copy: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
-    """page_id, archive, offset, length, status of the records that differ.
+    """page_id, archive, offset, length, status, copy_archive, copy_offset of
+    the records that differ; the place is the primary's where it has one.
 
-    Both are tables as ``digests`` gives them. Status: changed, missing (not
-    in the copy) or extra (only there).
+    ``primary`` is a table as ``digests`` gives it, ``copy`` one as ``digests``
+    or ``read_digests`` does. Status: changed, missing (not in the copy), extra
+    (only there) or shifted (intact at another place). An extra record of files
+    has no page_id.
     """
-    rows = primary.withColumn("replica", F.lit("primary")).unionByName(copy.withColumn("replica", F.lit("copy")))
+    rows = primary.withColumn("replica", F.lit("primary")).unionByName(copy.withColumn("replica", F.lit("copy")), allowMissingColumns=True)
     rows = written(rows, "warc-digests")
     end = rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 1
     span = max(params.leaf_bits, int(end).bit_length())
@@ -153,12 +178,17 @@ def audit(primary: DataFrame, copy: DataFrame, params: WarcParams = WarcParams()
         children = level.withColumn("up", F.shiftright("node", params.fan_bits)).join(suspects.withColumnRenamed("node", "up"), "up", "left_semi")
         suspects = _differing(children, ["node"]).select("node")
     inside = placed.withColumn("up", F.shiftright("place", params.leaf_bits)).join(suspects.withColumnRenamed("node", "up"), "up", "left_semi")
-    inside = inside.withColumn("hash", F.concat(F.unhex(F.lpad(F.hex("length"), 16, "0")), F.col("digest")))
-    found = _differing(inside, ["page_id", "archive", "offset"]).withColumn(
-        "status", F.when(F.col("copy").isNull(), "missing").when(F.col("primary").isNull(), "extra").otherwise("changed")
-    )
-    length = F.conv(F.hex(F.substring(F.coalesce("primary", "copy"), 1, 8)), 16, 10).cast("long")
-    return found.select("page_id", "archive", "offset", length.alias("length"), "status")
+    # what lies where it did goes first: of repeated records the moved one is to be named
+    exact = ["record_id", "archive", "offset", "length", "digest"]
+    both = F.collect_set("replica").over(Window.partitionBy(*exact))
+    inside = written(inside.withColumn("sides", F.size(both)).where("sides = 1").select("replica", "page_id", *exact), "warc-suspects")
+    intact = written(_matched(inside, ["record_id", "digest"]), "warc-matched")
+    one_sided = [intact.where(F.col(o).isNull()).select(F.lit(r).alias("replica"), f"{r}.*") for r, o in (("primary", "copy"), ("copy", "primary"))]
+    rest = _matched(one_sided[0].unionByName(one_sided[1]), ["record_id"])
+    status = F.when(F.col("copy").isNull(), "missing").when(F.col("primary").isNull(), "extra").otherwise("changed")
+    shifted = intact.where("primary IS NOT NULL AND copy IS NOT NULL").withColumn("status", F.lit("shifted"))
+    found = shifted.unionByName(rest.withColumn("status", status)).withColumn("at", F.coalesce("primary", "copy"))
+    return found.select("at.page_id", "at.archive", "at.offset", "at.length", "status", F.col("copy.archive").alias("copy_archive"), F.col("copy.offset").alias("copy_offset"))
 
 
 def _hurt(record: Column, page_id: Column) -> Column:
@@ -169,16 +199,17 @@ def _hurt(record: Column, page_id: Column) -> Column:
 
 
 def fixity_report(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
-    """Lay out ``pages``, damage a replica (one record of 97 changed, one of
-    193 lost), and report what the audit locates. Records are hashed where
-    they are read; only digests move."""
+    """Lay out ``pages``, write a damaged replica (one record of 97 changed, one
+    of 193 lost), read it from its files, and report the damage that the audit
+    locates: intact records that a lost one has shifted are left out."""
+    spark = pages.sparkSession
     rows = _records(pages, params, "page_id", "url", "html")
-
-    def hashed(c: Column) -> Column:
-        return F.unhex(F.sha2(c, 256))
-
+    # the primary's records are hashed where they are read; the replica's move into files
+    hashed = digests(rows.withColumn("offset", F.lit(None).cast("long")), "key").drop("offset")
+    laid = written(_placed(hashed), "warc-layout")
     lost = F.coalesce(F.col("page_id") % 193 == 7, F.lit(False))
-    both = rows.withColumns({"digest": hashed(F.col("record")), "other": hashed(_hurt(F.col("record"), F.col("page_id"))), "lost": lost}).drop("record")
-    both = written(_placed(both), "warc-layout")
-    keys = ["page_id", "archive", "offset", "length"]
-    return audit(both.select(*keys, "digest"), both.where("NOT lost").select(*keys, F.col("other").alias("digest")), params)
+    copied = rows.where(~lost).withColumn("record", _hurt(F.col("record"), F.col("page_id")))
+    path = new_path(spark, "warc-replica")
+    write_warc(copied, path, ("page_id", "key"))
+    found = audit(laid, read_digests(spark, path), params)
+    return found.where("status <> 'shifted'").select("page_id", "archive", "offset", "length", "status")

@@ -284,6 +284,23 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert got == {(r.offset, r.length, f"http://x/{r.page_id}", (r.record + "\r\n\r\n").encode()) for r in records.collect()}
 
 
+def test_audit_of_a_replica_that_moved(spark, tmp_path):
+    """One record lost, one longer, one more: the rest is intact elsewhere."""
+    laid = warc.lay_out(pages(spark, [(i, f"http://x/{i}", "h" * (i * 7 % 50)) for i in range(60)]), warc.WarcParams(archive_records=60)).toPandas().sort_values("offset")
+    at = {p: o for p, o in zip(laid.page_id, laid.offset)}
+    record = laid.set_index("page_id").record.to_dict()
+    new = {p: r for p, r in record.items() if p != 20}
+    length = int(record[40].split("Content-Length: ")[1].split("\r\n")[0])
+    new[40] = record[40].replace(f"Content-Length: {length}", f"Content-Length: {length + 9}") + "123456789"
+    new[99] = record[0].replace("WARC-Record-ID: <urn:uuid:", "WARC-Record-ID: <urn:uuid:f")
+    (tmp_path / "archive=0").mkdir()
+    (tmp_path / "archive=0" / "part").write_bytes("".join(new[p] + "\r\n\r\n" for p in sorted(new)).encode())
+    found = warc.audit(warc.digests(spark.createDataFrame(laid)), warc.read_digests(spark, str(tmp_path)), warc.WarcParams(leaf_bits=8)).collect()
+    got = {r.page_id: (r.status, r.offset) for r in found if r.page_id is not None}
+    want = {p: ("shifted", at[p]) for p in range(21, 60)} | {20: ("missing", at[20]), 40: ("changed", at[40])}
+    assert got == want and [r.status for r in found if r.page_id is None] == ["extra"] and len(found) == len(want) + 1
+
+
 # ---- pipeline ------------------------------------------------------------------
 
 
