@@ -12,7 +12,9 @@ nothing but the text.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0;
 so is everything when nothing can be learned from; with one language to learn
-it is always that one. Rows with a null id are predicted, never learned from.
+it is always that one. Equal losses go to the first language by name. There may
+be any number of languages; the driver holds their names, codewords and the
+classifiers, one table slot at a time a language. Rows with a null id are predicted, never learned from.
 Repeated rows are predicted alike. An empty table gives an empty result. Other
 columns are not looked at.
 """
@@ -36,7 +38,6 @@ class LangParams:
     bits_of_hash: int = 15
     sharpness: float = 8.0
     ambiguous_below: float = 0.1
-    most_langs: int = 256
 
 
 def codebook(n: int, seed: int = 3) -> np.ndarray:
@@ -48,14 +49,22 @@ def codebook(n: int, seed: int = 3) -> np.ndarray:
         cols = [(1, *rest) for rest in itertools.product((1, -1), repeat=n - 1) if -1 in rest]
         return np.array(cols, np.int8).T
     rng, length = np.random.default_rng(seed), 15 * int(np.ceil(np.log2(n)))
-    best = None
-    for _ in range(200):
+
+    def words() -> np.ndarray:
         book = rng.choice(np.array([-1, 1], np.int8), (n, length))
-        book = book[:, np.abs(book.sum(axis=1 - 1)) < n]
-        apart = (book[:, None, :] != book[None, :, :]).sum(axis=2) + np.eye(n, dtype=int) * 10**6
-        if best is None or apart.min() > best[0]:
-            best = (apart.min(), book)
-    return best[1]
+        return book[:, np.abs(book.sum(axis=0, dtype=np.int64)) < n]
+
+    # as many tries as some seconds allow: comparing n words takes n * n steps
+    tries = max(1, min(200, 4_000_000 // (n * n)))
+    books = [words() for _ in range(tries)]
+    if tries == 1:
+        return books[0]
+
+    def least_distance(book: np.ndarray) -> int:
+        wide = book.astype(np.int32)
+        return int(((book.shape[1] - wide @ wide.T) // 2 + np.eye(n, dtype=np.int32) * 10**6).min())
+
+    return max(books, key=least_distance)
 
 
 def grams(text: str, bits: int) -> np.ndarray:
@@ -109,21 +118,19 @@ class LangModel:
 def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     """Fit on ``docs`` (id, text, lang): what it may learn from, already chosen."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(params.most_langs + 1).collect()}
-    langs = sorted(sizes)
-    if len(langs) > params.most_langs:
-        raise ValueError(f"more than {params.most_langs} languages")
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n_docs")), "lang-sizes")
+    langs = [r.lang for r in sizes.select("lang").orderBy("lang").collect()]  # names only
+    place = {lang: i for i, lang in enumerate(langs)}
     bits, book = params.bits_of_hash, codebook(len(langs))
     empty = LangModel(langs, book, np.zeros((1 << bits, book.shape[1]), np.float32), np.ones(book.shape[1]), params)
     if len(langs) < 2:
         return empty
     # about twice as many as needed by a hash of the id, the first of them by another
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(2.0 * params.docs_per_lang / n))])
-    some = rows.select("id", "lang").where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    share = F.lit(2.0 * params.docs_per_lang * (1 << 20)) / F.col("n_docs")
+    some = rows.select("id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < share)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= params.docs_per_lang).select("id", "lang").distinct()
-    # at most most_langs * docs_per_lang ids of 8 bytes
-    sample = written(rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text"), "lang-sample")
+    sample = written(rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text"), "lang-sample")
 
     def count(batches):
         tally: dict[str, np.ndarray] = {}
@@ -135,20 +142,25 @@ def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "slot", "n"])
 
     counted = sample.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    counts = np.ones((len(langs), 1 << bits))
-    # one row a language, its list no longer than the hash has slots
-    for r in counted.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns")).collect():
-        counts[langs.index(r.lang), np.array(r.slots)] += np.array(r.ns)
-    share = counts / counts.sum(axis=1, keepdims=True)
-    odds = np.stack([np.log(share[book[:, b] > 0].mean(axis=0) / share[book[:, b] < 0].mean(axis=0)) for b in range(book.shape[1])], axis=1)
-    model = LangModel(langs, book, odds.astype(np.float32), np.ones(book.shape[1]), params)
+    # one row a language at a time, its list no longer than the hash has slots
+    sides = np.zeros((2, book.shape[1], 1 << bits))
+    by_lang = counted.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))
+    for r in by_lang.orderBy("lang").toLocalIterator():
+        counts = np.ones(1 << bits)
+        counts[np.array(r.slots)] += np.array(r.ns)
+        word = book[place[r.lang]]
+        for side, sign in enumerate((1, -1)):
+            sides[side, word == sign] += counts / counts.sum()
+    means = sides / np.stack([(book > 0).sum(axis=0), (book < 0).sum(axis=0)])[:, :, None]
+    odds = np.log(means[0] / means[1]).T
+    model = LangModel(langs, book, np.ascontiguousarray(odds, np.float32), np.ones(book.shape[1]), params)
 
     def score(batches):
         right = np.zeros(book.shape[1], np.int64)
         seen = 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                right += np.sign(model.margins(text)) == book[langs.index(lang)]
+                right += np.sign(model.margins(text)) == book[place[lang]]
                 seen += 1
         yield pa.RecordBatch.from_arrays([pa.array([right.tolist()], pa.list_(pa.int64())), pa.array([seen], pa.int64())], names=["right", "seen"])
 

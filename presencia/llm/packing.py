@@ -26,14 +26,14 @@ from presencia.llm.tables import written
 
 @dataclass(frozen=True)
 class PackParams:
-    """``packer_items`` is what one task packs; ``cache_words`` bounds a
-    worker's memory of words it has tokenised."""
+    """``packer_items`` is what one task packs; ``cache_bytes`` bounds a
+    worker's memory of words it has tokenised, beyond those of one text."""
 
     capacity: int = 4096
     end_id: int = 1
     tokenizer: str | None = None
     packer_items: int = 65_536
-    cache_words: int = 900_000
+    cache_bytes: int = 200_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,20 +49,29 @@ class WordIds:
     The tokenizer splits at white space and normalises each side on its own, so
     a text's ids are those of its words in order. A word's ids come from the
     tokenizer itself, once per worker while the word stays remembered. A full
-    stop or comma after an ASCII letter is always a token of its own.
+    stop or comma after an ASCII letter is always a token of its own. The
+    tokenizer composes letters before it lowers them, so only words of ASCII
+    alone are lowered here.
     """
 
+    #: What an entry takes beyond its word and ids: two objects and their slots.
+    ENTRY_BYTES = 170
+
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
+        self.most, self.held = most, 0
         self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + self.ENTRY_BYTES
+
     def learn(self, words: list[bytes]) -> None:
         plain, other = [], []
         for w in words:
@@ -79,28 +88,29 @@ class WordIds:
                 continue
             data, first = ids.tobytes(), 0
             for (w, _), stop in zip(some, (4 * stops).tolist()):
-                self.known[w] = data[first:stop]
+                self._keep(w, data[first:stop])
                 first = stop
         # a slice at a time: one long text must not hold all its encodings at once
         for at in range(0, len(other), 4_096):
             some = other[at : at + 4_096]
             coded = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
             for (w, _), e in zip(some, coded):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                self._keep(w, np.array(e.ids, dtype="<u4").tobytes())
 
     def ids(self, text: bytes) -> bytes:
-        words, known = text.lower().split(), self.known
+        words, known = text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()], self.known
         found = list(map(known.get, words))
         if None not in found:
             return b"".join(found)
-        if len(known) > self.most:
+        if self.held > self.most:
             known.clear()
+            self.held = 0
         new = {w for w, ids in zip(words, found) if ids is None}
         ends = {w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
         need = {w[:-1] for w in ends} | {b".", b","} | (new - ends)
         self.learn([w for w in need if w not in known])
         for w in ends:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+            self._keep(w, known[w[:-1]] + known[w[-1:]])
         return b"".join([known[w] if ids is None else ids for w, ids in zip(words, found)])
 
 
@@ -122,7 +132,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def token_pieces(docs: DataFrame, params: PackParams = PackParams(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row per piece of at most ``capacity`` ids; ``with_ids`` adds the ids."""
-    path, most, cap, end = params.tokenizer or tokenizer_path(), params.cache_words, params.capacity, params.end_id
+    path, most, cap, end = params.tokenizer or tokenizer_path(), params.cache_bytes, params.capacity, params.end_id
     tail = np.array([end], dtype="<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
@@ -190,20 +200,19 @@ class SumOfSquares:
             self.open.setdefault(gap, []).append(name)
 
 
-def _packed(items: DataFrame, capacity: int, packers: int, order: list) -> DataFrame:
-    """``items`` (with a long ``length``) plus packer, bin and offset."""
+def _packed(items: DataFrame, params: PackParams, order: list) -> DataFrame:
+    """``items`` (a written table with a long ``length``) plus packer, bin and
+    offset. Rows are dealt by their place in the table, so that equal ones
+    spread; a packer that was dealt far more than its share packs it in runs."""
     from pyspark.sql import types as T
 
-    keys = [c for c in items.columns]
-    dealt = items.repartition(packers, F.xxhash64(*keys)).sortWithinPartitions(*order)
+    capacity, most = params.capacity, 2 * params.packer_items
+    packers = max(1, -(-items.count() // params.packer_items))
+    placed_at = items.withColumn("_llm_at", F.monotonically_increasing_id())
+    dealt = placed_at.repartition(packers, F.xxhash64("_llm_at")).sortWithinPartitions(*order).drop("_llm_at")
     out = T.StructType(items.schema.fields + [T.StructField("packer", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def pack(batches):
-        from pyspark import TaskContext
-
-        held = [b for b in batches if b.num_rows]  # no more than a packer's items
-        if not held:
-            return
+    def run_of(held, bins, me):
         table = pa.Table.from_batches(held).combine_chunks()
         sizes, best = table.column("length").to_pylist(), None
         # falling sizes suit few items, a mixed order suits many: the better one counts
@@ -213,26 +222,40 @@ def _packed(items: DataFrame, capacity: int, packers: int, order: list) -> DataF
                 placed[i] = packer.place(sizes[i])
             if best is None or packer.bins < best[0]:
                 best = packer.bins, placed
-        me = [TaskContext.get().partitionId()] * len(sizes)
-        for name, values in (("packer", me), ("bin", [b for b, _ in best[1]]), ("offset", [o for _, o in best[1]])):
+        for name, values in (("packer", [me] * len(sizes)), ("bin", [bins + b for b, _ in best[1]]), ("offset", [o for _, o in best[1]])):
             table = table.append_column(name, pa.array(values, pa.int64()))
-        yield from table.to_batches(max_chunksize=10_000)
+        return table, bins + best[0]
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        me, bins, held, n = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= most:
+                table, bins = run_of(held, bins, me)
+                yield from table.to_batches(max_chunksize=10_000)
+                held, n = [], 0
+        if held:
+            yield from run_of(held, bins, me)[0].to_batches(max_chunksize=10_000)
 
     return dealt.mapInArrow(pack, out)
 
 
 def pack(items: DataFrame, params: PackParams = PackParams()) -> DataFrame:
-    """``items`` (any columns, a long ``length`` of 1 to capacity) with
-    sequence_id and offset added."""
+    """``items`` (a written table of any columns that can be sorted, among them
+    a long ``length`` of 1 to capacity) with sequence_id and offset added."""
     names = items.columns
-    total = items.count()
-    packers = max(1, -(-total // params.packer_items))
-    first = written(_packed(items, params.capacity, packers, [F.desc("length"), *[F.asc(c) for c in names]]), "packing")
+    if clash := {"packer", "bin", "offset", "sequence_id"} & set(names):
+        raise ValueError(f"items hold columns that packing adds: {sorted(clash)}")
+    order = [F.desc("length"), *[F.asc(c) for c in names]]
+    first = written(_packed(items, params, order), "packing")
     fill = first.groupBy("packer", "bin").agg((F.sum("length") < params.capacity).alias("open"))
     marked = written(first.join(fill, ["packer", "bin"]), "packing-marked")
     loose = marked.where("open").select(*names)
-    waiting = max(1, -(-loose.count() // params.packer_items))
-    again = written(_packed(loose, params.capacity, waiting, [F.desc("length"), *[F.asc(c) for c in names]]), "packing-again")
+    again = written(_packed(loose, params, order), "packing-again")
 
     def named(df: DataFrame, kind: int) -> DataFrame:
         return df.select(*names, (F.shiftleft("packer", 32) * 2 + F.col("bin") * 2 + kind).alias("sequence_id"), "offset")

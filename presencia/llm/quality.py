@@ -4,9 +4,10 @@ Each document's measures come from its whole text. Per language and source the
 measures are summed up in log-bucket sketches: counts per bucket, whose merge
 is addition, so any partitioning gives the same sketch and every quantile is
 within ``accuracy`` of the true one. Upper fences, quartile plus a multiple of
-the quartile distance, replace fixed cutoffs; a group with few documents takes
-the merged sketch of its language, then of everything. The fences are joined
-back and decide.
+the quartile distance, replace fixed cutoffs. A group's quantiles are drawn
+towards those of its language, and these towards those of everything, as if
+``prior_docs`` documents had them: the fewer documents, the more. The fences
+are joined back and decide.
 
 Defined cases: null or blank text has no words and fails the base rule; null
 lang or source is a group of its own; repeated rows count and are judged as
@@ -39,7 +40,7 @@ class QualityParams:
 
     accuracy: float = 0.01
     reach: float = 3.0
-    least_docs: int = 50
+    prior_docs: int = 50
     slack: tuple[tuple[str, float], ...] = (("symbols", 0.1), ("dup_lines", 0.35), ("repeats", 0.1), ("word_length", 3.0))
 
 
@@ -129,12 +130,14 @@ def fences(rows: DataFrame, counts: str, params: QualityParams, lang: str = "lan
     of_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
     a = quartiles(own, [lang, source], params)
     b = quartiles(by_lang, [lang], params).select(F.col(lang).alias("b_lang"), F.col("measure").alias("b_measure"), *[F.col(x).alias(f"b_{x}") for x in ("docs", "q25", "q75")])
-    c = quartiles(of_all, [], params).select(F.col("measure").alias("c_measure"), *[F.col(x).alias(f"c_{x}") for x in ("q25", "q75")])
+    # one row a measure
+    c = F.broadcast(quartiles(of_all, [], params).select(F.col("measure").alias("c_measure"), *[F.col(x).alias(f"c_{x}") for x in ("q25", "q75")]))
     all_three = a.join(b, F.col(lang).eqNullSafe(F.col("b_lang")) & (a.measure == F.col("b_measure"))).join(c, a.measure == F.col("c_measure"))
-    few, few_lang = F.col("docs") < params.least_docs, F.col("b_docs") < params.least_docs
+    prior = F.lit(float(params.prior_docs))
 
     def pick(q):
-        return F.when(~few, F.col(q)).when(~few_lang, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
+        of_lang = (F.col("b_docs") * F.col(f"b_{q}") + prior * F.col(f"c_{q}")) / (F.col("b_docs") + prior)
+        return (F.col("docs") * F.col(q) + prior * of_lang) / (F.col("docs") + prior)
 
     slack = F.create_map(*[F.lit(x) for pair in params.slack for x in pair])
     bound = pick("q75") + F.greatest(params.reach * (pick("q75") - pick("q25")), slack[F.col("measure")])

@@ -109,7 +109,9 @@ def _quality_sql() -> str:
         return f"(CASE WHEN {b} = {zero} THEN 0.0 ELSE pow({gamma!r}, {b}) * 2 / {gamma + 1!r} END)"
 
     def pick(q):
-        return f"(CASE WHEN a.n >= {p.least_docs} THEN {value('a.b' + q)} WHEN l.n >= {p.least_docs} THEN {value('l.b' + q)} ELSE {value('g.b' + q)} END)"
+        prior = float(p.prior_docs)
+        of_lang = f"((l.n * {value('l.b' + q)} + {prior} * {value('g.b' + q)}) / (l.n + {prior}))"
+        return f"((a.n * {value('a.b' + q)} + {prior} * {of_lang}) / (a.n + {prior}))"
 
     counts = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
     return f"""

@@ -20,16 +20,27 @@ def test_pieces_equal_the_tokenizer(spark):
     coder = Tokenizer.from_file(M.tokenizer_path())
     coder.encode_special_tokens = True
     rows = list(enumerate(TEXTS)) + [(None, "no id")]
-    for cap, most in ((4096, 900_000), (16, 3)):
+    for cap, most in ((4096, 200_000_000), (16, 500)):
         want = []
         for i, t in rows:
             ids = coder.encode(t or "", add_special_tokens=False).ids + [1]
             want += [(str(i), n, at, len(ids[at : at + cap]), zlib.crc32(np.array(ids[at : at + cap], "<u4").tobytes())) for n, at in enumerate(range(0, len(ids), cap))]
-        out = M.pack_documents(frame(spark, rows), M.PackParams(capacity=cap, cache_words=most)).collect()
+        out = M.pack_documents(frame(spark, rows), M.PackParams(capacity=cap, cache_bytes=most)).collect()
         assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
         assert_packed(out, cap)
 
 
+def test_ids_of_decomposed_letters():
+    """Any letters beside any marks, upper and lower case."""
+    coder = Tokenizer.from_file(M.tokenizer_path())
+    coder.encode_special_tokens = True
+    mine, rng = M.WordIds(M.tokenizer_path(), 1_000_000), random.Random(9)
+    for _ in range(6_000):
+        text = "".join(rng.choice("JTHWYAEIjthwyaei") + rng.choice(["", "", "\u030c", "\u0308", "\u0331", "\u030a", "\u0301"]) + rng.choice(["", "", "", " ", "."]) for _ in range(rng.randint(1, 8)))
+        want = np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert mine.ids(text.encode()) == want, text
+
+
 def assert_packed(rows, cap):
     by = {}
     for r in rows:
