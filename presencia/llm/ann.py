@@ -8,14 +8,18 @@ between original vectors in double precision.
 
 How many buckets to probe is fitted on a bounded number of queries
 (``fit_queries``) against an exact pass over all rows, so that ``recall`` of
-their true neighbours is met; every row is indexed. Equal vectors are one
-class that carries its smallest ids, which is all that a top list can use.
-A bucket above ``block_rows`` is dealt over several tasks.
+their true neighbours is met; every row is indexed, at every size of table.
+Queries whose buckets hold too few rows for a full list are held against all
+rows, in blocks. Equal vectors are one class that carries its smallest ids,
+which is all that a top list can use. Hot buckets are dealt over tasks; a task
+holds a bucket's queries and reads its members once.
 
 Defined cases: vectors that are null, empty, zero, of another than the most
 common length, or that hold null or non-finite components take no part; null
-ids neither. Repeated (id, vector) rows count once. Ties go to the smaller id.
-An empty table gives an empty result. Other columns are not looked at.
+ids neither. Repeated (id, vector) rows count once; of an id with several
+vectors the nearest counts, and as a query it has one list, from all of them.
+Ties go to the smaller id. Ids that are no whole numbers are an error. An empty
+table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,17 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presencia.llm.tables import written
+from presencia.llm.tables import hot_keys, written
 
 
 @dataclass(frozen=True)
 class AnnParams:
+    """``most_probes`` bounds the buckets probed in a table once these are more
+    than the signed axes; ``block_rows`` is what one task takes of a hot bucket."""
+
     top: int = 10
-    tables: int = 16
+    tables: int = 6
     seed: int = 5
-    recall: float = 0.97
+    recall: float = 0.96
     fit_queries: int = 128
-    exact_rows: int = 2_000
+    most_probes: int = 1_024
     block_rows: int = 8_192
 
 
@@ -74,23 +81,29 @@ class CrossPolytope:
             code = code * (2 * self.width) + 2 * axis + (x[np.arange(len(x)), axis] < 0)
         return code
 
-    def probes(self, vectors: np.ndarray, table: int, most: int) -> list[np.ndarray]:
-        """Codes by growing loss: the sum over hashes of how far the squared
-        component falls below the best one."""
-        each = []
+    def most(self, limit: int) -> int:
+        """Probes to be had in a table: with one axis a bucket, all buckets."""
+        return 2 * self.width if self.k == 1 else limit
+
+    def probes(self, vectors: np.ndarray, table: int, most: int) -> np.ndarray:
+        """The ``most`` codes of least loss, by growing loss: the sum over
+        hashes of how far the squared component falls below the best one."""
+        codes = losses = None
         for j in range(self.k):
             x = self.turned(vectors, table, j)
             signed = np.stack([x, -x], axis=2).reshape(len(x), -1)
             loss = (signed.max(axis=1, keepdims=True) - signed) ** 2
             order = np.argsort(loss, axis=1, kind="stable")[:, :most]
-            each.append((order, np.take_along_axis(loss, order, axis=1)))
-        codes, losses = each[0]
-        for order, loss in each[1:]:
-            both = (losses[:, :, None] + loss[:, None, :]).reshape(len(vectors), -1)
-            code = (codes[:, :, None] * (2 * self.width) + order[:, None, :]).reshape(len(vectors), -1)
+            loss = np.take_along_axis(loss, order, axis=1)
+            if codes is None:
+                codes, losses = order.astype(np.int64), loss
+                continue
+            # a pair of ranks a, b is behind at least (a + 1) * (b + 1) - 1 others
+            a, b = np.array([(a, b) for a in range(codes.shape[1]) for b in range(min(order.shape[1], most // (a + 1)))]).T
+            both, code = losses[:, a] + loss[:, b], codes[:, a] * (2 * self.width) + order[:, b]
             keep = np.argsort(both, axis=1, kind="stable")[:, :most]
             codes, losses = np.take_along_axis(code, keep, axis=1), np.take_along_axis(both, keep, axis=1)
-        return list(codes)
+        return codes
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -121,60 +134,78 @@ def _nearest_of(fit: list, dim: int, top: int):
     return run
 
 
-def _fit_probes(classes: DataFrame, asked: DataFrame, index: CrossPolytope, params: AnnParams) -> int:
-    """The smallest number of probes, of a doubling ladder, that finds
-    ``recall`` of the true neighbours of the queries fitted on."""
+def _fit_set(classes: DataFrame, asked: DataFrame, dim: int, params: AnnParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries to fit on, and their true neighbours as (place of query, vector)."""
     fit = [list(r.vec) for r in asked.orderBy("h1", "h2").limit(params.fit_queries).select("vec").collect()]
     by = Window.partitionBy("q").orderBy("d", "low")
-    near = classes.select("vec", "low").mapInArrow(_nearest_of(fit, index.dim, params.top), "q int, d double, low long, vec array<double>")
+    near = classes.select("vec", "low").mapInArrow(_nearest_of(fit, dim, params.top), "q int, d double, low long, vec array<double>")
     near = near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= params.top + 1).collect()
     pairs = [(r.q, r.vec) for r in near if r.d > 0]
-    most = (2 * index.width) ** min(index.k, 2)
-    if not pairs:
+    return np.array(fit, dtype=np.float64), np.array([q for q, _ in pairs], np.int64), np.array([v for _, v in pairs], np.float64)
+
+
+def _fit_probes(fit: tuple[np.ndarray, np.ndarray, np.ndarray], index: CrossPolytope, params: AnnParams) -> int | None:
+    """The smallest number of probes that finds ``recall`` of the neighbours
+    fitted on; None if the most do not."""
+    queries, of, others = fit
+    if not len(of):
         return 1
-    queries, others = np.array(fit, dtype=np.float64), np.array([v for _, v in pairs], dtype=np.float64)
-    place = np.full(len(pairs), most)
+    most = index.most(params.most_probes)
+    place = np.full(len(of), most)
     for t in range(index.tables):
         codes, probes = index.codes(others, t), index.probes(queries, t, most)
-        for i, (q, _) in enumerate(pairs):
+        for i, q in enumerate(of):
             at = np.flatnonzero(probes[q] == codes[i])
             place[i] = min(place[i], at[0]) if len(at) else place[i]
-    probes = 1
-    while probes < most and (place < probes).mean() < params.recall:
-        probes *= 2
-    return min(probes, most)
+    probes = int(np.sort(place)[int(np.ceil(params.recall * len(place))) - 1]) + 1
+    return probes if probes <= most else None
 
 
 def _ranked(dim: int, top: int):
-    """Top lists inside runs of equal (bucket, salt): members come first."""
+    """Top lists inside runs of equal (bucket, salt): queries come first and
+    are held, members pass by."""
     names = ["h1", "h2", "id", "d"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
 
+    def shortened(found: list) -> list:
+        seen, out = set(), []
+        for d, i in sorted(found):
+            if i not in seen:
+                seen.add(i)
+                out.append((d, i))
+                if len(out) > top:
+                    break
+        return out
+
+    def result(queries):
+        rows = [(h1, h2, i, d) for h1, h2, _, best in queries for d, i in best]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
+
     def run(batches):
-        key, vectors, ids = None, [], []
-        matrix = None
+        key, queries = None, []
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            keys = list(zip(batch.column("bucket").to_pylist(), batch.column("salt").to_pylist()))
-            roles, h1, h2 = (batch.column(c).to_pylist() for c in ("role", "h1", "h2"))
-            rows, lists = _matrix(batch.column("vec"), dim), batch.column("ids").to_pylist()
-            for i, k in enumerate(keys):
-                if k != key:
-                    key, vectors, ids, matrix = k, [], [], None
-                if roles[i] == 0:
-                    vectors.append(rows[i])
-                    ids.append(lists[i])
-                elif vectors:
-                    if matrix is None:
-                        matrix = np.array(vectors)
-                    d = _distances(matrix, rows[i])
+            if not batch.num_rows:
+                continue
+            bucket, salt, role = (batch.column(c).to_numpy() for c in ("bucket", "salt", "role"))
+            h1, h2, ids = (batch.column(c) for c in ("h1", "h2", "ids"))
+            rows = _matrix(batch.column("vec"), dim)
+            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1]) | (role[1:] != role[:-1])) + 1
+            for a, b in itertools.pairwise([0, *change.tolist(), len(bucket)]):
+                if (bucket[a], salt[a]) != key:
+                    if queries:
+                        yield result(queries)
+                    key, queries = (bucket[a], salt[a]), []
+                if role[a] == 0:
+                    queries += [(h1[i].as_py(), h2[i].as_py(), rows[i], []) for i in range(a, b)]
+                    continue
+                lists = ids.slice(a, b - a).to_pylist() if queries else []
+                for _, _, vec, best in queries:
+                    d = _distances(rows[a:b], vec)
                     # every class tied with the last place stays in play
-                    far = np.partition(d, top)[top] if len(d) > top + 1 else np.inf
-                    found = sorted((float(d[j]), x) for j in np.flatnonzero(d <= far) for x in ids[j])[: top + 1]
-                    for dist, x in found:
-                        for c, v in zip(out, (h1[i], h2[i], x, dist)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                    far = min(np.partition(d, top)[top] if len(d) > top + 1 else np.inf, best[top][0] if len(best) > top else np.inf)
+                    best[:] = shortened(best + [(float(d[j]), x) for j in np.flatnonzero(d <= far) for x in lists[j]])
+        if queries:
+            yield result(queries)
 
     return run
 
@@ -205,44 +236,70 @@ def nearest(table: DataFrame, is_query=None, params: AnnParams = AnnParams(), id
         "ann-classes",
     )
     asked = written(asking.groupBy("h1", "h2").agg(F.first("vec").alias("vec")), "ann-queries")
-    n = classes.count()
+    n, fit = classes.count(), _fit_set(classes, asked, dim, params)
     k, width = 1, 2 * (1 << max(1, (dim - 1).bit_length()))
     while n > 8 * width ** (k + 1) and k < 3:
         k += 1
-    index = CrossPolytope(dim, k, params.tables if n > params.exact_rows else 1, params.seed)
-    probes = _fit_probes(classes, asked, index, params) if n > params.exact_rows else width
-
-    def member_rows(batches):
+    while True:
+        index = CrossPolytope(dim, k, params.tables, params.seed)
+        probes = _fit_probes(fit, index, params)
+        if probes is not None:
+            break
+        k -= 1  # with one axis a bucket all buckets can be probed
+
+    def code_rows(batches):
         for batch in batches:
             vectors = _matrix(batch.column("vec"), dim)
-            for t in range(index.tables):
-                codes = (t << 40) + index.codes(vectors, t)
-                yield pa.RecordBatch.from_arrays([pa.array(codes)] + [batch.column(c) for c in ("h1", "h2", "vec", "ids")], names=["bucket", "h1", "h2", "vec", "ids"])
+            codes = np.stack([(t << 40) + index.codes(vectors, t) for t in range(index.tables)], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * index.tables), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("h1", "h2", "vec", "ids")] + [lists], names=["h1", "h2", "vec", "ids", "codes"])
 
     def probe_rows(batches):
         for batch in batches:
             vectors = _matrix(batch.column("vec"), dim)
-            for t, at in itertools.product(range(index.tables), range(0, len(vectors), 1_000)):
-                part = batch.slice(at, 1_000)
-                codes = index.probes(vectors[at : at + 1_000], t, probes)
-                rows_of = pa.array(np.repeat(np.arange(len(codes)), [len(c) for c in codes]))
+            for t, at in itertools.product(range(index.tables), range(0, len(vectors), 256)):
+                part = batch.slice(at, 256)
+                codes = index.probes(vectors[at : at + 256], t, probes)
+                rows_of = pa.array(np.repeat(np.arange(len(codes)), codes.shape[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((t << 40) + np.concatenate(codes))] + [part.column(c).take(rows_of) for c in ("h1", "h2", "vec")], names=["bucket", "h1", "h2", "vec"]
+                    [pa.array((t << 40) + codes.ravel())] + [part.column(c).take(rows_of) for c in ("h1", "h2", "vec")], names=["bucket", "h1", "h2", "vec"]
                 )
 
-    schema = f"bucket long, h1 long, h2 long, vec array<{kind}>"
-    members = classes.select("h1", "h2", "vec", "ids").mapInArrow(member_rows, schema + ", ids array<long>")
-    counts = classes.select("h1", "h2", "vec", "ids").mapInArrow(member_rows, schema + ", ids array<long>").groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(params.block_rows)).cast("int").alias("salts"))
-    counts = written(counts, "ann-buckets")
-    large = counts.where("salts > 1")
-    members = members.join(large, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), F.coalesce("salts", F.lit(1))).cast("int"))
-    asks = asked.mapInArrow(probe_rows, schema).join(counts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    cols = ["bucket", "salt", "role", "h1", "h2", "vec", "ids"]
-    both = members.withColumn("role", F.lit(0)).select(*cols).union(asks.withColumns({"role": F.lit(1), "ids": F.expr("cast(array() as array<long>)")}).select(*cols))
-    found = both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "role").mapInArrow(_ranked(dim, params.top), "h1 long, h2 long, id long, d double")
+    schema = f"h1 long, h2 long, vec array<{kind}>"
+    coded = written(classes.select("h1", "h2", "vec", "ids").mapInArrow(code_rows, schema + ", ids array<long>, codes array<long>"), "ann-codes")
+    counts = written(coded.select(F.explode("codes").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")), "ann-buckets")
+    hot = hot_keys(counts, "bucket", params.block_rows)  # at most a thousand
+    asks = written(asked.mapInArrow(probe_rows, "bucket long, " + schema).join(counts, "bucket", "left_semi"), "ann-asks")
+    members = coded.select(F.explode("codes").alias("bucket"), "h1", "h2", "vec", "ids").join(asks.select("bucket").distinct(), "bucket", "left_semi")
+    salts = F.coalesce("_llm_salts", F.lit(1))
+    members = members.join(F.broadcast(hot), "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), salts).cast("int"))
+    asks = asks.join(F.broadcast(hot), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    found = written(_met(members, asks, dim, params.top), "ann-found")
+
+    # as many ids as a list can ask for; a query's own is among what it found
+    full = rows.select("id").distinct().limit(params.top + 1).count()
+    enough = found.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= full)
+    short = written(asked.join(enough, ["h1", "h2"], "left_anti"), "ann-short")
+    if lacking := short.count():
+        blocks, groups = -(-n // (4 * params.block_rows)), -(-lacking // 1_024)
+        spread = F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks))
+        members = classes.select(spread.alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"), "h1", "h2", "vec", "ids")
+        asks = short.select(
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), F.pmod(F.xxhash64("h1", "h2"), F.lit(groups)).cast("int").alias("salt"), "h1", "h2", "vec"
+        )
+        found = found.join(short, ["h1", "h2"], "left_anti").unionByName(_met(members, asks, dim, params.top))
     best = Window.partitionBy("h1", "h2").orderBy("d", "id")
-    found = found.dropDuplicates(["h1", "h2", "id"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= params.top + 1).drop("r")
+    found = found.groupBy("h1", "h2", "id").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= params.top + 1).drop("r")
     own = asking.select(F.col("id").alias("query_id"), "h1", "h2").distinct()
-    order = Window.partitionBy("query_id", "h1", "h2").orderBy("d", "id")
-    listed = own.join(found, ["h1", "h2"]).where("id <> query_id").withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("query_id").orderBy("d", "id")
+    listed = own.join(found, ["h1", "h2"]).where("id <> query_id").groupBy("query_id", "id").agg(F.min("d").alias("d")).withColumn("rank", F.row_number().over(order))
     return listed.where(F.col("rank") <= params.top).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("d").alias("score"))
+
+
+def _met(members: DataFrame, asks: DataFrame, dim: int, top: int) -> DataFrame:
+    """h1, h2, id, d: the best of every query within each (bucket, salt)."""
+    cols = ["bucket", "salt", "role", "h1", "h2", "vec", "ids"]
+    asks = asks.withColumns({"role": F.lit(0), "ids": F.expr("cast(array() as array<long>)")})
+    both = asks.select(*cols).union(members.withColumn("role", F.lit(1)).select(*cols))
+    dealt = both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "role")
+    return dealt.mapInArrow(_ranked(dim, top), "h1 long, h2 long, id long, d double")
