@@ -1,17 +1,23 @@
 """Line deduplication over content-defined chunks of lines.
 
 A rolling hash over the hashes of the last lines decides where a chunk ends,
-so an insertion moves only the boundaries near it. A line long enough to be a
-passage of its own is always a chunk. Chunks of several lines, or of one such
-long line, that occur more than once anywhere are grouped by hash *and* bytes;
-the occurrence in the smallest doc_id (in it, the first) stays and the others
-are removed.
+so an insertion moves only the boundaries near it; a line of ``long_words`` is
+always a chunk. Chunks that occur more than once anywhere, found by counting
+their digests, are held against the occurrence in the smallest document: bytes
+are compared, and the match is extended at both ends over lines of equal
+128-bit hashes, up to the whole neighbouring chunks and the lines whose
+boundaries may still depend on what lies outside the match. Such matches that touch make a run; a run of
+``least_words`` over several lines, or of ``line_words`` in a single one, is
+removed. A removed line always has an equal one in a smaller document, or
+further up in its own, so one copy stays.
 
 Defined cases: null text stays null and has no chunks; empty text stays empty;
-a chunk of only blank lines is never removed; within a document a repeated
-chunk stays once; rows of the same doc_id share its fate, so repeated rows
-keep their text together; null ids come last. An empty table gives an empty
-result. Other columns are carried.
+runs of only blank lines are never removed; within a document a repeated run
+stays once, the first. Documents are ordered by id, null ids last, then by a
+hash of their text; rows of equal id and text are one document and share its
+fate, so repeated rows keep their text together. Ids that are no whole numbers
+are an error, and so are columns named ``_llm_...``. An empty table gives an
+empty result. Other columns are carried.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presencia.llm.tables import written
+from presencia.llm.tables import hot_join, hot_keys, reserved, written
 
 #: Stands for a null id in orderings: it comes last.
 LAST = (1 << 63) - 1
@@ -31,21 +37,24 @@ LAST = (1 << 63) - 1
 @dataclass(frozen=True)
 class LineParams:
     """``window`` lines decide a boundary, one in ``divisor`` windows is one;
-    ``least_words``: a chunk under it is never removed; ``long_words``: a line
-    of so many words is a chunk of its own; ``most_lines`` ends any chunk."""
+    ``long_words``: a line of so many words is a chunk of its own;
+    ``chunk_words``: a chunk under it is no candidate; ``least_words`` and
+    ``line_words``: the least run that is removed, of several lines and of one;
+    ``context_lines``: how far a match is extended beyond a chunk at most."""
 
     window: int = 2
     divisor: int = 2
-    least_words: int = 12
-    long_words: int = 20
-    most_lines: int = 64
+    long_words: int = 8
+    chunk_words: int = 5
+    least_words: int = 20
+    line_words: int = 50
+    context_lines: int = 64
 
 
-def chunks(text: bytes, params: LineParams) -> list[tuple[int, int, bytes]]:
-    """(first line, line after the last, bytes) of each chunk, in order."""
+def chunks(lines: list[bytes], params: LineParams) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each chunk, in order."""
     import xxhash
 
-    lines = text.split(b"\n")
     hashes = [xxhash.xxh64_intdigest(x) for x in lines]
     base, mask = 0x100000001B3, (1 << 64) - 1
     out, first, rolled = [], 0, 0
@@ -54,130 +63,186 @@ def chunks(text: bytes, params: LineParams) -> list[tuple[int, int, bytes]]:
         rolled = (rolled * base + h) & mask
         if i >= params.window:
             rolled = (rolled - hashes[i - params.window] * drop) & mask
-        long_one = len(lines[i]) >= 2 * params.long_words - 1 and len(lines[i].split()) >= params.long_words
-        if long_one:
+        if len(lines[i]) >= 2 * params.long_words - 1 and len(lines[i].split()) >= params.long_words:
             if i > first:
                 out.append((first, i))
             out.append((i, i + 1))
             first = i + 1
-        elif ((rolled * 0x9E3779B97F4A7C15 & mask) >> 40) % params.divisor == 0 or i + 1 - first >= params.most_lines:
+        elif ((rolled * 0x9E3779B97F4A7C15 & mask) >> 40) % params.divisor == 0:
             out.append((first, i + 1))
             first = i + 1
     if first < len(lines):
         out.append((first, len(lines)))
-    return [(a, b, b"\n".join(lines[a:b])) for a, b in out]
+    return out
 
 
-def _removable(a: int, b: int, data: bytes, params: LineParams) -> bool:
-    words = len(data.split())
-    return words >= params.least_words and (b - a > 1 or words >= params.long_words)
+def digest(data: bytes) -> bytes:
+    """24 bytes of two hashes: equal digests are equal chunks for counting."""
+    import xxhash
 
+    return xxhash.xxh3_128_digest(data) + xxhash.xxh64_digest(data, 7)
 
-def _candidates(params: LineParams):
-    """(doc, place, chunk hash, bytes) of a document's first removable chunks."""
 
-    def run(batches):
-        import xxhash
+def _candidates(text: bytes, params: LineParams):
+    """(first line, chunk's digest, chunk, lines, chunks) of a text's candidates."""
+    lines = text.split(b"\n")
+    parts = chunks(lines, params)
+    for i, (a, b) in enumerate(parts):
+        body = b"\n".join(lines[a:b])
+        if len(body) >= 2 * params.chunk_words - 1 and len(body.split()) >= params.chunk_words:
+            yield a, b, body, lines, i, parts
+
 
-        names = ["doc", "digest", "body"]
-        kinds = [pa.int64(), pa.binary(), pa.binary()]
+#: A task hands rows on once they hold so many bytes.
+FLUSH = 8_000_000
+
+
+def _counted(params: LineParams):
+    """Digests of candidate chunks, for counting."""
+
+    def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
-            held = 0
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                seen = set()
-                for a, b, data in chunks(text.as_py() or b"", params):
-                    if _removable(a, b, data, params):
-                        digest = xxhash.xxh3_128_digest(data)
-                        if digest not in seen:
-                            seen.add(digest)
-                            for c, v in zip(out, (doc, digest, data)):
-                                c.append(v)
-                            held += len(data)
-                if held > 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-                    out, held = [[], [], []], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+            out = []
+            for text in batch.column("text"):
+                out += [digest(body) for _, _, body, *_ in _candidates(text.as_py() or b"", params)]
+                if len(out) * 40 > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["digest"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["digest"])
 
     return run
 
 
-def repeated_chunks(rows: DataFrame, params: LineParams) -> DataFrame:
-    """(digest, keeper): chunks that several documents of ``rows`` (doc, text)
-    hold. Grouping by the bytes is the byte comparison; a digest that stands
-    for two different chunks is left out. Equal chunks of a task meet before
-    the shuffle, so a passage that a third of the documents share moves as one
-    row per task."""
-    found = rows.mapInArrow(_candidates(params), "doc long, digest binary, body binary")
-    same = found.groupBy("digest", "body").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
-    by_digest = same.groupBy("digest").agg(F.count("*").alias("bodies"), F.max("n").alias("n"), F.min("keeper").alias("keeper"))
-    return by_digest.where("bodies = 1 AND n > 1").select("digest", "keeper")
+OCCURRENCE = "id long, h long, digest binary, first long, after long, body binary, above binary, below binary"
 
 
-def _removals(rows: DataFrame, params: LineParams) -> DataFrame:
-    """(doc, drop): digests of chunks to remove from each document."""
-    repeated = written(repeated_chunks(rows, params), "lines-repeated")
-    found = rows.mapInArrow(_digests(params), "doc long, digest binary")
-    hits = found.join(repeated, "digest").where("doc <> keeper")
-    return hits.groupBy("doc").agg(F.collect_set("digest").alias("drop"))
+def _occurrences(params: LineParams):
+    """Candidates with their bytes and the 16-byte hashes of the lines of the
+    chunks above (nearest first) and below them."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in OCCURRENCE.split(", ")]
 
+    def run(batches):
+        import xxhash
 
-def _digests(params: LineParams):
-    candidates = _candidates(params)
+        def hashed(lines):
+            return b"".join([xxhash.xxh3_128_digest(x) for x in lines])
 
-    def run(batches):
-        for batch in candidates(batches):
-            yield batch.select(["doc", "digest"])
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            held, more = 0, params.window - 1
+            for id_, h, text in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("text")):
+                for a, b, body, lines, i, parts in _candidates(text.as_py() or b"", params):
+                    up = lines[max(parts[max(0, i - 1)][0] - more, a - params.context_lines, 0) : a][::-1]
+                    down = lines[b : min(parts[min(i + 1, len(parts) - 1)][1] + more, b + params.context_lines)]
+                    row = (id_, h, digest(body), a, b, body, hashed(up), hashed(down))
+                    for c, v in zip(out, row):
+                        c.append(v)
+                    held += len(body) + len(row[6]) + len(row[7]) + 60
+                    if held > FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                        out, held = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     return run
 
 
-def _applied(text: bytes, drop: set, params: LineParams) -> tuple[bytes, int, int]:
-    """Text without the chunks to drop and without repeats of its own; lines
-    and chunks removed."""
-    import xxhash
-
-    kept, seen, lines, gone = [], set(), 0, 0
-    for a, b, data in chunks(text, params):
-        if _removable(a, b, data, params):
-            digest = xxhash.xxh3_128_digest(data)
-            if digest in drop or digest in seen:
-                lines += b - a
-                gone += 1
-                continue
-            seen.add(digest)
-        kept.append(data)
-    return b"\n".join(kept), lines, gone
+def _common(one: bytes, two: bytes) -> int:
+    """How many 16-byte hashes two lists have in common from their start."""
+    n = 0
+    while n < min(len(one), len(two)) and one[n : n + 16] == two[n : n + 16]:
+        n += 16
+    return n // 16
+
+
+def repeated_lines(rows: DataFrame, params: LineParams) -> DataFrame:
+    """(id, h, first, after): stretches of lines that a smaller document, or an
+    earlier place in the same one, holds too. ``rows``: id, h, text.
+
+    Digests are counted first, so only the bytes of chunks that repeat move.
+    A digest's smallest occurrence is found by partial minima, and the others
+    are held against it, hot digests in parts.
+    """
+    counted = rows.select("text").mapInArrow(_counted(params), "digest binary").groupBy("digest").agg(F.count("*").alias("n"))
+    repeated = written(counted.where("n > 1"), "lines-repeated")
+    hot = hot_keys(repeated, "digest")
+    found = written(hot_join(rows.mapInArrow(_occurrences(params), OCCURRENCE), repeated.select("digest"), hot, "digest"), "lines-found")
+    where = F.struct("id", "h", "first")
+    keeper = found.groupBy("digest").agg(F.min_by(F.struct(where.alias("where"), "body", "above", "below"), where).alias("keeper"))
+    both = hot_join(found, keeper, hot, "digest").where(where > F.col("keeper.where"))
+
+    def compare(batches):
+        names = ["id", "h", "first", "after"]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            keepers = batch.column("keeper")
+            columns = [batch.column(c).to_pylist() for c in ("id", "h", "first", "after", "body", "above", "below")]
+            for i, (id_, h, first, after, body, above, below) in enumerate(zip(*columns)):
+                other = keepers[i].as_py()
+                if body == other["body"]:
+                    for c, v in zip(out, (id_, h, first - _common(above, other["above"]), after + _common(below, other["below"]))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+
+    return both.mapInArrow(compare, "id long, h long, first long, after long")
+
+
+def removed(lines: list[bytes], stretches: list[tuple[int, int]], params: LineParams) -> list[tuple[int, int]]:
+    """The runs to remove: stretches that touch, long enough together."""
+    runs: list[list[int]] = []
+    for a, b in sorted(stretches):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    out = []
+    for a, b in runs:
+        words = [len(x.split()) for x in lines[a:b]]
+        least = params.least_words if sum(w > 0 for w in words) > 1 else params.line_words
+        if sum(words) >= least:
+            out.append((a, b))
+    return out
 
 
 def _with_removals(docs: DataFrame, params: LineParams, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    gone = _removals(rows, params).withColumnsRenamed({"doc": "_llm_doc", "drop": "_llm_drop"})
-
-    @F.pandas_udf("text string, lines_removed long, chunks_removed long")
-    def apply(texts, drops):
+    """``docs`` with _llm_out: text, lines_removed, runs_removed."""
+    reserved(docs)
+    body = F.col(f"`{text_col}`").cast("binary")
+    keys = {"id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), "h": F.xxhash64(body)}
+    rows = docs.select(*[c.alias(n) for n, c in keys.items()], body.alias("text"))
+    # no longer than the lines of its document
+    gone = repeated_lines(rows, params).groupBy("id", "h").agg(F.flatten(F.collect_list(F.array("first", "after"))).alias("_llm_gone"))
+    gone = written(gone.select(F.struct("id", "h").alias("_llm_key"), "_llm_gone"), "lines-gone")
+
+    @F.pandas_udf("text string, lines_removed long, runs_removed long")
+    def apply(texts, stretches):
         import pandas as pd
 
         out = []
-        for text, drop in zip(texts, drops):
-            if text is None:
-                out.append((None, 0, 0))
-            else:
-                new, lines, n = _applied(text, set(drop) if drop is not None else set(), params)
-                out.append((new.decode("utf-8", "replace"), lines, n))
-        return pd.DataFrame(out, columns=["text", "lines_removed", "chunks_removed"])
+        for text, some in zip(texts, stretches):
+            if text is None or some is None:
+                out.append((None if text is None else text.decode("utf-8", "replace"), 0, 0))
+                continue
+            lines = text.split(b"\n")
+            runs = removed(lines, list(zip(some[::2], some[1::2])), params)
+            for a, b in reversed(runs):
+                del lines[a:b]
+            out.append((b"\n".join(lines).decode("utf-8", "replace"), sum(b - a for a, b in runs), len(runs)))
+        return pd.DataFrame(out, columns=["text", "lines_removed", "runs_removed"])
 
-    joined = docs.join(gone, F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(LAST)) == F.col("_llm_doc"), "left")
-    return joined.withColumn("_llm_out", apply(F.col(f"`{text_col}`").cast("binary"), F.col("_llm_drop")))
+    keyed = docs.withColumn("_llm_key", F.struct(*[c.alias(n) for n, c in keys.items()]))
+    counts = keyed.groupBy("_llm_key").agg(F.count("*").alias("n"))
+    joined = hot_join(keyed, gone, hot_keys(counts, "_llm_key"), "_llm_key", "left")
+    return joined.withColumn("_llm_out", apply(body, F.col("_llm_gone")))
 
 
 def line_dedup(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its texts deduplicated; columns as they were."""
+    """``docs`` (a table of files) with its texts deduplicated; columns as they were."""
     out = _with_removals(docs, params, id_col, text_col)
-    return out.select(*[F.col("_llm_out.text").alias(n) if n == text_col else docs[f"`{n}`"] for n in docs.columns])
+    return out.select(*[F.col("_llm_out.text").alias(n) if n == text_col else F.col(f"`{n}`") for n in docs.columns])
 
 
 def line_report(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, lines_removed, chunks_removed per row."""
+    """doc_id, text, lines_removed, runs_removed per row."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return _with_removals(rows, params, "doc_id", "text").select("doc_id", "_llm_out.*")

@@ -24,19 +24,21 @@ def reserved(df: DataFrame, *names: str) -> DataFrame:
 def hot_keys(counts: DataFrame, on: str, least: int = 500) -> DataFrame:
     """(on, _llm_salts): the keys of ``counts`` (on, n) that hold more than a
     thousandth of all rows, at most a thousand of them, with the number of
-    parts they are cut into."""
+    parts they are cut into. Written, and so small that it may be broadcast."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(least, total // HOT_SHARE)
-    return counts.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_llm_salts"))
+    return written(counts.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_llm_salts")), "hot-keys")
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, counts: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``keyed`` (one row a key), hot keys cut into parts.
+def hot_join(rows: DataFrame, keyed: DataFrame, hot: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key); the ``hot_keys`` of
+    ``rows`` are cut into parts.
 
-    ``rows`` must be read from files, whose rows keep their order when a task is
-    run again: their places there deal them. ``counts``: (on, n) of ``rows``.
+    The places of ``rows`` deal them, so these must come from files or from what
+    is worked out of files row by row, which keep their order when a task is
+    run again.
     """
-    hot = F.broadcast(written(hot_keys(counts, on), "hot-keys"))
+    hot = F.broadcast(hot)
     dealt = rows.withColumn("_llm_at", F.monotonically_increasing_id()).join(hot, on, "left")
     dealt = dealt.withColumn("_llm_salt", F.pmod("_llm_at", F.coalesce("_llm_salts", F.lit(1))).cast("int")).drop("_llm_at", "_llm_salts")
     copies = F.sequence(F.lit(0), F.coalesce("_llm_salts", F.lit(1)) - 1)

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import re
 
@@ -125,38 +126,121 @@ def line_rows():
     return rows, passage, long_one
 
 
+def plain_chunks(text, params):
+    """Boundaries from the definition: hash of the last lines, long lines alone."""
+    import xxhash
+
+    lines, cuts = text.split(b"\n"), {0}
+    for i, line in enumerate(lines):
+        h = 0
+        for x in lines[max(0, i - params.window + 1) : i + 1]:
+            h = h * 0x100000001B3 + xxhash.xxh64_intdigest(x)
+        if len(line.split()) >= params.long_words:
+            cuts |= {i, i + 1}
+        elif (h * 0x9E3779B97F4A7C15 % 2**64 >> 40) % params.divisor == 0:
+            cuts.add(i + 1)
+    cuts = sorted(cuts | {len(lines)})
+    return lines, list(zip(cuts, cuts[1:]))
+
+
+def plain_dedup(rows, params):
+    """Every pair of equal chunks extended line by line, without digests."""
+    import xxhash
+
+    docs = {}
+    for i, t in rows:
+        if t is not None:
+            h = xxhash.xxh64_intdigest(t.encode(), 42)
+            docs[(linededup.LAST if i is None else i, h - 2**64 if h >= 2**63 else h)] = t
+    first, places = {}, []
+    for key, t in sorted(docs.items()):
+        lines, parts = plain_chunks(t.encode(), params)
+        for n, (a, b) in enumerate(parts):
+            body = b"\n".join(lines[a:b])
+            if len(body.split()) >= params.chunk_words:
+                up = lines[max(0, parts[max(0, n - 1)][0] - 1) : a]
+                down = lines[b : parts[min(n + 1, len(parts) - 1)][1] + 1]
+                places.append((key, a, b, body, up, down))
+                first.setdefault(body, (key, a, up, down))
+    gone = {}
+    for key, a, b, body, up, down in places:
+        k, at, kup, kdown = first[body]
+        if (key, a) > (k, at):
+            before = next((j for j, (x, y) in enumerate(zip(up[::-1], kup[::-1])) if x != y), min(len(up), len(kup)))
+            behind = next((j for j, (x, y) in enumerate(zip(down, kdown)) if x != y), min(len(down), len(kdown)))
+            gone.setdefault(key, set()).update(range(a - before, b + behind))
+    out = {}
+    for key, t in docs.items():
+        lines, marked = t.encode().split(b"\n"), sorted(gone.get(key, ()))
+        runs = [[x for _, x in g] for _, g in itertools.groupby(enumerate(marked), lambda p: p[1] - p[0])]
+        drop = set()
+        for run in runs:
+            words = [len(lines[x].split()) for x in run]
+            if sum(words) >= (params.least_words if sum(w > 0 for w in words) > 1 else params.line_words):
+                drop |= set(run)
+        out[t, key[0]] = b"\n".join(x for n, x in enumerate(lines) if n not in drop).decode()
+    return [(str(i), None if t is None else out[t, linededup.LAST if i is None else i]) for i, t in rows]
+
+
 def test_lines_equal_brute_force(spark):
-    params = linededup.LineParams()
     rows, passage, long_one = line_rows()
-    owner = {}
-    for i, t, _, _ in rows:
-        for a, b, data in linededup.chunks((t or "").encode(), params):
-            key = linededup.LAST if i is None else i
-            owner[data] = min(owner.get(data, key), key)
-    want = []
-    for i, t, _, _ in rows:
-        kept, seen = [], set()
-        for a, b, data in linededup.chunks((t or "").encode(), params):
-            if len(data.split()) >= params.least_words and (b - a > 1 or len(data.split()) >= params.long_words):
-                if data in seen or owner[data] != (linededup.LAST if i is None else i):
-                    continue
-                seen.add(data)
-            kept.append(data)
-        want.append((str(i), None if t is None else b"\n".join(kept).decode()))
     got = linededup.line_dedup(docs(spark, rows))
     assert got.columns == docs(spark, rows).columns
+    want = plain_dedup([r[:2] for r in rows], linededup.LineParams())
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((i, str(t)) for i, t in want)
     held = [r.doc_id for r in got.collect() if r.text and long_one in r.text]
     assert held == [4]
+    assert [r.doc_id for r in got.collect() if r.text and passage[3] in r.text] == [3]
+
+
+def test_lines_equal_brute_force_on_random_texts(spark):
+    """Few different lines, so that runs repeat, touch and overlap everywhere."""
+    rng = random.Random(12)
+    stock = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 3, 5, 9, 30, 60]))) for _ in range(60)]
+    rows = [(i % 90 if i % 11 else None, "\n".join(rng.choice(stock) for _ in range(rng.randint(0, 14))), "en", "s") for i in range(180)]
+    got = linededup.line_dedup(docs(spark, rows))
+    want = plain_dedup([r[:2] for r in rows], linededup.LineParams())
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((i, str(t)) for i, t in want)
+
+
+@pytest.mark.parametrize("lines,words", [(1, 60), (2, 30), (3, 20), (4, 13), (5, 11), (8, 7), (12, 5)])
+def test_passages_of_fifty_words_are_found(spark, lines, words):
+    """Whole lines that one other document shares, among lines of their own."""
+    rng = random.Random(lines)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, n = [], 60
+    for i in range(n):
+        passage = [line(words) for _ in range(lines)]
+        rows += [(2 * i + j, "\n".join([line(6) for _ in range(rng.randint(1, 4))] + passage + [line(6), line(12)]), "en", "s") for j in (0, 1)]
+    got = {r.doc_id: r.lines_removed for r in linededup.line_report(docs(spark, rows)).collect()}
+    assert all(got[2 * i] == 0 for i in range(n))
+    assert sum(got[2 * i + 1] == lines for i in range(n)) >= (n if words >= 8 else 0.85 * n)
+
+
+def test_a_line_in_a_third_of_the_documents(spark):
+    rng = random.Random(2)
+    common = " ".join(f"w{i}" for i in range(70))
+    rows = [(i, f"{rng.random()}\n{common}" if i % 3 == 0 else f"{rng.random()}", "en", "s") for i in range(3_000)] + [(None, None, None, None)] * 1_500 + [(None, "same", "en", "s")] * 1_500
+    got = linededup.line_report(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got if r.text and common in r.text] == [0]
+
+
+def test_ids_that_are_no_numbers_and_taken_names(spark):
+    text = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        linededup.line_report(text).collect()
+    with pytest.raises(ValueError):
+        linededup.line_dedup(docs(spark, []).withColumn("_llm_key", F.lit(1)))
 
 
 def test_boundaries_resist_shifts():
     params = linededup.LineParams()
-    _, passage, _ = line_rows()
-    body = "\n".join(passage).encode()
-    a = {c for *_, c in linededup.chunks(body, params)}
-    b = {c for *_, c in linededup.chunks(b"new\nlines\n" + body, params)}
-    assert len(a & b) >= len(a) - 2
+    rng = random.Random(1)
+    body = [" ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(5)).encode() for _ in range(60)]
+    a = {tuple(body[x:y]) for x, y in linededup.chunks(body, params)}
+    new = [b"new", b"lines", *body]
+    b = {tuple(new[x:y]) for x, y in linededup.chunks(new, params)}
+    assert len(a) > 20 and len(a & b) >= len(a) - 2
 
 
 # ---- languages -----------------------------------------------------------------
