@@ -22,7 +22,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+    return secrets.snapshot_report(_table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +67,14 @@ def _secret_sql() -> str:
     """The scan by gaps and matches, once more, over DuckDB's lists."""
     parts = []
     for i, rule in enumerate(secrets.RULES):
-        pattern = rule.pattern.replace("'", "''").replace("\\x20", " ")
+        pattern = (rule.quick or rule.pattern).replace("'", "''").replace("\\x20", " ")
         parts.append(
             f"""SELECT id, {i} AS no, '{rule.kind}' AS kind,
             string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS found,
             regexp_extract_all(t, '{pattern}', {rule.group}) AS val, {rule.least} AS least FROM d"""
         )
     union = " UNION ALL ".join(parts)
-    joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no), '')"
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no)"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
     m AS ({union}),
@@ -83,9 +83,9 @@ def _secret_sql() -> str:
         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS s,
         length(found[i]) AS size FROM k),
     f AS (SELECT id, no, kind, CAST(s AS BIGINT) AS s, CAST(s + size AS BIGINT) AS e FROM p WHERE n >= least),
-    g AS (SELECT id, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS b, count(*) FILTER (no = 2) AS c, {joined} AS spans FROM f GROUP BY id)
+    g AS (SELECT id, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS b, count(*) FILTER (no = 2) AS c, {listed} AS spans, {listed} FILTER (no < 3) AS base FROM f GROUP BY id)
     SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
-        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
     FROM d LEFT JOIN g USING (id)"""
 
 

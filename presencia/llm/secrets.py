@@ -3,12 +3,14 @@
 Every version's text is addressed by its SHA-256. The ledger is a Parquet
 table (blob, rules, spans); only blobs that it does not hold for the given
 rule version are scanned, once each, and findings are joined back to all
-paths that carry the blob. Everything is DataFrame functions.
+paths that carry the blob, a hot blob in parts. Everything is DataFrame
+functions.
 
 Defined cases: null text counts as empty; an empty or clean text has no span;
 repeated rows and exact copies are scanned once and each keeps its row; null
-paths are kept. Only the path and text columns are read, so other columns
-can't clash.
+paths are kept. An empty table gives an empty result and an empty ledger. Only
+the path and text columns are read, so other columns can't clash; redaction,
+which carries the others, refuses columns named ``_llm_...``.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presencia.llm.tables import new_path
+from presencia.llm.tables import hot_join, hot_keys, new_path, reserved, written
 
 
 @dataclass(frozen=True)
 class Rule:
     """``group``: the capture group whose length counts; ``least``: its least
     length. Matches are leftmost and non-overlapping; short ones are dropped
-    after matching, so they still use up their text."""
+    after matching, so they still use up their text. ``quick``: a pattern that
+    finds the matches that are long enough, and no other, with less work."""
 
     kind: str
     pattern: str
     group: int
     least: int
+    quick: str | None = None
 
 
 def _either(word: str) -> str:
@@ -40,13 +44,21 @@ def _either(word: str) -> str:
 
 KEYWORDS = "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 #: Fixed patterns, in the order that ties in spans follow.
-RULES = (
+BASE_RULES = (
     Rule("assign", f"({KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", "[0-9a-f]+", 0, 16),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 18, "AKIA[A-Z0-9]{14,}"),
+    Rule("hex", "[0-9a-f]+", 0, 16, "[0-9a-f]{16,}"),
 )
+#: Credentials that their issuers mark, beside what the base rules find.
+MORE_RULES = (
+    Rule("repo_token", "gh[opsur]_[A-Za-z0-9]+", 0, 40),
+    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", 0, 24),
+    Rule("web_token", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\x20\\r\\n]+-----END [A-Z ]*PRIVATE KEY-----", 0, 60),
+)
+RULES = BASE_RULES + MORE_RULES
 #: Names what RULES find; a change of RULES needs a new one.
-RULE_VERSION = "base-1"
+RULE_VERSION = "base-1 issuers-1"
 
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
@@ -54,8 +66,7 @@ SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """Spans of one rule in code points: the gaps between matches and the
     matches themselves alternate, so their lengths add up to positions."""
-    # runs of one class can be matched at their least length outright
-    pattern = rule.pattern if rule.group else rule.pattern[:-1] + f"{{{rule.least - (4 if rule.kind == 'access' else 0)},}}"
+    pattern = rule.quick or rule.pattern
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), F.length)
@@ -114,21 +125,36 @@ def scan_versions(
     ledger = ledger or new_path(spark, "secret-ledger")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = versions.select(F.col(f"`{path_col}`").alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    known = _ledger(spark, ledger)
-    if known is not None:
-        known = known.where(F.col("rules") == rule_version).select("blob").distinct()
-        unseen = rows.select("blob").distinct().join(known, "blob", "left_anti")
-        # texts move only for blobs that are new
-        blobs = rows.join(unseen, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
-    scan(blobs, rules).withColumn("rules", F.lit(rule_version)).write.mode("append").parquet(ledger)
-    # a retried append can repeat a pair; both copies say the same
-    found = _ledger(spark, ledger).where((F.col("rules") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
-    return rows.select("path", "blob").join(found.select("blob", "spans"), "blob", "left").select(
+    counts = _append_unseen(rows, ledger, rules, rule_version)
+    found = _findings(spark, ledger, rule_version)
+    return hot_join(rows.select("path", "blob"), found, hot_keys(counts, "blob"), "blob", "left").select(
         "path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans")
     )
 
 
+def _append_unseen(rows: DataFrame, ledger: str, rules: tuple[Rule, ...], rule_version: str) -> DataFrame:
+    """Scan the blobs of ``rows`` (blob, text) that the ledger lacks and append
+    them. Returns (blob, n) of the rows."""
+    counts = written(rows.groupBy("blob").agg(F.count("*").alias("n")), "secret-blobs")
+    known = _ledger(rows.sparkSession, ledger)
+    if known is None:
+        fresh = rows
+    else:
+        # texts move only for blobs that are new; equal ones of a task meet before they move
+        unseen = counts.select("blob").join(known.where(F.col("rules") == rule_version).select("blob").distinct(), "blob", "left_anti")
+        fresh = hot_join(rows, unseen, hot_keys(counts, "blob"), "blob")
+    blobs = fresh.groupBy("blob").agg(F.first("text").alias("text"))
+    scan(blobs, rules).withColumn("rules", F.lit(rule_version)).write.mode("append").parquet(ledger)
+    return counts
+
+
+def _findings(spark: SparkSession, ledger: str, rule_version: str) -> DataFrame:
+    """blob, spans of the ledger's blobs that hold any. A retried append can
+    repeat a pair; both copies say the same."""
+    known = _ledger(spark, ledger)
+    return known.where((F.col("rules") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -140,7 +166,7 @@ def _count(kind: str) -> Column:
 def secret_report(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The digest of op3: counts by kind, the hash of the base spans, all spans."""
     found = scan_versions(docs, ledger, path_col=id_col, text_col=text_col)
-    kinds = [r.kind for r in RULES]
+    kinds = [r.kind for r in BASE_RULES]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return found.select(
         F.col("path").alias("doc_id"),
@@ -150,20 +176,30 @@ def secret_report(docs: DataFrame, ledger: str | None = None, id_col: str = "doc
     )
 
 
+def snapshot_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``secret_report`` of a corpus that arrives in two snapshots, as a ledger
+    meets it: half of the documents, by a hash of the id, are scanned into a
+    new ledger first, then the whole corpus is, of which only blobs that the
+    first half did not hold are scanned still. Both halves are whole texts."""
+    ledger = new_path(docs.sparkSession, "secret-ledger")
+    first = docs.where(F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 2 == 0, F.lit(False)))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    _append_unseen(first.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")), ledger, RULES, RULE_VERSION)
+    return secret_report(docs, ledger, id_col, text_col)
+
+
 def redact_secrets(docs: DataFrame, text_col: str = "text", ledger: str | None = None, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mask``; columns as they
-    were. Overlapping spans are masked once, as their union."""
+    """``docs`` (a table of files) with every found span replaced by ``mask``;
+    columns as they were. Overlapping spans are masked once, as their union."""
+    reserved(docs)
     names = docs.columns
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "secret-ledger")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.withColumn("_llm_blob", F.unhex(F.sha2(text, 256)))
-    scan_versions(docs.select(F.lit(0).alias("path"), F.col(f"`{text_col}`").alias("text")), ledger)
-    found = (
-        _ledger(spark, ledger).where((F.col("rules") == RULE_VERSION) & (F.size("spans") > 0))
-        .dropDuplicates(["blob"]).select(F.col("blob").alias("_llm_blob"), F.col("spans").alias("_llm_spans"))
-    )
     body = F.col(f"`{text_col}`")
+    text = F.coalesce(body, F.lit(""))
+    blob = F.unhex(F.sha2(text, 256))
+    counts = _append_unseen(docs.select(blob.alias("blob"), text.alias("text")), ledger, RULES, RULE_VERSION)
+    found = _findings(spark, ledger, RULE_VERSION).select(F.col("blob").alias("_llm_blob"), F.col("spans").alias("_llm_spans"))
     walked = F.aggregate(
         "_llm_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -174,7 +210,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", ledger: str | None =
         ),
         lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))),
     )
-    masked = keyed.join(found, "_llm_blob", "left").withColumn(
-        text_col, F.when(F.col("_llm_spans").isNull(), body).otherwise(walked)
-    )
-    return masked.select(*[F.col(f"`{n}`") for n in names])
+    hot = hot_keys(counts.withColumnRenamed("blob", "_llm_blob"), "_llm_blob")
+    joined = hot_join(docs.withColumn("_llm_blob", blob), found, hot, "_llm_blob", "left")
+    masked = F.when(F.col("_llm_spans").isNull(), body).otherwise(walked)
+    return joined.select(*[masked.alias(n) if n == text_col else F.col(f"`{n}`") for n in names])

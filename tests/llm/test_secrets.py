@@ -1,4 +1,6 @@
+import dataclasses
 import hashlib
+import random
 import re
 
 from presencia.llm import secrets as M
@@ -18,6 +20,8 @@ TEXTS = [
     "AKIA" + "A" * 14, "AKIA" + "A" * 13, "deadbeefdeadbeef\n" * 3, 'ſecret=abcdefghijklmnop Token: "a.b-c_d=e/f+ghijk"', "é" * 5000 + " passwd = 'abcdefghijkl'", "x" * 200_000 + "0123456789abcdef",
     "secret=abcdefghijk secret=abcdefghijkl",
 ]
+#: What only the further rules find.
+MARKED = "ghp_" + "Ab1" * 12 + " xoxb-1234-5678-ABCdefGHIjkl -----BEGIN RSA PRIVATE KEY-----\nQUJD" + "QUJD" * 9 + "\n-----END RSA PRIVATE KEY----- eyJhbGci.eyJzdWIiOiIx" + "A" * 20 + ".sig"
 
 
 def frame(spark, rows):
@@ -32,6 +36,47 @@ def test_spans_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert M.secret_report(frame(spark, [])).count() == 0
+    assert M.snapshot_report(frame(spark, [])).count() == 0
+    assert M.redact_secrets(frame(spark, [])).count() == 0
+
+
+def test_further_rules_add_spans(spark):
+    out = M.secret_report(frame(spark, [(1, MARKED)])).first()
+    kinds = [x.split(":")[0] for x in out.spans.split(",")]
+    assert kinds == ["repo_token", "chat_token", "private_key", "web_token"]
+    assert (out.n_assign, out.n_access, out.n_hex, out.base_sha256) == (0, 0, 0, hashlib.sha256(b"").hexdigest())
+    masked = M.redact_secrets(frame(spark, [(1, MARKED)])).first().text
+    assert masked == "[SECRET] [SECRET] [SECRET] [SECRET]"
+
+
+def test_rules_are_matched_as_written(spark):
+    rules = (M.Rule("open", "ghp_[A-Za-z0-9]+", 0, 16), M.Rule("ended", "<[a-z]+>", 0, 4), M.Rule("grouped", "id=([0-9]+);", 1, 3))
+    df = spark.createDataFrame([("a", "ghp_abcdefghijkl <ab> <a> id=12; id=123;")], "path string, text string")
+    found = M.scan_versions(df, rules=rules, rule_version="own").first().spans
+    assert [(s.kind, s.start, s.end) for s in found] == [("open", 0, 16), ("ended", 17, 21), ("grouped", 33, 40)]
+
+
+def test_quick_patterns_find_the_same(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(["AKIA", "A", "Z9", "0a", "ff", " ", "é", "0123456789abcdef"]) for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    slow = tuple(dataclasses.replace(r, quick=None) for r in M.RULES)
+    one, two = (sorted((r.path, str(r.spans)) for r in M.scan_versions(frame(spark, rows), rules=x, rule_version="v", path_col="doc_id").collect()) for x in (M.RULES, slow))
+    assert one == two
+
+
+def test_snapshots_scan_a_blob_once(spark, tmp_path):
+    """The second snapshot scans what the first did not hold."""
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(None, TEXTS[4])]
+    got = sorted((str(r.doc_id), r.spans) for r in M.snapshot_report(frame(spark, rows)).collect())
+    assert got == sorted((str(i), brute(t)) for i, t in rows)
+
+
+def test_a_blob_on_a_third_of_the_rows(spark):
+    rows = [(i, None if i % 3 == 0 else TEXTS[5] if i % 3 == 1 else f"token=abcdefghijkl{i}") for i in range(6_000)] + [(None, None)] * 2_000
+    got = M.secret_report(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), brute(t)) for i, t in rows)
+    masked = M.redact_secrets(frame(spark, rows)).collect()
+    assert len(masked) == len(rows) and {r.text for r in masked} == {None, "[SECRET]"}
 
 
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
@@ -57,5 +102,5 @@ def test_redaction(spark):
 
 
 def test_plan_is_native(spark):
-    plan = M.secret_report(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
+    plan = M.snapshot_report(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
