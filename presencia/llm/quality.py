@@ -12,7 +12,7 @@ are joined back and decide.
 Defined cases: null or blank text has no words and fails the base rule; null
 lang or source is a group of its own; repeated rows count and are judged as
 often as they occur; an empty table gives an empty result. Other columns are
-carried by the filter and not looked at.
+carried by the filter, which refuses ``_llm_...``, and not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presencia.llm.tables import written
+from presencia.llm.tables import reserved, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 FEATURES = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
@@ -164,7 +164,7 @@ def quality_report(docs: DataFrame, params: QualityParams = QualityParams(), id_
 
 def quality_filter(docs: DataFrame, params: QualityParams = QualityParams(), text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
-    names = docs.columns
+    names = reserved(docs).columns
     rows = written(with_counts(docs, text_col, "_llm_counts"), "quality-docs")
     out = _judged(rows, "_llm_counts", params, lang_col, source_col)
     return out.where("_llm_kept").select(*[rows[f"`{n}`"] for n in names])

@@ -9,8 +9,9 @@ its radius in at least one part, so probing the parts loses no link.
 Defined cases: null or wordless text has fingerprint zero and links like any
 other; repeated rows and exact copies share one fingerprint; a null doc_id
 takes part, and a component's id is the smallest doc_id that is not null (null
-if all are). An empty table gives an empty result. Other columns of the input
-are not looked at, so their names can't clash.
+if all are). Ids that are no whole numbers are an error. An empty table gives an
+empty result. Other columns of the input are not looked at, so their names
+can't clash; ``near_dedup``, which carries them, refuses ``_llm_...``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presencia.llm.components import connected_components
-from presencia.llm.tables import written
+from presencia.llm.tables import hot_join, hot_keys, reserved, written
 
 
 @dataclass(frozen=True)
@@ -191,9 +192,10 @@ def _keys(part: Part, fp: Column) -> Column:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Bucket sizes beside the rows; buckets that can hold no pair go."""
-    n = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(n, "bucket")
+    """Bucket sizes beside the rows, hot buckets in parts; buckets that can
+    hold no pair go. ``rows`` are worked out of files row by row."""
+    n = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    return hot_join(rows, n, hot_keys(n, "bucket"), "bucket")
 
 
 def _close_runs(distance: int):
@@ -321,10 +323,11 @@ def simhash_components(docs: DataFrame, params: SimHashParams = SimHashParams(),
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(with_fingerprints(rows, "text", params, "fp").select("doc_id", "fp"), "simhash-rows")
     comps = near_duplicate_components(rows, params)
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).join(comps, "fp")
+    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-least").join(comps, "fp")
+    least = written(least, "simhash-components")
     ids = least.groupBy("component").agg(F.min("low").alias("component_id"))
     by_print = least.select("fp", "component").join(ids, "component").select("fp", "component_id")
-    return rows.join(by_print, "fp").select(
+    return hot_join(rows, by_print, hot_keys(least.select("fp", "n"), "fp"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -332,7 +335,7 @@ def simhash_components(docs: DataFrame, params: SimHashParams = SimHashParams(),
 def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays: that of the smallest doc_id (nulls
     last, repeated rows once). Columns and texts are those of ``docs``."""
-    names = docs.columns
+    names = reserved(docs).columns
     keyed = docs.withColumn("_llm_row", F.monotonically_increasing_id())
     keyed = written(with_fingerprints(keyed, text_col, params, "_llm_fp"), "simhash-docs")
     rows = keyed.select(F.col(id_col).alias("doc_id"), F.col("_llm_row").alias("row"), F.col("_llm_fp").alias("fp"))
