@@ -130,6 +130,8 @@ def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     some = rows.select("id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < share)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= params.docs_per_lang).select("id", "lang").distinct()
+    # their number is that of the languages times a parameter; written, its size is known to Spark
+    chosen = written(chosen, "lang-chosen")
     sample = written(rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text"), "lang-sample")
 
     def count(batches):
