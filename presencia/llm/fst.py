@@ -1,18 +1,29 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The compiled machine is the normaliser, the pieces with their byte fallback,
-and a weight on every pair of neighbouring pieces: zero where the model's own
-merges leave the two apart as they are, infinite elsewhere. Composed with an
-input, the tropical shortest path is the model's segmentation, and each place
-of the input has one state of finite weight: a path is right exactly if all its
-neighbouring pairs are, so the best path to a place ends in the last piece of
-the segmentation of what lies before it.
+Three machines are compiled from the model file. The normaliser copies
+characters, writes the space mark for a space and one before the first
+character. The pieces are a trie of all spellings: a path from the root to the
+end of a piece is an arc that reads the spelling and writes the piece. Byte
+fallback has, for a character that is no piece, an arc that writes the pieces
+of its UTF-8 bytes. States between arcs remember the last piece, and weights
+are those of the tropical semiring: a piece arc costs nothing where the model's
+own merges leave the two neighbours apart as they are and is infinite
+elsewhere, and a byte arc costs one a byte, so that any spelling by pieces is
+cheaper. The weights of neighbours are worked out when an arc first needs them.
+
+The normalised input is composed with pieces and fallback state by state, and
+the path of least weight is taken, states settled in order of their weight. The
+model's pieces are made by merges, and sums of its scores would give other ids;
+with these weights the least path is the model's own segmentation, as every
+stretch between byte arcs has exactly one segmentation of weight zero.
 
 Defined cases: null text gives null ids, empty text none; a character outside
 the vocabulary becomes its UTF-8 bytes' pieces. Decoding takes null to null,
 drops the control pieces and the space that the normaliser put in front, and
-puts U+FFFD for bytes that are not UTF-8. Repeated rows are coded alike; ids
-may be null. An empty table gives an empty result. Other columns are carried.
+puts U+FFFD for bytes that are not UTF-8; ids that the model lacks are an
+error. Repeated rows are coded alike; ids may be null. An empty table gives an
+empty result. Other columns are carried, but a column of the output's name is
+an error.
 """
 
 from __future__ import annotations
@@ -25,33 +36,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presencia.llm.pieces import SPACE, Pieces, Remembered, model_path
+from presencia.llm.tables import reserved
 
 
 @dataclass(frozen=True)
 class FstParams:
-    """``cache_chunks`` bounds a worker's memory of words it has coded,
-    ``cache_pairs`` that of weights of pairs."""
+    """``cache_bytes`` bounds a worker's memory of words it has coded,
+    ``cache_pairs`` the number of weights of neighbours it remembers."""
 
     model: str | None = None
-    cache_chunks: int = 900_000
-    cache_pairs: int = 1_000_000
+    cache_bytes: int = 180_000_000
+    cache_pairs: int = 500_000
 
 
-class PieceFst:
-    def __init__(self, path: str, chunks: int = 900_000, pairs: int = 1_000_000):
-        import ahocorasick
+#: States that no piece led to.
+START, AFTER_BYTES = -1, -2
+
 
+class PieceFst:
+    def __init__(self, path: str, most_bytes: int = 180_000_000, pairs: int = 500_000):
         self.pieces = Pieces(path)
-        self.score = {self.pieces.pieces[i]: self.pieces.scores[i] for i in self.pieces.plain}
-        self.number = {self.pieces.pieces[i]: i for i in self.pieces.plain}
-        self.arcs = ahocorasick.Automaton()
-        for piece in self.number:
-            self.arcs.add_word(piece, piece)
-        self.arcs.make_automaton()
-        self.apart: dict[tuple[str, str], bool] = {}
+        names, scores = self.pieces.pieces, self.pieces.scores
+        self.score = {names[i]: scores[i] for i in self.pieces.plain}
+        #: every beginning of a spelling; its piece, or -1 where none ends there
+        self.trie: dict[str, int] = {}
+        for i in self.pieces.plain:
+            for end in range(1, len(names[i])):
+                self.trie.setdefault(names[i][:end], -1)
+            self.trie[names[i]] = i
+        self.free: dict[int, bool] = {}
         self.most_pairs = pairs
-        self.memory = Remembered(self.pieces, self.chunk, lambda a, b: a + b, chunks)
-        self.out = [p.replace(SPACE, " ").encode() for p in self.pieces.pieces]
+        self.memory = Remembered(self.pieces, self.chunk, lambda a, b: a + b, most_bytes)
+        #: the inverse machine: what each piece writes back
+        self.out = [p.replace(SPACE, " ").encode() for p in names]
         for byte, i in self.pieces.byte_id.items():
             self.out[i] = bytes([byte])
         silent = set(range(len(self.out))) - set(self.pieces.plain) - set(self.pieces.byte_id.values())
@@ -60,7 +77,7 @@ class PieceFst:
 
     def merged(self, text: str) -> list[str]:
         """The model's merges on a short string: best score first, leftmost of
-        equals. Only compiles the weights of pairs."""
+        equals. Only compiles the weights of neighbours."""
         parts = list(text)
         while True:
             best = None
@@ -72,44 +89,54 @@ class PieceFst:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
-    def weight_is_zero(self, a: str | None, b: str) -> bool:
-        key = (a, b)
-        known = self.apart.get(key)
+    def apart(self, last: int, piece: int) -> bool:
+        """Whether the arc of ``piece`` costs nothing in the state ``last``; it
+        is infinite otherwise."""
+        key = (last + 2) << 20 | piece
+        known = self.free.get(key)
         if known is None:
-            if len(self.apart) > self.most_pairs:
-                self.apart.clear()
-            known = self.apart[key] = self.merged(b) == [b] if a is None else self.merged(a + b) == [a, b]
+            if len(self.free) > self.most_pairs:
+                self.free.clear()
+            b = self.pieces.pieces[piece]
+            a = [self.pieces.pieces[last]] if last >= 0 else []
+            known = self.free[key] = self.merged("".join(a) + b) == a + [b]
         return known
 
     def chunk(self, text: str) -> bytes:
-        """Ids of one chunk, as little-endian 32-bit numbers."""
-        n = len(text)
-        ending: list[list] = [[] for _ in range(n)]
-        for last, piece in self.arcs.iter(text):
-            ending[last].append(piece)
-        # the state at a place: its last piece; None after bytes or at the start
-        state: list = [None] * (n + 1)
-        back = [0] * (n + 1)
-        live = [True] + [False] * n
-        for end in range(1, n + 1):
-            for piece in ending[end - 1]:
-                at = end - len(piece)
-                if live[at] and self.weight_is_zero(state[at], piece):
-                    state[end], back[end], live[end] = piece, at, True
+        """Ids of one chunk, as little-endian 32-bit numbers: the output of the
+        path of least weight through the composition."""
+        n, trie = len(text), self.trie
+        back: dict[tuple[int, int], tuple[int, int] | None] = {}
+        waiting: dict[int, list] = {0: [(0, START, None)]}
+        final = None
+        while final is None:
+            weight = min(waiting)
+            states = waiting.pop(weight)
+            while states:
+                place, last, before = states.pop()
+                here = (place, last)
+                if here in back or last >= 0 and not self.apart(before[1], last):
+                    continue
+                back[here] = before
+                if place == n:
+                    final = here
                     break
-            else:
-                if text[end - 1] not in self.number and live[end - 1]:
-                    back[end], live[end] = end - 1, True
-        if not live[n]:
-            raise ValueError(f"no path of finite weight through {text!r}")
+                char = text[place]
+                if trie.get(char, -1) < 0:
+                    waiting.setdefault(weight + len(char.encode("utf-8", "replace")), []).append((place + 1, AFTER_BYTES, here))
+                for end in range(place + 1, n + 1):
+                    piece = trie.get(text[place:end])
+                    if piece is None:
+                        break
+                    if piece >= 0:  # it may weigh nothing, which is seen when its turn comes
+                        states.append((end, piece, here))
         ids: list[int] = []
-        at = n
-        while at:
-            if state[at] is None:
-                ids.extend(reversed([self.pieces.byte_id[b] for b in text[at - 1].encode("utf-8", "replace")]))
+        while back[final] is not None:
+            if final[1] >= 0:
+                ids.append(final[1])
             else:
-                ids.append(self.number[state[at]])
-            at = back[at]
+                ids.extend(reversed([self.pieces.byte_id[b] for b in text[final[0] - 1].encode("utf-8", "replace")]))
+            final = back[final]
         return np.array(ids[::-1], dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
@@ -131,7 +158,7 @@ def _worker(key: tuple) -> PieceFst:
 
 
 def _key(params: FstParams) -> tuple:
-    return params.model or model_path(), params.cache_chunks, params.cache_pairs
+    return params.model or model_path(), params.cache_bytes, params.cache_pairs
 
 
 def encode(docs: DataFrame, params: FstParams = FstParams(), text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -145,7 +172,7 @@ def encode(docs: DataFrame, params: FstParams = FstParams(), text_col: str = "te
         fst = _worker(key)
         return pd.Series([None if t is None else fst.encode(t).astype(np.int32) for t in texts], dtype=object)
 
-    return docs.withColumn(out, ids_of(F.col(f"`{text_col}`")))
+    return reserved(docs, out).withColumn(out, ids_of(F.col(f"`{text_col}`")))
 
 
 def decode(coded: DataFrame, params: FstParams = FstParams(), ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -159,7 +186,7 @@ def decode(coded: DataFrame, params: FstParams = FstParams(), ids_col: str = "id
         fst = _worker(key)
         return pd.Series([None if ids is None else fst.decode(ids) for ids in lists], dtype=object)
 
-    return coded.withColumn(out, text_of(F.col(f"`{ids_col}`")))
+    return reserved(coded, out).withColumn(out, text_of(F.col(f"`{ids_col}`")))
 
 
 def encoding_report(docs: DataFrame, params: FstParams = FstParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,10 +24,10 @@ from presencia.llm.pieces import Pieces, Remembered, model_path
 
 @dataclass(frozen=True)
 class CountParams:
-    """``cache_chunks`` bounds a worker's memory of words it has counted."""
+    """``cache_bytes`` bounds a worker's memory of words it has counted."""
 
     model: str | None = None
-    cache_chunks: int = 600_000
+    cache_bytes: int = 130_000_000
 
 
 class UnigramCounter:
@@ -81,7 +81,7 @@ def _worker(path: str, most: int) -> UnigramCounter:
 
 def with_token_counts(docs: DataFrame, params: CountParams = CountParams(), text_col: str = "text", out: str = "tokens") -> DataFrame:
     """``docs`` with a struct column ``out``: n_tokens, score."""
-    path, most = params.model or model_path(), params.cache_chunks
+    path, most = params.model or model_path(), params.cache_bytes
 
     @F.pandas_udf("n_tokens long, score double")
     def count(texts):

@@ -39,19 +39,59 @@ def test_piece_ids_equal_the_library(spark):
     assert sum(not r.round_trip for r in report) <= 1  # the literal mark U+2581 becomes a space
 
 
+def test_normaliser_equals_the_library():
+    mine, theirs = pieces.Pieces(pieces.model_path()).normaliser, sentencepiece.SentencePieceNormalizer(model_file=pieces.model_path())
+    assert all(mine.compose(t) == theirs.normalize(t) for t in ODD + ["a\u030a ﬁ Ａ \u00a0x", "  "])
+
+
+def test_the_path_is_the_least_of_all():
+    """Against all paths of short chunks with every weight written out."""
+    machine = fst.PieceFst(pieces.model_path())
+    names, plain = machine.pieces.pieces, set(machine.pieces.plain)
+    number = {names[i]: i for i in plain}
+
+    def paths(text, last):
+        if not text:
+            yield 0, ()
+        for end in range(1, len(text) + 1):
+            i = number.get(text[:end])
+            if i is not None and machine.merged(("" if last is None else last) + text[:end]) == ([] if last is None else [last]) + [text[:end]]:
+                for w, rest in paths(text[end:], text[:end]):
+                    yield w, (i, *rest)
+        if text and text[0] not in number:
+            for w, rest in paths(text[1:], None):
+                yield w + len(text[0].encode()), (*[machine.pieces.byte_id[b] for b in text[0].encode()], *rest)
+
+    for text in ["▁hello", "▁naïve", "a你好b", "ब😀ा", "▁▁▁x", "▁theory"]:
+        found = list(paths(text, None))
+        least = min(w for w, _ in found)
+        assert [ids for w, ids in found if w == least] == [tuple(np.frombuffer(machine.chunk(text), "<u4").tolist())]
+
+
+def test_long_words_and_little_memory(spark):
+    """A text without a space, and a memory smaller than one text."""
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rows = [(1, "abcdefghij" * 3_000, None, None), (2, "é😀x" * 2_000, None, None), (3, " ".join(f"w{i}" for i in range(3_000)), None, None)]
+    for r in fst.encode(docs(spark, rows), fst.FstParams(cache_bytes=500, cache_pairs=50)).collect():
+        assert r.ids == model.encode(r.text)
+    with pytest.raises(ValueError):
+        fst.encode(docs(spark, rows), out="lang")
+    assert [r.n_tokens > 0 for r in tokencount.token_counts(docs(spark, rows)).collect()] == [True] * 3
+
+
 def test_bytes_that_are_no_text():
     machine = fst.PieceFst(pieces.model_path())
     assert machine.decode([machine.pieces.byte_id[0xFF]]) == "�"
     assert machine.decode([1, 2]) == ""
 
 
-@pytest.mark.parametrize("most", [5, 600_000])
+@pytest.mark.parametrize("most", [2_000, 130_000_000])
 def test_counts_equal_the_unigram_tokenizer(spark, most):
     p = pieces.Pieces(pieces.model_path())
     unigram = Tokenizer(models.Unigram(list(zip(p.pieces, p.scores)), p.unknown, True))
     rows = [(i, t, None, None) for i, t in enumerate(ODD)] + [(None, None, None, None)]
-    got = tokencount.token_counts(docs(spark, rows), tokencount.CountParams(cache_chunks=most)).collect()
-    want = {i: len(unigram.encode(pieces.normalised(t), add_special_tokens=False).ids) for i, t, _, _ in rows if t is not None}
+    got = tokencount.token_counts(docs(spark, rows), tokencount.CountParams(cache_bytes=most)).collect()
+    want = {i: len(unigram.encode(p.normaliser.compose(t), add_special_tokens=False).ids) for i, t, _, _ in rows if t is not None}
     assert all(r.n_tokens == want.get(r.doc_id, 0) for r in got)
 
 
