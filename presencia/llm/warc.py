@@ -10,7 +10,10 @@ one lost or longer record moves all that follow it.
 
 Defined cases: null url or html count as empty; null ids are kept; repeated
 rows are records of their own; an empty table has no records and nothing to
-report. Other columns are not looked at.
+report. A file whose next bytes are no record with a header and a
+Content-Length (or no gzip member) ends in one record of all bytes that are
+left, without url and id; a record cut off by the file's end is as long as what
+is there. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -75,35 +78,70 @@ def write_warc(records: DataFrame, path: str, order: tuple[str, ...] = ("offset"
     dealt.select("archive", "record").write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
 
 
+def _inflated(data: memoryview, at: int) -> tuple[bytes, int] | None:
+    """(bytes, place after it) of the gzip member at a place, fed by pieces."""
+    import zlib
+
+    member, parts = zlib.decompressobj(31), []
+    try:
+        while not member.eof and at < len(data):
+            piece = data[at : at + 65_536]
+            parts.append(member.decompress(piece))
+            at += len(piece)
+    except zlib.error:
+        return None
+    return b"".join(parts), at - len(member.unused_data)
+
+
+def records_of(data: memoryview):
+    """(offset, length, url, record id, bytes with their end) of the records
+    of one file, which is gone through once."""
+    at = 0
+    while at < len(data):
+        start, zipped = at, bytes(data[at : at + 2]) == b"\x1f\x8b"
+        if zipped:
+            found = _inflated(data, at)
+            if found is None:
+                yield start, len(data) - start, "", "", bytes(data[start:])
+                return
+            plain, at = found
+            head = plain.partition(b"\r\n\r\n")[0]
+        else:
+            size = 4_096
+            while (end := bytes(data[at : at + size]).find(b"\r\n\r\n")) < 0 and at + size < len(data):
+                size *= 4
+            head = bytes(data[at : at + max(end, 0)])
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+        if not zipped:
+            length = fields.get(b"content-length", b"")
+            if not length.isdigit():
+                yield start, len(data) - start, "", "", bytes(data[start:])
+                return
+            at = min(start + len(head) + 4 + int(length) + 4, len(data))
+            plain = bytes(data[start:at])
+        url, name = (fields.get(k, b"").decode("utf-8", "replace") for k in (b"warc-target-uri", b"warc-record-id"))
+        yield start, at - start, url, name, plain
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """file, archive (of a path with archive=N, else null), offset, length, url,
     record_id, record (bytes with their end) of every record of the files below
-    ``path``; plain or gzip members."""
+    ``path``; plain or gzip members. A file is a row, so archives should be of the
+    usual size, at most two GB; it is gone through without a second copy."""
 
     def split(batches):
-        import zlib
-
         names = ["file", "offset", "length", "url", "record_id", "record"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
             for file, body in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data, out, at = body.as_py(), [[] for _ in names], 0
-                while at < len(data):
-                    start = at
-                    if data[at : at + 2] == b"\x1f\x8b":
-                        member = zlib.decompressobj(31)
-                        plain = member.decompress(data[at:]) + member.flush()
-                        at = len(data) - len(member.unused_data)
-                        head = plain.partition(b"\r\n\r\n")[0]
-                    else:
-                        head = data[at : data.find(b"\r\n\r\n", at)]
-                    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-                    if data[start : start + 2] != b"\x1f\x8b":
-                        at = start + len(head) + 4 + int(fields[b"content-length"]) + 4
-                        plain = data[start:at]
-                    url, name = (fields.get(k, b"").decode("utf-8", "replace") for k in (b"warc-target-uri", b"warc-record-id"))
-                    for c, v in zip(out, (file, start, at - start, url, name, plain)):
+                out, held = [[] for _ in names], 0
+                for at, length, url, name, plain in records_of(memoryview(body.as_buffer())):
+                    for c, v in zip(out, (file, at, length, url, name, plain)):
                         c.append(v)
+                    held += len(plain)
+                    if held > 16_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                        out, held = [[] for _ in names], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -307,6 +307,56 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_model_equals_brute_force(spark):
+    """Counts, log odds, weights and losses worked out with plain loops."""
+    rows = language_rows(120)
+    params = langid.LangParams(bits_of_hash=10)
+    model = langid.train(docs(spark, rows).select(F.col("doc_id").alias("id"), "text", "lang"), params)
+    langs = sorted({l for _, _, l, _ in rows})
+
+    def slots(text):
+        b, out = text.lower().encode(), collections.Counter()
+        for n in range(1, 5):
+            for i in range(len(b) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 257 + b[i + k] + k + 1) % 2**32
+                out[h * 2654435761 % 2**32 >> 22] += 1
+        return out
+
+    share = {}
+    for l in langs:
+        count = collections.Counter({s: 1 for s in range(1024)})
+        for _, t, lang, _ in rows:
+            if lang == l:
+                count.update(slots(t))
+        share[l] = {s: n / sum(count.values()) for s, n in count.items()}
+    words = list(itertools.product((1, -1), repeat=4))[1:8]
+    odds = [{s: np.log(np.mean([share[l][s] for l, x in zip(langs, w) if x > 0]) / np.mean([share[l][s] for l, x in zip(langs, w) if x < 0])) for s in range(1024)} for w in words]
+    margin = lambda t, b: sum(n * odds[b][s] for s, n in slots(t).items()) / sum(slots(t).values())
+    right = [sum(np.sign(margin(t, b)) == words[b][langs.index(l)] for _, t, l, _ in rows) for b in range(7)]
+    rate = np.clip([(n + 1) / (len(rows) + 2) for n in right], 0.501, 0.999)
+    weight = np.log(rate / (1 - rate))
+    weight /= weight.sum()
+    for text in [rows[0][1], rows[1][1][:9], "x", "tha eau sch", rows[2][1] + rows[3][1]]:
+        loss = np.array([sum(w * np.log1p(np.exp(-params.sharpness * words[b][i] * margin(text, b))) for b, w in enumerate(weight)) for i in range(4)])
+        near = np.exp(loss.min() - loss) / np.exp(loss.min() - loss).sum()
+        lang, score, unsure = model.predict(text)
+        assert lang == langs[int(near.argmax())] and score == pytest.approx(near.max(), rel=1e-4)
+
+
+def test_equal_losses_go_to_the_first_name(spark):
+    """Two languages learned from the same texts."""
+    rows = [(i, "one and the same", l, "s") for i in range(40) for l in ("bb", "aa")]
+    assert {r.lang_pred for r in langid.identify(docs(spark, rows)).collect()} == {"aa"}
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300)}{chr(0x5E00 + i % 300)} " * 4, f"l{i % 300:03}", "s") for i in range(1_500)]
+    got = langid.identify(docs(spark, rows)).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 300:03}" for r in got]) > 0.95
+
+
 def test_held_out_documents_teach_nothing(spark):
     rows = language_rows(80)
     import zlib
@@ -439,6 +489,55 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert got == {(r.offset, r.length, f"http://x/{r.page_id}", (r.record + "\r\n\r\n").encode()) for r in records.collect()}
 
 
+def test_audit_equals_brute_force(spark):
+    """All columns, against a comparison of two plain lists; random damage."""
+    rng = random.Random(14)
+    columns = "page_id long, record_id string, archive long, offset long, length long, digest binary"
+    for bits in (6, 12):
+        def laid(rows):
+            out, at = [], {}
+            for i, name, archive, length, digest in rows:
+                out.append((i, name, archive, at.get(archive, 0), length, digest))
+                at[archive] = at.get(archive, 0) + length
+            return out
+
+        one = [(i, f"<{i}>", i % 3, rng.randint(20, 90), bytes([i % 251])) for i in range(150)]
+        two = [(i, n, a, size + (i % 31 == 4), d if i % 29 else d + b"x") for i, n, a, size, d in one if i % 37 != 5] + [(None, "<new>", 1, 40, b"n")]
+        primary, copy = laid(one), laid(two)
+        want, there = [], {r[1]: r for r in copy}
+        for i, name, archive, at, length, digest in primary:
+            other = there.pop(name, None)
+            if other is None:
+                want.append((i, archive, at, length, "missing", None, None))
+            elif other[5] != digest:
+                want.append((i, archive, at, length, "changed", *other[2:4]))
+            elif other[2:5] != (archive, at, length):
+                want.append((i, archive, at, length, "shifted", *other[2:4]))
+        want += [(i, archive, at, length, "extra", archive, at) for i, _, archive, at, length, _ in there.values()]
+        found = warc.audit(spark.createDataFrame(primary, columns), spark.createDataFrame(copy, columns), warc.WarcParams(leaf_bits=bits)).collect()
+        assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
+
+
+def test_members_and_broken_files(spark, tmp_path):
+    import gzip
+
+    record = lambda i: f"WARC/1.0\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {i}\r\n\r\n".encode() + b"z" * i + b"\r\n\r\n"
+    members = [gzip.compress(record(i)) for i in (0, 5, 200_000)]
+    (tmp_path / "a.gz").write_bytes(b"".join(members))
+    (tmp_path / "b").write_bytes(record(3) + b"WARC/1.0\r\nNo-Length: 1\r\n\r\nrest")
+    (tmp_path / "c").write_bytes(record(4) + record(9)[:-7])
+    (tmp_path / "d.gz").write_bytes(members[0] + b"\x1f\x8bbroken")
+    (tmp_path / "e").write_bytes(b"")
+    got = sorted((r.file[-4:].strip("/"), r.offset, r.length, r.record_id, bytes(r.record)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    sizes = [len(m) for m in members]
+    want = [("a.gz", sum(sizes[:n]), sizes[n], f"<{i}>", record(i)) for n, i in enumerate((0, 5, 200_000))]
+    names = {x[0] for x in got}
+    assert [x for x in got if x[0] == "a.gz"] == want
+    assert [x[1:] for x in got if x[0].endswith("b")] == [(0, len(record(3)), "<3>", record(3)), (len(record(3)), 30, "", "", b"WARC/1.0\r\nNo-Length: 1\r\n\r\nrest")]
+    assert [x[1:4] for x in got if x[0].endswith("c")] == [(0, len(record(4)), "<4>"), (len(record(4)), len(record(9)) - 7, "<9>")]
+    assert [x[1:4] for x in got if x[0] == "d.gz"] == [(0, sizes[0], "<0>"), (sizes[0], 8, "")] and len(names) == 4
+
+
 def test_audit_of_a_replica_that_moved(spark, tmp_path):
     """One record lost, one longer, one more: the rest is intact elsewhere."""
     laid = warc.lay_out(pages(spark, [(i, f"http://x/{i}", "h" * (i * 7 % 50)) for i in range(60)]), warc.WarcParams(archive_records=60)).toPandas().sort_values("offset")
