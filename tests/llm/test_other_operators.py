@@ -533,7 +533,7 @@ def test_members_and_broken_files(spark, tmp_path):
     want = [("a.gz", sum(sizes[:n]), sizes[n], f"<{i}>", record(i)) for n, i in enumerate((0, 5, 200_000))]
     names = {x[0] for x in got}
     assert [x for x in got if x[0] == "a.gz"] == want
-    assert [x[1:] for x in got if x[0].endswith("b")] == [(0, len(record(3)), "<3>", record(3)), (len(record(3)), 30, "", "", b"WARC/1.0\r\nNo-Length: 1\r\n\r\nrest")]
+    assert [x[1:] for x in got if x[0].endswith("b")] == [(0, len(record(3)), "<3>", record(3)), (len(record(3)), 30, "", b"WARC/1.0\r\nNo-Length: 1\r\n\r\nrest")]
     assert [x[1:4] for x in got if x[0].endswith("c")] == [(0, len(record(4)), "<4>"), (len(record(4)), len(record(9)) - 7, "<9>")]
     assert [x[1:4] for x in got if x[0] == "d.gz"] == [(0, sizes[0], "<0>"), (sizes[0], 8, "")] and len(names) == 4
 
