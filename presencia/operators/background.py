@@ -6,11 +6,14 @@ from lists of genomes: leaving out one copy of a value shifts ranks by one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
 from presencia.operators import decide
+from presencia.operators.ranking import with_rank
 from presencia.params import ScoreParams
 from presencia.tables import written
 
@@ -23,13 +26,25 @@ def require_opportunity(rows: DataFrame) -> DataFrame:
     return rows
 
 
+STRENGTH = ["_strength_rank", "_active"]
+
+
+def by_strength(active: DataFrame) -> DataFrame:
+    """``active`` with each genome's place by strength in its unit and the
+    unit's size. The order does not depend on the share that is left out, so a
+    calibration ranks once."""
+    order = [F.desc(U), F.desc("unique_weighted_evidence"), F.desc("weighted_evidence"), F.asc("genome_id")]
+    ranked = with_rank(active, UNIT, order, STRENGTH[0], "strength")
+    return ranked.join(ranked.groupBy(UNIT).agg(F.count("*").alias(STRENGTH[1])), UNIT)
+
+
 def split_background(active: DataFrame, fraction: Column) -> DataFrame:
     """in_background: all but the strongest ceil(n * fraction), never none."""
-    by = Window.partitionBy(UNIT)
-    order = by.orderBy(F.desc(U), F.desc("unique_weighted_evidence"), F.desc("weighted_evidence"), F.asc("genome_id"))
-    out = active.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(order))
-    drop = F.least(F.ceil(F.col("_n") * F.greatest(F.least(fraction, F.lit(1.0)), F.lit(0.0))), F.col("_n") - 1)
-    return out.withColumn("in_background", F.col("_r") > drop).drop("_n", "_r")
+    ranked = active if STRENGTH[0] in active.columns else by_strength(active)
+    n = F.col(STRENGTH[1])
+    drop = F.least(F.ceil(n * F.greatest(F.least(fraction, F.lit(1.0)), F.lit(0.0))), n - 1)
+    out = ranked.withColumn("in_background", F.col(STRENGTH[0]) > drop)
+    return out if ranked is active else out.drop(*STRENGTH)
 
 
 def _edges(k: int) -> list[float]:
@@ -152,6 +167,7 @@ def calibrate(active: DataFrame, n_bins: int, params: ScoreParams) -> tuple[Data
     candidate_fraction, new_fraction; the last pass has iteration null).
     """
     c = params.calibration
+    active = by_strength(active)
     start = min(max(c.initial, c.least), c.most)
     state = active.select(UNIT).distinct().withColumns({"fraction": F.lit(start), "done": F.lit(False)})
     trace = None
@@ -173,15 +189,15 @@ def calibrate(active: DataFrame, n_bins: int, params: ScoreParams) -> tuple[Data
         if state.where("NOT done").isEmpty():
             break
     judged, share = one_pass(state)
-    judged = written(judged, "calibrated")
+    judged = written(judged.drop(*STRENGTH), "calibrated")
     last = share.join(state, UNIT).select(UNIT, F.lit(None).cast("int").alias("iteration"), F.col("fraction").alias("exclude_fraction"), "candidate_fraction", F.col("fraction").alias("new_fraction"))
     return judged, trace.union(last)
 
 
-def calibration_report(judged: DataFrame, trace: DataFrame, params: ScoreParams) -> DataFrame:
+def calibration_report(judged: DataFrame, trace: DataFrame, params: ScoreParams, least_share: float = 0.9) -> DataFrame:
     """One row a unit: shares, sizes, quantiles of the background, whether the
-    cap was reached, convergence, the trace as JSON, and a verdict that never
-    changes the mode."""
+    cap was reached, convergence, the trace as JSON, and a verdict with its
+    reason that never changes the mode."""
     c = params.calibration
     passes = F.col("iteration").isNotNull()
     step = F.struct("iteration", "exclude_fraction", "candidate_fraction", "new_fraction")
@@ -202,10 +218,19 @@ def calibration_report(judged: DataFrame, trace: DataFrame, params: ScoreParams)
     out = t.join(b, UNIT).withColumn("initial_background_size", kept).withColumn("exclusion_fraction_cap", F.lit(c.most)).withColumns({f"background_unique_q{n}": F.col("q")[i] for i, n in enumerate((50, 90, 95, 99))}).drop("q")
     cap = F.col("final_exclusion_fraction") >= c.most - 1e-12
     above, settled = F.col("next_requested_fraction") > c.most + 1e-12, F.col("last_change") < c.settled
-    pressed = bin_report(judged, params).groupBy(UNIT).agg((F.sum(F.when(F.col("cap_pressure"), F.col("active_genomes")).otherwise(0)) / F.sum("active_genomes")).alias("affected_fraction"))
-    out = out.join(pressed, UNIT).withColumns({"cap_reached": cap, "update_above_cap": above, "converged": settled})
-    bad = cap & (above | ~settled) & (F.col("affected_fraction") + 1e-12 >= 0.9)
-    return out.withColumn("suitable", ~bad).drop("last_change")
+    out = out.withColumns({"cap_reached": cap, "update_above_cap": above, "converged": settled})
+    pressed = bin_report(judged, params, units=out).groupBy(UNIT).agg((F.sum(F.when(F.col("cap_pressure"), F.col("active_genomes")).otherwise(0)) / F.sum("active_genomes")).alias("affected_fraction"))
+    out = out.join(pressed, UNIT).withColumn("adequate_fraction", 1.0 - F.col("affected_fraction"))
+    strained = F.col("cap_reached") & (F.col("update_above_cap") | ~F.col("converged"))
+    bad = strained & (F.col("affected_fraction") + 1e-12 >= least_share)
+    share = F.format_string("%.3f", "affected_fraction")
+    reason = (
+        F.when(bad, F.concat(F.lit("the cap binds for "), share, F.lit(" of the candidates over all bins")))
+        .when(~F.col("cap_reached"), "the share stayed below the cap")
+        .when(~strained, "the share settled at the cap and asked for no more")
+        .otherwise(F.concat(F.lit("the cap binds for only "), share, F.lit(f" of the candidates, under {least_share:.3f}")))
+    )
+    return out.withColumns({"suitable": ~bad, "reason": reason}).drop("last_change")
 
 
 def first_bins(active: DataFrame, n_bins: int, params: ScoreParams) -> DataFrame:
@@ -215,10 +240,11 @@ def first_bins(active: DataFrame, n_bins: int, params: ScoreParams) -> DataFrame
     return rows.groupBy(UNIT, "bin").agg(F.count_if("in_background").alias("initial_background_genomes"))
 
 
-def bin_report(judged: DataFrame, params: ScoreParams, initial: DataFrame | None = None) -> DataFrame:
+def bin_report(judged: DataFrame, params: ScoreParams, initial: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
     """One row a unit and bin of the last pass, beside the first pass's sizes
-    if ``initial`` has them. A bin presses on the cap when its candidates
-    exceed the share that may be excluded."""
+    if ``initial`` has them. With ``units`` (the calibration's report): a bin
+    presses on the cap when its unit has reached it and either the bin's
+    candidates exceed it or the unit has not settled."""
     c = params.calibration
     inside = F.when(F.col("in_background"), F.col(U))
     qs = F.percentile(inside, F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99)]))
@@ -230,18 +256,20 @@ def bin_report(judged: DataFrame, params: ScoreParams, initial: DataFrame | None
     out = out.withColumns({f"background_unique_q{n}": F.coalesce(F.col("q")[i], F.lit(0.0)) for i, n in enumerate((50, 90, 95, 99))}).drop("q")
     if initial is not None:
         out = out.join(initial, [UNIT, "bin"], "left").fillna(0, ["initial_background_genomes"])
-    share = F.col("candidates") / F.col("active_genomes")
-    return out.withColumn("candidate_fraction", share).withColumn("cap_pressure", share > c.most + 1e-12)
+    out = out.withColumn("candidate_fraction", F.col("candidates") / F.col("active_genomes"))
+    if units is None:
+        return out
+    out = out.join(units.select(UNIT, "cap_reached", "converged"), UNIT)
+    return out.withColumn("cap_pressure", F.col("cap_reached") & ((F.col("candidate_fraction") > c.most + 1e-12) | ~F.col("converged")))
 
 
 def alpha_mode_diagnostics(judged: DataFrame, n_bins: int, params: ScoreParams) -> DataFrame:
     """One pass for a run in alpha mode: the excluded share is that of its own
-    candidates; fills diagnostic columns only."""
-    c = params.calibration
+    candidates, tails count; fills diagnostic columns only. ``judged``: genomes
+    with a match."""
+    c, params = params.calibration, replace(params, empirical_method="empirical-tail")
     share = judged.groupBy(UNIT).agg(F.avg((F.col("qvalue") <= c.candidate_q).cast("double")).alias("share"))
     fraction = F.greatest(F.least("share", F.lit(c.most)), F.lit(c.least))
     keep = ["genome_id", UNIT, U, A, "unique_weighted_evidence", "weighted_evidence"]
     stats = background_stats(judged.select(*keep).join(share.withColumn("fraction", fraction), UNIT), F.col("fraction"), n_bins, params)
     return stats.drop("pvalue_unique", "share", "fraction")
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
+from presencia.operators.ranking import with_rank
 from presencia.params import ScoreParams
 
 
@@ -35,11 +36,10 @@ def bh(rows: DataFrame, p: str = "pvalue", out: str = "qvalue", unit: str = "ana
 
 def ranked(rows: DataFrame) -> DataFrame:
     """presence_rank over all candidates of a unit, the score and the flags."""
-    order = Window.partitionBy("analysis_unit_id").orderBy(F.asc("qvalue"), F.desc("n_unique"), F.desc("n_matched"), F.asc("genome_id"))
+    order = [F.asc("qvalue"), F.desc("n_unique"), F.desc("n_matched"), F.asc("genome_id")]
     some = F.col("n_matched") >= 1
-    return rows.withColumns(
+    return with_rank(rows, "analysis_unit_id", order, "presence_rank").withColumns(
         {
-            "presence_rank": F.row_number().over(order),
             "presence_score": S.presence_score(F.col("qvalue")),
             "pass_q_0_01": (F.col("qvalue") <= 0.01) & some,
             "pass_q_0_05": (F.col("qvalue") <= 0.05) & some,
@@ -52,8 +52,9 @@ def with_targets(rows: DataFrame, top_n: int | None = None) -> DataFrame:
     active = F.col("n_matched") >= 1
     if top_n is None:
         return rows.withColumn("is_target", active)
-    order = Window.partitionBy("analysis_unit_id").orderBy(
+    order = [
         F.desc(active.cast("int")), F.desc("n_unique"), F.desc("unique_weighted_evidence"), F.desc("weighted_evidence"),
         F.desc("effective_count"), F.desc("match_ratio"), F.desc("n_matched"), F.asc("genome_id"),
-    )
-    return rows.withColumn("is_target", active & (F.row_number().over(order) <= max(0, top_n)))
+    ]
+    ranked = with_rank(rows, "analysis_unit_id", order, "_place", "targets")
+    return ranked.withColumn("is_target", active & (F.col("_place") <= max(0, top_n))).drop("_place")

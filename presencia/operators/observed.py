@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from presencia.functions import text as T
 from presencia.params import ScoreParams
 
-#: Other marks of a decoy, in the order they are tried.
+# Other marks of a decoy, in the order they are tried.
 DECOY_MARKS = ("True", "true", "1", "decoy", "Decoy", "DECOY", "T", "t")
 
 
 def decoy_marker(observed: DataFrame, configured: str = "+") -> str:
-    """The configured mark, unless it is not among the first values and one of
-    the known others is. One small action over distinct values."""
-    values = {r[0] for r in observed.select("decoy").where("decoy IS NOT NULL").distinct().orderBy("decoy").limit(50).collect()}
-    if configured in values:
+    """The configured mark as it is, but for the default ``+``: where the
+    column never says that and says one of the known others, it is the first of
+    these. One action that returns no more than the known marks."""
+    if configured != "+":
         return configured
-    return next((m for m in DECOY_MARKS if m in values), configured)
+    marks = T.strip_all(F.col("decoy"))
+    values = {r[0] for r in observed.select(marks.alias("m")).where(F.col("m").isin(configured, *DECOY_MARKS)).distinct().collect()}
+    return configured if configured in values else next((m for m in DECOY_MARKS if m in values), configured)
 
 
 def targets(observed: DataFrame, params: ScoreParams = ScoreParams(), marker: str | None = None) -> DataFrame:
     """sample_id, peptide, raw, intensity, score, error without decoys."""
-    marker = marker or decoy_marker(observed, params.decoy_marker)
-    kept = observed.where(~F.col("decoy").eqNullSafe(F.lit(marker)))
+    marker = decoy_marker(observed, params.decoy_marker) if marker is None else marker
+    kept = observed.where(~T.strip_all(F.col("decoy")).eqNullSafe(F.lit(marker)))
     return kept.select(
         T.sample_id(F.col("sample")).alias("sample_id"),
         T.peptide(F.col("sequence"), params.peptide_policy).alias("peptide"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presencia.operators.ranking import running_sum
+
 
 def with_lineage(rows: DataFrame, lineage: DataFrame) -> DataFrame:
     """Lineage by genome; one that is there and filled wins."""
@@ -65,12 +67,14 @@ def presence_long(scored: DataFrame) -> DataFrame:
     return scored.select("genome_id", "analysis_unit_id", F.col("pass_q_0_01").cast("int").alias("q001"), F.col("pass_q_0_05").cast("int").alias("q005"), "qvalue")
 
 
-def presence_matrix(scored: DataFrame, value: str) -> DataFrame:
+def presence_matrix(scored: DataFrame, value: str, most_units: int = 5_000) -> DataFrame:
     """Genome by unit: ``q001`` or ``q005`` flags of genomes called anywhere,
-    or ``qvalue`` of all. Columns are the sorted unit ids, so the units must be
-    few enough to be columns."""
+    or ``qvalue`` of all. Columns are the sorted unit ids; more than
+    ``most_units`` do not make a table, and ``presence_long`` has their cells."""
     long = presence_long(scored)
-    units = [r[0] for r in long.select("analysis_unit_id").distinct().orderBy("analysis_unit_id").collect()]
+    units = sorted(r[0] for r in long.select("analysis_unit_id").distinct().limit(most_units + 1).collect())
+    if len(units) > most_units:
+        raise ValueError(f"more than {most_units} units are too many columns; use presence_long")
     if value == "qvalue":
         return long.groupBy("genome_id").pivot("analysis_unit_id", units).agg(F.max("qvalue"))
     called = long.groupBy("genome_id").agg(F.max(value).alias("any")).where("any = 1").select("genome_id")
@@ -87,23 +91,49 @@ def coverage(scored: DataFrame, unit_matches: DataFrame) -> DataFrame:
     best = best.groupBy("analysis_unit_id", "peptide").agg(F.min("presence_rank").alias("presence_rank"))
     new = best.groupBy("analysis_unit_id", "presence_rank").agg(F.count("*").alias("n_new"))
     rows = ranks.join(new, ["analysis_unit_id", "presence_rank"], "left").fillna(0, ["n_new"])
-    by = Window.partitionBy("analysis_unit_id")
-    so_far = F.sum("n_new").over(by.orderBy("presence_rank").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("n_covered", so_far).withColumn("n_matchable", F.sum("n_new").over(by))
+    rows = running_sum(rows, "analysis_unit_id", "presence_rank", "n_new", "n_covered").withColumnRenamed("n_covered_total", "n_matchable")
     return rows.withColumn("covered_pct", F.when(F.col("n_matchable") > 0, 100.0 * F.col("n_covered") / F.col("n_matchable")).otherwise(0.0))
 
 
 def significant(scored: DataFrame, flag: str = "pass_q_0_05") -> DataFrame:
-    """Called rows by unit, rank and q."""
+    """Called rows with all their columns, by unit, rank and q."""
     return scored.where(flag).orderBy("analysis_unit_id", "presence_rank", "qvalue", "genome_id")
 
 
-def called_anywhere(scored: DataFrame) -> DataFrame:
-    """Genomes called in any unit at 0.05, with how often and how well."""
+def compact_list(scored: DataFrame, flag: str = "pass_q_0_05", lineage: DataFrame | None = None) -> DataFrame:
+    """Called rows as unit, genome, Lineage, rank and q, in the same order. The
+    lineage is that of the rows, or joined before they are put in order."""
+    rows = scored.where(flag)
+    if lineage is not None:
+        rows = with_lineage(rows, lineage)
+    elif "Lineage" not in rows.columns:
+        rows = rows.withColumn("Lineage", F.lit(None).cast("string"))
+    return rows.select("analysis_unit_id", "genome_id", "Lineage", "presence_rank", "qvalue").orderBy("analysis_unit_id", "presence_rank", "qvalue", "genome_id")
+
+
+def union_of_calls(cohort: DataFrame, level: str) -> DataFrame:
+    """Rows of the cohort summary of genomes called in some unit at a level,
+    ``0_01`` or ``0_05``: most units first, then the best q."""
+    n = f"n_units_q_le_{level}"
+    return cohort.where(F.col(n) >= 1).orderBy(F.desc(n), F.asc("best_qvalue"), F.desc("total_unique_peptides"), F.asc("genome_id"))
+
+
+def require_nested(narrow: DataFrame, wide: DataFrame) -> DataFrame:
+    """``narrow``, unless it has a genome that ``wide`` lacks."""
+    lacking = [r[0] for r in narrow.select("genome_id").join(wide.select("genome_id"), "genome_id", "left_anti").limit(5).collect()]
+    if lacking:
+        raise RuntimeError(f"genomes called at the lower level only: {lacking}")
+    return narrow
+
+
+def called_anywhere(scored: DataFrame, q: float | None = None) -> DataFrame:
+    """Genomes called in any unit, at 0.05 unless ``q`` is given, with how
+    often and how well."""
+    called = F.col("pass_q_0_05") if q is None else (F.col("qvalue") <= q) & (F.col("n_matched") >= 1)
     out = scored.groupBy("genome_id").agg(
-        F.count_if("pass_q_0_05").alias("n_q005"), F.count_if("pass_q_0_01").alias("n_q001"), F.min("qvalue").alias("best_qvalue"), F.sum("n_unique").alias("total_unique")
+        F.count_if(called).alias("n_called"), F.count_if("pass_q_0_01").alias("n_q001"), F.min("qvalue").alias("best_qvalue"), F.sum("n_unique").alias("total_unique")
     )
-    return out.where("n_q005 > 0")
+    return out.where("n_called > 0")
 
 
 RESULT_RULES = {

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
-from presencia.operators import background, decide, evidence, observed, panel, shared, summary, unique, units
+from presencia.operators import background, decide, diagnostics, evidence, observed, panel, shared, summary, unique, units
 from presencia.params import ScoreParams
 from presencia.session import ship_package
-from presencia.sources import readers
+from presencia.sources import readers, sinks
 from presencia.tables import written
 
 KEYS = ["analysis_unit_id", "genome_id"]
+#: Columns of the full table that the plain one leaves out.
+DETAIL = ("log_error_sum", "n_unique_without_error", "null_q95", "null_q99", "alpha_excess_index", "min_attainable_p", "tail_percentile", "unique_depth_fold")
 
 
 @dataclass
@@ -44,30 +47,55 @@ class ScoreResult:
     calibration: DataFrame | None = None
     bins: DataFrame | None = None
     trace: DataFrame | None = None
+    seconds: dict | None = None
 
-    def tables(self) -> dict[str, DataFrame]:
-        p = self.prepared
+    def tables(self, derived: bool = False) -> dict[str, DataFrame]:
+        """The result tables by name; ``derived`` adds the full table, the
+        lists and unions of called genomes and the three matrices."""
+        p, rows = self.prepared, self.unit_genome
+        cohort = summary.ordered_summary(summary.cohort_summary(rows))
         out = {
-            "unit_genome_results": self.unit_genome,
-            "cohort_genome_summary": summary.cohort_summary(self.unit_genome),
+            "unit_genome_results": rows.select(*[c for c in rows.columns if c not in DETAIL]),
+            "cohort_genome_summary": cohort,
             "sample_unit_mapping": p.mapping,
-            "unit_call_counts": summary.call_counts(self.unit_genome, units.unit_samples(p.mapping)),
-            "unit_threshold_summary": summary.threshold_summary(self.unit_genome),
-            "coverage": summary.coverage(self.unit_genome, p.unit_matches),
+            "unit_call_counts": summary.call_counts(rows, units.unit_samples(p.mapping)),
+            "unit_threshold_summary": summary.threshold_summary(rows),
+            "unit_genome_list_q001": summary.compact_list(rows, "pass_q_0_01"),
+            "unit_genome_list_q005": summary.compact_list(rows, "pass_q_0_05"),
+            "coverage": summary.coverage(rows, p.unit_matches),
         }
         if self.calibration is not None:
             out |= {"calibration": self.calibration, "bin_diagnostics": self.bins}
+        if derived:
+            wide = summary.union_of_calls(cohort, "0_05")
+            out |= {
+                "unit_genome_results_full": rows,
+                "unit_q001_genomes": summary.significant(rows, "pass_q_0_01"),
+                "unit_q005_genomes": summary.significant(rows, "pass_q_0_05"),
+                "genome_union_q001": summary.require_nested(summary.union_of_calls(cohort, "0_01"), wide),
+                "genome_union_q005": wide,
+            } | {f"genome_by_unit_{v}_matrix": summary.presence_matrix(rows, v) for v in ("q001", "q005", "qvalue")}
         return out
 
+    def run_document(self) -> DataFrame:
+        """One row: the run as JSON, for ``write_manifest`` to write."""
+        return diagnostics.run_document(self.unit_genome, self.prepared.params, {"mode": self.mode}, self.seconds)
 
-def prepare(raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScoreParams(), metadata: DataFrame | None = None, lineage: DataFrame | None = None, keep: bool = False) -> Prepared:
+
+def prepare(
+    raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScoreParams(), metadata: DataFrame | None = None, lineage: DataFrame | None = None,
+    keep: bool = False, reuse: str | None = None,
+) -> Prepared:
     """Observed rows to matches and metrics. ``keep`` writes what is used more
-    than once to the shared folder: the matches and the panel's counts."""
+    than once to the shared folder: the observed rows, the distinct panel, the
+    matches and the panel's counts. ``reuse``: a folder in which the panel's
+    counts outlive the run; they are taken from there if the panel is the same."""
     save = written if keep else (lambda df, _: df)
-    canonical = readers.observed_columns(raw, params.unit_mode, needs_intensity=params.intensity_quantile > 0 or params.min_intensity > 0)
+    canonical = save(readers.observed_columns(raw, params.unit_mode, needs_intensity=params.intensity_quantile > 0 or params.min_intensity > 0), "observed")
+    panel_rows = save(panel_rows, "panel")
     rows = observed.targets(canonical, params)
     valid = observed.valid(rows, params)
-    pairs = observed.sample_pairs(valid)
+    pairs = save(observed.sample_pairs(valid), "pairs")
     per_sample = observed.sample_rows(rows)
     assigned = units.assign_units(per_sample.select("sample_id"), params.unit_mode, metadata)
     mapping = save(units.sample_mapping(assigned, per_sample, pairs), "mapping")
@@ -76,7 +104,11 @@ def prepare(raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScorePa
     unit_peptides = save(units.unit_peptides(pairs, mapping), "unit-peptides")
     matches = save(panel.match(panel_rows, unit_peptides), "matches")
     degeneracy = panel.degeneracy(matches)
-    genomes = panel.opportunity(panel_rows)
+    if reuse is None:
+        genomes = panel.opportunity(panel_rows)
+    else:
+        mark = {"table": "opportunity", "panel": sinks.content_hash(panel_rows, "genome_id", "peptide"), "policy": params.peptide_policy}
+        genomes, _ = sinks.materialise(lambda: panel.opportunity(panel_rows), raw.sparkSession, reuse, mark)
     if lineage is not None:
         genomes = genomes.join(lineage, "genome_id", "left")
     genomes = save(genomes, "genomes")
@@ -114,17 +146,27 @@ def _p_unique(rows: DataFrame, mode: str, p: Prepared) -> DataFrame:
     return out.withColumn("pvalue_unique", F.col("pvalue_hypergeometric")) if mode == "hypergeometric-opportunity" else out
 
 
-def score(raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScoreParams(), metadata: DataFrame | None = None, lineage: DataFrame | None = None) -> ScoreResult:
+def score(
+    raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScoreParams(), metadata: DataFrame | None = None, lineage: DataFrame | None = None, reuse: str | None = None
+) -> ScoreResult:
     """The whole program, both kinds of evidence and both Monte Carlo stages."""
     ship_package(raw.sparkSession)
-    p = prepare(raw, panel_rows, params, metadata, lineage, keep=True)
+    seconds, since = {}, [time.monotonic()]
+
+    def done(step: str) -> None:
+        seconds[step] = round(time.monotonic() - since[0], 3)
+        since[0] = time.monotonic()
+
+    p = prepare(raw, panel_rows, params, metadata, lineage, keep=True, reuse=reuse)
     observed.require_rows(p.unit_peptides, "valid peptide of an included sample")
     mode, bins = resolved_mode(p)
+    done("prepare")
     base = written(decide.with_targets(_p_unique(full_grid(p), mode, p), params.knockoff_top_n), "grid")
     targets = base.where("is_target")
     strata = written(evidence.strata_counts(p.unit_matches), "strata")
     pools = written(evidence.knockoff_pools(p.unit_peptides, p.peptides), "pools")
     stage1 = written(shared.knockoff(targets, strata, pools, params.iterations_stage1, params.seed, 1), "knockoff-1")
+    done("stage1")
 
     def with_shared(rows: DataFrame, null: DataFrame) -> DataFrame:
         return rows.join(null, KEYS, "left").fillna(1.0, ["pvalue_shared"]).fillna(0.0, ["null_mean", "null_sd", "null_q95", "null_q99", "z_shared"])
@@ -134,19 +176,29 @@ def score(raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScorePara
     if mode == "empirical-background":
         active = rows.where("n_matched >= 1")
         judged, trace = background.calibrate(active, bins, params)
-        calibration = background.calibration_report(judged, trace, params)
-        bin_table = background.bin_report(judged, params, background.first_bins(active, bins, params))
+        calibration = written(background.calibration_report(judged, trace, params), "calibration")
+        bin_table = background.bin_report(judged, params, background.first_bins(active, bins, params), calibration)
         extra = [c for c in judged.columns if c not in rows.columns and not c.startswith("pvalue") and c not in ("qvalue", "fraction")]
         found = judged.select(*KEYS, F.col("pvalue_unique").alias("_pu"), *extra)
         base = written(base.join(found, KEYS, "left").withColumn("pvalue_unique", F.coalesce("_pu", F.lit(1.0))).drop("_pu"), "grid-empirical")
         rows = with_shared(base, stage1)
+        done("calibration")
     first = decide.combined(rows, params)
     again = first.where(F.col("is_target") & S.in_any_range(F.col("pvalue"), params.stage2_ranges))
     stage2 = shared.knockoff(written(again.select(*KEYS, "weighted_evidence_shared"), "refine"), strata, pools, params.iterations_stage2, params.seed, 2)
     null = written(shared.refined(stage1, stage2), "knockoff")
+    done("stage2")
     result = decided(with_shared(base, null.drop("refined")), params)
+    if mode == "alpha-upper-bound":
+        # the background only describes such a run; it decides nothing
+        judged = written(result, "judged")
+        found = background.alpha_mode_diagnostics(judged.where("n_matched >= 1"), bins, params)
+        extra = [c for c in found.columns if c not in judged.columns]
+        result = judged.join(found.select(*KEYS, *extra), KEYS, "left")
     result = result.join(units.unit_samples(p.mapping), "analysis_unit_id", "left")
-    return ScoreResult(p, written(result, "unit-genome"), mode, calibration, bin_table, trace)
+    result = written(result, "unit-genome")
+    done("decide")
+    return ScoreResult(p, result, mode, calibration, bin_table, trace, seconds)
 
 
 def with_mode(params: ScoreParams, **changes) -> ScoreParams:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presencia.functions import text as T
+from presencia.tables import written
 
 # Names under which tools write each column, in order of choice.
 ALIASES = {
@@ -62,12 +63,18 @@ def observed_columns(raw: DataFrame, unit_mode: str, preferred: dict[str, str] |
     if needs_intensity and found["intensity"] is None:
         raise ValueError("filtering by intensity needs an intensity column")
 
+    types = dict(raw.dtypes)
+
     def take(kind, dtype, missing):
-        return (F.col(f"`{found[kind]}`").cast(dtype) if found[kind] else missing).alias(kind)
+        if not found[kind]:
+            return missing.alias(kind)
+        value = F.col(f"`{found[kind]}`").cast(dtype)
+        # truth values read as the marks that tools write for them
+        return (F.initcap(value) if types[found[kind]] == "boolean" else value).alias(kind)
 
     return raw.select(
         take("sample", "string", F.lit("__global__")),
-        take("sequence", "string", None),
+        take("sequence", "string", F.lit(None)),
         take("intensity", "string", F.lit("1.0")),
         take("score", "string", F.lit(None).cast("string")),
         take("error", "string", F.lit(None).cast("string")),
@@ -100,7 +107,8 @@ def read_panel(spark: SparkSession, directories: list[str], policy: str = "il-eq
     """
     # files differ in their columns, so each line is cut by its own tabs
     raw = spark.read.option("pathGlobFilter", "*.tsv").text(directories).select(F.split("value", "\t").alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    lined = raw.withColumn("row", F.monotonically_increasing_id())
+    # numbered once, in a written table: what follows reads it several times
+    lined = written(raw.withColumn("row", F.monotonically_increasing_id()), "panel-lines")
     first = Window.partitionBy("file").orderBy("at", "row")
     # a file's head is the least of its rows, found without sorting the file
     head = lined.groupBy("file").agg(F.min(F.struct("at", "row", F.transform("cells", T.strip_all).alias("names"))).alias("head"))

@@ -12,28 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a laptop) a folder of its own below the
-    local temporary folder is taken, and remembered for the session.
+    Only where it is unset and all runs on one machine (tests, a laptop) a
+    folder of its own below the local temporary folder is taken, and remembered
+    for the session. On a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = getattr(spark, "_presencia_shared_root", None)
         if root is None:
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + os.path.join(tempfile.gettempdir(), f"presencia-{uuid.uuid4().hex}")
             spark._presencia_shared_root = root
     return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/presencia/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/presencia/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete what this application has written below the shared folder. For
+    the end of a job: tables made of it can't be read any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/presencia/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that outlive an executor; what follows reads
-    only the columns it needs. The folder belongs to the job, which clears it.
+    only the columns it needs. ``clear_written`` removes them all.
     """
     spark = df.sparkSession
     path = new_path(spark, label)

@@ -76,12 +76,27 @@ def test_panel_opportunity_by_policy(spark):
 def test_hypergeometric_tail(args):
     n, k, s, u = args
     want = sum(math.comb(k, x) * math.comb(n - k, s - x) for x in range(u, min(k, s) + 1)) / math.comb(n, s)
-    assert unique.upper_tail(*args) == pytest.approx(want, rel=1e-9)
+    assert unique.upper_tails(*[[a] for a in args])[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_hypergeometric_tails_of_many_rows():
+    """Both sides of the mean, and counts whose sums would be long."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        n = rng.randint(1, 120)
+        k, s = rng.randint(0, n), rng.randint(0, n)
+        rows.append((n, k, s, rng.randint(0, n)))
+    got = unique.upper_tails(*zip(*rows))
+    for (n, k, s, u), p in zip(rows, got):
+        want = sum(math.comb(k, x) * math.comb(n - k, s - x) for x in range(u, min(k, s) + 1)) / math.comb(n, s)
+        assert p == pytest.approx(max(want, 1e-300), rel=1e-8)
+    large = unique.upper_tails([10**9] * 2, [10**6] * 2, [10**6] * 2, [1_000, 1_100])
+    assert 0.4 < large[0] < 0.6 and 1e-4 < large[1] < 2e-3
 
 
 def test_hypergeometric_limits():
-    assert unique.upper_tail(0, 0, 0, 1) == 1.0
-    assert unique.upper_tail(10, 2, 5, 0) == 1.0
+    assert unique.upper_tails([0, 10, 10], [0, 2, 2], [0, 5, 5], [1, 0, 3]).tolist() == [1.0, 1.0, 1e-300]
 
 
 def active_frame(spark, rows):
@@ -215,3 +230,67 @@ def test_calibration_equals_brute_force(spark, mode):
     bins = background.bin_report(judged, params, background.first_bins(df, 4, params)).collect()
     assert sum(b.initial_background_genomes for b in bins) == report.initial_background_size
     assert sum(b.active_genomes for b in bins) == len(rows)
+
+
+@pytest.mark.parametrize("falling,pressed", [(True, True), (False, False)])
+def test_cap_pressure_follows_the_unit(spark, falling, pressed):
+    """A bin presses only in a unit at its cap, by its share or by no settling.
+    Counts that fall steadily ask for more in every pass, until the cap."""
+    rows = [("u", f"g{i:03d}", 400 - 2 * i if falling else 1 + 40 * (i < 10), 5, float(-i), float(-i)) for i in range(200)]
+    df = active_frame(spark, rows).withColumns({"is_target": F.lit(True), "pvalue_shared": F.lit(1.0), "n_matched": F.col("n_unique")})
+    params = ScoreParams(min_bin_size=20)
+    judged, trace = background.calibrate(df, 4, params)
+    report = background.calibration_report(judged, trace, params).first()
+    bins = background.bin_report(judged, params, None, background.calibration_report(judged, trace, params)).collect()
+    for b in bins:
+        assert b.cap_pressure == (report.cap_reached and (b.candidate_fraction > 0.2 + 1e-12 or not report.converged))
+    share = sum(b.active_genomes for b in bins if b.cap_pressure) / len(rows)
+    assert report.affected_fraction == pytest.approx(share) and report.adequate_fraction == pytest.approx(1 - share)
+    assert report.suitable == (not (report.cap_reached and (report.update_above_cap or not report.converged) and share + 1e-12 >= 0.9))
+    assert any(b.cap_pressure for b in bins) == report.cap_reached == pressed
+    assert ("below the cap" in report.reason) == (not report.cap_reached)
+
+
+def test_ranks_and_running_sums_over_ranges(spark, monkeypatch):
+    from presencia.operators import ranking
+
+    monkeypatch.setattr(ranking, "STRIDE", 7)
+    rng = random.Random(5)
+    rows = [(rng.choice(["u", "u", "u", "v", "w"]), rng.randint(0, 9), i, rng.randint(0, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "unit string, q long, k long, n long").repartition(9)
+    ranked = ranking.with_rank(df, "unit", [F.desc("q"), F.asc("k")], "r")
+    summed = {(r.unit, r.k): r for r in ranking.running_sum(ranked, "unit", "r", "n", "upto").collect()}
+    for unit in "uvw":
+        total = 0
+        mine = sorted((r for r in rows if r[0] == unit), key=lambda r: (-r[1], r[2]))
+        for i, (_, _, k, n) in enumerate(mine):
+            total += n
+            assert (summed[unit, k].r, summed[unit, k].upto) == (i + 1, total)
+        assert {r.upto_total for (u, _), r in summed.items() if u == unit} == {total}
+    assert ranking.with_rank(df.limit(0), "unit", [F.asc("k")], "r").count() == 0
+
+
+def test_no_window_holds_a_whole_unit(spark):
+    """Ranks over one unit are planned by ranges, not by the unit alone."""
+    from presencia.operators import decide
+
+    rows = spark.createDataFrame([("all", f"g{i}", 0.5, 1, 1) for i in range(50)], "analysis_unit_id string, genome_id string, qvalue double, n_unique long, n_matched long")
+    plan = decide.ranked(rows)._jdf.queryExecution().toString()
+    assert "row_number" not in plan and "presence_rank" in plan
+
+
+def test_p_histogram_has_all_bins(spark):
+    from presencia.operators import diagnostics
+
+    rows = spark.createDataFrame([(1, 0, 0.0), (1, 0, 0.05), (1, 2, 1.0), (0, 0, 0.5), (1, 1, None)], "n_matched long, n_unique long, pvalue_shared double")
+    got = {(r.pool, r.bin): (r.n, r.fraction) for r in diagnostics.shared_p_histogram(rows).collect()}
+    assert len(got) == 18 and got["all", 0] == (1, 1 / 3) and got["all", 4] == (1, 1 / 3) and got["all", 8] == (1, 1 / 3) and got["unique_0", 8] == (0, 0.0)
+
+
+def test_calling_curve_counts_matched_genomes(spark):
+    from presencia.operators import diagnostics
+
+    rows = spark.createDataFrame([(1, 0.001), (1, 0.002), (1, 0.3), (0, 1.0)], "n_matched long, qvalue double")
+    # the thresholds are fixed values
+    want = [(0.001, 1), (0.002, 2), (0.005, 2), (0.01, 2), (0.02, 2), (0.05, 2), (0.1, 2), (0.2, 2), (0.5, 3), (1.0, 3)]
+    assert [tuple(r) for r in diagnostics.calling_curve(rows).collect()] == want

@@ -62,6 +62,21 @@ def test_decoy_marker_is_inferred_only_when_absent(spark):
     assert observed.decoy_marker(frame(spark, [("true",), ("false",)], "decoy string")) == "true"
     assert observed.decoy_marker(frame(spark, [("+",), ("true",)], "decoy string")) == "+"
     assert observed.decoy_marker(frame(spark, [(None,)], "decoy string")) == "+"
+    # a mark that was chosen is not second-guessed, and marks are trimmed
+    assert observed.decoy_marker(frame(spark, [("True",), ("false",)], "decoy string"), "D") == "D"
+    assert observed.decoy_marker(frame(spark, [("True",)], "decoy string"), "") == ""
+    assert observed.decoy_marker(frame(spark, [(" True ",), ("z",)] + [(f"a{i}",) for i in range(80)], "decoy string")) == "True"
+
+
+def test_decoys_are_trimmed_and_truth_values_are_marks(spark):
+    raw = frame(spark, [("s", "AAAK", True), ("s", "CCCK", False), ("s", "DDDK", None)], "Run string, Sequence string, Decoy boolean")
+    kept = observed.targets(readers.observed_columns(raw, "all-samples"))
+    assert sorted(r.raw for r in kept.collect()) == ["CCCK", "DDDK"]
+    raw = frame(spark, [("s", "AAAK", " + "), ("s", "CCCK", "-")], "Run string, Sequence string, Reverse string")
+    assert [r.raw for r in observed.targets(readers.observed_columns(raw, "all-samples")).collect()] == ["CCCK"]
+    raw = frame(spark, [("s", "AAAK", "True"), ("s", "CCCK", "D")], "Run string, Sequence string, Reverse string")
+    kept = observed.targets(readers.observed_columns(raw, "all-samples"), ScoreParams(decoy_marker="D"))
+    assert [r.raw for r in kept.collect()] == ["AAAK"]
 
 
 @pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
