@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
+from presencia.functions import text as T
 from presencia.operators import background, decide, diagnostics, digestion, evidence, observed, panel, summary, unique, units
 from presencia.params import ScoreParams
 from presencia.plans import fixture, score
-from presencia.plans.sql import digits, statement
+from presencia.plans.sql import CALLING_ALPHA, calibration, diagnosed, digits, statement
 from presencia.session import ship_package
 from presencia.sources import readers, sinks
-from presencia.tables import written
+from presencia.tables import new_path, written
 
 ALPHA = ScoreParams(unit_mode="metadata", unique_mode="alpha-upper-bound")
+#: A bound so small that genomes are called, at both levels and not at both.
+CALLING = ScoreParams(unit_mode="metadata", unique_mode="alpha-upper-bound", alpha=float(CALLING_ALPHA))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,11 +60,20 @@ def _prepared(spark, d, params: ScoreParams = ALPHA, keep: bool = True) -> score
     return score.prepare(fixture.observed(spark, d), fixture.panel(spark, d), params, _meta(spark, d), keep=keep)
 
 
-def _scored(spark, d) -> tuple[score.Prepared, DataFrame]:
-    p = _prepared(spark, d)
+def _scored(spark, d, params: ScoreParams = ALPHA) -> tuple[score.Prepared, DataFrame]:
+    p = _prepared(spark, d, params)
     return p, written(score.score_alpha(p), "scored")
 
 
+def calls(body: str) -> str:
+    """SQL over the scores in which genomes are called."""
+    return statement("scored", body, CALLING_ALPHA)
+
+
+def _calls(spark, d) -> tuple[score.Prepared, DataFrame]:
+    return _scored(spark, d, CALLING)
+
+
 # ---- observed ------------------------------------------------------------------
 
 
@@ -374,35 +386,33 @@ def knockoff_targets(spark, d):
 
 
 @query(
-    statement(
-        "scored",
-        """SELECT genome_id, count(*) AS n_units_tested, count(*) FILTER (n_matched >= 1) AS n_units_matched_ge_1, count(*) FILTER (n_unique > 0) AS n_units_with_unique_evidence,
+    calls("""SELECT genome_id, count(*) AS n_units_tested, count(*) FILTER (n_matched >= 1) AS n_units_matched_ge_1, count(*) FILTER (n_unique > 0) AS n_units_with_unique_evidence,
         count(*) FILTER (qvalue <= 0.05) AS n_units_q_le_0_05, count(*) FILTER (qvalue <= 0.01) AS n_units_q_le_0_01, round(min(qvalue), 6) AS best_qvalue, round(median(qvalue), 6) AS median_qvalue,
         min(presence_rank) AS best_presence_rank, median(presence_rank) AS median_presence_rank, sum(n_unique) AS total_unique_peptides, max(n_unique) AS max_unique_peptides, sum(n_matched) AS total_matched_peptides,
-        max(n_matched) AS max_matched_peptides, round(count(*) FILTER (qvalue <= 0.05) / count(*), 6) AS fraction_units_q_le_0_05, round(count(*) FILTER (qvalue <= 0.01) / count(*), 6) AS fraction_units_q_le_0_01
+        max(n_matched) AS max_matched_peptides, round(count(*) FILTER (qvalue <= 0.05) / count(*), 6) AS fraction_units_q_le_0_05, round(count(*) FILTER (qvalue <= 0.01) / count(*), 6) AS fraction_units_q_le_0_01,
+        max(n_unique * 0.5)::DOUBLE AS max_excess, sum(n_unique * 0.5)::DOUBLE AS total_excess, count(*) FILTER (n_unique * 0.5 >= 3) AS n_units_excess_ge_3
         FROM scored GROUP BY genome_id""",
     )
 )
 def cohort_summary(spark, d):
-    out = summary.cohort_summary(_scored(spark, d)[1]).drop("max_excess", "total_excess", "n_units_excess_ge_3")
+    rows = _calls(spark, d)[1].withColumn("excess_count", F.col("n_unique") * 0.5)
+    out = summary.cohort_summary(rows)
     return _rounded(out, "best_qvalue", "median_qvalue", "fraction_units_q_le_0_05", "fraction_units_q_le_0_01")
 
 
 @query(
-    statement(
-        "scored",
-        """SELECT s.*, (SELECT count(*) FROM mapping m WHERE m.included AND m.analysis_unit_id = s.analysis_unit_id) AS n_samples_in_unit FROM (SELECT analysis_unit_id, count(*) FILTER (pass_q_0_01) AS n_genomes_q_le_0_01, count(*) FILTER (pass_q_0_05) AS n_genomes_q_le_0_05,
+    calls("""SELECT s.*, (SELECT count(*) FROM mapping m WHERE m.included AND m.analysis_unit_id = s.analysis_unit_id) AS n_samples_in_unit FROM (SELECT analysis_unit_id, count(*) FILTER (pass_q_0_01) AS n_genomes_q_le_0_01, count(*) FILTER (pass_q_0_05) AS n_genomes_q_le_0_05,
         count(*) FILTER (n_matched >= 1) AS n_genomes_matched_ge_1, count(*) FILTER (n_unique >= 3) AS n_genomes_unique_ge_3, round(median(qvalue), 6) AS median_qvalue, round(min(qvalue), 6) AS best_qvalue FROM scored GROUP BY 1) s""",
     )
 )
 def call_counts(spark, d):
-    p, rows = _scored(spark, d)
+    p, rows = _calls(spark, d)
     return _rounded(summary.call_counts(rows, units.unit_samples(p.mapping)), "median_qvalue", "best_qvalue")
 
 
-@query(statement("scored", "SELECT analysis_unit_id, count(*) FILTER (pass_q_0_01) AS q001_genomes, count(*) FILTER (pass_q_0_05) AS q005_genomes FROM scored GROUP BY 1"))
+@query(calls("SELECT analysis_unit_id, count(*) FILTER (pass_q_0_01) AS q001_genomes, count(*) FILTER (pass_q_0_05) AS q005_genomes FROM scored GROUP BY 1"))
 def threshold_summary(spark, d):
-    return summary.threshold_summary(_scored(spark, d)[1])
+    return summary.threshold_summary(_calls(spark, d)[1])
 
 
 @query(statement("scored", "SELECT genome_id, " + ", ".join(f"round(max(qvalue) FILTER (analysis_unit_id = 'u{i}'), 6) AS u{i}" for i in range(4)) + " FROM scored GROUP BY genome_id"))
@@ -411,9 +421,9 @@ def presence_matrix(spark, d):
     return wide.select("genome_id", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])
 
 
-@query(statement("scored", "SELECT genome_id, analysis_unit_id, CAST(pass_q_0_01 AS INT) AS q001, CAST(pass_q_0_05 AS INT) AS q005, round(qvalue, 6) AS qvalue FROM scored"))
+@query(calls("SELECT genome_id, analysis_unit_id, CAST(pass_q_0_01 AS INT) AS q001, CAST(pass_q_0_05 AS INT) AS q005, round(qvalue, 6) AS qvalue FROM scored"))
 def presence_long(spark, d):
-    return _rounded(summary.presence_long(_scored(spark, d)[1]), "qvalue")
+    return _rounded(summary.presence_long(_calls(spark, d)[1]), "qvalue")
 
 
 @query(
@@ -430,16 +440,14 @@ def coverage(spark, d):
     return _rounded(summary.coverage(rows, p.unit_matches), "covered_pct")
 
 
-@query(statement("scored", "SELECT analysis_unit_id, genome_id, lang || '/' || source AS \"Lineage\", presence_rank, round(qvalue, 6) AS qvalue FROM scored JOIN (SELECT CAST(doc_id AS VARCHAR) AS genome_id, lang, source FROM documents) USING (genome_id) WHERE qvalue <= 0.5 AND n_matched >= 1"))
+@query(calls("SELECT analysis_unit_id, genome_id, lang || '/' || source AS \"Lineage\", presence_rank, round(qvalue, 6) AS qvalue FROM scored JOIN (SELECT CAST(doc_id AS VARCHAR) AS genome_id, lang, source FROM documents) USING (genome_id) WHERE pass_q_0_05"))
 def significant_lists(spark, d):
-    rows = _scored(spark, d)[1].withColumn("called", (F.col("qvalue") <= 0.5) & (F.col("n_matched") >= 1))
-    out = summary.with_lineage(summary.significant(rows, "called"), readers.lineage_columns(fixture.lineage(spark, d)))
-    return _rounded(out.select("analysis_unit_id", "genome_id", "Lineage", "presence_rank", "qvalue"), "qvalue")
+    return _rounded(summary.compact_list(_calls(spark, d)[1], "pass_q_0_05", readers.lineage_columns(fixture.lineage(spark, d))), "qvalue")
 
 
-@query(statement("scored", "SELECT genome_id, count(*) FILTER (pass_q_0_05) AS n_q005, count(*) FILTER (pass_q_0_01) AS n_q001, round(min(qvalue), 6) AS best_qvalue, sum(n_unique) AS total_unique FROM scored GROUP BY 1 HAVING count(*) FILTER (pass_q_0_05) > 0"))
+@query(calls("SELECT genome_id, count(*) FILTER (pass_q_0_05) AS n_called, count(*) FILTER (pass_q_0_01) AS n_q001, round(min(qvalue), 6) AS best_qvalue, sum(n_unique) AS total_unique FROM scored GROUP BY 1 HAVING count(*) FILTER (pass_q_0_05) > 0"))
 def called_anywhere(spark, d):
-    return _rounded(summary.called_anywhere(_scored(spark, d)[1]), "best_qvalue")
+    return _rounded(summary.called_anywhere(_calls(spark, d)[1]), "best_qvalue")
 
 
 @query(statement("scored", "SELECT count(*) FILTER (n_matched < 0 OR n_unique < 0 OR n_shared < 0) AS negative_counts, count(*) FILTER (n_unique > n_matched) AS unique_above_matched, count(*) FILTER (pass_q_0_01 AND NOT pass_q_0_05) AS q001_not_in_q005, count(*) FILTER (qvalue < 0 OR qvalue > 1) AS q_outside FROM scored"))
@@ -448,34 +456,30 @@ def result_violations(spark, d):
 
 
 @query(
-    statement(
-        "scored",
-        """SELECT m.analysis_unit_id, string_agg(DISTINCT m.sample_id, ',' ORDER BY m.sample_id) AS samples, count(DISTINCT m.sample_id) AS n_samples,
+    calls("""SELECT m.analysis_unit_id, string_agg(DISTINCT m.sample_id, ',' ORDER BY m.sample_id) AS samples, count(DISTINCT m.sample_id) AS n_samples,
         coalesce((SELECT string_agg(s.genome_id, ',' ORDER BY s.genome_id) FROM scored s WHERE s.analysis_unit_id = m.analysis_unit_id AND s.pass_q_0_05), '') AS genomes_q005,
         coalesce((SELECT string_agg(s.genome_id, ',' ORDER BY s.genome_id) FROM scored s WHERE s.analysis_unit_id = m.analysis_unit_id AND s.pass_q_0_01), '') AS genomes_q001
         FROM mapping m WHERE m.included GROUP BY m.analysis_unit_id""",
     )
 )
 def manifest_units(spark, d):
-    p, rows = _scored(spark, d)
+    p, rows = _calls(spark, d)
     chosen = sinks.check_selection(written(sinks.selection(p.mapping, rows), "selection"))
     return chosen.select("analysis_unit_id", F.array_join("sample_ids", ",").alias("samples"), "n_samples", F.array_join("genome_ids_q005", ",").alias("genomes_q005"), F.array_join("genome_ids_q001", ",").alias("genomes_q001"))
 
 
 @query(
-    statement(
-        "scored",
-        """SELECT count(DISTINCT analysis_unit_id) AS n_units, count(DISTINCT genome_id) AS n_genomes, count(*) AS n_tests, count(*) FILTER (n_matched >= 1) AS n_matched_tests, count(*) FILTER (pass_q_0_01) AS n_calls_q001,
+    calls("""SELECT count(DISTINCT analysis_unit_id) AS n_units, count(DISTINCT genome_id) AS n_genomes, count(*) AS n_tests, count(*) FILTER (n_matched >= 1) AS n_matched_tests, count(*) FILTER (pass_q_0_01) AS n_calls_q001,
         count(*) FILTER (pass_q_0_05) AS n_calls_q005, count(DISTINCT genome_id) FILTER (pass_q_0_01) AS n_union_q001, count(DISTINCT genome_id) FILTER (pass_q_0_05) AS n_union_q005 FROM scored""",
     )
 )
 def run_summary(spark, d):
-    return diagnostics.run_summary(_scored(spark, d)[1])
+    return diagnostics.run_summary(_calls(spark, d)[1])
 
 
-@query(statement("scored", "SELECT t AS threshold, (SELECT count(*) FROM scored WHERE qvalue <= t) AS n_calls FROM (SELECT unnest([0.001::DOUBLE, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0]) AS t)"))
+@query(calls("SELECT t AS threshold, (SELECT count(*) FROM scored WHERE n_matched >= 1 AND qvalue <= t) AS n_calls FROM (SELECT unnest([0.001::DOUBLE, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]) AS t)"))
 def calling_curve(spark, d):
-    return diagnostics.calling_curve(_scored(spark, d)[1])
+    return diagnostics.calling_curve(_calls(spark, d)[1])
 
 
 @query(
@@ -539,26 +543,65 @@ def auto_eligibility(spark, d):
     return _rounded(background.eligibility(genomes, ScoreParams()), "adequate_fraction")
 
 
-@query()
-def calibration_trace(spark, d):
+def _calibrated(spark, d):
     p = _prepared(spark, d)
     rows = decide.with_targets(_active(p)).withColumn("pvalue_shared", F.lit(1.0))
     judged, trace = background.calibrate(rows, 4, p.params)
-    return background.calibration_report(judged, trace, p.params)
+    return rows, judged, trace, written(background.calibration_report(judged, trace, p.params), "calibration")
 
 
-@query()
+_STEPS = " UNION ALL ".join(f"SELECT analysis_unit_id, {i} AS iteration, f, share, new FROM step{i} WHERE NOT done" for i in (1, 2, 3))
+_UNITS = f"""(SELECT t.*, j.*, s.f AS final, s.share AS next, s.f >= 0.2 - 1e-12 AS cap_reached, s.share > 0.2 + 1e-12 AS update_above_cap FROM
+(SELECT analysis_unit_id AS unit, count(*) AS iteration_count, max(f) FILTER (iteration = 1) AS initial, arg_max(abs(new - f), iteration) < 0.01 AS converged FROM ({_STEPS}) GROUP BY 1) t
+JOIN (SELECT analysis_unit_id, count(*) AS active, count(*) FILTER (in_background) AS background, count(DISTINCT bin) AS bins, min(resolution) AS resolution,
+  quantile_cont(n_unique, [0.5, 0.9, 0.95, 0.99]) FILTER (in_background) AS qs FROM judged9 GROUP BY 1) j ON j.analysis_unit_id = t.unit JOIN share9 s ON s.analysis_unit_id = t.unit)"""
+_BINS = f"""(SELECT b.*, u.cap_reached AND (b.candidate_fraction > 0.2 + 1e-12 OR NOT u.converged) AS cap_pressure FROM (SELECT analysis_unit_id, bin, count(*) AS active_genomes,
+count(*) FILTER (in_background) AS background_genomes, quantile_cont(n_unique, [0.5, 0.9, 0.95, 0.99]) FILTER (in_background) AS qs, min(resolution) AS min_p_resolution,
+min(n_unique) AS min_unique, max(n_unique) AS max_unique, count(*) FILTER (q <= 0.2) AS candidates, count(*) FILTER (q <= 0.2) / count(*) AS candidate_fraction FROM judged9 GROUP BY 1, 2) b
+JOIN {_UNITS} u ON u.unit = b.analysis_unit_id)"""
+_QS = ", ".join(f"round(coalesce(qs[{i}], 0), 6) AS background_unique_q{n}" for i, n in enumerate((50, 90, 95, 99), 1))
+_FRACTIONS = ("initial_exclusion_fraction", "final_exclusion_fraction", "next_requested_fraction", "min_p_resolution", "affected_fraction", "adequate_fraction")
+
+
+@query(
+    calibration(
+        f"""SELECT unit AS analysis_unit_id, iteration_count, round(initial, 6) AS initial_exclusion_fraction, round(final, 6) AS final_exclusion_fraction, round(next, 6) AS next_requested_fraction,
+        active AS active_genomes, background AS background_size, bins AS bin_count, round(resolution, 6) AS min_p_resolution, {_QS},
+        CAST(active - least(ceil(active * initial), active - 1) AS BIGINT) AS initial_background_size, 0.2::DOUBLE AS exclusion_fraction_cap, cap_reached, update_above_cap, converged,
+        round(affected, 6) AS affected_fraction, round(1 - affected, 6) AS adequate_fraction, NOT (cap_reached AND (update_above_cap OR NOT converged) AND affected + 1e-12 >= 0.9) AS suitable
+        FROM {_UNITS} JOIN (SELECT analysis_unit_id AS u, coalesce(sum(active_genomes) FILTER (cap_pressure), 0) / sum(active_genomes) AS affected FROM {_BINS} GROUP BY 1) ON u = unit"""
+    )
+)
+def calibration_trace(spark, d):
+    report = _calibrated(spark, d)[3].drop("iteration_trace", "reason").withColumn("initial_background_size", F.col("initial_background_size").cast("long"))
+    return _rounded(report, *_FRACTIONS, *[f"background_unique_q{n}" for n in (50, 90, 95, 99)])
+
+
+@query(calibration(f"SELECT analysis_unit_id, CAST(iteration AS INT) AS iteration, round(f, 6) AS exclude_fraction, round(share, 6) AS candidate_fraction, round(new, 6) AS new_fraction FROM ({_STEPS} UNION ALL SELECT analysis_unit_id, NULL, f, share, f FROM share9)"))
+def calibration_steps(spark, d):
+    """Each pass of the calibration and, without a number, the last one."""
+    return _rounded(_calibrated(spark, d)[2], "exclude_fraction", "candidate_fraction", "new_fraction")
+
+
+@query(
+    calibration(
+        f"""SELECT b.analysis_unit_id, CAST(b.bin AS INT) AS bin, active_genomes, background_genomes, round(min_p_resolution, 6) AS min_p_resolution, min_unique, max_unique, candidates, {_QS},
+        coalesce(i.n, 0) AS initial_background_genomes, round(candidate_fraction, 6) AS candidate_fraction, u.cap_reached, u.converged, cap_pressure
+        FROM {_BINS} b JOIN (SELECT unit, cap_reached, converged FROM {_UNITS}) u ON u.unit = b.analysis_unit_id
+        LEFT JOIN (SELECT analysis_unit_id, bin, count(*) FILTER (in_background) AS n FROM binned1 GROUP BY 1, 2) i ON i.analysis_unit_id = b.analysis_unit_id AND i.bin = b.bin"""
+    )
+)
 def bin_diagnostics(spark, d):
-    p = _prepared(spark, d)
-    rows = decide.with_targets(_active(p)).withColumn("pvalue_shared", F.lit(1.0))
-    judged, _ = background.calibrate(rows, 4, p.params)
-    return background.bin_report(judged, p.params, background.first_bins(rows, 4, p.params))
+    rows, judged, _, report = _calibrated(spark, d)
+    out = background.bin_report(judged, ALPHA, background.first_bins(rows, 4, ALPHA), report)
+    return _rounded(out, "min_p_resolution", "candidate_fraction", *[f"background_unique_q{n}" for n in (50, 90, 95, 99)])
 
 
-@query()
+@query(diagnosed("SELECT analysis_unit_id, genome_id, CAST(bin AS INT) AS bin, size AS background_size, round(threshold::DOUBLE, 6) AS background_threshold, round(excess::DOUBLE, 6) AS excess_count, round(p_tail, 6) AS p_tail FROM testedd"))
 def alpha_background_diagnostics(spark, d):
     p, rows = _scored(spark, d)
-    return background.alpha_mode_diagnostics(rows.where("n_matched >= 1"), 4, p.params).select("analysis_unit_id", "genome_id", "bin", "background_size", "background_threshold", "excess_count", "p_tail")
+    out = background.alpha_mode_diagnostics(rows.withColumns({c: F.round(c, 9) for c in ("unique_weighted_evidence", "weighted_evidence")}).where("n_matched >= 1"), 4, p.params)
+    return _rounded(out.select("analysis_unit_id", "genome_id", "bin", "background_size", "background_threshold", "excess_count", "p_tail"), "background_threshold", "excess_count", "p_tail")
 
 
 # ---- shared evidence and the whole program -------------------------------------
@@ -583,6 +626,239 @@ def presence_full(spark, d):
     return score.score(fixture.observed(spark, d), fixture.panel(spark, d), ScoreParams(), lineage=lineage).unit_genome
 
 
+# ---- further parts of the evidence and the results -----------------------------
+
+
+@query(statement("scored", "SELECT analysis_unit_id, genome_id, round(greatest(0, -log10(greatest(least(qvalue, 1.0), 1e-300))), 6) AS presence_score FROM scored"))
+def presence_scores(spark, d):
+    return _rounded(_scored(spark, d)[1].select("analysis_unit_id", "genome_id", "presence_score"), "presence_score")
+
+
+@query(
+    statement(
+        "grid",
+        """SELECT analysis_unit_id, genome_id, round(CASE WHEN n_unique > 0 THEN least(n_unique, pow(n_unique, 0.5)) ELSE 0 END, 6) AS unique_effective_count,
+        round(CASE WHEN n_unique > 0 THEN greatest(ln(0.05) * least(n_unique, pow(n_unique, 0.5)), ln(1e-300)) ELSE 0 END, 6) AS log_p FROM grid WHERE n_matched >= 1""",
+    )
+)
+def tempered_counts(spark, d):
+    rows = unique.alpha_bound(score.full_grid(_prepared(spark, d)).where("n_matched >= 1"), score.with_mode(ALPHA, unique_count_power=0.5))
+    return _rounded(rows.select("analysis_unit_id", "genome_id", "unique_effective_count", F.ln("pvalue_unique").alias("log_p")), "unique_effective_count", "log_p")
+
+
+@query(
+    statement(
+        "um",
+        """SELECT g.analysis_unit_id, g.genome_id, g.n_unique, round(greatest(coalesce(e.s, 0), ln(1e-300)), 4) AS log_p FROM
+        (SELECT analysis_unit_id, genome_id, count(*) FILTER (d = 1) AS n_unique FROM um GROUP BY 1, 2) g LEFT JOIN
+        (SELECT analysis_unit_id, genome_id, sum(ln(error)) AS s FROM um JOIN (SELECT peptide, error FROM scores) USING (peptide) WHERE d = 1 GROUP BY 1, 2) e
+        ON e.analysis_unit_id = g.analysis_unit_id AND e.genome_id = g.genome_id""",
+    )
+)
+def error_bound_p(spark, d):
+    params = score.with_mode(ALPHA, error_source="peptide-error-column")
+    rows = unique.alpha_bound(score.full_grid(_prepared(spark, d, params)).where("n_matched >= 1"), params)
+    return rows.select("analysis_unit_id", "genome_id", "n_unique", F.round(F.ln("pvalue_unique"), 4).alias("log_p"))
+
+
+@query(statement("scored", "SELECT analysis_unit_id, genome_id FROM scored WHERE n_matched >= 1 AND (pvalue BETWEEN 0.01 AND 0.1 OR pvalue BETWEEN 0.0001 AND 0.006)"))
+def refined_targets(spark, d):
+    """Ranges may be given in any order of their ends."""
+    rows = _scored(spark, d)[1]
+    return rows.where("n_matched >= 1").where(S.in_any_range(F.col("pvalue"), ((0.1, 0.01), (0.0001, 0.006)))).select("analysis_unit_id", "genome_id")
+
+
+@query(
+    statement(
+        "um",
+        """SELECT analysis_unit_id, genome_id, deg_bin, CASE WHEN length(peptide) <= 7 THEN 0 WHEN length(peptide) <= 10 THEN 1 WHEN length(peptide) <= 14 THEN 2 WHEN length(peptide) <= 20 THEN 3 WHEN length(peptide) <= 30 THEN 4 ELSE 5 END AS len_bin,
+        count(*) AS c FROM um WHERE d >= 2 GROUP BY 1, 2, 3, 4""",
+    )
+)
+def length_strata(spark, d):
+    p = _prepared(spark, d, score.with_mode(ALPHA, use_length_strata=True))
+    return evidence.strata_counts(p.unit_matches).select("analysis_unit_id", "genome_id", "stratum.deg_bin", "stratum.len_bin", "c")
+
+
+_P_EDGES = "[0.0, 1e-6, 1e-4, 1e-3, 1e-2, 5e-2, 0.1, 0.2, 0.5, 1.0]::DOUBLE[]"
+
+
+@query(
+    statement(
+        "grid",
+        f"""SELECT pool, CAST(bin AS INT) AS bin, e[bin + 1] AS above, e[bin + 2] AS upto, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY pool), 6) AS fraction
+        FROM (SELECT * FROM (SELECT unnest(['all', 'unique_0']) AS pool) CROSS JOIN (SELECT unnest(range(9)) AS bin, {_P_EDGES} AS e)) LEFT JOIN
+        (SELECT pool, greatest(len(list_filter({_P_EDGES}, lambda x: x < p)) - 1, 0) AS bin, count(*) AS n FROM
+        (SELECT unnest(CASE WHEN n_unique = 0 THEN ['all', 'unique_0'] ELSE ['all'] END) AS pool, pow(0.3, n_shared) AS p FROM grid WHERE n_matched >= 1) GROUP BY 1, 2) h USING (pool, bin)""",
+    )
+)
+def p_histogram(spark, d):
+    rows = score.full_grid(_prepared(spark, d)).withColumn("pvalue_shared", F.pow(F.lit(0.3), F.col("n_shared")))
+    return _rounded(diagnostics.shared_p_histogram(rows), "fraction")
+
+
+@query(calls("SELECT genome_id, " + ", ".join(f"CAST(coalesce(max(CAST(pass_q_0_05 AS INT)) FILTER (analysis_unit_id = 'u{i}'), 0) AS INT) AS u{i}" for i in range(4)) + " FROM scored GROUP BY genome_id HAVING bool_or(pass_q_0_05)"))
+def presence_flags(spark, d):
+    return summary.presence_matrix(_calls(spark, d)[1], "q005")
+
+
+_UNION = "SELECT genome_id, count(*) FILTER (qvalue <= 0.05) AS n_units_q_le_0_05, count(*) FILTER (qvalue <= 0.01) AS n_units_q_le_0_01, round(min(qvalue), 6) AS best_qvalue, sum(n_unique) AS total_unique_peptides FROM scored GROUP BY 1"
+
+
+@query(calls(f"SELECT 'q001' AS level, * FROM ({_UNION}) WHERE n_units_q_le_0_01 >= 1 UNION ALL SELECT 'q005', * FROM ({_UNION}) WHERE n_units_q_le_0_05 >= 1"))
+def genome_unions(spark, d):
+    cohort = summary.cohort_summary(_calls(spark, d)[1])
+    wide = summary.union_of_calls(cohort, "0_05")
+    narrow = summary.require_nested(summary.union_of_calls(cohort, "0_01"), wide)
+    both = narrow.withColumn("level", F.lit("q001")).union(wide.withColumn("level", F.lit("q005")))
+    return _rounded(both.select("level", "genome_id", "n_units_q_le_0_05", "n_units_q_le_0_01", "best_qvalue", "total_unique_peptides"), "best_qvalue")
+
+
+_COUNTS = {
+    "unit_genome_results": "scored", "unit_genome_results_full": "scored", "coverage": "scored", "cohort_genome_summary": "genomes", "sample_unit_mapping": "mapping",
+    "unit_call_counts": "(SELECT DISTINCT analysis_unit_id FROM scored)", "unit_threshold_summary": "(SELECT DISTINCT analysis_unit_id FROM scored)",
+    **{f"{t}_q{l}": f"(SELECT * FROM scored WHERE pass_q_0_{l[1:]})" for t in ("unit_genome_list",) for l in ("001", "005")},
+    **{f"unit_q{l}_genomes": f"(SELECT * FROM scored WHERE pass_q_0_{l[1:]})" for l in ("001", "005")},
+    **{f"genome_union_q{l}": f"(SELECT DISTINCT genome_id FROM scored WHERE pass_q_0_{l[1:]})" for l in ("001", "005")},
+    **{f"genome_by_unit_q{l}_matrix": f"(SELECT DISTINCT genome_id FROM scored WHERE pass_q_0_{l[1:]})" for l in ("001", "005")},
+    "genome_by_unit_qvalue_matrix": "genomes",
+}
+
+
+@query(calls(" UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n FROM {t}" for k, t in _COUNTS.items())))
+def result_files(spark, d):
+    """All tables of a run, written as text and read again."""
+    p, rows = _calls(spark, d)
+    path = new_path(spark, "results")
+    sinks.write_tables(score.ScoreResult(p, rows, "alpha-upper-bound").tables(derived=True), path, "tsv")
+    found = [spark.read.csv(f"{path}/{name}", sep="\t", header=True).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in _COUNTS]
+    return reduce(DataFrame.union, found)
+
+
+@query(calls("SELECT 0.003::DOUBLE AS alpha, 'metadata' AS unit_mode, count(*) AS n_tests, count(*) FILTER (pass_q_0_05) AS n_calls_q005, count(DISTINCT genome_id) FILTER (pass_q_0_05) AS n_union_q005 FROM scored"))
+def run_document(spark, d):
+    """The run as JSON, written and read again."""
+    p, rows = _calls(spark, d)
+    path = new_path(spark, "run-summary")
+    sinks.write_manifest(score.ScoreResult(p, rows, "alpha-upper-bound").run_document(), path)
+    shape = "struct<parameters:struct<alpha:double,unit_mode:string>,results:struct<n_tests:bigint,n_calls_q005:bigint,n_union_q005:bigint>>"
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("j")).select("j.parameters.*", "j.results.*")
+
+
+# ---- sources and sinks, written and read again ---------------------------------
+
+_OBSERVED = "'c' || conv_id || '.raw' AS sample, CASE WHEN f NOT IN ('NA', 'NULL') THEN f END AS sequence"
+_MARKED = "(length(f) % 8) / 8.0 AS score, ((conv_id * 7 + turn * 13) % 100) / 1000.0 AS error, CASE WHEN role = 'system' THEN 'true' ELSE 'false' END AS decoy"
+
+
+def _as_text(df: DataFrame, label: str) -> str:
+    path = new_path(df.sparkSession, label)
+    df.write.csv(path, sep="\t", header=True)
+    return path
+
+
+@query(statement("frag_o", f"SELECT {_OBSERVED}, CASE WHEN length(f) % 5 > 0 AND length(f) % 7 > 0 THEN CAST(length(f) * (turn + 1) AS DOUBLE) END AS intensity, {_MARKED} FROM frag_o WHERE f <> ''"))
+def delimited_scan(spark, d):
+    """Other column names, marks of missing values, numbers that are none."""
+    n = F.length("`Stripped.Sequence`")
+    raw = fixture.observed(spark, d)
+    odd = F.when(n % 5 == 0, F.lit("#N/A")).when(n % 7 == 0, F.lit("1e")).otherwise(F.col("`Precursor.Quantity`").cast("string"))
+    renamed = {"Run": "file_name", "Stripped.Sequence": "peptide sequence", "Evidence": "CSCORE", "Q.Value": "fdr", "Decoy": "target_decoy"}
+    table = raw.select(*[F.col(f"`{a}`").alias(b) for a, b in renamed.items()], odd.alias("INTENSITY"), F.lit("x").alias("Other"))
+    return readers.observed_columns(readers.read_table(spark, _as_text(table, "observed-text")), "metadata")
+
+
+@query(statement("frag_o", f"SELECT '__global__' AS sample, f AS sequence, 1.0::DOUBLE AS intensity, {_MARKED} FROM frag_o WHERE f <> '' AND f NOT IN ('NA', 'NULL')"))
+def pooled_scan(spark, d):
+    """One sequence column; one sample and intensity 1 stand in."""
+    table = fixture.observed(spark, d).select(F.col("`Stripped.Sequence`").alias("Base Sequence"), F.col("Evidence").alias("S"), F.col("`Q.Value`").alias("FDR"), F.col("Decoy").alias("Reverse"))
+    return readers.pooled_columns(readers.read_table(spark, _as_text(table, "pooled-text")), score="S", decoy="Reverse")
+
+
+@query(_DIGEST + "SELECT DISTINCT genome_id, translate(peptide, 'IL', 'JJ') AS peptide FROM (SELECT genome_id, unnest(parts) AS peptide FROM f) WHERE length(peptide) BETWEEN 7 AND 30")
+def digest_files(spark, d):
+    """Digests a folder a genome, written twice without a second copy."""
+    path = new_path(spark, "digests")
+    rows = digestion.digest(fixture.proteins(spark, d))
+    for _ in range(2):
+        digestion.write_digest(rows.repartition(4, "genome_id"), path)
+    return readers.read_panel(spark, [path])
+
+
+@query(f"SELECT 'p' || doc_id AS header, {_BODY} || {_PROTEIN} AS sequence FROM documents")
+def fasta_records(spark, d):
+    """Records of wrapped lines, headers cut at the first space."""
+    lines = F.regexp_replace("sequence", "(.{60})", "$1\n")
+    text = fixture.proteins(spark, d).select(F.concat(F.lit(">"), "header", F.lit(" of "), "genome_id", F.lit("\n"), lines))
+    path = new_path(spark, "fasta")
+    text.write.text(path)
+    return readers.read_fasta(spark, path, shorten=True).select("header", "sequence")
+
+
+@query("SELECT DISTINCT 'c' || conv_id AS sample_id, 'u' || (conv_id % 4) AS analysis_unit_id, CASE WHEN conv_id % 17 = 0 THEN 'no' ELSE 'yes' END AS included, 'site' || (conv_id % 3) AS site FROM conversations")
+def metadata_scan(spark, d):
+    table = fixture.metadata(spark, d).withColumnsRenamed({"sample_id": "File", "analysis_unit_id": "Patient"})
+    return readers.read_metadata(spark, _as_text(table, "metadata"), "File", "Patient")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS genome_id, CASE WHEN doc_id % 4 = 0 THEN least(lang || '/' || source, 'en/zzz') ELSE lang || '/' || source END AS \"Lineage\" FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def lineage_scan(spark, d):
+    """Blank rows are dropped and one lineage a genome stays."""
+    rows = fixture.lineage(spark, d).where("Lineage IS NOT NULL")
+    again = rows.where("CAST(genome_id AS BIGINT) % 4 = 0").withColumn("Lineage", F.lit(" en/zzz "))
+    blank = rows.where("CAST(genome_id AS BIGINT) % 6 = 0").withColumn("Lineage", F.lit("  "))
+    return readers.read_lineage(spark, _as_text(rows.union(again).union(blank), "lineage"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS language FROM documents")
+def column_extract(spark, d):
+    path = new_path(spark, "extract")
+    sinks.extract_columns(spark, f"{d}/documents.parquet", path, ["doc_id", "lang"], ["id", "language"])
+    return spark.read.csv(path, sep="\t", header=True)
+
+
+@query(ORACLES["manifest_units"])
+def manifest_file(spark, d):
+    p, rows = _calls(spark, d)
+    path = new_path(spark, "manifest")
+    sinks.write_manifest(sinks.manifest(sinks.selection(p.mapping, rows), "2024-01-01T00:00:00Z"), path)
+    chosen = sinks.read_manifest(spark, path)
+    return chosen.select("analysis_unit_id", F.array_join("sample_ids", ",").alias("samples"), "n_samples", F.array_join("genome_ids_q005", ",").alias("genomes_q005"), F.array_join("genome_ids_q001", ",").alias("genomes_q001"))
+
+
+@query(statement("genomes", "SELECT false AS first, true AS second, false AS other, count(*) AS n_genomes, sum(opportunity) AS n_unique FROM genomes"))
+def reused_tables(spark, d):
+    """A table is made once for a panel and again for another one."""
+    rows, path = written(fixture.panel(spark, d), "panel"), new_path(spark, "reuse")
+    seen = []
+    for table in (rows, rows.repartition(3), rows.where("peptide > 'M'"), rows):
+        mark = {"panel": sinks.content_hash(table, "genome_id", "peptide")}
+        out, reused = sinks.materialise(lambda t=table: panel.opportunity(t), spark, path, mark)
+        seen.append(reused)
+    n = out.agg(F.count("*").alias("n_genomes"), F.sum("opportunity").alias("n_unique"))
+    return n.select(F.lit(seen[0]).alias("first"), F.lit(seen[1]).alias("second"), F.lit(seen[2] or seen[3]).alias("other"), "n_genomes", "n_unique")
+
+
+@query(statement("frag_o", "SELECT 'c' || conv_id AS sample_id, count(*) AS n_rows FROM frag_o WHERE f <> '' AND role IS DISTINCT FROM 'user' GROUP BY 1"))
+def decoy_configured(spark, d):
+    """A mark that is given counts, also where known marks are there."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = turns.select("conv_id", "role", F.explode(T.fragments(fixture.letters("text"))).alias("f"))
+    mark = F.when(F.col("role") == "user", " user ").when(F.col("role") == "system", "true").otherwise(F.col("role"))
+    raw = rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("Run"), F.col("f").alias("Sequence"), F.lit(1.0).alias("Intensity"), mark.alias("Target/Decoy"))
+    kept = observed.targets(readers.observed_columns(raw, "metadata"), score.with_mode(ALPHA, decoy_marker="user"))
+    return kept.groupBy("sample_id").agg(F.count("*").alias("n_rows"))
+
+
+@query(statement("frag_o", "SELECT 'c' || conv_id AS sample_id, count(*) AS n_rows FROM frag_o WHERE f <> '' AND role IS DISTINCT FROM 'system' GROUP BY 1"))
+def decoy_truth_values(spark, d):
+    """A column of truth values, whose mark is found."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = turns.select("conv_id", "role", F.explode(T.fragments(fixture.letters("text"))).alias("f"))
+    raw = rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("Run"), F.col("f").alias("Sequence"), F.lit(1.0).alias("Intensity"), (F.col("role") == "system").alias("Decoy"))
+    return observed.targets(readers.observed_columns(raw, "metadata"), ALPHA).groupBy("sample_id").agg(F.count("*").alias("n_rows"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked table of all candidates over one cohort-wide unit."""
     ship_package(spark)

@@ -70,7 +70,7 @@ STEPS: list[tuple[str, str]] = [
         coalesce(weighted_evidence_shared, 0) AS weighted_evidence_shared
         FROM (SELECT DISTINCT analysis_unit_id FROM mapping WHERE included) u CROSS JOIN genomes g LEFT JOIN metrics m ON m.analysis_unit_id = u.analysis_unit_id AND m.genome_id = g.genome_id""",
     ),
-    ("alpha", "SELECT *, CASE WHEN n_unique = 0 THEN 1.0 ELSE greatest(least(pow(0.05, n_unique), 1.0), 1e-300) END AS pvalue_unique FROM grid"),
+    ("alpha", "SELECT *, CASE WHEN n_unique = 0 THEN 1.0 ELSE greatest(least(pow({alpha}, n_unique), 1.0), 1e-300) END AS pvalue_unique FROM grid"),
     ("comb", "SELECT *, CASE WHEN n_unique = 0 THEN 1.0 ELSE least(1.0, 2 * pvalue_unique) END AS pvalue FROM alpha"),
     (
         "bh",
@@ -104,11 +104,90 @@ STEPS: list[tuple[str, str]] = [
 ]
 
 
-def statement(last: str, body: str) -> str:
+#: Error bounds of one peptide: the usual one, and one so small that genomes are called.
+ALPHA, CALLING_ALPHA = "0.05", "0.003"
+
+
+def chained(steps: list[tuple[str, str]], body: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({b})" for n, b in steps) + " " + body
+
+
+def statement(last: str, body: str, alpha: str = ALPHA) -> str:
     """``body`` after all steps up to ``last``."""
     names = [n for n, _ in STEPS]
-    steps = STEPS[: names.index(last) + 1]
-    return "WITH " + ", ".join(f"{n} AS ({b})" for n, b in steps) + " " + body
+    return chained([(n, b.replace("{alpha}", alpha)) for n, b in STEPS[: names.index(last) + 1]], body)
+
+
+def background_pass(i: str, share: str) -> list[tuple[str, str]]:
+    """Steps of one empirical pass over ``ranked0`` with the shares of the table
+    ``share`` (analysis_unit_id, f): bins, leave-one-out values, p, q. Values are
+    taken from sorted lists, which lose one own copy."""
+    most = "[0.0, 0.25, 0.5, 0.75, 1.0]", "[0.0, 1/3, 2/3, 1.0]", "[0.0, 0.5, 1.0]"
+    edges = ", ".join(f"list_distinct(list_transform(quantile_cont(opportunity, {e}), lambda x: round(x, 9))) AS e{k}" for k, e in zip((4, 3, 2), most))
+    place = "(len(l) - 1) * 0.95"
+    return [
+        (f"split{i}", f"SELECT r.*, s.f, r.place > least(ceil(r.n * s.f), r.n - 1) AS in_background FROM ranked0 r JOIN {share} s USING (analysis_unit_id)"),
+        (f"edges{i}", f"SELECT analysis_unit_id, {edges}, least(4, greatest(1, count(*) // 50), count(DISTINCT opportunity)) AS k FROM split{i} WHERE in_background GROUP BY analysis_unit_id"),
+        (
+            f"binned{i}",
+            f"""SELECT s.*, len(list_filter(t.e, lambda x: x > list_min(t.e) AND x < list_max(t.e) AND x < s.opportunity)) AS bin FROM split{i} s JOIN
+            (SELECT analysis_unit_id, CASE k WHEN 4 THEN e4 WHEN 3 THEN e3 WHEN 2 THEN e2 ELSE [0.0] END AS e FROM edges{i}) t USING (analysis_unit_id)""",
+        ),
+        (f"lists{i}", f"SELECT analysis_unit_id, bin, coalesce(list_sort(list(n_unique) FILTER (in_background)), []) AS l FROM binned{i} GROUP BY 1, 2"),
+        (f"whole{i}", f"SELECT analysis_unit_id, list_sort(list(n_unique) FILTER (in_background)) AS l FROM binned{i} GROUP BY 1"),
+        (
+            f"asked{i}",
+            f"""SELECT a.*, CASE WHEN a.in_background THEN list_concat(b.l[1:list_position(b.l, a.n_unique) - 1], b.l[list_position(b.l, a.n_unique) + 1:]) ELSE b.l END AS own,
+            CASE WHEN a.in_background THEN list_concat(w.l[1:list_position(w.l, a.n_unique) - 1], w.l[list_position(w.l, a.n_unique) + 1:]) ELSE w.l END AS every
+            FROM (SELECT DISTINCT analysis_unit_id, bin, n_unique, in_background FROM binned{i}) a JOIN lists{i} b USING (analysis_unit_id, bin) JOIN whole{i} w USING (analysis_unit_id)""",
+        ),
+        (
+            f"loo{i}",
+            f"""SELECT analysis_unit_id, bin, n_unique, in_background, len(l) AS size, len(list_filter(l, lambda x: x >= n_unique)) AS ge,
+            CASE WHEN len(l) = 0 THEN 0.0 ELSE l[CAST(floor({place}) AS BIGINT) + 1] + (l[least(CAST(floor({place}) AS BIGINT) + 2, len(l))] - l[CAST(floor({place}) AS BIGINT) + 1]) * ({place} - floor({place})) END AS threshold
+            FROM (SELECT *, CASE WHEN len(own) > 0 THEN own ELSE every END AS l FROM asked{i})""",
+        ),
+        (
+            f"tested{i}",
+            f"""SELECT b.*, size, threshold, greatest(0, b.n_unique - threshold) AS excess, (1.0 + ge) / (1.0 + size) AS p_tail, 1.0 / (1.0 + size) AS resolution,
+            CASE WHEN b.n_unique = 0 THEN 1.0 ELSE least(1.0, 2 * greatest(CASE WHEN b.n_unique > threshold THEN pow(0.05, b.n_unique - threshold) ELSE 1.0 END, 1e-300)) END AS p
+            FROM binned{i} b JOIN loo{i} l ON l.analysis_unit_id = b.analysis_unit_id AND l.bin = b.bin AND l.n_unique = b.n_unique AND l.in_background = b.in_background""",
+        ),
+        (
+            f"judged{i}",
+            f"""SELECT *, least(1.0, min(raw) OVER (PARTITION BY analysis_unit_id ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM (
+            SELECT *, p * n / r AS raw FROM (SELECT *, row_number() OVER (PARTITION BY analysis_unit_id ORDER BY p, genome_id) AS r FROM tested{i}))""",
+        ),
+        (f"share{i}", f"SELECT analysis_unit_id, max(f) AS f, avg(CASE WHEN q <= 0.2 THEN 1.0 ELSE 0.0 END) AS share FROM judged{i} GROUP BY 1"),
+    ]
+
+
+RANKED = (
+    "ranked0",
+    """SELECT *, count(*) OVER (PARTITION BY analysis_unit_id) AS n, row_number() OVER (PARTITION BY analysis_unit_id
+    ORDER BY n_unique DESC, round(unique_weighted_evidence, 9) DESC, round(weighted_evidence, 9) DESC, genome_id) AS place FROM grid WHERE n_matched >= 1""",
+)
+
+
+def diagnosed(body: str) -> str:
+    """``body`` after one pass whose shares are those of the calls' own
+    candidates: table testedd."""
+    names = [n for n, _ in STEPS]
+    steps = [(n, b.replace("{alpha}", ALPHA)) for n, b in STEPS[: names.index("scored") + 1]] + [RANKED]
+    steps.append(("sharec", "SELECT analysis_unit_id, greatest(least(avg(CASE WHEN qvalue <= 0.2 THEN 1.0 ELSE 0.0 END), 0.2), 0.02) AS f FROM scored WHERE n_matched >= 1 GROUP BY 1"))
+    return chained(steps + background_pass("d", "sharec"), body)
+
+
+def calibration(body: str) -> str:
+    """``body`` after the three passes of a grouped calibration and the last one:
+    tables step1 to step3 (f, share, new, done), judged9 and share9."""
+    steps = STEPS[: [n for n, _ in STEPS].index("grid") + 1] + [RANKED]
+    steps.append(("state1", "SELECT DISTINCT analysis_unit_id, 0.05::DOUBLE AS f, false AS done FROM ranked0"))
+    for i in (1, 2, 3):
+        steps += background_pass(str(i), f"state{i}")
+        steps.append((f"step{i}", f"SELECT s.*, h.share, greatest(least(h.share, 0.2), 0.02) AS new FROM state{i} s JOIN share{i} h USING (analysis_unit_id)"))
+        steps.append((f"state{i + 1}", f"SELECT analysis_unit_id, CASE WHEN done THEN f ELSE new END AS f, done OR abs(new - f) < 0.01 AS done FROM step{i}"))
+    return chained(steps + background_pass("9", "state4"), body)
 
 
 def digits(*columns: str) -> str:

@@ -99,14 +99,15 @@ AMINO_ACIDS = "^[A-Za-z*]+$"
 
 
 def read_panel(spark: SparkSession, directories: list[str], policy: str = "il-equivalent") -> DataFrame:
-    """genome_id, peptide (distinct) from ``*.tsv`` digests, one file a genome.
+    """genome_id, peptide (distinct) from ``*.tsv`` digests, one file a genome,
+    or from folders ``genome_id=...`` as ``write_digest`` leaves them.
 
     The peptide column is ``Peptide``, else the first; the first 200 filled
     values of a file read by position must look like peptides. A genome found
     in two places is an error.
     """
     # files differ in their columns, so each line is cut by its own tabs
-    raw = spark.read.option("pathGlobFilter", "*.tsv").text(directories).select(F.split("value", "\t").alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    raw = spark.read.option("pathGlobFilter", "*.{tsv,csv}").option("recursiveFileLookup", "true").text(directories).select(F.split("value", "\t").alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     # numbered once, in a written table: what follows reads it several times
     lined = written(raw.withColumn("row", F.monotonically_increasing_id()), "panel-lines")
     first = Window.partitionBy("file").orderBy("at", "row")
@@ -116,12 +117,15 @@ def read_panel(spark: SparkSession, directories: list[str], policy: str = "il-eq
     place = F.coalesce(F.nullif(F.array_position("names", F.lit("Peptide")), F.lit(0)), F.lit(1)).cast("int")
     rows = lined.join(head.withColumn("place", place).withColumn("named", F.array_contains("names", "Peptide")), "file").where("row <> head_row")
     value = T.strip_all(F.try_element_at("cells", F.col("place")))
-    rows = rows.select("file", "at", "row", "named", F.regexp_extract("file", r"([^/]+)\.tsv$", 1).alias("genome_id"), value.alias("value")).where("value <> ''")
+    folder = F.nullif(F.regexp_extract("file", "/genome_id=([^/]+)/[^/]+$", 1), F.lit(""))
+    place = F.when(folder.isNotNull(), F.regexp_replace("file", "/[^/]+$", "")).otherwise(F.col("file"))
+    genome = F.coalesce(folder, F.regexp_extract("file", r"([^/]+)\.[a-z]+$", 1))
+    rows = rows.select("file", place.alias("source"), "at", "row", "named", genome.alias("genome_id"), value.alias("value")).where("value <> ''")
     guessed = rows.where("NOT named").withColumn("r", F.row_number().over(first)).where("r <= 200")
     odd = guessed.where(~F.col("value").rlike(AMINO_ACIDS)).select("genome_id", "value").limit(5).collect()
     if odd:
         raise ValueError(f"first columns that hold no peptides: {[tuple(r) for r in odd]}")
-    twice = rows.groupBy("genome_id").agg(F.count_distinct("file").alias("n")).where("n > 1").limit(10).collect()
+    twice = rows.groupBy("genome_id").agg(F.count_distinct("source").alias("n")).where("n > 1").limit(10).collect()
     if twice:
         raise ValueError(f"genomes in more than one place: {[r.genome_id for r in twice]}")
     return rows.select("genome_id", T.peptide(F.col("value"), policy).alias("peptide")).where("peptide <> ''").distinct()

@@ -25,4 +25,4 @@ def assert_same(df, sql: str, con) -> None:
     order = [names.index(c) for c in sorted(names)]
     want = sorted(str(tuple(row[i] for i in order)) for row in found.fetchall())
     got = sorted(str(tuple(row[c] for c in sorted(names))) for row in df.collect())
-    assert got == want
+    assert got == want, (len(got), len(want), [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3])
