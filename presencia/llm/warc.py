@@ -72,58 +72,103 @@ def lay_out(pages: DataFrame, params: WarcParams = WarcParams(), id_col: str = "
     return _placed(_records(pages, params, id_col, url_col, html_col)).select("page_id", "record", "archive", "offset", "length")
 
 
-def write_warc(records: DataFrame, path: str, order: tuple[str, ...] = ("offset",)) -> None:
-    """One file per archive, below ``path``/archive=N; blank lines end records."""
+def write_warc(records: DataFrame, path: str, order: tuple[str, ...] = ("offset",), compression: str = "none") -> None:
+    """One file per archive, below ``path``/archive=N; blank lines end records.
+    ``compression`` ``gzip`` makes each file one member."""
     dealt = records.repartition("archive").sortWithinPartitions("archive", *order)
-    dealt.select("archive", "record").write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
+    dealt.select("archive", "record").write.partitionBy("archive").option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def _inflated(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """(bytes, place after it) of the gzip member at a place, fed by pieces."""
+def _member(data: memoryview, at: int):
+    """Plain pieces of the gzip member at a place, and at last the place after
+    it; a broken member gives its bytes as they are, up to the file's end."""
     import zlib
 
-    member, parts = zlib.decompressobj(31), []
+    member, start = zlib.decompressobj(31), at
     try:
         while not member.eof and at < len(data):
             piece = data[at : at + 65_536]
-            parts.append(member.decompress(piece))
+            plain = member.decompress(piece)
             at += len(piece)
+            if plain:
+                yield plain
+        yield at - len(member.unused_data)
     except zlib.error:
-        return None
-    return b"".join(parts), at - len(member.unused_data)
+        yield bytes(data[start:])
+        yield len(data)
 
 
-def records_of(data: memoryview):
-    """(offset, length, url, record id, bytes with their end) of the records
-    of one file, which is gone through once."""
+def _plain(data: memoryview, zipped: bool):
+    """The bytes of a file in pieces, members inflated one after the other."""
     at = 0
     while at < len(data):
-        start, zipped = at, bytes(data[at : at + 2]) == b"\x1f\x8b"
-        if zipped:
-            found = _inflated(data, at)
-            if found is None:
-                yield start, len(data) - start, "", "", bytes(data[start:])
-                return
-            plain, at = found
-            head = plain.partition(b"\r\n\r\n")[0]
-        else:
-            size = 4_096
-            while (end := bytes(data[at : at + size]).find(b"\r\n\r\n")) < 0 and at + size < len(data):
-                size *= 4
-            head = bytes(data[at : at + max(end, 0)])
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
         if not zipped:
-            length = fields.get(b"content-length", b"")
-            if not length.isdigit():
-                yield start, len(data) - start, "", "", bytes(data[start:])
-                return
-            at = min(start + len(head) + 4 + int(length) + 4, len(data))
-            plain = bytes(data[start:at])
-        url, name = (fields.get(k, b"").decode("utf-8", "replace") for k in (b"warc-target-uri", b"warc-record-id"))
-        yield start, at - start, url, name, plain
+            yield bytes(data[at : at + 1_000_000])
+            at += 1_000_000
+            continue
+        for piece in _member(data, at):
+            if isinstance(piece, int):
+                at = piece
+            else:
+                yield piece
+
+
+def _fields(head: bytes) -> dict[bytes, bytes]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+
+
+def _named(fields: dict[bytes, bytes]) -> tuple[str, str]:
+    return tuple(fields.get(k, b"").decode("utf-8", "replace") for k in (b"warc-target-uri", b"warc-record-id"))
+
+
+def _in_stream(pieces):
+    """Records of a stream; no more than one and a piece are held."""
+    pieces, held, at = iter(pieces), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while held or more():
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                break
+        fields = _fields(bytes(held[: max(end, 0)]))
+        length = fields.get(b"content-length", b"")
+        if end < 0 or not length.isdigit():
+            while more():
+                pass
+            yield at, len(held), "", "", bytes(held)
+            return
+        size = end + 4 + int(length) + 4
+        while len(held) < size and more():
+            pass
+        plain = bytes(held[:size])
+        yield at, len(plain), *_named(fields), plain
+        at += len(plain)
+        del held[:size]
+
+
+def records_of(data: memoryview, plain: bool = False):
+    """(offset, length, url, record id, bytes with their end) of the records
+    of one file, which is gone through once. Offsets count the file's bytes, in
+    which a gzip member is a record, or with ``plain`` the inflated ones."""
+    zipped = bytes(data[:2]) == b"\x1f\x8b"
+    if plain or not zipped:
+        yield from _in_stream(_plain(data, zipped))
+        return
+    at = 0
+    while at < len(data):
+        *parts, after = _member(data, at)
+        body = b"".join(parts)
+        yield at, after - at, *_named(_fields(body.partition(b"\r\n\r\n")[0])), body
+        at = after
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, plain: bool = False) -> DataFrame:
     """file, archive (of a path with archive=N, else null), offset, length, url,
     record_id, record (bytes with their end) of every record of the files below
     ``path``; plain or gzip members. A file is a row, so archives should be of the
@@ -135,10 +180,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, body in zip(batch.column("path").to_pylist(), batch.column("content")):
                 out, held = [[] for _ in names], 0
-                for at, length, url, name, plain in records_of(memoryview(body.as_buffer())):
-                    for c, v in zip(out, (file, at, length, url, name, plain)):
+                for at, length, url, name, record in records_of(memoryview(body.as_buffer()), plain):
+                    for c, v in zip(out, (file, at, length, url, name, record)):
                         c.append(v)
-                    held += len(plain)
+                    held += len(record)
                     if held > 16_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
                         out, held = [[] for _ in names], 0
@@ -157,9 +202,10 @@ def digests(records: DataFrame, *more: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of ``digests`` but page_id, out of the files of a replica."""
+    """The columns of ``digests`` but page_id, out of the files of a replica,
+    compressed or not; places are those of the plain bytes."""
     body = F.expr("substring(record, 1, length(record) - 4)")
-    return read_warc(spark, path).select("record_id", F.coalesce("archive", F.lit(-1)).alias("archive"), "offset", "length", F.unhex(F.sha2(body, 256)).alias("digest"))
+    return read_warc(spark, path, plain=True).select("record_id", F.coalesce("archive", F.lit(-1)).alias("archive"), "offset", "length", F.unhex(F.sha2(body, 256)).alias("digest"))
 
 
 def merkle_levels(both: DataFrame, params: WarcParams) -> list[DataFrame]:
@@ -248,6 +294,6 @@ def fixity_report(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFr
     lost = F.coalesce(F.col("page_id") % 193 == 7, F.lit(False))
     copied = rows.where(~lost).withColumn("record", _hurt(F.col("record"), F.col("page_id")))
     path = new_path(spark, "warc-replica")
-    write_warc(copied, path, ("page_id", "key"))
+    write_warc(copied, path, ("page_id", "key"), "gzip")
     found = audit(laid, read_digests(spark, path), params)
     return found.where("status <> 'shifted'").select("page_id", "archive", "offset", "length", "status")

@@ -536,6 +536,11 @@ def test_members_and_broken_files(spark, tmp_path):
     assert [x[1:] for x in got if x[0].endswith("b")] == [(0, len(record(3)), "<3>", record(3)), (len(record(3)), 30, "", b"WARC/1.0\r\nNo-Length: 1\r\n\r\nrest")]
     assert [x[1:4] for x in got if x[0].endswith("c")] == [(0, len(record(4)), "<4>"), (len(record(4)), len(record(9)) - 7, "<9>")]
     assert [x[1:4] for x in got if x[0] == "d.gz"] == [(0, sizes[0], "<0>"), (sizes[0], 8, "")] and len(names) == 4
+    # places in the plain bytes, however many records a member has
+    (tmp_path / "f.gz").write_bytes(gzip.compress(record(7) + record(1_500_000)) + gzip.compress(record(2)))
+    plain = sorted((r.offset, r.length, r.record_id) for r in warc.read_warc(spark, str(tmp_path / "f.gz"), plain=True).collect())
+    a, b, c = len(record(7)), len(record(1_500_000)), len(record(2))
+    assert plain == [(0, a, "<7>"), (a, b, "<1500000>"), (a + b, c, "<2>")]
 
 
 def test_audit_of_a_replica_that_moved(spark, tmp_path):
