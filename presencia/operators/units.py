@@ -15,16 +15,20 @@ def _examples(df: DataFrame, col: str) -> list:
 
 
 def check_metadata(metadata: DataFrame) -> DataFrame:
-    """Raise for blank or repeated samples, and blank units of included ones."""
-    if not metadata.where(F.coalesce("sample_id", F.lit("")) == "").isEmpty():
-        raise ValueError("metadata has blank sample ids")
-    twice = metadata.groupBy("sample_id").count().where("count > 1")
-    if found := _examples(twice, "sample_id"):
-        raise ValueError(f"samples more than once in metadata: {found}")
+    """Raise for blank or repeated samples, and blank units of included ones.
+    One pass tells whether there are any; examples are fetched only then."""
     flag = T.is_included(F.col("included").cast("string")) if "included" in metadata.columns else F.lit(True)
-    blank = metadata.where(flag & (F.coalesce("analysis_unit_id", F.lit("")) == ""))
-    if found := _examples(blank, "sample_id"):
-        raise ValueError(f"included samples without a unit: {found}")
+    no_unit = flag & (F.coalesce("analysis_unit_id", F.lit("")) == "")
+    samples = metadata.groupBy("sample_id").agg(F.count("*").alias("n"), F.bool_or(no_unit).alias("no_unit"))
+    rules = {
+        "metadata has blank sample ids": F.coalesce("sample_id", F.lit("")) == "",
+        "samples more than once in metadata": F.col("n") > 1,
+        "included samples without a unit": F.col("no_unit"),
+    }
+    broken = samples.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(str(i)) for i, c in enumerate(rules.values())]).first()
+    for i, (message, rule) in enumerate(rules.items()):
+        if broken[i]:
+            raise ValueError(f"{message}: {_examples(samples.where(rule), 'sample_id')}")
     return metadata
 
 

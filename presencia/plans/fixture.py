@@ -13,10 +13,18 @@ def letters(text: str):
     return F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]", ""))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a driver's table. Cutting text is the dear part, so a table
+    with fewer splits than there are cores is dealt over them first."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """genome_id, header, sequence: one protein a document; some end in a stop
     mark and some hold one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     body = letters("text")
     marked = F.when(F.col("doc_id") % 5 == 0, F.concat(body, F.lit("**"))).when(F.col("doc_id") % 7 == 0, F.concat(body, F.lit("*AK"))).otherwise(body)
     return docs.select(F.concat(F.lit("g"), F.pmod("doc_id", F.lit(50)).cast("string")).alias("genome_id"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("header"), marked.alias("sequence"))
@@ -24,14 +32,14 @@ def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str, policy: str = "il-equivalent") -> DataFrame:
     """genome_id, peptide: distinct fragments of 7 to 30 letters a document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("string").alias("genome_id"), F.explode(T.fragments(letters("text"))).alias("f"))
     return rows.where(F.length("f").between(7, 30)).select("genome_id", T.peptide(F.col("f"), policy).alias("peptide")).distinct()
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observed table under the names a search tool would write."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     rows = turns.select("conv_id", "turn", "role", F.explode(T.fragments(letters("text"))).alias("f"))
     n = F.length("f")
     return rows.select(

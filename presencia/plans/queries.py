@@ -626,6 +626,20 @@ def presence_full(spark, d):
     return score.score(fixture.observed(spark, d), fixture.panel(spark, d), ScoreParams(), lineage=lineage).unit_genome
 
 
+@query()
+def full_presence_rank(spark, d):
+    """Both kinds of evidence, both Monte Carlo stages, units of the metadata."""
+    result = score.score(fixture.observed(spark, d), fixture.panel(spark, d), ALPHA, _meta(spark, d))
+    return result.unit_genome.select("analysis_unit_id", "genome_id", "n_matched", "n_unique", "n_shared", "pvalue_unique", "pvalue_shared", "pvalue", "qvalue", "presence_rank", "pass_q_0_01", "pass_q_0_05")
+
+
+@query()
+def full_cohort_summary(spark, d):
+    """The cohort summary of a whole run."""
+    result = score.score(fixture.observed(spark, d), fixture.panel(spark, d), CALLING, _meta(spark, d))
+    return result.tables()["cohort_genome_summary"]
+
+
 # ---- further parts of the evidence and the results -----------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -91,8 +92,42 @@ def prepare(
     matches and the panel's counts. ``reuse``: a folder in which the panel's
     counts outlive the run; they are taken from there if the panel is the same."""
     save = written if keep else (lambda df, _: df)
+
+    def of_panel() -> tuple[DataFrame, DataFrame]:
+        rows = save(panel_rows, "panel")
+        if reuse is None:
+            genomes = panel.opportunity(rows)
+        else:
+            mark = {"table": "opportunity", "panel": sinks.content_hash(rows, "genome_id", "peptide"), "policy": params.peptide_policy}
+            genomes, _ = sinks.materialise(lambda: panel.opportunity(rows), raw.sparkSession, reuse, mark)
+        if lineage is not None:
+            genomes = genomes.join(lineage, "genome_id", "left")
+        return rows, save(genomes, "genomes")
+
+    # the panel and the observed rows do not need each other until they match
+    with ThreadPoolExecutor(1) as side:
+        panel_tables = side.submit(of_panel)
+        o = _observed_tables(raw, params, metadata, save)
+        panel_rows, genomes = panel_tables.result()
+    matches = save(panel.match(panel_rows, o.unit_peptides), "matches")
+    degeneracy = panel.degeneracy(matches)
+    peptides = save(evidence.peptide_table(degeneracy, observed.peptide_scores(o.seen), observed.peptide_errors(o.seen), params), "peptides")
+    unit_matches = save(evidence.unit_matches(o.unit_peptides, peptides, matches), "unit-matches")
+    return Prepared(params, o.rows, o.valid, o.pairs, o.mapping, o.unit_peptides, panel_rows, matches, degeneracy, genomes, peptides, unit_matches, evidence.unit_metrics(unit_matches, params))
+
+
+@dataclass
+class _Observed:
+    rows: DataFrame
+    valid: DataFrame
+    pairs: DataFrame
+    mapping: DataFrame
+    unit_peptides: DataFrame
+    seen: DataFrame
+
+
+def _observed_tables(raw: DataFrame, params: ScoreParams, metadata: DataFrame | None, save) -> _Observed:
     canonical = save(readers.observed_columns(raw, params.unit_mode, needs_intensity=params.intensity_quantile > 0 or params.min_intensity > 0), "observed")
-    panel_rows = save(panel_rows, "panel")
     rows = observed.targets(canonical, params)
     valid = observed.valid(rows, params)
     pairs = save(observed.sample_pairs(valid), "pairs")
@@ -101,20 +136,10 @@ def prepare(
     mapping = save(units.sample_mapping(assigned, per_sample, pairs), "mapping")
     included = mapping.where("included").select("sample_id")
     used = valid.join(included, "sample_id", "left_semi")
+    # the best score and largest error of a peptide: all that is asked of its rows
+    seen = save(used.groupBy("peptide").agg(F.max("score").alias("score"), F.max("error").alias("error")), "peptide-seen")
     unit_peptides = save(units.unit_peptides(pairs, mapping), "unit-peptides")
-    matches = save(panel.match(panel_rows, unit_peptides), "matches")
-    degeneracy = panel.degeneracy(matches)
-    if reuse is None:
-        genomes = panel.opportunity(panel_rows)
-    else:
-        mark = {"table": "opportunity", "panel": sinks.content_hash(panel_rows, "genome_id", "peptide"), "policy": params.peptide_policy}
-        genomes, _ = sinks.materialise(lambda: panel.opportunity(panel_rows), raw.sparkSession, reuse, mark)
-    if lineage is not None:
-        genomes = genomes.join(lineage, "genome_id", "left")
-    genomes = save(genomes, "genomes")
-    peptides = save(evidence.peptide_table(degeneracy, observed.peptide_scores(used), observed.peptide_errors(used), params), "peptides")
-    unit_matches = save(evidence.unit_matches(unit_peptides, peptides, matches), "unit-matches")
-    return Prepared(params, rows, valid, pairs, mapping, unit_peptides, panel_rows, matches, degeneracy, genomes, peptides, unit_matches, evidence.unit_metrics(unit_matches, params))
+    return _Observed(rows, valid, pairs, mapping, unit_peptides, seen)
 
 
 def full_grid(p: Prepared) -> DataFrame:

@@ -48,3 +48,90 @@ def test_shared_peptides_alone_do_not_call(spark):
     rows = {r.genome_id: r for r in score(table(spark, ["AAAAAAK", "CCCCCCK", "DDDDDDK"]), panel, ScoreParams(unique_mode="hypergeometric-opportunity")).unit_genome.collect()}
     assert rows["a"].pvalue == 1.0 and rows["a"].n_shared == 2 and not rows["a"].pass_q_0_05
     assert rows["c"].n_unique == 1 and rows["c"].pvalue_unique == pytest.approx(1.0)
+
+
+def small_run(spark, **params):
+    own = {f"g{i}": [f"{c}AAAA{d}K" for d in "CDE"][: i % 4] + ["SSSSSSK", "TTTTTTK"][: i % 3] for i, c in enumerate("FGHMNQWY")}
+    panel = spark.createDataFrame([(g, p) for g, ps in own.items() for p in ps], "genome_id string, peptide string")
+    raw = [(f"s{j}", p, 10.0, float(len(g) + j), 0.001) for j in range(3) for i, (g, ps) in enumerate(own.items()) for p in ps if (i + j) % 3]
+    meta = spark.createDataFrame([("s0", "u"), ("s1", "u"), ("s2", "v")], "sample_id string, analysis_unit_id string")
+    return score(spark.createDataFrame(raw, RAW), panel, ScoreParams(unit_mode="metadata", **params), meta)
+
+
+def test_whole_run_equals_plain_python(spark):
+    """Combined p, q, ranks, flags and the summary, from the two p-values."""
+    result = small_run(spark, alpha=0.01)
+    rows = [r.asDict() for r in result.unit_genome.collect()]
+    assert len(rows) == 14
+    for unit in ("u", "v"):
+        mine = [r for r in rows if r["analysis_unit_id"] == unit]
+        for r in mine:
+            a, b = r["pvalue_unique"], r["pvalue_shared"]
+            r["p"] = min(1, 2 * a, max(a, b)) if r["n_unique"] else 1.0
+            assert r["pvalue"] == pytest.approx(r["p"])
+        active = sorted((r for r in mine if r["n_matched"]), key=lambda r: r["p"])
+        least = 1.0
+        for i in range(len(active), 0, -1):
+            least = min(least, active[i - 1]["p"] * len(active) / i)
+            active[i - 1]["q"] = least
+        for r in mine:
+            assert r["qvalue"] == pytest.approx(r.setdefault("q", 1.0))
+            assert r["pass_q_0_05"] == (r["qvalue"] <= 0.05 and r["n_matched"] > 0)
+        order = sorted(mine, key=lambda r: (r["qvalue"], -r["n_unique"], -r["n_matched"], r["genome_id"]))
+        assert [r["presence_rank"] for r in order] == list(range(1, len(mine) + 1))
+    for s in result.tables()["cohort_genome_summary"].collect():
+        mine = [r for r in rows if r["genome_id"] == s.genome_id]
+        assert s.n_units_tested == 2 and s.n_units_q_le_0_05 == sum(r["qvalue"] <= 0.05 for r in mine)
+        assert s.best_qvalue == min(r["qvalue"] for r in mine) and s.total_unique_peptides == sum(r["n_unique"] for r in mine)
+
+
+def test_all_tables_of_a_run(spark, tmp_path):
+    result = small_run(spark, alpha=0.01)
+    assert result.mode == "alpha-upper-bound" and {"bin", "background_size", "p_tail"} <= set(result.unit_genome.columns)
+    tables = result.tables(derived=True)
+    called = {(r.analysis_unit_id, r.genome_id) for r in result.unit_genome.where("pass_q_0_05").collect()}
+    assert called
+    listed = [(r.analysis_unit_id, r.presence_rank) for r in tables["unit_genome_list_q005"].collect()]
+    assert listed == sorted(listed) and len(listed) == len(called)
+    assert tables["unit_genome_list_q005"].columns == ["analysis_unit_id", "genome_id", "Lineage", "presence_rank", "qvalue"]
+    union = [r.genome_id for r in tables["genome_union_q005"].collect()]
+    assert set(union) == {g for _, g in called}
+    assert {r.genome_id for r in tables["genome_by_unit_q005_matrix"].collect()} == set(union)
+    assert len(tables["unit_genome_results_full"].columns) > len(tables["unit_genome_results"].columns)
+    import json
+
+    document = json.loads(result.run_document().first().value)
+    assert document["parameters"]["alpha"] == 0.01 and document["results"]["n_tests"] == 14 and document["counts"]["mode"] == result.mode
+    assert set(document["seconds"]) == {"prepare", "stage1", "stage2", "decide"}
+
+
+def test_unions_must_nest(spark):
+    from presencia.operators import summary
+
+    one, two = (spark.createDataFrame([(g,) for g in x], "genome_id string") for x in ("ab", "b"))
+    with pytest.raises(RuntimeError):
+        summary.require_nested(one, two)
+    assert summary.require_nested(two, one) is two
+
+
+def test_panel_counts_are_reused(spark, tmp_path):
+    from presencia.plans.score import prepare
+
+    panel = spark.createDataFrame([("a", "AAAAAAK"), ("b", "CCCCCCK")], "genome_id string, peptide string")
+    path = f"file://{tmp_path}/reuse"
+    for rows, want in ((panel, 2), (panel, 2), (panel.where("genome_id = 'a'"), 1)):
+        assert prepare(table(spark, ["AAAAAAK"]), rows, keep=True, reuse=path).genomes.count() == want
+    assert spark.read.parquet(f"{path}/table").count() == 1
+
+
+def test_written_tables_can_be_cleared(spark):
+    from presencia import tables
+
+    kept = tables.written(spark.range(3), "clear-me")
+    path = tables.new_path(spark, "x").rsplit("/", 1)[0]
+    assert kept.count() == 3 and spark.read.parquet(f"{path}/clear-me-*").count() == 3
+    tables.clear_written(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{path}/clear-me-*")
+    with pytest.raises(ValueError):
+        tables.shared_root(type("S", (), {"conf": spark.conf, "sparkContext": type("C", (), {"getConf": spark.sparkContext.getConf, "master": "spark://x"})()})())

@@ -132,3 +132,29 @@ def test_tables_as_text(spark, tmp_path):
     sinks.write_tables({"t": spark.createDataFrame([("u", ["a"])], "k string, v array<string>")}, str(tmp_path), "tsv")
     got = spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).collect()
     assert len(got) == 1 and "a" in got[0].v
+
+
+def test_digests_of_numbers_are_not_written_twice(spark, tmp_path):
+    """A genome named 001 is not the number 1, and is known when it is there."""
+    rows = spark.createDataFrame([("001", "p", "AAAAAAK"), ("1", "p", "CCCCCCK")], "genome_id string, protein string, peptide string")
+    for part in (rows.where("genome_id = '001'"), rows, rows):
+        digestion.write_digest(part, str(tmp_path / "d"))
+    got = sorted(tuple(r) for r in readers.read_panel(spark, [str(tmp_path / "d")]).collect())
+    assert got == [("001", "AAAAAAK"), ("1", "CCCCCCK")]
+    kept = spark.read.schema("Protein string, Peptide string, genome_id string").csv(str(tmp_path / "d"), sep="\t", header=True)
+    assert kept.count() == 2
+
+
+def test_examples_of_inner_stops_are_the_first_by_name(spark):
+    rows = spark.createDataFrame([("g", f"p{i:02}", "AAAK*CCCCCCK") for i in range(12)] + [("h", "q", "AAAK"), ("g", None, "A*K")], "genome_id string, header string, sequence string")
+    got = {r.genome_id: r.inner_stop_examples for r in digestion.digest_qc(rows).collect()}
+    assert got["h"] == [] and [x for x in got["g"] if x][:4] == ["p00", "p01", "p02", "p03"] and len(got["g"]) <= 5
+
+
+def test_more_units_than_columns(spark):
+    from presencia.operators import summary
+
+    rows = spark.createDataFrame([(f"u{i}", "g", True, True, 0.001) for i in range(4)], "analysis_unit_id string, genome_id string, pass_q_0_01 boolean, pass_q_0_05 boolean, qvalue double")
+    assert summary.presence_matrix(rows, "q001", 4).columns == ["genome_id", "u0", "u1", "u2", "u3"]
+    with pytest.raises(ValueError):
+        summary.presence_matrix(rows, "q001", 3)
