@@ -41,7 +41,7 @@ class AnnParams:
     than the signed axes; ``block_rows`` is what one task takes of a hot bucket."""
 
     top: int = 10
-    tables: int = 6
+    tables: int = 3
     seed: int = 5
     recall: float = 0.96
     fit_queries: int = 128

@@ -395,7 +395,7 @@ def brute_nearest(rows, top):
     return out
 
 
-@pytest.mark.parametrize("block,tables,recall", [(8192, 6, 0.96), (30, 1, 1.0), (30, 6, 0.96)])
+@pytest.mark.parametrize("block,tables,recall", [(8192, 3, 0.96), (30, 1, 1.0), (30, 6, 0.96)])
 def test_neighbours(spark, block, tables, recall):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(700, 16)).astype(np.float32).tolist()
