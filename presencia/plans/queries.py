@@ -13,7 +13,7 @@ from presencia.functions import text as T
 from presencia.operators import background, decide, diagnostics, digestion, evidence, observed, panel, summary, unique, units
 from presencia.params import ScoreParams
 from presencia.plans import fixture, score
-from presencia.plans.sql import CALLING_ALPHA, calibration, diagnosed, digits, statement
+from presencia.plans.sql import CALLING_ALPHA, calibration, diagnosed, digits, empirical, statement
 from presencia.session import ship_package
 from presencia.sources import readers, sinks
 from presencia.tables import new_path, written
@@ -251,6 +251,12 @@ def genome_selection(spark, d):
     return some.groupBy("genome_id").agg(F.count("*").alias("n"))
 
 
+@query(statement("panel", "SELECT genome_id, count(*) AS n FROM panel WHERE genome_id IN (SELECT genome_id FROM (SELECT DISTINCT genome_id FROM panel) ORDER BY md5('42|' || genome_id), genome_id LIMIT 100) GROUP BY genome_id"))
+def trial_subset(spark, d):
+    """A sampling operator: a hundred genomes by a seeded hash."""
+    return panel.sample_genomes(written(fixture.panel(spark, d), "panel"), 100).groupBy("genome_id").agg(F.count("*").alias("n"))
+
+
 @query(statement("matches", "SELECT * FROM matches"))
 def panel_matches(spark, d):
     return _prepared(spark, d, keep=False).matches
@@ -525,6 +531,21 @@ def background_loo(spark, d):
     return _rounded(out.select("analysis_unit_id", "genome_id", "bin", "background_size", *cols), *cols)
 
 
+@query(
+    empirical(
+        """SELECT analysis_unit_id, genome_id, in_background, round(p_tail, 6) AS empirical_tail, round(ln(CASE WHEN excess > 0 THEN greatest(pow(0.05, excess), 1e-300) ELSE 1.0 END), 5) AS log_alpha_excess,
+        round(resolution, 6) AS min_attainable_p FROM testedx"""
+    )
+)
+def empirical_p(spark, d):
+    """The formal p of both methods, and the least that tails can reach."""
+    rows = background.by_strength(_active(_prepared(spark, d)))
+    one, two = (background.background_stats(rows, F.lit(0.05), 4, score.with_mode(ALPHA, empirical_method=m)) for m in ("empirical-tail", "alpha-excess"))
+    keys = ["analysis_unit_id", "genome_id"]
+    found = one.select(*keys, "in_background", F.col("pvalue_unique").alias("empirical_tail"), "min_attainable_p").join(two.select(*keys, F.ln("pvalue_unique").alias("log")), keys)
+    return _rounded(found.withColumn("log_alpha_excess", F.round("log", 5)).drop("log"), "empirical_tail", "min_attainable_p")
+
+
 _EDGES = ", ".join(f"quantile_cont(CAST(opportunity AS DOUBLE), [{', '.join(str(i / k) for i in range(k + 1))}]) AS q{k}" for k in range(2, 9))
 
 
@@ -840,6 +861,28 @@ def manifest_file(spark, d):
     return chosen.select("analysis_unit_id", F.array_join("sample_ids", ",").alias("samples"), "n_samples", F.array_join("genome_ids_q005", ",").alias("genomes_q005"), F.array_join("genome_ids_q001", ",").alias("genomes_q001"))
 
 
+@query(
+    calls(
+        """SELECT count(*) FILTER (u = 'u0') AS empty_samples, count(*) FILTER (u = 'u1') AS wrong_n_samples, count(*) FILTER (u = 'u2') AS repeated_samples, count(*) FILTER (u = 'u3' AND n5 > 0) AS repeated_genomes,
+        count(*) FILTER (u = 'u1') AS q001_not_in_q005, 0::BIGINT AS samples_in_units FROM (SELECT m.u, coalesce(n5, 0) AS n5 FROM (SELECT DISTINCT analysis_unit_id AS u FROM mapping WHERE included) m
+        LEFT JOIN (SELECT analysis_unit_id AS u, count(*) AS n5 FROM scored WHERE pass_q_0_05 GROUP BY 1) c USING (u))"""
+    )
+)
+def selection_rules(spark, d):
+    """A selection in which each unit breaks a rule of its own."""
+    p, rows = _calls(spark, d)
+    unit, samples, wide, narrow = (F.col(c) for c in ("analysis_unit_id", "sample_ids", "genome_ids_q005", "genome_ids_q001"))
+    broken = sinks.selection(p.mapping, rows).withColumns(
+        {
+            "sample_ids": F.when(unit == "u0", F.expr("cast(array() as array<string>)")).when(unit == "u2", F.concat(samples, samples)).otherwise(samples),
+            "genome_ids_q005": F.when(unit == "u3", F.concat(wide, wide)).otherwise(wide),
+            "genome_ids_q001": F.when(unit == "u1", F.array(F.lit("none such"))).otherwise(narrow),
+        }
+    )
+    n = F.when(unit == "u1", F.size("sample_ids") + 1).otherwise(F.size("sample_ids"))
+    return sinks.selection_violations(broken.withColumn("n_samples", n.cast("long")))
+
+
 @query(statement("genomes", "SELECT false AS first, true AS second, false AS other, count(*) AS n_genomes, sum(opportunity) AS n_unique FROM genomes"))
 def reused_tables(spark, d):
     """A table is made once for a panel and again for another one."""

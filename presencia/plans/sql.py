@@ -169,6 +169,12 @@ RANKED = (
 )
 
 
+def empirical(body: str, share: str = "0.05") -> str:
+    """``body`` after one pass with the same share for all units: table testedx."""
+    steps = STEPS[: [n for n, _ in STEPS].index("grid") + 1] + [RANKED]
+    return chained(steps + [("given", f"SELECT DISTINCT analysis_unit_id, {share}::DOUBLE AS f FROM ranked0")] + background_pass("x", "given"), body)
+
+
 def diagnosed(body: str) -> str:
     """``body`` after one pass whose shares are those of the calls' own
     candidates: table testedd."""
