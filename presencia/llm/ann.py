@@ -268,7 +268,8 @@ def nearest(table: DataFrame, is_query=None, params: AnnParams = AnnParams(), id
     schema = f"h1 long, h2 long, vec array<{kind}>"
     coded = written(classes.select("h1", "h2", "vec", "ids").mapInArrow(code_rows, schema + ", ids array<long>, codes array<long>"), "ann-codes")
     counts = written(coded.select(F.explode("codes").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")), "ann-buckets")
-    hot = hot_keys(counts, "bucket", params.block_rows)  # at most a thousand
+    none = spark.createDataFrame([], "bucket long, _llm_salts int")
+    hot = hot_keys(counts, "bucket", params.block_rows) or none  # at most a thousand
     asks = written(asked.mapInArrow(probe_rows, "bucket long, " + schema).join(counts, "bucket", "left_semi"), "ann-asks")
     members = coded.select(F.explode("codes").alias("bucket"), "h1", "h2", "vec", "ids").join(asks.select("bucket").distinct(), "bucket", "left_semi")
     salts = F.coalesce("_llm_salts", F.lit(1))

@@ -231,7 +231,7 @@ def _with_removals(docs: DataFrame, params: LineParams, id_col: str, text_col: s
         return pd.DataFrame(out, columns=["text", "lines_removed", "runs_removed"])
 
     keyed = docs.withColumn("_llm_key", F.struct(*[c.alias(n) for n, c in keys.items()]))
-    counts = keyed.groupBy("_llm_key").agg(F.count("*").alias("n"))
+    counts = written(keyed.groupBy("_llm_key").agg(F.count("*").alias("n")), "lines-documents")
     joined = hot_join(keyed, gone, hot_keys(counts, "_llm_key"), "_llm_key", "left")
     return joined.withColumn("_llm_out", apply(body, F.col("_llm_gone")))
 

@@ -98,19 +98,26 @@ class WordIds:
                 self._keep(w, np.array(e.ids, dtype="<u4").tobytes())
 
     def ids(self, text: bytes) -> bytes:
-        words, known = text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()], self.known
+        known = self.known
+        # a text with other letters is looked up as it stands; its words are remembered in both forms
+        words = text.lower().split() if text.isascii() else text.split()
         found = list(map(known.get, words))
         if None not in found:
             return b"".join(found)
         if self.held > self.most:
             known.clear()
             self.held = 0
-        new = {w for w, ids in zip(words, found) if ids is None}
+        raw = {w for w, ids in zip(words, found) if ids is None}
+        lowered = {w: w.lower() if w.isascii() else w for w in raw}
+        new = {w for w in lowered.values() if w not in known}
         ends = {w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
         need = {w[:-1] for w in ends} | {b".", b","} | (new - ends)
         self.learn([w for w in need if w not in known])
         for w in ends:
             self._keep(w, known[w[:-1]] + known[w[-1:]])
+        for w, low in lowered.items():
+            if w != low:
+                self._keep(w, known[low])
         return b"".join([known[w] if ids is None else ids for w, ids in zip(words, found)])
 
 

@@ -125,27 +125,28 @@ def scan_versions(
     ledger = ledger or new_path(spark, "secret-ledger")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = versions.select(F.col(f"`{path_col}`").alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
-    counts = _append_unseen(rows, ledger, rules, rule_version)
+    hot = _append_unseen(rows, ledger, rules, rule_version)
     found = _findings(spark, ledger, rule_version)
-    return hot_join(rows.select("path", "blob"), found, hot_keys(counts, "blob"), "blob", "left").select(
+    return hot_join(rows.select("path", "blob"), found, hot, "blob", "left").select(
         "path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans")
     )
 
 
-def _append_unseen(rows: DataFrame, ledger: str, rules: tuple[Rule, ...], rule_version: str) -> DataFrame:
+def _append_unseen(rows: DataFrame, ledger: str, rules: tuple[Rule, ...], rule_version: str) -> DataFrame | None:
     """Scan the blobs of ``rows`` (blob, text) that the ledger lacks and append
-    them. Returns (blob, n) of the rows."""
+    them. Returns the hot blobs of the rows."""
     counts = written(rows.groupBy("blob").agg(F.count("*").alias("n")), "secret-blobs")
+    hot = hot_keys(counts, "blob")
     known = _ledger(rows.sparkSession, ledger)
     if known is None:
         fresh = rows
     else:
         # texts move only for blobs that are new; equal ones of a task meet before they move
         unseen = counts.select("blob").join(known.where(F.col("rules") == rule_version).select("blob").distinct(), "blob", "left_anti")
-        fresh = hot_join(rows, unseen, hot_keys(counts, "blob"), "blob")
+        fresh = hot_join(rows, unseen, hot, "blob")
     blobs = fresh.groupBy("blob").agg(F.first("text").alias("text"))
     scan(blobs, rules).withColumn("rules", F.lit(rule_version)).write.mode("append").parquet(ledger)
-    return counts
+    return hot
 
 
 def _findings(spark: SparkSession, ledger: str, rule_version: str) -> DataFrame:
@@ -198,7 +199,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", ledger: str | None =
     body = F.col(f"`{text_col}`")
     text = F.coalesce(body, F.lit(""))
     blob = F.unhex(F.sha2(text, 256))
-    counts = _append_unseen(docs.select(blob.alias("blob"), text.alias("text")), ledger, RULES, RULE_VERSION)
+    hot = _append_unseen(docs.select(blob.alias("blob"), text.alias("text")), ledger, RULES, RULE_VERSION)
     found = _findings(spark, ledger, RULE_VERSION).select(F.col("blob").alias("_llm_blob"), F.col("spans").alias("_llm_spans"))
     walked = F.aggregate(
         "_llm_spans",
@@ -210,7 +211,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", ledger: str | None =
         ),
         lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))),
     )
-    hot = hot_keys(counts.withColumnRenamed("blob", "_llm_blob"), "_llm_blob")
+    hot = None if hot is None else hot.withColumnRenamed("blob", "_llm_blob")
     joined = hot_join(docs.withColumn("_llm_blob", blob), found, hot, "_llm_blob", "left")
     masked = F.when(F.col("_llm_spans").isNull(), body).otherwise(walked)
     return joined.select(*[masked.alias(n) if n == text_col else F.col(f"`{n}`") for n in names])

@@ -21,16 +21,19 @@ def reserved(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def hot_keys(counts: DataFrame, on: str, least: int = 500) -> DataFrame:
-    """(on, _llm_salts): the keys of ``counts`` (on, n) that hold more than a
-    thousandth of all rows, at most a thousand of them, with the number of
-    parts they are cut into. Written, and so small that it may be broadcast."""
+def hot_keys(counts: DataFrame, on: str, least: int = 500) -> DataFrame | None:
+    """(on, _llm_salts): the keys of ``counts`` (on, n; written) that hold more
+    than a thousandth of all rows, with the number of parts they are cut into;
+    None if there are none. There are never more than a thousand, so they go
+    through the driver and may be broadcast."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(least, total // HOT_SHARE)
-    return written(counts.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_llm_salts")), "hot-keys")
+    found = counts.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_llm_salts"))
+    rows = found.collect()
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, hot: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, keyed: DataFrame, hot: DataFrame | None, on: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed`` (one row a key); the ``hot_keys`` of
     ``rows`` are cut into parts.
 
@@ -38,6 +41,8 @@ def hot_join(rows: DataFrame, keyed: DataFrame, hot: DataFrame, on: str, how: st
     is worked out of files row by row, which keep their order when a task is
     run again.
     """
+    if hot is None:
+        return rows.join(keyed, on, how)
     hot = F.broadcast(hot)
     dealt = rows.withColumn("_llm_at", F.monotonically_increasing_id()).join(hot, on, "left")
     dealt = dealt.withColumn("_llm_salt", F.pmod("_llm_at", F.coalesce("_llm_salts", F.lit(1))).cast("int")).drop("_llm_at", "_llm_salts")
