@@ -139,16 +139,25 @@ def _append_unseen(rows: DataFrame, ledger: str, rules: tuple[Rule, ...], rule_v
     hot = hot_keys(counts, "blob")
     known = _ledger(rows.sparkSession, ledger)
     if known is None:
-        fresh = rows
+        blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
     else:
-        # texts move only for blobs that are new; equal ones of a task meet before they move
         unseen = counts.select("blob").join(known.where(F.col("rules") == rule_version).select("blob").distinct(), "blob", "left_anti")
-        fresh = hot_join(rows, unseen, hot, "blob")
-    blobs = fresh.groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = _unseen_texts(rows, unseen, hot)
     scan(blobs, rules).withColumn("rules", F.lit(rule_version)).write.mode("append").parquet(ledger)
     return hot
 
 
+def _unseen_texts(rows: DataFrame, unseen: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """blob, text of the unseen blobs, once each. Joined and grouped by one key,
+    texts move once at most; those of hot blobs meet in their tasks before."""
+    first = F.first("text").alias("text")
+    if hot is None:
+        return rows.join(unseen, "blob").groupBy("blob").agg(first)
+    keys = F.broadcast(hot.select("blob"))
+    often = rows.join(keys, "blob", "left_semi").groupBy("blob").agg(first).join(unseen, "blob")
+    return often.unionByName(rows.join(keys, "blob", "left_anti").join(unseen, "blob").groupBy("blob").agg(first))
+
+
 def _findings(spark: SparkSession, ledger: str, rule_version: str) -> DataFrame:
     """blob, spans of the ledger's blobs that hold any. A retried append can
     repeat a pair; both copies say the same."""

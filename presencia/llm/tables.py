@@ -24,13 +24,12 @@ def reserved(df: DataFrame, *names: str) -> DataFrame:
 def hot_keys(counts: DataFrame, on: str, least: int = 500) -> DataFrame | None:
     """(on, _llm_salts): the keys of ``counts`` (on, n; written) that hold more
     than a thousandth of all rows, with the number of parts they are cut into;
-    None if there are none. There are never more than a thousand, so they go
-    through the driver and may be broadcast."""
+    None if there are none. There are never more than a thousand, so they may
+    be broadcast; written, their size is known to Spark."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     limit = max(least, total // HOT_SHARE)
     found = counts.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_llm_salts"))
-    rows = found.collect()
-    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    return None if found.isEmpty() else written(found, "hot-keys")
 
 
 def hot_join(rows: DataFrame, keyed: DataFrame, hot: DataFrame | None, on: str, how: str = "inner") -> DataFrame:
