@@ -133,5 +133,19 @@ def test_written_tables_can_be_cleared(spark):
     tables.clear_written(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(f"{path}/clear-me-*")
-    with pytest.raises(ValueError):
-        tables.shared_root(type("S", (), {"conf": spark.conf, "sparkContext": type("C", (), {"getConf": spark.sparkContext.getConf, "master": "spark://x"})()})())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from presencia import tables
+
+    unset = SimpleNamespace(get=lambda *_: None)
+
+    def session(master):
+        return SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            tables.shared_root(session(master))
+    assert tables.shared_root(session("local[4]")).startswith("file:///")
