@@ -1,10 +1,10 @@
-"""The ten registered queries over whole tables, and SQL where it can say them."""
+"""The registered queries over whole tables, and SQL where it can say them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presencia.llm import ann, fst, langid, linededup, packing, quality, secrets, simhash, tokencount, warc
+from presencia.llm import ann, classifier, filteraudit, fim, fst, langid, linededup, packing, quality, secrets, simhash, tokencount, warc
 from presencia.session import ship_package
 
 
@@ -53,12 +53,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_simhash, op2_token_counts, op3_secrets, op4_packing, op5_warc_fixity, op6_cross_polytope,
-            op7_language_id, op8_quality, op9_sentencepiece, op10_line_dedup,
+            op7_language_id, op8_quality, op9_sentencepiece, op10_line_dedup, op11_fim, op12_filter_audit, op13_quality_classifier,
         )
     }
 
@@ -135,5 +147,35 @@ def _quality_sql() -> str:
     FROM f LEFT JOIN o USING (id)"""
 
 
+_FIM_SQL = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS k FROM d),
+    c AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+        least(k[1] % (len(w) + 1), k[2] % (len(w) + 1)) AS a, greatest(k[1] % (len(w) + 1), k[2] % (len(w) + 1)) AS b FROM u),
+    p AS (SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m, coalesce(array_to_string(w[b + 1:], ''), '') AS s FROM c)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM p"""
+
+_AUDIT_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+    f AS (SELECT doc_id, part, CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+        + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+        + 16 * CAST(coalesce(doc_id > least, least IS NOT NULL) AS INT) AS bits FROM w),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    c AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS v),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.v, b.v, c.v, d.v, e.v] AS vs FROM x a, x b, x c, x d, x e
+        WHERE a.v + b.v + c.v + d.v + e.v = 31 AND len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+    s AS (SELECT filter_order, step, vs[step] AS own, coalesce(list_sum(vs[1:step - 1]), 0)::INT AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+    r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (bits & (earlier | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (bits & own > 0 AND bits & earlier = 0), 0) AS removed,
+        coalesce(sum(n) FILTER (bits & own > 0 AND bits & earlier > 0), 0) AS redundant, coalesce(sum(n) FILTER (bits = own), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (bits & own > 0 AND bits & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (bits & own > 0 AND bits & earlier = 0), 0) AS toxic_lost
+        FROM c, s GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": _secret_sql(), "op8_quality": _quality_sql()}
+    return {"op3_secrets": _secret_sql(), "op8_quality": _quality_sql(), "op11_fim": _FIM_SQL, "op12_filter_audit": _AUDIT_SQL}
