@@ -1,89 +1,157 @@
 """Shared evidence: knockoff sums drawn from pools of contributions.
 
-Draws are seeded by run, unit, genome and stage, so a genome's p-value does not
-depend on the partitioning; it is statistically, not bit for bit, what one
-sequential generator per unit would give. Ties count as at least as large.
+Draws come from a counter-based generator: draw i of iteration k of a unit,
+genome and stratum is a hash of these and the seed, so any task can make any
+draw, no result depends on the partitioning, and more iterations continue what
+fewer have begun. A draw is a place in the stratum's pool, a histogram of
+distinct contributions with their cumulative counts; pools are cut into pages,
+and a task adds up the draws of some genomes that fall on one page. The partial
+sums of a genome's pages are added up by an aggregate. A pool's counts must
+stay under 2**32. Ties count as at least as large.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYS = ["analysis_unit_id", "bucket"]
-OUT = "analysis_unit_id string, genome_id string, pvalue_shared double, null_mean double, null_sd double, null_q95 double, null_q99 double, z_shared double"
+from presencia.operators.ranking import running_sum, with_rank
+from presencia.tables import written
+
+KEYS = ["analysis_unit_id", "genome_id"]
+STRATUM = ["deg_bin", "len_bin"]
+#: Distinct contributions on a page, draws a task makes, draws at a time.
+PAGE, WORK, BLOCK = 1 << 20, 1 << 24, 1 << 20
+SUMS = "analysis_unit_id string, genome_id string, page long, first int, sums binary"
+NULL = "pvalue_shared double, null_mean double, null_sd double, null_q95 double, null_q99 double, z_shared double"
+LEAST_ITERATIONS = 50
+# Multipliers of a 32-bit mixing function.
+MIX = (0x21F0AAAD, 0xD35A2D97)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 32-bit numbers that spreads close ones."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(MIX[0])
+    x = x ^ (x >> np.uint32(15))
+    x = x * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(15))
 
 
-def seed_of(seed: int, unit: str, genome: str, stage: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{seed}\0{unit}\0{genome}\0{stage}".encode(), digest_size=8).digest(), "little")
+def draws(k0: int, k1: int, c: int, total: int, first: int, last: int) -> np.ndarray:
+    """Places in a pool of ``total``: a row an iteration, a column a draw."""
+    ks = mixed(np.arange(first, last, dtype=np.uint32) + np.uint32(k0))
+    at = mixed(np.arange(c, dtype=np.uint32) + np.uint32(k1))
+    return (mixed(ks[:, None] ^ at[None, :]).astype(np.uint64) * np.uint64(total)) >> np.uint64(32)
 
 
-def null_sums(rng: np.random.Generator, strata: list, pools: dict, k: int, block: int = 128) -> np.ndarray:
-    """k sums of c draws with replacement from each stratum's pool."""
-    sums = np.zeros(k)
-    for key, c in strata:
-        values, share = pools[key]
-        for at in range(0, k, block):
-            n = min(block, k - at)
-            if len(values) <= max(64, c):
-                sums[at : at + n] += rng.multinomial(c, share, size=n) @ values
-            else:
-                sums[at : at + n] += rng.choice(values, size=(n, c), p=share).sum(axis=1)
-    return sums
+def _key(seed: int, i: int) -> Column:
+    """The i-th group of eight hex digits of the hash of seed and stratum."""
+    text = F.concat_ws("|", F.lit(str(seed)), *KEYS, *[F.col(c).cast("string") for c in STRATUM])
+    return F.conv(F.substring(F.md5(text), 8 * i + 1, 8), 16, 10).cast("long")
 
 
-def _kernel(seed: int, iterations: int, stage: int):
-    def run(targets, pools):
+def pool_pages(pools: DataFrame) -> DataFrame:
+    """unit, deg_bin, len_bin, contribution, n, low, total, page: the places
+    from ``low`` on of a stratum's pool are this contribution's. Written."""
+    unit = KEYS[0]
+    rows = pools.select(unit, *[F.col(f"stratum.{c}").alias(c) for c in STRATUM], "contribution", "n")
+    ranked = with_rank(rows, unit, [F.col(c) for c in (*STRATUM, "contribution")], "_rank", "pool-ranks")
+    summed = running_sum(ranked, unit, "_rank", "n", "_upto").drop("_upto_total")
+    whole = summed.groupBy(unit, *STRATUM).agg(F.sum("n").alias("total"), F.min(F.col("_upto") - F.col("n")).alias("_base"))
+    out = summed.join(whole, [unit, *STRATUM]).withColumn("low", F.col("_upto") - F.col("n") - F.col("_base"))
+    page = F.floor((F.col("_rank") - 1) / F.lit(PAGE)).cast("long")
+    return written(out.select(unit, *STRATUM, "contribution", "n", "low", "total", page.alias("page")), "pool-pages")
+
+
+def _page_sums(first: int, last: int):
+    """Sums of the draws that fall on one page, a row a genome."""
+
+    def run(targets, page):
         import pandas as pd
 
-        histograms = {}
-        for key, part in pools.groupby(["deg_bin", "len_bin"], sort=True):
-            part = part.sort_values("contribution")
-            n = part["n"].to_numpy(float)
-            histograms[key] = (part["contribution"].to_numpy(float), n / n.sum())
+        pools = {}
+        for key, part in page.groupby(STRATUM, sort=False):
+            part = part.sort_values("low")
+            low, n = part["low"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+            pools[key] = low, int(low[-1] + n[-1]), part["contribution"].to_numpy(float), n, int(part["total"].iloc[0])
         rows = []
-        for (unit, genome, seen), part in targets.groupby(["analysis_unit_id", "genome_id", "weighted_evidence_shared"], sort=True):
-            strata = sorted(((d, n), int(c)) for d, n, c in zip(part["deg_bin"], part["len_bin"], part["c"]))
-            sums = null_sums(np.random.default_rng(seed_of(seed, unit, genome, stage)), strata, histograms, iterations)
-            ge = int((sums >= seen - 1e-9 * max(1.0, abs(seen))).sum())
-            sd = float(sums.std(ddof=1)) if iterations > 1 else 0.0
-            mean = float(sums.mean())
-            rows.append((unit, genome, (1.0 + ge) / (1.0 + iterations), mean, sd, *np.quantile(sums, [0.95, 0.99]), (seen - mean) / (sd + 1e-12)))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
+        for (unit, genome), part in targets.groupby(KEYS, sort=False):
+            sums = np.zeros(last - first)
+            for deg, length, c, k0, k1 in part.sort_values(STRATUM)[[*STRATUM, "c", "k0", "k1"]].itertuples(index=False):
+                low, end, values, n, total = pools[deg, length]
+                # few places: one cell each; many: where they fall between the values
+                cells = np.repeat(values, n) if end - low[0] <= 4 * PAGE else None
+                step = max(1, BLOCK // c)
+                for a in range(first, last, step):
+                    b = min(last, a + step)
+                    place = draws(k0, k1, c, total, a, b).astype(np.int64)
+                    inside = (place >= low[0]) & (place < end)
+                    place = np.where(inside, place, low[0])
+                    found = cells[place - low[0]] if cells is not None else values[np.searchsorted(low, place, "right") - 1]
+                    sums[a - first : b - first] += np.where(inside, found, 0.0).sum(axis=1)
+            rows.append((unit, genome, int(page["page"].iloc[0]), first, sums.tobytes()))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in SUMS.split(", ")])
 
     return run
 
 
-def knockoff(targets: DataFrame, strata: DataFrame, pools: DataFrame, iterations: int, seed: int = 42, stage: int = 1, per_bucket: int = 500) -> DataFrame:
+def knockoff_sums(targets: DataFrame, strata: DataFrame, pages: DataFrame, first: int, last: int, seed: int = 42, work: int = WORK) -> DataFrame:
+    """unit, genome, page, first, sums: for each target and page of its
+    strata the partial sums of the iterations ``first`` to ``last`` - 1, as
+    doubles. Genomes of a page are dealt over tasks by the draws they need."""
+    unit = KEYS[0]
+    rows = targets.select(*KEYS).join(strata, KEYS).select(*KEYS, *[F.col(f"stratum.{c}").alias(c) for c in STRATUM], "c")
+    on = pages.select(unit, *STRATUM, "page").distinct()
+    rows = written(rows.withColumn("k0", _key(seed, 0)).withColumn("k1", _key(seed, 1)).join(on, [unit, *STRATUM]), "knockoff-rows")
+    load = rows.groupBy(unit, "page").agg(F.ceil(F.sum(F.col("c") + 16) * F.lit(last - first) / F.lit(work)).alias("_tasks"))
+    dealt = rows.join(load, [unit, "page"]).withColumn("bucket", F.pmod(F.xxhash64("genome_id"), F.col("_tasks"))).drop("_tasks")
+    copies = pages.join(load, [unit, "page"]).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1))).drop("_tasks")
+    keys = [unit, "page", "bucket"]
+    return dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(_page_sums(first, last), SUMS)
+
+
+def null_of(targets: DataFrame, sums: DataFrame) -> DataFrame:
     """pvalue_shared and the null's moments for ``targets`` (unit, genome,
-    weighted_evidence_shared). Those without shared peptides get 1 and zeros.
-
-    A unit's genomes are dealt over buckets, and its pools, histograms of
-    distinct contributions, go to each, so one large unit spreads over tasks.
-    """
-    iterations = max(50, iterations)
-    buckets = max(1, -(-targets.count() // per_bucket))
-    rows = targets.select("analysis_unit_id", "genome_id", "weighted_evidence_shared").join(strata, ["analysis_unit_id", "genome_id"])
-    bucket = F.pmod(F.xxhash64("genome_id"), F.lit(buckets)).cast("int")
-    parts = [F.col("stratum.deg_bin").alias("deg_bin"), F.col("stratum.len_bin").alias("len_bin")]
-    rows = rows.select("analysis_unit_id", bucket.alias("bucket"), "genome_id", "weighted_evidence_shared", *parts, "c")
-    used = rows.select(*KEYS).distinct()
-    # renamed to themselves: both sides of the cogroup come from the same rows
-    dealt = pools.join(used, "analysis_unit_id").select(*[F.col(k).alias(k) for k in KEYS], *parts, "contribution", "n")
-    found = rows.groupBy(*KEYS).cogroup(dealt.groupBy(*KEYS)).applyInPandas(_kernel(seed, iterations, stage), OUT)
-    out = targets.select("analysis_unit_id", "genome_id").join(found, ["analysis_unit_id", "genome_id"], "left")
+    weighted_evidence_shared); those without sums get 1 and zeros. Partial sums
+    of pages are added up, those of further iterations put behind."""
+
+    @F.pandas_udf(NULL)
+    def moments(parts, seen):
+        import pandas as pd
+
+        rows = []
+        for some, own in zip(parts, seen):
+            spans: dict[int, np.ndarray] = {}
+            for p in some:
+                values = np.frombuffer(p["sums"], float)
+                spans[p["first"]] = spans[p["first"]] + values if p["first"] in spans else values
+            s = np.concatenate([spans[k] for k in sorted(spans)])
+            ge = int((s >= own - 1e-9 * max(1.0, abs(own))).sum())
+            mean, sd = float(s.mean()), float(s.std(ddof=1)) if len(s) > 1 else 0.0
+            rows.append(((1.0 + ge) / (1.0 + len(s)), mean, sd, *np.quantile(s, [0.95, 0.99]), (own - mean) / (sd + 1e-12)))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in NULL.split(", ")], dtype=float)
+
+    # as many as its strata's pages, in order: sums of doubles depend on it
+    parts = F.sort_array(F.collect_list(F.struct("first", "page", "sums")))
+    whole = sums.groupBy(*KEYS).agg(parts.alias("parts")).join(targets.select(*KEYS, "weighted_evidence_shared"), KEYS)
+    found = whole.select(*KEYS, moments("parts", "weighted_evidence_shared").alias("m")).select(*KEYS, "m.*")
+    out = targets.select(*KEYS).join(found, KEYS, "left")
     return out.fillna(1.0, ["pvalue_shared"]).fillna(0.0, ["null_mean", "null_sd", "null_q95", "null_q99", "z_shared"])
 
 
+def knockoff(targets: DataFrame, strata: DataFrame, pools: DataFrame, iterations: int, seed: int = 42, work: int = WORK) -> DataFrame:
+    """One stage from the start: pools to p-values."""
+    sums = knockoff_sums(targets, strata, pool_pages(pools), 0, max(LEAST_ITERATIONS, iterations), seed, work)
+    return null_of(targets, sums)
+
+
 def refined(stage1: DataFrame, stage2: DataFrame) -> DataFrame:
     """Stage 2's values where it ran, else stage 1's."""
-    keys = ["analysis_unit_id", "genome_id"]
-    cols = [c for c in stage1.columns if c not in keys]
-    second = stage2.select(*keys, *[F.col(c).alias(f"_2_{c}") for c in cols])
-    return stage1.join(second, keys, "left").select(*keys, *[_either(c).alias(c) for c in cols], F.col("_2_pvalue_shared").isNotNull().alias("refined"))
+    cols = [c for c in stage1.columns if c not in KEYS]
+    second = stage2.select(*KEYS, *[F.col(c).alias(f"_2_{c}") for c in cols])
+    return stage1.join(second, KEYS, "left").select(*KEYS, *[_either(c).alias(c) for c in cols], F.col("_2_pvalue_shared").isNotNull().alias("refined"))
 
 
 def _either(c: str) -> Column:

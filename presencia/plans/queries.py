@@ -13,7 +13,7 @@ from presencia.functions import text as T
 from presencia.operators import background, decide, diagnostics, digestion, evidence, observed, panel, summary, unique, units
 from presencia.params import ScoreParams
 from presencia.plans import fixture, score
-from presencia.plans.sql import CALLING_ALPHA, calibration, diagnosed, digits, empirical, statement
+from presencia.plans.sql import CALLING_ALPHA, calibration, diagnosed, digits, empirical, statement, whole_run
 from presencia.session import ship_package
 from presencia.sources import readers, sinks
 from presencia.tables import new_path, written
@@ -628,16 +628,40 @@ def alpha_background_diagnostics(spark, d):
 # ---- shared evidence and the whole program -------------------------------------
 
 
-@query()
+def _whole(spark, d, params: ScoreParams = ALPHA) -> score.ScoreResult:
+    return score.score(fixture.observed(spark, d), fixture.panel(spark, d), params, _meta(spark, d))
+
+
+_P_EDGES = "[0.0, 1e-6, 1e-4, 1e-3, 1e-2, 5e-2, 0.1, 0.2, 0.5, 1.0]::DOUBLE[]"
+_NULL = ("pvalue_shared", "null_mean", "null_sd", "null_q95", "null_q99", "z_shared")
+
+
+@query(
+    whole_run(
+        f"""SELECT g.analysis_unit_id, g.genome_id, g.n_shared, round(coalesce(pvalue_shared, 1.0), 6) AS pvalue_shared, {', '.join(f'round(coalesce({c}, 0.0), 5) AS {c}' for c in _NULL[1:5])},
+        CASE WHEN null_sd > 1e-9 THEN round(z_shared, 5) + 0.0 ELSE 0.0 END AS z_shared
+        FROM grid g LEFT JOIN null2 k ON k.analysis_unit_id = g.analysis_unit_id AND k.genome_id = g.genome_id WHERE n_matched >= 1"""
+    )
+)
 def knockoff_p(spark, d):
-    result = score.score(fixture.observed(spark, d), fixture.panel(spark, d), ALPHA, _meta(spark, d))
-    return result.unit_genome.where("n_matched >= 1").select("analysis_unit_id", "genome_id", "n_shared", "pvalue_shared", "null_mean", "null_sd", "null_q95", "null_q99", "z_shared")
+    """Both Monte Carlo stages: the second's draws go on after the first's. The
+    distance from a null without spread is rounding only, so 0 is given."""
+    rows = _whole(spark, d).unit_genome.where("n_matched >= 1")
+    z = F.when(F.col("null_sd") > 1e-9, F.round("z_shared", 5) + 0.0).otherwise(0.0)
+    return _rounded(rows, "pvalue_shared").select("analysis_unit_id", "genome_id", "n_shared", "pvalue_shared", *[F.round(c, 5).alias(c) for c in _NULL[1:5]], z.alias("z_shared"))
 
 
-@query()
+@query(
+    whole_run(
+        f"""SELECT pool, CAST(bin AS INT) AS bin, e[bin + 1] AS above, e[bin + 2] AS upto, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY pool), 6) AS fraction
+        FROM (SELECT * FROM (SELECT unnest(['all', 'unique_0']) AS pool) CROSS JOIN (SELECT unnest(range(9)) AS bin, {_P_EDGES} AS e)) LEFT JOIN
+        (SELECT pool, greatest(len(list_filter({_P_EDGES}, lambda x: x < p)) - 1, 0) AS bin, count(*) AS n FROM
+        (SELECT unnest(CASE WHEN n_unique = 0 THEN ['all', 'unique_0'] ELSE ['all'] END) AS pool, pvalue_shared AS p FROM scored WHERE n_matched >= 1) GROUP BY 1, 2) h USING (pool, bin)"""
+    )
+)
 def shared_p_histogram(spark, d):
-    result = score.score(fixture.observed(spark, d), fixture.panel(spark, d), ALPHA, _meta(spark, d))
-    return diagnostics.shared_p_histogram(result.unit_genome)
+    """Of the p-values that the draws gave."""
+    return _rounded(diagnostics.shared_p_histogram(_whole(spark, d).unit_genome), "fraction")
 
 
 @query()
@@ -647,18 +671,30 @@ def presence_full(spark, d):
     return score.score(fixture.observed(spark, d), fixture.panel(spark, d), ScoreParams(), lineage=lineage).unit_genome
 
 
-@query()
+_FULL = ("pvalue_shared", "pvalue", "qvalue")
+
+
+@query(whole_run(f"SELECT analysis_unit_id, genome_id, n_matched, n_unique, n_shared, round(log10(pvalue_unique), 6) AS log_p_unique, {digits(*_FULL)}, presence_rank, pass_q_0_01, pass_q_0_05 FROM scored"))
 def full_presence_rank(spark, d):
     """Both kinds of evidence, both Monte Carlo stages, units of the metadata."""
-    result = score.score(fixture.observed(spark, d), fixture.panel(spark, d), ALPHA, _meta(spark, d))
-    return result.unit_genome.select("analysis_unit_id", "genome_id", "n_matched", "n_unique", "n_shared", "pvalue_unique", "pvalue_shared", "pvalue", "qvalue", "presence_rank", "pass_q_0_01", "pass_q_0_05")
+    rows = _rounded(_whole(spark, d).unit_genome, *_FULL).withColumn("log_p_unique", F.round(F.log10("pvalue_unique"), 6))
+    return rows.select("analysis_unit_id", "genome_id", "n_matched", "n_unique", "n_shared", "log_p_unique", *_FULL, "presence_rank", "pass_q_0_01", "pass_q_0_05")
 
 
-@query()
+@query(
+    whole_run(
+        """SELECT genome_id, count(*) AS n_units_tested, count(*) FILTER (n_matched >= 1) AS n_units_matched_ge_1, count(*) FILTER (n_unique > 0) AS n_units_with_unique_evidence,
+        count(*) FILTER (qvalue <= 0.05) AS n_units_q_le_0_05, count(*) FILTER (qvalue <= 0.01) AS n_units_q_le_0_01, round(min(qvalue), 6) AS best_qvalue, round(median(qvalue), 6) AS median_qvalue,
+        min(presence_rank) AS best_presence_rank, median(presence_rank) AS median_presence_rank, sum(n_unique) AS total_unique_peptides, max(n_unique) AS max_unique_peptides, sum(n_matched) AS total_matched_peptides,
+        max(n_matched) AS max_matched_peptides, round(count(*) FILTER (qvalue <= 0.05) / count(*), 6) AS fraction_units_q_le_0_05, round(count(*) FILTER (qvalue <= 0.01) / count(*), 6) AS fraction_units_q_le_0_01
+        FROM scored GROUP BY genome_id""",
+        CALLING_ALPHA,
+    )
+)
 def full_cohort_summary(spark, d):
     """The cohort summary of a whole run."""
-    result = score.score(fixture.observed(spark, d), fixture.panel(spark, d), CALLING, _meta(spark, d))
-    return result.tables()["cohort_genome_summary"]
+    out = _whole(spark, d, CALLING).tables()["cohort_genome_summary"].drop("max_excess", "total_excess", "n_units_excess_ge_3")
+    return _rounded(out, "best_qvalue", "median_qvalue", "fraction_units_q_le_0_05", "fraction_units_q_le_0_01")
 
 
 # ---- further parts of the evidence and the results -----------------------------
@@ -715,9 +751,6 @@ def length_strata(spark, d):
     return evidence.strata_counts(p.unit_matches).select("analysis_unit_id", "genome_id", "stratum.deg_bin", "stratum.len_bin", "c")
 
 
-_P_EDGES = "[0.0, 1e-6, 1e-4, 1e-3, 1e-2, 5e-2, 0.1, 0.2, 0.5, 1.0]::DOUBLE[]"
-
-
 @query(
     statement(
         "grid",

@@ -189,8 +189,10 @@ def score(
     base = written(decide.with_targets(_p_unique(full_grid(p), mode, p), params.knockoff_top_n), "grid")
     targets = base.where("is_target")
     strata = written(evidence.strata_counts(p.unit_matches), "strata")
-    pools = written(evidence.knockoff_pools(p.unit_peptides, p.peptides), "pools")
-    stage1 = written(shared.knockoff(targets, strata, pools, params.iterations_stage1, params.seed, 1), "knockoff-1")
+    pages = shared.pool_pages(evidence.knockoff_pools(p.unit_peptides, p.peptides))
+    k1, k2 = (max(shared.LEAST_ITERATIONS, k) for k in (params.iterations_stage1, params.iterations_stage2))
+    sums = written(shared.knockoff_sums(targets, strata, pages, 0, k1, params.seed), "knockoff-sums")
+    stage1 = written(shared.null_of(targets, sums), "knockoff-1")
     done("stage1")
 
     def with_shared(rows: DataFrame, null: DataFrame) -> DataFrame:
@@ -210,10 +212,14 @@ def score(
         done("calibration")
     first = decide.combined(rows, params)
     again = first.where(F.col("is_target") & S.in_any_range(F.col("pvalue"), params.stage2_ranges))
-    stage2 = shared.knockoff(written(again.select(*KEYS, "weighted_evidence_shared"), "refine"), strata, pools, params.iterations_stage2, params.seed, 2)
-    null = written(shared.refined(stage1, stage2), "knockoff")
+    null = stage1
+    if k2 > k1:
+        # the same draws go on where the first stage ended
+        again = written(again.select(*KEYS, "weighted_evidence_shared"), "refine")
+        more = shared.knockoff_sums(again, strata, pages, k1, k2, params.seed).union(sums.join(again.select(*KEYS), KEYS, "left_semi"))
+        null = written(shared.refined(stage1, shared.null_of(again, more)).drop("refined"), "knockoff")
     done("stage2")
-    result = decided(with_shared(base, null.drop("refined")), params)
+    result = decided(with_shared(base, null), params)
     if mode == "alpha-upper-bound":
         # the background only describes such a run; it decides nothing
         judged = written(result, "judged")

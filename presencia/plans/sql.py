@@ -104,6 +104,77 @@ STEPS: list[tuple[str, str]] = [
 ]
 
 
+_WORD = "4294967295::UBIGINT"
+
+
+def _mixed(rows: str) -> str:
+    """``rows`` with their column x put through the draws' mixing function."""
+    for step in ("xor(x, x >> 16)", f"(x * 569420461::UBIGINT) & {_WORD}", "xor(x, x >> 15)", f"(x * 3545902487::UBIGINT) & {_WORD}", "xor(x, x >> 15)"):
+        rows = f"SELECT * REPLACE ({step} AS x) FROM ({rows})"
+    return rows
+
+
+KNOCKOFF = [
+    ("counted", "SELECT analysis_unit_id, genome_id, deg_bin, count(*) AS c FROM um WHERE d >= 2 GROUP BY 1, 2, 3"),
+    ("digested", "SELECT *, md5('42|' || analysis_unit_id || '|' || genome_id || '|' || deg_bin || '|0') AS h FROM counted"),
+    ("keyed", "SELECT * EXCLUDE (h), CAST('0x' || substr(h, 1, 8) AS BIGINT) AS k0, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS k1 FROM digested"),
+    (
+        "pool",
+        """SELECT *, CAST(sum(n) OVER (PARTITION BY analysis_unit_id, deg_bin ORDER BY contribution) - n AS BIGINT) AS low FROM (
+        SELECT analysis_unit_id, deg_bin, contribution, count(*) AS n FROM unit_peptides JOIN peptides USING (peptide) WHERE d >= 2 GROUP BY 1, 2, 3)""",
+    ),
+    ("pool_sizes", "SELECT analysis_unit_id, deg_bin, CAST(sum(n) AS UBIGINT) AS total FROM pool GROUP BY 1, 2"),
+]
+
+
+def knockoff_draws(tag: str, who: str, first: int, last: int) -> list[tuple[str, str]]:
+    """sums{tag}: one row a genome of ``who`` and iteration, with its sum."""
+    key = "analysis_unit_id, genome_id, deg_bin"
+    return [
+        (f"asked{tag}", f"SELECT * FROM keyed JOIN (SELECT DISTINCT analysis_unit_id, genome_id FROM {who}) USING (analysis_unit_id, genome_id)"),
+        (f"ks{tag}", _mixed(f"SELECT {key}, k, CAST(k0 + k AS UBIGINT) & {_WORD} AS x FROM asked{tag}, (SELECT unnest(range({first}, {last})) AS k)")),
+        (f"is{tag}", _mixed(f"SELECT {key}, CAST(k1 + i AS UBIGINT) & {_WORD} AS x FROM (SELECT *, unnest(range(c)) AS i FROM asked{tag})")),
+        (f"at{tag}", _mixed(f"SELECT {key}, k, xor(a.x, b.x) AS x FROM ks{tag} a JOIN is{tag} b USING ({key})")),
+        (f"place{tag}", f"SELECT {key}, k, CAST((x * total) >> 32 AS BIGINT) AS place FROM at{tag} JOIN pool_sizes USING (analysis_unit_id, deg_bin)"),
+        (
+            f"sums{tag}",
+            f"""SELECT p.analysis_unit_id, p.genome_id, k, sum(contribution) AS s FROM place{tag} p ASOF JOIN pool q
+            ON p.analysis_unit_id = q.analysis_unit_id AND p.deg_bin = q.deg_bin AND p.place >= q.low GROUP BY 1, 2, 3""",
+        ),
+    ]
+
+
+def knockoff_null(name: str, sums: str) -> tuple[str, str]:
+    """``name``: p, moments and quantiles of each genome's sums."""
+    return (
+        name,
+        f"""SELECT s.analysis_unit_id, s.genome_id, (1.0 + count(*) FILTER (s >= e - 1e-9 * greatest(1.0, abs(e)))) / (1.0 + count(*)) AS pvalue_shared, avg(s) AS null_mean, stddev_samp(s) AS null_sd,
+        quantile_cont(s, 0.95) AS null_q95, quantile_cont(s, 0.99) AS null_q99, (any_value(e) - avg(s)) / (stddev_samp(s) + 1e-12) AS z_shared FROM {sums} s
+        JOIN (SELECT analysis_unit_id, genome_id, weighted_evidence_shared AS e FROM metrics) m ON m.analysis_unit_id = s.analysis_unit_id AND m.genome_id = s.genome_id GROUP BY 1, 2""",
+    )
+
+
+def _both(rows: str, null: str) -> str:
+    return f"""SELECT *, CASE WHEN n_unique = 0 THEN 1.0 ELSE least(1.0, 2 * pvalue_unique, greatest(pvalue_unique, pvalue_shared)) END AS pvalue
+    FROM (SELECT r.*, coalesce(k.pvalue_shared, 1.0) AS pvalue_shared FROM {rows} r LEFT JOIN {null} k ON k.analysis_unit_id = r.analysis_unit_id AND k.genome_id = r.genome_id)"""
+
+
+def whole_run(body: str, alpha: str = "0.05") -> str:
+    """``body`` after both Monte Carlo stages by error bounds: tables null1,
+    null2 (the second stage where it ran, else the first) and scored."""
+    names = [n for n, _ in STEPS]
+    until = names.index("alpha") + 1
+    steps = STEPS[:until] + KNOCKOFF + knockoff_draws("1", "metrics", 0, 500) + [knockoff_null("null1", "sums1"), ("first", _both("alpha", "null1"))]
+    steps.append(("again", "SELECT analysis_unit_id, genome_id FROM first WHERE n_matched >= 1 AND pvalue BETWEEN 0.01 AND 0.05"))
+    steps += knockoff_draws("2", "again", 500, 2000)
+    steps.append(("sums", "SELECT * FROM sums2 UNION ALL SELECT s.* FROM sums1 s JOIN again USING (analysis_unit_id, genome_id)"))
+    steps.append(knockoff_null("extended", "sums"))
+    steps.append(("null2", "SELECT * FROM extended UNION ALL SELECT * FROM null1 WHERE (analysis_unit_id, genome_id) NOT IN (SELECT (analysis_unit_id, genome_id) FROM again)"))
+    steps.append(("comb", _both("alpha", "null2")))
+    steps += STEPS[until + 1 :][: names.index("scored") - until]
+    return chained([(n, b.replace("{alpha}", alpha)) for n, b in steps], body)
+
+
 #: Error bounds of one peptide: the usual one, and one so small that genomes are called.
 ALPHA, CALLING_ALPHA = "0.05", "0.003"
 

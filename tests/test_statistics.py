@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -167,7 +168,7 @@ def knockoff_input(spark):
 def test_knockoff_invariants(spark):
     t, s, p = knockoff_input(spark)
     one = {r.genome_id: r for r in shared.knockoff(t, s, p, 2000, 7).collect()}
-    two = {r.genome_id: r for r in shared.knockoff(t, s, p, 2000, 7, per_bucket=1).collect()}
+    two = {r.genome_id: r for r in shared.knockoff(t, s, p, 2000, 7, work=20_000).collect()}
     assert one == two
     assert all(1 / 2001 <= r.pvalue_shared <= 1 for r in one.values())
     assert one["b"].pvalue_shared == 1.0 and one["d"].pvalue_shared == 1.0 and one["d"].z_shared == 0.0
@@ -177,6 +178,57 @@ def test_knockoff_invariants(spark):
         assert abs(one[g].null_mean - moments[g].null_mean) <= 5 * sd + 1e-9
 
 
+def plain_sums(seed, unit, genome, strata, pools, k):
+    """The generator once more, a draw at a time."""
+    word = (1 << 32) - 1
+
+    def mixed(x):
+        x ^= x >> 16
+        x = x * 0x21F0AAAD & word
+        x ^= x >> 15
+        x = x * 0xD35A2D97 & word
+        return x ^ x >> 15
+
+    sums = [0.0] * k
+    for (deg, length), c in sorted(strata.items()):
+        h = hashlib.md5(f"{seed}|{unit}|{genome}|{deg}|{length}".encode()).hexdigest()
+        k0, k1 = int(h[:8], 16), int(h[8:16], 16)
+        cells = [v for v, n in sorted(pools[deg, length].items()) for _ in range(n)]
+        for j in range(k):
+            for i in range(c):
+                sums[j] += cells[mixed(mixed(k0 + j & word) ^ mixed(k1 + i & word)) * len(cells) >> 32]
+    return sums
+
+
+@pytest.mark.parametrize("page", [1, 2, 1 << 20])
+def test_draws_equal_brute_force_over_any_pages(spark, monkeypatch, page):
+    """Pools on one page or cut into many, in one go or continued."""
+    monkeypatch.setattr(shared, "PAGE", page)
+    t, s, p = knockoff_input(spark)
+    pages = shared.pool_pages(p)
+    first = shared.knockoff_sums(t, s, pages, 0, 60, 7)
+    more = shared.knockoff_sums(t, s, pages, 60, 100, 7)
+    got = {r.genome_id: r for r in shared.null_of(t, first.union(more)).collect()}
+    pools = {(1, 0): {0.5: 10, 0.25: 30}, (2, 0): {0.1: 7}}
+    for g, strata, seen in (("a", {(1, 0): 4, (2, 0): 3}, 2.0), ("b", {(2, 0): 5}, 0.5), ("c", {(1, 0): 1}, 0.25)):
+        sums = plain_sums(7, "u", g, strata, pools, 100)
+        assert got[g].null_mean == pytest.approx(sum(sums) / 100)
+        assert got[g].pvalue_shared == (1 + sum(x >= seen - 1e-9 for x in sums)) / 101
+    assert got["d"].pvalue_shared == 1.0
+    whole = {r.genome_id: r for r in shared.knockoff(t, s, p, 100, 7).collect()}
+    assert all(whole[g].pvalue_shared == got[g].pvalue_shared for g in "abcd")
+
+
+def test_draws_are_even():
+    """Places of a pool are drawn equally often, iterations do not repeat."""
+    found = shared.draws(123, 456, 100, 10, 0, 2_000)
+    counts = np.bincount(found.ravel().astype(int), minlength=10)
+    assert len(counts) == 10 and abs(counts / found.size - 0.1).max() < 0.003
+    sums = found.sum(axis=1).astype(float)
+    assert abs(sums.mean() - 450) < 2 and abs(sums.std() - math.sqrt(825)) < 2
+    assert len({tuple(r) for r in found.tolist()}) == 2_000
+
+
 def test_refinement_prefers_the_second_stage(spark):
     schema = "analysis_unit_id string, genome_id string, pvalue_shared double"
     out = shared.refined(spark.createDataFrame([("u", "a", 0.5), ("u", "b", 0.6)], schema), spark.createDataFrame([("u", "a", 0.1)], schema))
