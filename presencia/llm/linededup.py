@@ -1,15 +1,19 @@
 """Line deduplication over content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines decides where a chunk ends,
-so an insertion moves only the boundaries near it; a line of ``long_words`` is
-always a chunk. Chunks that occur more than once anywhere, found by counting
-their digests, are held against the occurrence in the smallest document: bytes
-are compared, and the match is extended at both ends over lines of equal
-128-bit hashes, up to the whole neighbouring chunks and the lines whose
-boundaries may still depend on what lies outside the match. Such matches that touch make a run; a run of
+Lines without a word are passed over. A rolling hash over the hashes of the
+last lines decides where a chunk ends, so an insertion moves only the
+boundaries near it; a line of ``long_words`` is always a chunk. From every
+chunk on so many chunks are taken together that they have ``chunk_words``. Such
+groups that occur more than once anywhere, found by counting their digests, are
+held against the occurrence in the smallest document: bytes are compared, and
+the match is extended at both ends over lines of equal 128-bit hashes: above
+up to the chunk before and below to the end of the group that follows, and in
+both directions over the lines whose boundaries may still depend on what lies
+outside the match. Two documents that share a passage so lose all of its whole
+lines if a group lies within it. Matches that touch make a run; a run of
 ``least_words`` over several lines, or of ``line_words`` in a single one, is
-removed. A removed line always has an equal one in a smaller document, or
-further up in its own, so one copy stays.
+removed, and the wordless lines within it. A removed line always has an equal
+one in a smaller document, or further up in its own, so one copy stays.
 
 Defined cases: null text stays null and has no chunks; empty text stays empty;
 runs of only blank lines are never removed; within a document a repeated run
@@ -17,7 +21,8 @@ stays once, the first. Documents are ordered by id, null ids last, then by a
 hash of their text; rows of equal id and text are one document and share its
 fate, so repeated rows keep their text together. Ids that are no whole numbers
 are an error, and so are columns named ``_llm_...``. An empty table gives an
-empty result. Other columns are carried.
+empty result. Texts are whole whatever their length, one at a time in a task. Other
+columns are carried.
 """
 
 from __future__ import annotations
@@ -37,21 +42,30 @@ LAST = (1 << 63) - 1
 @dataclass(frozen=True)
 class LineParams:
     """``window`` lines decide a boundary, one in ``divisor`` windows is one;
-    ``long_words``: a line of so many words is a chunk of its own;
-    ``chunk_words``: a chunk under it is no candidate; ``least_words`` and
-    ``line_words``: the least run that is removed, of several lines and of one;
-    ``context_lines``: how far a match is extended beyond a chunk at most."""
+    ``long_words``: a line of so many words is a chunk of its own; a chunk has
+    ``most_lines`` at most; ``chunk_words``: chunks are taken together until
+    they have so many words; ``least_words`` and ``line_words``: the least run
+    that is removed, of several lines and of one."""
 
     window: int = 2
     divisor: int = 2
     long_words: int = 8
+    most_lines: int = 64
     chunk_words: int = 5
     least_words: int = 20
     line_words: int = 50
-    context_lines: int = 64
 
 
-def chunks(lines: list[bytes], params: LineParams) -> list[tuple[int, int]]:
+def worded(text: bytes) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
+    """The lines that have a word, their numbers of words, their places among
+    all lines, and all lines."""
+    every = text.split(b"\n")
+    counts = [len(x.split()) for x in every]
+    at = [i for i, n in enumerate(counts) if n]
+    return [every[i] for i in at], [counts[i] for i in at], at, every
+
+
+def chunks(lines: list[bytes], words: list[int], params: LineParams) -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk, in order."""
     import xxhash
 
@@ -63,12 +77,12 @@ def chunks(lines: list[bytes], params: LineParams) -> list[tuple[int, int]]:
         rolled = (rolled * base + h) & mask
         if i >= params.window:
             rolled = (rolled - hashes[i - params.window] * drop) & mask
-        if len(lines[i]) >= 2 * params.long_words - 1 and len(lines[i].split()) >= params.long_words:
+        if words[i] >= params.long_words:
             if i > first:
                 out.append((first, i))
             out.append((i, i + 1))
             first = i + 1
-        elif ((rolled * 0x9E3779B97F4A7C15 & mask) >> 40) % params.divisor == 0:
+        elif ((rolled * 0x9E3779B97F4A7C15 & mask) >> 40) % params.divisor == 0 or i + 1 - first >= params.most_lines:
             out.append((first, i + 1))
             first = i + 1
     if first < len(lines):
@@ -76,6 +90,20 @@ def chunks(lines: list[bytes], params: LineParams) -> list[tuple[int, int]]:
     return out
 
 
+def groups(parts: list[tuple[int, int]], words: list[int], params: LineParams) -> list[int]:
+    """For each chunk the last one that it needs to have ``chunk_words``; the
+    number of chunks where there are not enough."""
+    sizes = [sum(words[a:b]) for a, b in parts]
+    out, last, total = [], -1, 0
+    for i, size in enumerate(sizes):
+        while total < params.chunk_words and last + 1 < len(parts):
+            last += 1
+            total += sizes[last]
+        out.append(last if total >= params.chunk_words else len(parts))
+        total -= size
+    return out
+
+
 def digest(data: bytes) -> bytes:
     """24 bytes of two hashes: equal digests are equal chunks for counting."""
     import xxhash
@@ -84,13 +112,18 @@ def digest(data: bytes) -> bytes:
 
 
 def _candidates(text: bytes, params: LineParams):
-    """(first line, chunk's digest, chunk, lines, chunks) of a text's candidates."""
-    lines = text.split(b"\n")
-    parts = chunks(lines, params)
-    for i, (a, b) in enumerate(parts):
-        body = b"\n".join(lines[a:b])
-        if len(body) >= 2 * params.chunk_words - 1 and len(body.split()) >= params.chunk_words:
-            yield a, b, body, lines, i, parts
+    """(first line, line after, body, above, below) of a text's groups, in
+    places among its lines with words: above, nearest first, and below are the
+    lines that a match may be extended over."""
+    lines, words, *_ = worded(text)
+    parts = chunks(lines, words, params)
+    last, more = groups(parts, words, params), params.window - 1
+    for i, end in enumerate(last):
+        if end == len(parts):
+            break  # all further ones have too few words as well
+        a, b = parts[i][0], parts[end][1]
+        over = parts[min(last[end + 1], len(parts) - 1)][1] if end + 1 < len(parts) else b
+        yield a, b, b"\n".join(lines[a:b]), lines[max(parts[max(0, i - 1)][0] - more, 0) : a][::-1], lines[b : over + more]
 
 
 #: A task hands rows on once they hold so many bytes.
@@ -98,13 +131,13 @@ FLUSH = 8_000_000
 
 
 def _counted(params: LineParams):
-    """Digests of candidate chunks, for counting."""
+    """Digests of groups of chunks, for counting."""
 
     def run(batches):
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                out += [digest(body) for _, _, body, *_ in _candidates(text.as_py() or b"", params)]
+                out += [digest(body) for _, _, body, _, _ in _candidates(text.as_py() or b"", params)]
                 if len(out) * 40 > FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["digest"])
                     out = []
@@ -117,8 +150,8 @@ OCCURRENCE = "id long, h long, digest binary, first long, after long, body binar
 
 
 def _occurrences(params: LineParams):
-    """Candidates with their bytes and the 16-byte hashes of the lines of the
-    chunks above (nearest first) and below them."""
+    """Groups with their bytes and the 16-byte hashes of the lines above
+    (nearest first) and below them."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in OCCURRENCE.split(", ")]
 
@@ -130,11 +163,9 @@ def _occurrences(params: LineParams):
 
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            held, more = 0, params.window - 1
+            held = 0
             for id_, h, text in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("text")):
-                for a, b, body, lines, i, parts in _candidates(text.as_py() or b"", params):
-                    up = lines[max(parts[max(0, i - 1)][0] - more, a - params.context_lines, 0) : a][::-1]
-                    down = lines[b : min(parts[min(i + 1, len(parts) - 1)][1] + more, b + params.context_lines)]
+                for a, b, body, up, down in _candidates(text.as_py() or b"", params):
                     row = (id_, h, digest(body), a, b, body, hashed(up), hashed(down))
                     for c, v in zip(out, row):
                         c.append(v)
@@ -159,7 +190,8 @@ def repeated_lines(rows: DataFrame, params: LineParams) -> DataFrame:
     """(id, h, first, after): stretches of lines that a smaller document, or an
     earlier place in the same one, holds too. ``rows``: id, h, text.
 
-    Digests are counted first, so only the bytes of chunks that repeat move.
+    Places are those among the lines with words. Digests are counted first, so
+    only the bytes of groups that repeat move.
     A digest's smallest occurrence is found by partial minima, and the others
     are held against it, hot digests in parts.
     """
@@ -187,21 +219,16 @@ def repeated_lines(rows: DataFrame, params: LineParams) -> DataFrame:
     return both.mapInArrow(compare, "id long, h long, first long, after long")
 
 
-def removed(lines: list[bytes], stretches: list[tuple[int, int]], params: LineParams) -> list[tuple[int, int]]:
-    """The runs to remove: stretches that touch, long enough together."""
+def removed(words: list[int], stretches: list[tuple[int, int]], params: LineParams) -> list[tuple[int, int]]:
+    """The runs to remove: stretches that touch, long enough together. Places
+    are those among the lines that have ``words``."""
     runs: list[list[int]] = []
     for a, b in sorted(stretches):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    out = []
-    for a, b in runs:
-        words = [len(x.split()) for x in lines[a:b]]
-        least = params.least_words if sum(w > 0 for w in words) > 1 else params.line_words
-        if sum(words) >= least:
-            out.append((a, b))
-    return out
+    return [(a, b) for a, b in runs if sum(words[a:b]) >= (params.least_words if b - a > 1 else params.line_words)]
 
 
 def _with_removals(docs: DataFrame, params: LineParams, id_col: str, text_col: str) -> DataFrame:
@@ -210,8 +237,8 @@ def _with_removals(docs: DataFrame, params: LineParams, id_col: str, text_col: s
     body = F.col(f"`{text_col}`").cast("binary")
     keys = {"id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), "h": F.xxhash64(body)}
     rows = docs.select(*[c.alias(n) for n, c in keys.items()], body.alias("text"))
-    # no longer than the lines of its document
-    gone = repeated_lines(rows, params).groupBy("id", "h").agg(F.flatten(F.collect_list(F.array("first", "after"))).alias("_llm_gone"))
+    # copies of a row have the same stretches; then a list is no longer than its document has chunks
+    gone = repeated_lines(rows, params).distinct().groupBy("id", "h").agg(F.flatten(F.collect_list(F.array("first", "after"))).alias("_llm_gone"))
     gone = written(gone.select(F.struct("id", "h").alias("_llm_key"), "_llm_gone"), "lines-gone")
 
     @F.pandas_udf("text string, lines_removed long, runs_removed long")
@@ -223,11 +250,12 @@ def _with_removals(docs: DataFrame, params: LineParams, id_col: str, text_col: s
             if text is None or some is None:
                 out.append((None if text is None else text.decode("utf-8", "replace"), 0, 0))
                 continue
-            lines = text.split(b"\n")
-            runs = removed(lines, list(zip(some[::2], some[1::2])), params)
+            _, words, at, every = worded(text)
+            runs = removed(words, list(zip(some[::2], some[1::2])), params)
+            before = len(every)
             for a, b in reversed(runs):
-                del lines[a:b]
-            out.append((b"\n".join(lines).decode("utf-8", "replace"), sum(b - a for a, b in runs), len(runs)))
+                del every[at[a] : at[b - 1] + 1]
+            out.append((b"\n".join(every).decode("utf-8", "replace"), before - len(every), len(runs)))
         return pd.DataFrame(out, columns=["text", "lines_removed", "runs_removed"])
 
     keyed = docs.withColumn("_llm_key", F.struct(*[c.alias(n) for n, c in keys.items()]))
