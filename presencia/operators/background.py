@@ -1,7 +1,7 @@
 """Empirical backgrounds of unique counts, stratified by opportunity.
 
-Leave-one-out values come from histograms of the background's counts, never
-from lists of genomes: leaving out one copy of a value shifts ranks by one.
+Leave-one-out values come from running counts of the background's histogram,
+never from lists of genomes: leaving out one copy of a value shifts places by one.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
 from presencia.operators import decide
-from presencia.operators.ranking import with_rank
+from presencia.operators.ranking import at_place, counted, quantiles, with_rank
 from presencia.params import ScoreParams
 from presencia.tables import written
 
 U, A, UNIT = "n_unique", "opportunity", "analysis_unit_id"
+QUANTILES = {f"background_unique_q{n}": n / 100 for n in (50, 90, 95, 99)}
 
 
 def require_opportunity(rows: DataFrame) -> DataFrame:
@@ -55,7 +56,9 @@ def bin_edges(rows: DataFrame, keys: list[str], bins: Column, max_bins: int) ->
     """keys, interior: the distinct quantile edges without the outer ones."""
     every = sorted({q for k in range(1, max_bins + 1) for q in _edges(k)})
     at = {q: i for i, q in enumerate(every)}
-    out = rows.groupBy(*keys).agg(F.percentile(A, F.array(*[F.lit(q) for q in every])).alias("v"), F.count("*").alias("n"), F.count_distinct(A).alias("distinct"))
+    sizes = rows.groupBy(*keys, A).agg(F.count("*").alias("k")).groupBy(*keys).agg(F.sum("k").alias("n"), F.count("*").alias("distinct"))
+    found = quantiles(rows, keys, A, {f"q{i}": q for i, q in enumerate(every)}, "edges").drop("n")
+    out = sizes.join(found, keys).withColumn("v", F.array(*[F.col(f"q{i}").cast("double") for i in range(len(every))]))
     out = out.withColumn("bins", F.greatest(F.lit(1), F.least(bins, F.col("distinct"))))
     picked = F.array(F.lit(0.0)).cast("array<double>")
     for k in range(2, max_bins + 1):
@@ -77,35 +80,36 @@ def with_bins(active: DataFrame, n_bins: int, params: ScoreParams) -> DataFrame:
 
 def _leave_one_out(active: DataFrame, keys: list[str], q: float, tag: str) -> DataFrame:
     """Per (keys, U, membership): size, ge, le, mean and quantile of the
-    background without one own copy."""
-    hist = active.where("in_background").groupBy(*keys, U).agg(F.count("*").alias("k"))
-    steps = F.array_sort(F.collect_list(F.struct(F.col(U).alias("u"), "k")))
-    # as long as the distinct unique counts of a bin, however many genomes it has
-    of_key = hist.groupBy(*keys).agg(steps.alias("h"), F.sum("k").alias("total"), F.sum(F.col("k") * F.col(U)).alias("sum"))
-    asked = active.select(*keys, U, "in_background").distinct().join(of_key, keys, "left")
-    own = F.col("in_background").cast("int")
-    size = F.coalesce("total", F.lit(0)) - own
-
-    def upto(test) -> Column:
-        return F.coalesce(F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s + F.when(test(x), x["k"]).otherwise(0)), F.lit(0))
+    background without one own copy.
 
-    below, ge, le = upto(lambda x: x["u"] < F.col(U)), upto(lambda x: x["u"] >= F.col(U)), upto(lambda x: x["u"] <= F.col(U))
-    place = (size - 1) * F.lit(q)
-    low = F.floor(place)
+    Counts below and up to each U are running counts of the background. Without
+    one copy of a value the places behind it move down by one, and all members
+    ask for the same two places, as all others do; so five values of the whole
+    background, found by their places, are all that a group's rows can ask for.
+    """
+    hist = counted(active, keys, U, F.count_if("in_background"), "background")
+    total = F.col("total")
+
+    def places(size: Column) -> tuple[Column, Column]:
+        place = (size - 1) * F.lit(q)
+        return F.greatest(F.floor(place), F.lit(0)), place
+
+    inside, outside = places(total - 1)[0], places(total)[0]
+    wanted = {"i0": inside, "i1": F.least(inside + 1, total - 2), "o0": outside, "o1": F.least(outside + 1, total - 1)}
+    wanted |= {"j0": wanted["i0"] + 1, "j1": wanted["i1"] + 1}
+    of_key = hist.groupBy(*keys).agg(F.max("total").alias("total"), F.sum(F.col("n") * F.col(U)).alias("sum"), *[at_place(p, U).cast("double").alias(k) for k, p in wanted.items()])
+    asked = active.select(*keys, U, "in_background").distinct().join(hist.select(*keys, U, "n", "upto"), [*keys, U]).join(of_key, keys)
+    own = F.col("in_background").cast("int")
+    size, below = F.col("total") - own, F.col("upto") - F.col("n")
+    low, place = places(size)
 
-    def element(j: Column) -> Column:
-        at = j + F.when(F.col("in_background") & (j >= below), 1).otherwise(0)
-        walk = F.aggregate(
-            "h", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v")),
-            lambda s, x: F.struct((s["n"] + x["k"]).alias("n"), F.coalesce(s["v"], F.when(s["n"] + x["k"] > at, x["u"].cast("double"))).alias("v")),
-            lambda s: s["v"],
-        )
-        return walk
+    def element(at: Column, kept: str, moved: str, other: str) -> Column:
+        return F.when(~F.col("in_background"), F.col(other)).when(at >= below, F.col(moved)).otherwise(F.col(kept))
 
-    a, b = element(low), element(F.least(low + 1, size - 1))
+    a, b = element(low, "i0", "j0", "o0"), element(F.least(low + 1, size - 1), "i1", "j1", "o1")
     quantile = F.when(size > 0, a + (b - a) * (place - low)).otherwise(0.0)
     mean = F.when(size > 0, (F.col("sum") - own * F.col(U)) / size).otherwise(0.0)
-    named = {"size": size, "ge": ge - own, "le": le - own, "mean": mean, "threshold": quantile}
+    named = {"size": size, "ge": F.col("total") - below - own, "le": F.col("upto") - own, "mean": mean, "threshold": quantile}
     return asked.select(*keys, U, "in_background", *[F.coalesce(c, F.lit(0)).alias(f"{tag}_{k}") for k, c in named.items()])
 
 
@@ -113,7 +117,7 @@ def background_stats(active: DataFrame, fraction: Column, n_bins: int, params: S
     """``active`` (genomes with a match) with bin, background membership and
     the leave-one-out statistics of its bin, or of the unit where that is empty."""
     require_opportunity(active)
-    rows = with_bins(split_background(active, fraction), n_bins, params)
+    rows = written(with_bins(split_background(active, fraction), n_bins, params), "binned")
     in_bin = _leave_one_out(rows, [UNIT, "bin"], params.threshold_quantile, "b")
     in_unit = _leave_one_out(rows, [UNIT], params.threshold_quantile, "u")
     out = rows.join(in_bin, [UNIT, "bin", U, "in_background"]).join(in_unit, [UNIT, U, "in_background"])
@@ -209,13 +213,13 @@ def calibration_report(judged: DataFrame, trace: DataFrame, params: ScoreParams,
         F.max_by(F.abs(F.col("new_fraction") - F.col("exclude_fraction")), F.when(passes, F.col("iteration"))).alias("last_change"),
         F.to_json(F.sort_array(F.collect_list(F.when(passes, step)))).alias("iteration_trace"),
     )
-    qs = F.percentile(F.when(F.col("in_background"), F.col(U)), F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99)]))
     b = judged.groupBy(UNIT).agg(
         F.count("*").alias("active_genomes"), F.count_if("in_background").alias("background_size"), F.count_distinct("bin").alias("bin_count"),
-        F.min("min_attainable_p").alias("min_p_resolution"), qs.alias("q"),
+        F.min("min_attainable_p").alias("min_p_resolution"),
     )
+    b = b.join(quantiles(judged.where("in_background"), [UNIT], U, QUANTILES, "unit-quantiles").drop("n"), UNIT, "left")
     kept = F.col("active_genomes") - F.least(F.ceil(F.col("active_genomes") * F.col("initial_exclusion_fraction")), F.col("active_genomes") - 1)
-    out = t.join(b, UNIT).withColumn("initial_background_size", kept).withColumn("exclusion_fraction_cap", F.lit(c.most)).withColumns({f"background_unique_q{n}": F.col("q")[i] for i, n in enumerate((50, 90, 95, 99))}).drop("q")
+    out = t.join(b, UNIT).withColumn("initial_background_size", kept).withColumn("exclusion_fraction_cap", F.lit(c.most))
     cap = F.col("final_exclusion_fraction") >= c.most - 1e-12
     above, settled = F.col("next_requested_fraction") > c.most + 1e-12, F.col("last_change") < c.settled
     out = out.withColumns({"cap_reached": cap, "update_above_cap": above, "converged": settled})
@@ -246,14 +250,13 @@ def bin_report(judged: DataFrame, params: ScoreParams, initial: DataFrame | None
     presses on the cap when its unit has reached it and either the bin's
     candidates exceed it or the unit has not settled."""
     c = params.calibration
-    inside = F.when(F.col("in_background"), F.col(U))
-    qs = F.percentile(inside, F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99)]))
     out = judged.groupBy(UNIT, "bin").agg(
-        F.count("*").alias("active_genomes"), F.count_if("in_background").alias("background_genomes"), qs.alias("q"),
+        F.count("*").alias("active_genomes"), F.count_if("in_background").alias("background_genomes"),
         F.min("min_attainable_p").alias("min_p_resolution"), F.min(U).alias("min_unique"), F.max(U).alias("max_unique"),
         F.count_if(F.col("qvalue") <= c.candidate_q).alias("candidates"),
     )
-    out = out.withColumns({f"background_unique_q{n}": F.coalesce(F.col("q")[i], F.lit(0.0)) for i, n in enumerate((50, 90, 95, 99))}).drop("q")
+    found = quantiles(judged.where("in_background"), [UNIT, "bin"], U, QUANTILES, "bin-quantiles").drop("n")
+    out = out.join(found, [UNIT, "bin"], "left").fillna(0.0, list(QUANTILES))
     if initial is not None:
         out = out.join(initial, [UNIT, "bin"], "left").fillna(0, ["initial_background_genomes"])
     out = out.withColumn("candidate_fraction", F.col("candidates") / F.col("active_genomes"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
-from presencia.operators.ranking import with_rank
+from presencia.operators.ranking import counted, running, with_rank
 from presencia.params import ScoreParams
 
 
@@ -20,16 +20,13 @@ def combined(rows: DataFrame, params: ScoreParams, pu: str = "pvalue_unique", ps
 
 def bh(rows: DataFrame, p: str = "pvalue", out: str = "qvalue", unit: str = "analysis_unit_id", family: str = "n_matched") -> DataFrame:
     """Benjamini-Hochberg within a unit over the genomes with a match; others
-    get 1. Equal p share a q, so the windows run over distinct p-values with
-    their counts, not over genomes."""
+    get 1. Equal p share a q, so counts of distinct p-values are summed up from
+    the least on, and the least value of all larger p is taken, over ranges of
+    p: no task holds a unit's p-values."""
     active = rows.where(F.col(family) >= 1)
-    steps = active.groupBy(unit, p).agg(F.count("*").alias("k"))
-    by = Window.partitionBy(unit)
-    up = by.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = by.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("rank", F.sum("k").over(up)).withColumn("n", F.sum("k").over(by))
-    steps = steps.withColumn("raw", F.col(p) * F.col("n") / F.col("rank")).withColumn(out, F.least(F.lit(1.0), F.min("raw").over(down)))
-    keyed = steps.select(unit, p, out)
+    steps = counted(active, [unit], p, label="p-values").withColumn("raw", F.col(p) * F.col("total") / F.col("upto"))
+    steps = running(steps, [unit], p, "raw", out, F.min, backwards=True)
+    keyed = steps.select(unit, p, F.least(F.lit(1.0), out).alias(out))
     joined = rows.join(keyed, [unit, p], "left")
     return joined.withColumn(out, F.when(F.col(family) >= 1, F.col(out)).otherwise(1.0))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presencia.functions import text as T
+from presencia.operators.ranking import quantiles
 from presencia.params import ScoreParams
 
 # Other marks of a decoy, in the order they are tried.
@@ -47,19 +48,9 @@ def valid(rows: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
 
 
 def above_quantile(rows: DataFrame, q: float) -> DataFrame:
-    """Rows at or above the linear quantile of their sample's intensities.
-
-    The two order statistics come from a window, so that no task holds the
-    distinct values of a large sample in memory.
-    """
-    by = Window.partitionBy("sample_id")
-    ranked = rows.select("sample_id", "intensity").withColumn("r", F.row_number().over(by.orderBy("intensity"))).withColumn("n", F.count("*").over(by))
-    place = (F.col("n") - 1) * F.lit(q)
-    low, part = F.floor(place), place - F.floor(place)
-    a = F.max(F.when(F.col("r") == low + 1, F.col("intensity")))
-    b = F.max(F.when(F.col("r") == F.least(low + 2, F.col("n")), F.col("intensity")))
-    bound = ranked.groupBy("sample_id").agg(a.alias("a"), b.alias("b"), F.max(part).alias("part"))
-    bound = bound.select("sample_id", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("bound"))
+    """Rows at or above the linear quantile of their sample's intensities; a
+    sample may hold all rows."""
+    bound = quantiles(rows.select("sample_id", "intensity"), ["sample_id"], "intensity", {"bound": q}, "intensities").select("sample_id", "bound")
     return rows.join(bound, "sample_id").where(F.col("intensity") >= F.col("bound")).drop("bound")
 
 
@@ -102,9 +93,8 @@ def peptide_errors(rows: DataFrame) -> DataFrame:
 
 
 def score_quantiles(scores: DataFrame) -> DataFrame:
-    qs = (0.05, 0.25, 0.5, 0.75, 0.95)
-    each = F.percentile("score", F.array(*[F.lit(q) for q in qs]))
-    return scores.agg(each.alias("v")).select(*[F.col("v")[i].alias(f"q{int(100 * q):02d}") for i, q in enumerate(qs)])
+    qs = {f"q{int(100 * q):02d}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    return quantiles(scores.select(F.lit(1).alias("_all"), "score"), ["_all"], "score", qs, "scores").select(*qs)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presencia.operators.ranking import quantiles
+
 
 def select_genomes(panel: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """Keep the genomes of one id table and drop those of another."""
@@ -61,6 +63,6 @@ def degeneracy(matches: DataFrame) -> DataFrame:
 
 
 def opportunity_quantiles(genomes: DataFrame) -> DataFrame:
-    qs = (0.0, 0.25, 0.5, 0.75, 1.0)
-    v = F.percentile("opportunity", F.array(*[F.lit(q) for q in qs]))
-    return genomes.agg(v.alias("v")).select(*[F.col("v")[i].alias(f"q{int(100 * q):03d}") for i, q in enumerate(qs)])
+    qs = {f"q{int(100 * q):03d}": q for q in (0.0, 0.25, 0.5, 0.75, 1.0)}
+    found = quantiles(genomes.select(F.lit(1).alias("_all"), "opportunity"), ["_all"], "opportunity", qs, "opportunities")
+    return found.select(*[F.col(c).cast("double").alias(c) for c in qs])

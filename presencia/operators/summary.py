@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presencia.operators.ranking import running_sum
+from presencia.operators.ranking import quantiles, running_sum
 
 
 def with_lineage(rows: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -19,16 +19,14 @@ def cohort_summary(scored: DataFrame) -> DataFrame:
     """One row a genome over all units."""
     excess = F.coalesce(F.col("excess_count"), F.lit(0.0)) if "excess_count" in scored.columns else F.lit(0.0)
     q, n = F.col("qvalue"), F.count("*")
-    return scored.groupBy("genome_id").agg(
+    out = scored.groupBy("genome_id").agg(
         n.alias("n_units_tested"),
         F.count_if(F.col("n_matched") >= 1).alias("n_units_matched_ge_1"),
         F.count_if(F.col("n_unique") > 0).alias("n_units_with_unique_evidence"),
         F.count_if(q <= 0.05).alias("n_units_q_le_0_05"),
         F.count_if(q <= 0.01).alias("n_units_q_le_0_01"),
         F.min(q).alias("best_qvalue"),
-        F.median(q).alias("median_qvalue"),
         F.min("presence_rank").alias("best_presence_rank"),
-        F.median("presence_rank").alias("median_presence_rank"),
         F.sum("n_unique").alias("total_unique_peptides"),
         F.max("n_unique").alias("max_unique_peptides"),
         F.sum("n_matched").alias("total_matched_peptides"),
@@ -39,6 +37,9 @@ def cohort_summary(scored: DataFrame) -> DataFrame:
         (F.count_if(q <= 0.05) / n).alias("fraction_units_q_le_0_05"),
         (F.count_if(q <= 0.01) / n).alias("fraction_units_q_le_0_01"),
     )
+    for value, name in (("qvalue", "median_qvalue"), ("presence_rank", "median_presence_rank")):
+        out = out.join(quantiles(scored, ["genome_id"], value, {name: 0.5}, "medians").select("genome_id", F.col(name).cast("double").alias(name)), "genome_id", "left")
+    return out
 
 
 def ordered_summary(summary: DataFrame) -> DataFrame:
@@ -52,9 +53,9 @@ def call_counts(scored: DataFrame, samples: DataFrame) -> DataFrame:
         F.count_if("pass_q_0_05").alias("n_genomes_q_le_0_05"),
         F.count_if(F.col("n_matched") >= 1).alias("n_genomes_matched_ge_1"),
         F.count_if(F.col("n_unique") >= 3).alias("n_genomes_unique_ge_3"),
-        F.median("qvalue").alias("median_qvalue"),
         F.min("qvalue").alias("best_qvalue"),
     )
+    out = out.join(quantiles(scored, ["analysis_unit_id"], "qvalue", {"median_qvalue": 0.5}, "medians").drop("n"), "analysis_unit_id", "left")
     return out.join(samples, "analysis_unit_id", "left").fillna(0, ["n_samples_in_unit"])
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
-from presencia.operators import background, decide, evidence, panel, shared, unique
+from presencia.operators import background, decide, evidence, panel, ranking, shared, unique
 from presencia.params import ScoreParams
 
 # Fixed values: (unique p, shared p) and the closed-testing result.
@@ -346,3 +346,51 @@ def test_calling_curve_counts_matched_genomes(spark):
     # the thresholds are fixed values
     want = [(0.001, 1), (0.002, 2), (0.005, 2), (0.01, 2), (0.02, 2), (0.05, 2), (0.1, 2), (0.2, 2), (0.5, 3), (1.0, 3)]
     assert [tuple(r) for r in diagnostics.calling_curve(rows).collect()] == want
+
+
+def test_quantiles_of_one_group_of_millions(spark):
+    """Order statistics of one unit with three million distinct values."""
+    n = 3_000_000
+    rows = spark.range(n).select(F.lit("u").alias("k"), ((F.col("id") * 7_919) % n).cast("double").alias("v"))
+    got = ranking.quantiles(rows, ["k"], "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}).first()
+    assert got.n == n
+    assert [got.a, got.b, got.c, got.d, got.e] == pytest.approx([(n - 1) * q for q in (0.0, 0.25, 0.5, 0.999, 1.0)])
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40])
+def test_quantiles_equal_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    data = {k: rng.integers(0, 12, n).astype(float) for k in ("a", "b")}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("c", None)], "k string, v double")
+    got = {r.k: r for r in ranking.quantiles(rows.repartition(3), ["k"], "v", {"q1": 0.1, "q2": 0.5, "q3": 0.95}).collect()}
+    assert set(got) == {"a", "b"}
+    for k, vs in data.items():
+        assert [got[k].q1, got[k].q2, got[k].q3] == pytest.approx(np.quantile(vs, [0.1, 0.5, 0.95])) and got[k].n == n
+
+
+def test_bh_of_many_distinct_values(spark):
+    """One unit whose p-values all differ, over several ranges."""
+    n = 50_000
+    p = np.random.default_rng(3).random(n) ** 2
+    rows = spark.createDataFrame([("u", i, float(x), 1) for i, x in enumerate(p)], "analysis_unit_id string, g long, pvalue double, n_matched int")
+    got = np.array([r.qvalue for r in decide.bh(rows).orderBy("g").select("qvalue").collect()])
+    order = np.argsort(p)
+    raw = p[order] * n / np.arange(1, n + 1)
+    want = np.empty(n)
+    want[order] = np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1])
+    assert np.allclose(got, want)
+
+
+def test_running_values_over_ranges(spark):
+    rows = [(k, float(v), (v * 37) % 11) for k in ("a", "b") for v in range(300 if k == "a" else 1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        placed = ranking.ranged(spark.createDataFrame(rows, "k string, v double, x int"), ["k"], "v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert placed.select("_range").distinct().count() > 1
+    up = {(r.k, r.v): r for r in ranking.running(placed, ["k"], "v", "x", "s").collect()}
+    back = {(r.k, r.v): r.s for r in ranking.running(placed, ["k"], "v", "x", "s", F.min, backwards=True).collect()}
+    for k, v, x in rows:
+        assert up[k, v].s == sum(z for a, b, z in rows if a == k and b <= v)
+        assert back[k, v] == min(z for a, b, z in rows if a == k and b >= v)
