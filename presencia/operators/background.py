@@ -27,6 +27,12 @@ def require_opportunity(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def without_opportunity(rows: DataFrame) -> DataFrame:
+    """Genomes with a match whose panel-unique opportunity is not known: an
+    empirical background can't place them."""
+    return require_opportunity(rows).where((F.col("n_matched") >= 1) & F.col(A).isNull()).select(UNIT, "genome_id")
+
+
 STRENGTH = ["_strength_rank", "_active"]
 
 

@@ -97,6 +97,14 @@ def score_quantiles(scores: DataFrame) -> DataFrame:
     return quantiles(scores.select(F.lit(1).alias("_all"), "score"), ["_all"], "score", qs, "scores").select(*qs)
 
 
+def left_after_filters(rows: DataFrame, params: ScoreParams) -> DataFrame:
+    """One row: rows, valid rows, samples with a valid peptide, and whether a
+    run over them would have nothing to score."""
+    of = valid(rows, params).agg(F.count("*").alias("n_valid"), F.count_distinct("sample_id").alias("n_samples"))
+    # one row each
+    return rows.agg(F.count("*").alias("n_rows")).crossJoin(of).withColumn("empty", F.col("n_valid") == 0)
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"no {what} left after filtering")

@@ -14,21 +14,31 @@ def _examples(df: DataFrame, col: str) -> list:
     return [r[0] for r in df.select(col).distinct().orderBy(col).limit(10).collect()]
 
 
+# What metadata must not have, by the column of ``metadata_violations``.
+METADATA_RULES = {
+    "blank_sample": "metadata has blank sample ids",
+    "repeated": "samples more than once in metadata",
+    "no_unit": "included samples without a unit",
+}
+
+
+def metadata_violations(metadata: DataFrame) -> DataFrame:
+    """sample_id and the rules it breaks, of samples that break any."""
+    flag = T.is_included(F.col("included").cast("string")) if "included" in metadata.columns else F.lit(True)
+    no_unit = flag & (F.coalesce("analysis_unit_id", F.lit("")) == "")
+    samples = metadata.groupBy("sample_id").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(no_unit), F.lit(False)).alias("no_unit"))
+    out = samples.select("sample_id", (F.coalesce("sample_id", F.lit("")) == "").alias("blank_sample"), (F.col("n") > 1).alias("repeated"), "no_unit")
+    return out.where("blank_sample OR repeated OR no_unit")
+
+
 def check_metadata(metadata: DataFrame) -> DataFrame:
     """Raise for blank or repeated samples, and blank units of included ones.
     One pass tells whether there are any; examples are fetched only then."""
-    flag = T.is_included(F.col("included").cast("string")) if "included" in metadata.columns else F.lit(True)
-    no_unit = flag & (F.coalesce("analysis_unit_id", F.lit("")) == "")
-    samples = metadata.groupBy("sample_id").agg(F.count("*").alias("n"), F.bool_or(no_unit).alias("no_unit"))
-    rules = {
-        "metadata has blank sample ids": F.coalesce("sample_id", F.lit("")) == "",
-        "samples more than once in metadata": F.col("n") > 1,
-        "included samples without a unit": F.col("no_unit"),
-    }
-    broken = samples.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(str(i)) for i, c in enumerate(rules.values())]).first()
-    for i, (message, rule) in enumerate(rules.items()):
-        if broken[i]:
-            raise ValueError(f"{message}: {_examples(samples.where(rule), 'sample_id')}")
+    found = metadata_violations(metadata)
+    broken = found.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in METADATA_RULES]).first()
+    for rule, message in METADATA_RULES.items():
+        if broken[rule]:
+            raise ValueError(f"{message}: {_examples(found.where(rule), 'sample_id')}")
     return metadata
 
 

@@ -15,7 +15,7 @@ from presencia.params import ScoreParams
 from presencia.plans import fixture, score
 from presencia.plans.sql import CALLING_ALPHA, calibration, diagnosed, digits, empirical, statement, whole_run
 from presencia.session import ship_package
-from presencia.sources import readers, sinks
+from presencia.sources import manifest, readers, sinks
 from presencia.tables import new_path, written
 
 ALPHA = ScoreParams(unit_mode="metadata", unique_mode="alpha-upper-bound")
@@ -470,8 +470,17 @@ def result_violations(spark, d):
 )
 def manifest_units(spark, d):
     p, rows = _calls(spark, d)
-    chosen = sinks.check_selection(written(sinks.selection(p.mapping, rows), "selection"))
-    return chosen.select("analysis_unit_id", F.array_join("sample_ids", ",").alias("samples"), "n_samples", F.array_join("genome_ids_q005", ",").alias("genomes_q005"), F.array_join("genome_ids_q001", ",").alias("genomes_q001"))
+    found = written(manifest.members(p.mapping, rows), "selection")
+    return _by_unit(manifest.check(found, manifest.declared(found)), manifest.declared(found))
+
+
+def _by_unit(rows: DataFrame, selected: DataFrame) -> DataFrame:
+    """Members as one row a unit, for comparison with SQL."""
+    def listed(kind):
+        return F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("id")))), ",")
+
+    lists = rows.groupBy("analysis_unit_id").agg(listed("sample").alias("samples"), listed("q005").alias("genomes_q005"), listed("q001").alias("genomes_q001"))
+    return lists.join(selected.select("analysis_unit_id", "n_samples"), "analysis_unit_id")
 
 
 @query(
@@ -836,6 +845,75 @@ def delimited_scan(spark, d):
     return readers.observed_columns(readers.read_table(spark, _as_text(table, "observed-text")), "metadata")
 
 
+@query(statement("frag_o", "SELECT 'c' || conv_id || '.raw' AS sample, f AS sequence, CAST(length(f) * (turn + 1) AS DOUBLE) AS intensity, (length(f) % 8) / 8.0 AS score, ((conv_id * 7 + turn * 13) % 100) / 1000.0 AS error, CASE WHEN role = 'system' THEN 'True' ELSE 'False' END AS decoy FROM frag_o WHERE f <> ''"))
+def parquet_scan(spark, d):
+    """A report as Parquet, decoys as truth values, with columns of no use."""
+    path = new_path(spark, "observed") + ".parquet"
+    fixture.observed(spark, d).withColumns({"Decoy": F.col("Decoy") == "true", "Protein.Ids": F.lit("x")}).write.parquet(path)
+    return readers.observed_columns(readers.read_table(spark, path), "metadata")
+
+
+@query("SELECT 'g' || (doc_id % 50) AS genome_id, doc_id % 50 % 7 <> 0 AS fasta, CASE WHEN doc_id % 50 % 7 <> 0 THEN count(*) ELSE 0 END AS n_records FROM documents GROUP BY doc_id % 50")
+def fasta_directory(spark, d):
+    """A file a genome, of which some are no FASTA: all are listed."""
+    rows = fixture.proteins(spark, d).withColumn("plain", F.substring("genome_id", 2, 9).cast("int") % 7 == 0)
+    line = F.when(F.col("plain"), F.concat(F.lit("notes on "), "header")).otherwise(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence"))
+    path = new_path(spark, "fasta-directory")
+    rows.select("genome_id", line.alias("value")).repartition(8, "genome_id").write.partitionBy("genome_id").text(path)
+    return readers.fasta_files(spark, path).select(F.regexp_extract("file", "genome_id=([^/]+)/", 1).alias("genome_id"), "fasta", "n_records")
+
+
+@query(
+    _DIGEST
+    + """, g AS (SELECT genome_id, CAST(substr(genome_id, 2) AS INT) AS k, count(*) AS n FROM (SELECT genome_id, unnest(parts) AS peptide FROM f) WHERE length(peptide) BETWEEN 7 AND 30 GROUP BY 1)
+    SELECT genome_id, 'no peptides' AS problem, least(n, 200) AS n FROM g WHERE k % 7 = 1 UNION ALL SELECT genome_id, 'two places', 2 FROM g WHERE k % 5 = 0"""
+)
+def panel_problems(spark, d):
+    """Digests in two folders: genomes in both, and files by position whose
+    first column holds something else."""
+    rows = written(digestion.digest(fixture.proteins(spark, d)), "digest").withColumn("k", F.substring("genome_id", 2, 9).cast("int"))
+    one, two = new_path(spark, "panel-one"), new_path(spark, "panel-two")
+    digestion.write_digest(rows.where("k % 7 <> 1").repartition(4, "genome_id"), one)
+    digestion.write_digest(rows.where("k % 5 = 0 AND k % 7 <> 1").repartition(4, "genome_id"), two)
+    odd = rows.where("k % 7 = 1").select("genome_id", "k", F.concat(F.lit("no "), "peptide").alias("Name")).repartition(4, "genome_id")
+    odd.drop("k").write.mode("append").partitionBy("genome_id").csv(two, sep="\t", header=True)
+    # the other copy has a named column
+    digestion.write_digest(rows.where("k % 7 = 1 AND k % 5 = 0").repartition(4, "genome_id"), one)
+    return readers.panel_problems(readers.panel_lines(spark, [one, two]))
+
+
+@query(statement("target", " UNION ALL ".join(f"SELECT {c}::DOUBLE AS cutoff, count(*) AS n_rows, count(*) FILTER (error <= {c}) AS n_valid, count(DISTINCT sample_id) FILTER (error <= {c}) AS n_samples, count(*) FILTER (error <= {c}) = 0 AS empty FROM target" for c in (-0.5, 0.0, 0.02))))
+def left_after_filters(spark, d):
+    """What error cutoffs leave: nothing to score is reported as such."""
+    rows = _rows(spark, d)
+    found = [observed.left_after_filters(rows, score.with_mode(ALPHA, error_cutoff=c)).withColumn("cutoff", F.lit(c)) for c in (-0.5, 0.0, 0.02)]
+    return reduce(DataFrame.unionByName, found)
+
+
+_BAD_META = "CASE WHEN conv_id % 11 = 0 THEN '' ELSE 'c' || conv_id END AS sample_id, CASE WHEN conv_id % 7 = 0 THEN '' ELSE 'u' || (conv_id % 4) END AS unit, conv_id % 17 <> 0 AS included"
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations), m AS (SELECT {_BAD_META} FROM c UNION ALL SELECT {_BAD_META} FROM c WHERE conv_id % 13 = 0)
+    SELECT * FROM (SELECT sample_id, sample_id = '' AS blank_sample, count(*) > 1 AS repeated, bool_or(included AND unit = '') AS no_unit FROM m GROUP BY sample_id) WHERE blank_sample OR repeated OR no_unit"""
+)
+def metadata_violations(spark, d):
+    """Metadata with blank and repeated samples and without some units."""
+    n = F.regexp_extract("sample_id", "[0-9]+", 0).cast("long")
+    rows = fixture.metadata(spark, d).withColumn("n", n)
+    rows = rows.withColumns({"sample_id": F.when(F.col("n") % 11 == 0, " ").otherwise(F.col("sample_id")), "analysis_unit_id": F.when(F.col("n") % 7 == 0, "").otherwise(F.col("analysis_unit_id"))})
+    return units.metadata_violations(readers.metadata_columns(rows.union(rows.where("n % 13 = 0")).drop("n")))
+
+
+@query(statement("grid", "SELECT analysis_unit_id, genome_id FROM grid WHERE n_matched >= 1 AND CAST(genome_id AS BIGINT) % 3 = 0"))
+def without_opportunity(spark, d):
+    """Matched genomes that an empirical background could not place, where the
+    opportunity of every third genome is not known."""
+    p = _prepared(spark, d)
+    known = F.when(F.col("genome_id").cast("long") % 3 != 0, F.col("opportunity"))
+    return background.without_opportunity(score.full_grid(p).withColumn("opportunity", known))
+
+
 @query(statement("frag_o", f"SELECT '__global__' AS sample, f AS sequence, 1.0::DOUBLE AS intensity, {_MARKED} FROM frag_o WHERE f <> '' AND f NOT IN ('NA', 'NULL')"))
 def pooled_scan(spark, d):
     """One sequence column; one sample and intensity 1 stand in."""
@@ -887,11 +965,11 @@ def column_extract(spark, d):
 
 @query(ORACLES["manifest_units"])
 def manifest_file(spark, d):
+    """The document of lines, written and read again."""
     p, rows = _calls(spark, d)
     path = new_path(spark, "manifest")
-    sinks.write_manifest(sinks.manifest(sinks.selection(p.mapping, rows), "2024-01-01T00:00:00Z"), path)
-    chosen = sinks.read_manifest(spark, path)
-    return chosen.select("analysis_unit_id", F.array_join("sample_ids", ",").alias("samples"), "n_samples", F.array_join("genome_ids_q005", ",").alias("genomes_q005"), F.array_join("genome_ids_q001", ",").alias("genomes_q001"))
+    manifest.write(manifest.lines(written(manifest.members(p.mapping, rows), "selection"), "2024-01-01T00:00:00Z"), path)
+    return _by_unit(*manifest.read(spark, path))
 
 
 @query(

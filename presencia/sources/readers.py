@@ -98,19 +98,15 @@ def pooled_columns(raw: DataFrame, sequence: str = "Base Sequence", score: str |
 AMINO_ACIDS = "^[A-Za-z*]+$"
 
 
-def read_panel(spark: SparkSession, directories: list[str], policy: str = "il-equivalent") -> DataFrame:
-    """genome_id, peptide (distinct) from ``*.tsv`` digests, one file a genome,
-    or from folders ``genome_id=...`` as ``write_digest`` leaves them.
-
-    The peptide column is ``Peptide``, else the first; the first 200 filled
-    values of a file read by position must look like peptides. A genome found
-    in two places is an error.
-    """
+def panel_lines(spark: SparkSession, directories: list[str]) -> DataFrame:
+    """source, genome_id, value, named, file, at, row: the filled values of the
+    peptide column of every digest below ``directories``, ``*.tsv``, one file a
+    genome, or folders ``genome_id=...`` as ``write_digest`` leaves them. The
+    column is ``Peptide``, else the first. Written once."""
     # files differ in their columns, so each line is cut by its own tabs
     raw = spark.read.option("pathGlobFilter", "*.{tsv,csv}").option("recursiveFileLookup", "true").text(directories).select(F.split("value", "\t").alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     # numbered once, in a written table: what follows reads it several times
     lined = written(raw.withColumn("row", F.monotonically_increasing_id()), "panel-lines")
-    first = Window.partitionBy("file").orderBy("at", "row")
     # a file's head is the least of its rows, found without sorting the file
     head = lined.groupBy("file").agg(F.min(F.struct("at", "row", F.transform("cells", T.strip_all).alias("names"))).alias("head"))
     head = head.select("file", F.col("head.row").alias("head_row"), F.col("head.names").alias("names"))
@@ -120,14 +116,27 @@ def read_panel(spark: SparkSession, directories: list[str], policy: str = "il-eq
     folder = F.nullif(F.regexp_extract("file", "/genome_id=([^/]+)/[^/]+$", 1), F.lit(""))
     place = F.when(folder.isNotNull(), F.regexp_replace("file", "/[^/]+$", "")).otherwise(F.col("file"))
     genome = F.coalesce(folder, F.regexp_extract("file", r"([^/]+)\.[a-z]+$", 1))
-    rows = rows.select("file", place.alias("source"), "at", "row", "named", genome.alias("genome_id"), value.alias("value")).where("value <> ''")
+    return rows.select("file", place.alias("source"), "at", "row", "named", genome.alias("genome_id"), value.alias("value")).where("value <> ''")
+
+
+def panel_problems(rows: DataFrame) -> DataFrame:
+    """genome_id, problem, n of ``panel_lines``: values that are no peptides
+    among the first 200 of a file read by position (``no peptides``), and places
+    of a genome that has more than one (``two places``)."""
+    first = Window.partitionBy("file").orderBy("at", "row")
     guessed = rows.where("NOT named").withColumn("r", F.row_number().over(first)).where("r <= 200")
-    odd = guessed.where(~F.col("value").rlike(AMINO_ACIDS)).select("genome_id", "value").limit(5).collect()
-    if odd:
-        raise ValueError(f"first columns that hold no peptides: {[tuple(r) for r in odd]}")
-    twice = rows.groupBy("genome_id").agg(F.count_distinct("source").alias("n")).where("n > 1").limit(10).collect()
-    if twice:
-        raise ValueError(f"genomes in more than one place: {[r.genome_id for r in twice]}")
+    odd = guessed.where(~F.col("value").rlike(AMINO_ACIDS)).groupBy("genome_id").agg(F.count("*").alias("n")).select("genome_id", F.lit("no peptides").alias("problem"), "n")
+    twice = rows.select("genome_id", "source").distinct().groupBy("genome_id").agg(F.count("*").alias("n")).where("n > 1")
+    return odd.union(twice.select("genome_id", F.lit("two places").alias("problem"), "n"))
+
+
+def read_panel(spark: SparkSession, directories: list[str], policy: str = "il-equivalent") -> DataFrame:
+    """genome_id, peptide (distinct) of ``panel_lines``; ``panel_problems`` are
+    errors."""
+    rows = panel_lines(spark, directories)
+    bad = panel_problems(rows).limit(10).collect()
+    if bad:
+        raise ValueError(f"first columns that hold no peptides, or genomes in more than one place: {[tuple(r) for r in bad]}")
     return rows.select("genome_id", T.peptide(F.col("value"), policy).alias("peptide")).where("peptide <> ''").distinct()
 
 
@@ -147,10 +156,17 @@ def read_fasta(spark: SparkSession, path: str, shorten: bool = False) -> DataFra
     return rows.where("header <> '' OR sequence <> ''")
 
 
+def fasta_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, fasta, n_records: every file below ``path`` and whether it is
+    FASTA; those that are not have no records and ``read_fasta`` leaves them out."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    of = raw.groupBy("file").agg(F.max((F.col("block") == 0) & F.col("value").startswith(">")).alias("fasta"), F.count("*").alias("n"))
+    return of.select("file", "fasta", F.when(F.col("fasta"), F.col("n")).otherwise(0).alias("n_records"))
+
+
 def not_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Files below ``path`` that ``read_fasta`` leaves out."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return raw.groupBy("file").agg(F.max((F.col("block") == 0) & F.col("value").startswith(">")).alias("fasta")).where("NOT fasta").select("file")
+    return fasta_files(spark, path).where("NOT fasta").select("file")
 
 
 def read_metadata(spark: SparkSession, path: str, sample_col: str = "sample_id", unit_col: str = "analysis_unit_id") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from presencia.functions import text as T
 from presencia.operators import digestion, panel
-from presencia.sources import readers, sinks
+from presencia.sources import manifest, readers, sinks
 
 
 def test_fasta_files(spark, tmp_path):
@@ -99,6 +99,42 @@ def test_sample_in_two_units(spark):
         sinks.check_selection(spark.createDataFrame([("u", ["a"], 1, [], []), ("v", ["a"], 1, [], [])], SELECTION))
 
 
+def test_large_manifest_in_chunks(spark, tmp_path):
+    """A unit of many genomes: no line holds more than about a chunk."""
+    n = 200_000
+    samples = spark.createDataFrame([("u", "a", True), ("u", "b", True), ("v", "c", True), ("w", "d", False)], "analysis_unit_id string, sample_id string, included boolean")
+    scored = spark.range(n).select(F.lit("u").alias("analysis_unit_id"), F.concat(F.lit("g"), "id").alias("genome_id"), (F.col("id") % 2 == 0).alias("pass_q_0_05"), (F.col("id") % 4 == 0).alias("pass_q_0_01"))
+    rows, path = manifest.members(samples, scored), str(tmp_path / "m")
+    manifest.write(manifest.lines(rows, "2024-01-01T00:00:00Z", {"x": "y"}), path)
+    text = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert [(x["n_units"], x["inputs"]) for x in text if x["line"] == "head"] == [(2, {"x": "y"})]
+    assert max(len(x.get("ids", [])) for x in text) < 1.2 * manifest.CHUNK and len(text) > 150
+    got, units = manifest.read(spark, path)
+    assert sorted(map(tuple, units.collect())) == [("u", 2, n // 2, n // 4), ("v", 1, 0, 0)]
+    assert got.exceptAll(rows).isEmpty() and rows.exceptAll(got).isEmpty()
+    manifest.write(spark.read.text(path).where("value NOT LIKE '%\"sample\"%' OR value NOT LIKE '%\"v\"%'"), str(tmp_path / "broken"))
+    with pytest.raises(ValueError, match="empty_samples"):
+        manifest.read(spark, str(tmp_path / "broken"))
+
+
+@pytest.mark.parametrize(
+    "rows,units,rule",
+    [
+        ([("u", "q005", "g")], [("u", 0, 1, 0)], "empty_samples"),
+        ([("u", "sample", "a")], [("u", 2, 0, 0)], "wrong_n_samples"),
+        ([("u", "sample", "a"), ("u", "q005", "g")], [("u", 1, 2, 0)], "wrong_n_genomes"),
+        ([("u", "sample", "a")] * 2, [("u", 2, 0, 0)], "repeated_samples"),
+        ([("u", "sample", "a"), ("u", "q005", "g"), ("u", "q005", "g")], [("u", 1, 2, 0)], "repeated_genomes"),
+        ([("u", "sample", "a"), ("u", "q001", "g")], [("u", 1, 0, 1)], "q001_not_in_q005"),
+        ([("u", "sample", "a"), ("v", "sample", "a")], [("u", 1, 0, 0), ("v", 1, 0, 0)], "samples_in_units"),
+        ([("u", "sample", "a"), ("v", "sample", "b")], [("u", 1, 0, 0)], "wrong_n_samples"),
+    ],
+)
+def test_broken_members(spark, rows, units, rule):
+    got = manifest.violations(spark.createDataFrame(rows, "analysis_unit_id string, kind string, id string"), spark.createDataFrame(units, "analysis_unit_id string, n_samples long, n_q005 long, n_q001 long")).first()
+    assert got[rule] == 1
+
+
 def test_column_extract(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "`a.b` int, c string").write.parquet(str(tmp_path / "p"))
     sinks.extract_columns(spark, str(tmp_path / "p"), str(tmp_path / "o"), ["a.b"], ["n"])
