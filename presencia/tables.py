@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +30,40 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/presencia/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/presencia/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{getattr(spark, '_presencia_scratch', '')}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all tables that are written inside; its name
+    is given, and ``clear_scratch`` deletes it when nothing reads them any more."""
+    before, name = getattr(spark, "_presencia_scratch", ""), f"scratch-{uuid.uuid4().hex}/"
+    spark._presencia_scratch = name
+    try:
+        yield name
+    finally:
+        spark._presencia_scratch = before
+
+
+def clear_scratch(spark: SparkSession, name: str) -> None:
+    _delete(spark, f"{_home(spark)}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_written(spark: SparkSession) -> None:
     """Delete what this application has written below the shared folder. For
     the end of a job: tables made of it can't be read any more."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/presencia/{context.applicationId}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _home(spark))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -135,6 +135,20 @@ def test_written_tables_can_be_cleared(spark):
         spark.read.parquet(f"{path}/clear-me-*")
 
 
+def test_scratch_tables_go_and_others_stay(spark):
+    from presencia.tables import clear_scratch, scratch, written
+
+    kept = written(spark.range(3).toDF("id"), "kept")
+    with scratch(spark) as name:
+        inner = written(spark.range(5).toDF("id"), "inner")
+    after = written(inner, "after")
+    assert name in inner.inputFiles()[0] and not any(name in f for x in (kept, after) for f in x.inputFiles())
+    clear_scratch(spark, name)
+    assert (kept.count(), after.count()) == (3, 5)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        inner.collect()
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
