@@ -15,6 +15,7 @@ which carries the others, refuses columns named ``_llm_...``.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -57,8 +58,14 @@ MORE_RULES = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\x20\\r\\n]+-----END [A-Z ]*PRIVATE KEY-----", 0, 60),
 )
 RULES = BASE_RULES + MORE_RULES
-#: Names what RULES find; a change of RULES needs a new one.
-RULE_VERSION = "base-1 issuers-1"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """Names what rules find: any change of them gives another name."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least, r.quick) for r in rules]).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = version_of(RULES)
 
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
@@ -111,7 +118,7 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def scan_versions(
-    versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION,
+    versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str | None = None,
     path_col: str = "path", text_col: str = "text",
 ) -> DataFrame:
     """path, blob, spans for every row of ``versions``.
@@ -125,6 +132,7 @@ def scan_versions(
     ledger = ledger or new_path(spark, "secret-ledger")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = versions.select(F.col(f"`{path_col}`").alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
+    rule_version = rule_version or version_of(rules)
     hot = _append_unseen(rows, ledger, rules, rule_version)
     found = _findings(spark, ledger, rule_version)
     return hot_join(rows.select("path", "blob"), found, hot, "blob", "left").select(

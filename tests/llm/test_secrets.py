@@ -104,3 +104,12 @@ def test_redaction(spark):
 def test_plan_is_native(spark):
     plan = M.snapshot_report(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_other_rules_have_another_version(spark, tmp_path):
+    """Rules given without a version of their own do not read what others found."""
+    word = (M.Rule("word", "[a-z]{5,}", 0, 5),)
+    assert len({M.version_of(x) for x in (M.RULES, M.BASE_RULES, word, (M.Rule("word", "[a-z]{5,}", 0, 6),))}) == 4
+    df, ledger = frame(spark, [(1, "secret = abcdefghijklm")]), str(tmp_path / "ledger")
+    kinds = [[s.kind for s in M.scan_versions(df, ledger, rules=r, path_col="doc_id").first().spans] for r in (M.RULES, word, M.RULES)]
+    assert kinds == [["assign"], ["word", "word"], ["assign"]]
