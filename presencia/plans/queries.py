@@ -15,7 +15,7 @@ from presencia.params import ScoreParams
 from presencia.plans import fixture, score
 from presencia.plans.sql import CALLING_ALPHA, calibration, diagnosed, digits, empirical, statement, whole_run
 from presencia.session import ship_package
-from presencia.sources import manifest, readers, sinks
+from presencia.sources import manifest, readers, reuse, sinks
 from presencia.tables import new_path, written
 
 ALPHA = ScoreParams(unit_mode="metadata", unique_mode="alpha-upper-bound")
@@ -1007,6 +1007,62 @@ def reused_tables(spark, d):
     return n.select(F.lit(seen[0]).alias("first"), F.lit(seen[1]).alias("second"), F.lit(seen[2] or seen[3]).alias("other"), "n_genomes", "n_unique")
 
 
+_GIVEN = "(SELECT peptide FROM unit_peptides)"
+
+
+def _reuse_case(name: str, genomes: str, again: str, peptides: str = _GIVEN) -> str:
+    """``genomes``: the case's (genome_id, peptide); ``again``: which are matched now."""
+    return f"""SELECT '{name}' AS changed, count(DISTINCT genome_id) AS n_genomes, count(DISTINCT genome_id) FILTER ({again}) AS n_again,
+    count(*) FILTER (peptide IN {peptides}) AS n_matches, count(DISTINCT peptide) FILTER (peptide IN {peptides}) AS n_matched FROM ({genomes})"""
+
+
+@query(
+    statement(
+        "matches",
+        " UNION ALL ".join(
+            [
+                _reuse_case("nothing stored", "SELECT * FROM panel", "true"),
+                _reuse_case("order", "SELECT * FROM panel", "false"),
+                _reuse_case("genome list", "SELECT * FROM panel WHERE genome_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang IS DISTINCT FROM 'en')", "false"),
+                _reuse_case("bundle", "SELECT * FROM panel WHERE length(peptide) < 30", "genome_id IN (SELECT genome_id FROM panel WHERE length(peptide) >= 30)"),
+                _reuse_case("observed", "SELECT * FROM panel", "true", "(SELECT peptide FROM unit_peptides WHERE length(peptide) > 7)"),
+                _reuse_case(
+                    "policy", "SELECT DISTINCT genome_id, f AS peptide FROM frag_p WHERE length(f) BETWEEN 7 AND 30", "true",
+                    "(SELECT raw FROM clean JOIN mapping USING (sample_id) WHERE included)",
+                ),
+                _reuse_case("digestion", "SELECT * FROM panel WHERE length(peptide) >= 8", "true"),
+                _reuse_case("nothing", "SELECT * FROM panel", "false"),
+            ]
+        ),
+    )
+)
+def reused_matches(spark, d):
+    """Matches out of a store, while each thing they depend on changes in turn."""
+    digest, exact = {"least": 7, "most": 30}, "exact"
+    rows = written(fixture.panel(spark, d), "panel")
+    raw, meta = fixture.observed(spark, d), _meta(spark, d)
+    seen = written(score.observed_peptides(raw, ALPHA, meta), "seen")
+    as_read = written(score.observed_peptides(raw, score.with_mode(ALPHA, peptide_policy=exact), meta), "seen-exact")
+    english = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("genome_id"))
+    n = F.length("peptide")
+    cases = {
+        "nothing stored": (rows, seen, ALPHA.peptide_policy, digest),
+        "order": (rows.repartition(3), seen.repartition(3), ALPHA.peptide_policy, digest),
+        "genome list": (panel.select_genomes(rows, exclude=english), seen, ALPHA.peptide_policy, digest),
+        "bundle": (rows.where(n < 30), seen, ALPHA.peptide_policy, digest),
+        "observed": (rows, seen.where(n > 7), ALPHA.peptide_policy, digest),
+        "policy": (written(fixture.panel(spark, d, exact), "panel-exact"), as_read, exact, digest),
+        "digestion": (rows.where(n >= 8), seen, ALPHA.peptide_policy, digest | {"least": 8}),
+        "nothing": (rows, seen, ALPHA.peptide_policy, digest),
+    }
+    path, out = new_path(spark, "reuse"), []
+    for name, (genomes, peptides, policy, cut) in cases.items():
+        found, counts = reuse.matched(genomes, peptides, path, policy, cut)
+        fixed = [F.lit(name).alias("changed"), F.lit(sum(counts.values())).cast("long").alias("n_genomes"), F.lit(counts["genomes_matched"]).cast("long").alias("n_again")]
+        out.append(found.agg(F.count("*").alias("n_matches"), F.count_distinct("peptide").alias("n_matched")).select(*fixed, "n_matches", "n_matched"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(statement("frag_o", "SELECT 'c' || conv_id AS sample_id, count(*) AS n_rows FROM frag_o WHERE f <> '' AND role IS DISTINCT FROM 'user' GROUP BY 1"))
 def decoy_configured(spark, d):
     """A mark that is given counts, also where known marks are there."""

@@ -13,7 +13,7 @@ from presencia.functions import stats as S
 from presencia.operators import background, decide, diagnostics, evidence, observed, panel, shared, summary, unique, units
 from presencia.params import ScoreParams
 from presencia.session import ship_package
-from presencia.sources import readers, sinks
+from presencia.sources import readers, reuse as stored, sinks
 from presencia.tables import written
 
 KEYS = ["analysis_unit_id", "genome_id"]
@@ -38,6 +38,8 @@ class Prepared:
     peptides: DataFrame
     unit_matches: DataFrame
     metrics: DataFrame
+    #: Genomes whose matches came from the store, and others; None without one.
+    reused: dict[str, int] | None = None
 
 
 @dataclass
@@ -80,40 +82,46 @@ class ScoreResult:
 
     def run_document(self) -> DataFrame:
         """One row: the run as JSON, for ``write_manifest`` to write."""
-        return diagnostics.run_document(self.unit_genome, self.prepared.params, {"mode": self.mode}, self.seconds)
+        return diagnostics.run_document(self.unit_genome, self.prepared.params, {"mode": self.mode} | (self.prepared.reused or {}), self.seconds)
 
 
 def prepare(
     raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScoreParams(), metadata: DataFrame | None = None, lineage: DataFrame | None = None,
-    keep: bool = False, reuse: str | None = None,
+    keep: bool = False, reuse: str | None = None, digestion: dict | None = None,
 ) -> Prepared:
     """Observed rows to matches and metrics. ``keep`` writes what is used more
     than once to the shared folder: the observed rows, the distinct panel, the
-    matches and the panel's counts. ``reuse``: a folder in which the panel's
-    counts outlive the run; they are taken from there if the panel is the same."""
+    matches and the panel's counts. ``reuse``: a folder in which counts and
+    matches outlive the run. The counts are taken from there if the whole panel is
+    the same, the matches of each genome that is, if policy, observed peptides
+    and ``digestion`` (how the panel was cut) are too."""
     save = written if keep else (lambda df, _: df)
 
-    def of_panel() -> tuple[DataFrame, DataFrame]:
-        rows = save(panel_rows, "panel")
+    def of_panel() -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        rows, marks = save(panel_rows, "panel"), None
         if reuse is None:
             genomes = panel.opportunity(rows)
         else:
-            mark = {"table": "opportunity", "panel": sinks.content_hash(rows, "genome_id", "peptide"), "policy": params.peptide_policy}
-            genomes, _ = sinks.materialise(lambda: panel.opportunity(rows), raw.sparkSession, reuse, mark)
+            marks = written(stored.genome_marks(rows), "genome-marks")
+            made_of = {"table": "opportunity"} | stored.provenance(params.peptide_policy, digestion, marks=marks)
+            genomes, _ = sinks.materialise(lambda: panel.opportunity(rows), raw.sparkSession, reuse, made_of)
         if lineage is not None:
             genomes = genomes.join(lineage, "genome_id", "left")
-        return rows, save(genomes, "genomes")
+        return rows, save(genomes, "genomes"), marks
 
     # the panel and the observed rows do not need each other until they match
     with ThreadPoolExecutor(1) as side:
         panel_tables = side.submit(of_panel)
         o = _observed_tables(raw, params, metadata, save)
-        panel_rows, genomes = panel_tables.result()
-    matches = save(panel.match(panel_rows, o.unit_peptides), "matches")
+        panel_rows, genomes, marks = panel_tables.result()
+    if reuse is None:
+        matches, reused = save(panel.match(panel_rows, o.unit_peptides), "matches"), None
+    else:
+        matches, reused = stored.matched(panel_rows, o.unit_peptides, reuse, params.peptide_policy, digestion, marks)
     degeneracy = panel.degeneracy(matches)
     peptides = save(evidence.peptide_table(degeneracy, observed.peptide_scores(o.seen), observed.peptide_errors(o.seen), params), "peptides")
     unit_matches = save(evidence.unit_matches(o.unit_peptides, peptides, matches), "unit-matches")
-    return Prepared(params, o.rows, o.valid, o.pairs, o.mapping, o.unit_peptides, panel_rows, matches, degeneracy, genomes, peptides, unit_matches, evidence.unit_metrics(unit_matches, params))
+    return Prepared(params, o.rows, o.valid, o.pairs, o.mapping, o.unit_peptides, panel_rows, matches, degeneracy, genomes, peptides, unit_matches, evidence.unit_metrics(unit_matches, params), reused)
 
 
 @dataclass
@@ -142,6 +150,11 @@ def _observed_tables(raw: DataFrame, params: ScoreParams, metadata: DataFrame |
     return _Observed(rows, valid, pairs, mapping, unit_peptides, seen)
 
 
+def observed_peptides(raw: DataFrame, params: ScoreParams, metadata: DataFrame | None = None) -> DataFrame:
+    """peptide: the distinct valid peptides of included samples."""
+    return _observed_tables(raw, params, metadata, lambda df, _: df).unit_peptides.select("peptide").distinct()
+
+
 def full_grid(p: Prepared) -> DataFrame:
     used = p.mapping.where("included").select("analysis_unit_id").distinct()
     return evidence.grid(used, p.genomes, p.metrics)
@@ -172,7 +185,8 @@ def _p_unique(rows: DataFrame, mode: str, p: Prepared) -> DataFrame:
 
 
 def score(
-    raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScoreParams(), metadata: DataFrame | None = None, lineage: DataFrame | None = None, reuse: str | None = None
+    raw: DataFrame, panel_rows: DataFrame, params: ScoreParams = ScoreParams(), metadata: DataFrame | None = None, lineage: DataFrame | None = None, reuse: str | None = None,
+    digestion: dict | None = None,
 ) -> ScoreResult:
     """The whole program, both kinds of evidence and both Monte Carlo stages."""
     ship_package(raw.sparkSession)
@@ -182,7 +196,7 @@ def score(
         seconds[step] = round(time.monotonic() - since[0], 3)
         since[0] = time.monotonic()
 
-    p = prepare(raw, panel_rows, params, metadata, lineage, keep=True, reuse=reuse)
+    p = prepare(raw, panel_rows, params, metadata, lineage, keep=True, reuse=reuse, digestion=digestion)
     observed.require_rows(p.unit_peptides, "valid peptide of an included sample")
     mode, bins = resolved_mode(p)
     done("prepare")

@@ -119,8 +119,10 @@ def test_panel_counts_are_reused(spark, tmp_path):
 
     panel = spark.createDataFrame([("a", "AAAAAAK"), ("b", "CCCCCCK")], "genome_id string, peptide string")
     path = f"file://{tmp_path}/reuse"
-    for rows, want in ((panel, 2), (panel, 2), (panel.where("genome_id = 'a'"), 1)):
-        assert prepare(table(spark, ["AAAAAAK"]), rows, keep=True, reuse=path).genomes.count() == want
+    for rows, want, again in ((panel, 2, 2), (panel, 2, 0), (panel.where("genome_id = 'a'"), 1, 0)):
+        p = prepare(table(spark, ["AAAAAAK"]), rows, keep=True, reuse=path)
+        assert (p.genomes.count(), p.reused["genomes_matched"]) == (want, again)
+        assert [tuple(r) for r in p.matches.collect()] == [("a", "AAAAAAK")]
     assert spark.read.parquet(f"{path}/table").count() == 1
 
 

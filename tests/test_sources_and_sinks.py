@@ -194,3 +194,46 @@ def test_more_units_than_columns(spark):
     assert summary.presence_matrix(rows, "q001", 4).columns == ["genome_id", "u0", "u1", "u2", "u3"]
     with pytest.raises(ValueError):
         summary.presence_matrix(rows, "q001", 3)
+
+
+def _stored(spark, path, rows, peptides=("AAAAAAK", "CCCCCCK"), policy="exact", digestion=None):
+    from presencia.sources import reuse
+
+    panel = spark.createDataFrame(rows, "genome_id string, peptide string")
+    seen = spark.createDataFrame([(p,) for p in peptides], "peptide string")
+    found, counts = reuse.matched(panel, seen, path, policy, digestion)
+    return sorted(tuple(r) for r in found.collect()), counts["genomes_reused"], counts["genomes_matched"]
+
+
+GENOMES = [("a", "AAAAAAK"), ("a", "DDDDDDK"), ("b", "CCCCCCK"), ("c", "DDDDDDK")]
+
+
+@pytest.mark.parametrize("change", [{"peptides": ("AAAAAAK",)}, {"policy": "il-equivalent"}, {"digestion": {"least": 6}}, {"version": 2}])
+def test_stored_matches_of_another_provenance_are_not_taken(spark, tmp_path, monkeypatch, change):
+    from presencia.sources import reuse
+
+    path, version = str(tmp_path / "store"), change.pop("version", None)
+    assert _stored(spark, path, GENOMES)[1:] == (0, 3)
+    if version:
+        monkeypatch.setattr(reuse, "SCHEMA_VERSION", version)
+    assert _stored(spark, path, GENOMES, **change)[1:] == (0, 3)
+    assert _stored(spark, path, GENOMES[::-1], **change)[1:] == (3, 0)
+
+
+def test_only_changed_genomes_are_matched_again(spark, tmp_path):
+    path = str(tmp_path / "store")
+    want = [("a", "AAAAAAK"), ("b", "CCCCCCK")]
+    assert _stored(spark, path, GENOMES) == (want, 0, 3)
+    # one changed, one new, one gone; then back to the first
+    changed = [("a", "AAAAAAK"), ("a", "CCCCCCK"), ("b", "CCCCCCK"), ("d", "AAAAAAK")]
+    assert _stored(spark, path, changed) == ([("a", "AAAAAAK"), ("a", "CCCCCCK"), ("b", "CCCCCCK"), ("d", "AAAAAAK")], 1, 2)
+    assert _stored(spark, path, GENOMES) == (want, 3, 0)
+    assert _stored(spark, path, []) == ([], 0, 0)
+
+
+def test_batches_without_a_finished_ledger_are_passed_over(spark, tmp_path):
+    path = tmp_path / "store"
+    _stored(spark, str(path), GENOMES)
+    (mark,) = path.glob("matches-*/ledger/batch=*/_SUCCESS")
+    mark.unlink()
+    assert _stored(spark, str(path), GENOMES) == ([("a", "AAAAAAK"), ("b", "CCCCCCK")], 0, 3)
