@@ -8,6 +8,12 @@ roots and goes down only into nodes that differ. Records in them are matched by
 record id and digest, wherever they lie: a replica has a layout of its own, and
 one lost or longer record moves all that follow it.
 
+Where only damage is asked for and not what moved, leaves are runs of records
+that a record's own digest begins, with offsets counted from the run's start,
+and a wider node begins at a child whose hash says so. Then a lost, longer or
+new record changes the leaf it lies in and perhaps the next one; all others keep
+their hash wherever they have moved, and the audit does not go into them.
+
 Defined cases: null url or html count as empty; null ids are kept; repeated
 rows are records of their own; an empty table has no records and nothing to
 report. A file whose next bytes are no record with a header and a
@@ -30,10 +36,13 @@ from presencia.llm.tables import new_path, written
 @dataclass(frozen=True)
 class WarcParams:
     """``archive_records``: records an archive has on average; ``leaf_bits``:
-    the lowest nodes cover two to this many bytes."""
+    leaves by place cover two to this many bytes; ``leaf_records``: records a
+    leaf by content has on average; ``fan_bits``: nodes have two to this many
+    children, on average where they are cut by content."""
 
     archive_records: int = 1_000
     leaf_bits: int = 16
+    leaf_records: int = 8
     fan_bits: int = 4
     date: str = "2024-01-01T00:00:00Z"
 
@@ -203,9 +212,11 @@ def digests(records: DataFrame, *more: str) -> DataFrame:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """The columns of ``digests`` but page_id, out of the files of a replica,
-    compressed or not; places are those of the plain bytes."""
+    compressed or not; places are those of the plain bytes. A file whose path
+    names no archive is one of its own, by a hash of the path."""
     body = F.expr("substring(record, 1, length(record) - 4)")
-    return read_warc(spark, path, plain=True).select("record_id", F.coalesce("archive", F.lit(-1)).alias("archive"), "offset", "length", F.unhex(F.sha2(body, 256)).alias("digest"))
+    own = F.lit(1 << 30) + F.pmod(F.xxhash64("file"), F.lit(1 << 30))
+    return read_warc(spark, path, plain=True).select("record_id", F.coalesce("archive", own).alias("archive"), "offset", "length", F.unhex(F.sha2(body, 256)).alias("digest"))
 
 
 def merkle_levels(both: DataFrame, params: WarcParams) -> list[DataFrame]:
@@ -220,8 +231,7 @@ def merkle_levels(both: DataFrame, params: WarcParams) -> list[DataFrame]:
     nodes = both.groupBy("replica", F.shiftright("place", shift).alias("node")).agg(F.array_sort(F.collect_list(F.struct("place", leaf.alias("part")))).alias("parts"))
     levels = []
     while True:
-        hashed = F.unhex(F.sha2(F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["part"])), 256))
-        levels.append(written(nodes.select("replica", "node", hashed.alias("hash")), f"merkle-{len(levels)}"))
+        levels.append(written(nodes.select("replica", "node", _node_hash("parts").alias("hash")), f"merkle-{len(levels)}"))
         if top is None or top >> shift == 0:
             return levels
         shift += params.fan_bits
@@ -242,39 +252,115 @@ def _matched(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("nth", nth).groupBy(*keys, "nth").agg(*sides).select("primary", "copy")
 
 
-def audit(primary: DataFrame, copy: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
+def _node_hash(parts: str) -> Column:
+    return F.unhex(F.sha2(F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x["part"])), 256))
+
+
+def _begins(digest: str, one_of: int) -> Column:
+    """One digest in ``one_of`` begins a node."""
+    return (F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long") % one_of == 0).cast("int")
+
+
+def _in_runs(both: DataFrame, params: WarcParams) -> DataFrame:
+    """``both`` with ``run``, the number of its leaf in its archive."""
+    so_far = Window.partitionBy("replica", "archive").orderBy("offset", "digest")
+    return both.withColumn("run", F.sum(_begins("digest", params.leaf_records)).over(so_far))
+
+
+def content_levels(runs: DataFrame, params: WarcParams) -> list[DataFrame]:
+    """Nodes of all replicas, lowest level first: (replica, archive, node, up,
+    hash). Runs of records, runs of these, archives, then archives in groups."""
+    fan, of_archive = 1 << params.fan_bits, ["replica", "archive"]
+    leaves = runs.groupBy(*of_archive, F.col("run").alias("node")).agg(F.array_sort(F.collect_list(F.struct("offset", "length", "digest"))).alias("parts"))
+    first = F.col("parts")[0]["offset"]
+    parts = F.transform("parts", lambda x: F.struct(_offset_part(x, first).alias("part")))
+    leaves = leaves.select(*of_archive, "node", parts.alias("parts")).select(*of_archive, "node", _node_hash("parts").alias("hash"))
+    so_far = Window.partitionBy(*of_archive).orderBy("node")
+    levels = [written(leaves.withColumn("up", F.sum(_begins("hash", fan)).over(so_far)), "merkle-0")]
+
+    def above(name: str, keys: list[Column], up: Column) -> None:
+        nodes = levels[-1].groupBy("replica", *keys).agg(F.array_sort(F.collect_list(F.struct("archive", "node", F.col("hash").alias("part")))).alias("parts"))
+        levels.append(written(nodes.select("replica", "archive", "node", up.alias("up"), _node_hash("parts").alias("hash")), name))
+
+    above("merkle-1", [F.col("archive"), F.col("up").alias("node")], F.lit(0).cast("long"))
+    top = levels[0].agg(F.max("archive")).first()[0] or 0
+    above("merkle-2", [F.col("archive"), F.lit(0).cast("long").alias("node")], F.lit(0).cast("long"))
+    while top:
+        top >>= params.fan_bits
+        above(f"merkle-{len(levels)}", [F.shiftright("archive", params.fan_bits).alias("archive"), F.col("up").alias("node")], F.lit(0).cast("long"))
+    return levels
+
+
+def _offset_part(x: Column, first: Column) -> Column:
+    words = [F.unhex(F.lpad(F.hex(v), 16, "0")) for v in (x["offset"] - first, x["length"])]
+    return F.concat(*words, x["digest"])
+
+
+def _uneven(nodes: DataFrame) -> DataFrame:
+    """Nodes whose hash one replica holds more often than the other."""
+    by_hash = nodes.groupBy("hash").agg(F.sum(F.when(F.col("replica") == "primary", 1).otherwise(-1)).alias("more"))
+    return nodes.join(by_hash.where("more <> 0"), "hash", "left_semi").drop("hash")
+
+
+def damaged_leaves(levels: list[DataFrame], params: WarcParams) -> DataFrame:
+    """replica, archive, run of the leaves that the descent ends in. A node
+    meets the other replica's by its hash, wherever that lies; what is under
+    nodes that both hold equally often is intact and not read."""
+    found = _uneven(levels[-1])
+    for at in range(len(levels) - 2, -1, -1):
+        # a node's parent: its own archive's up to archives, the group's above
+        archive = F.shiftright("archive", params.fan_bits) if at >= 2 else F.col("archive")
+        parents = found.select("replica", F.col("archive").alias("_archive"), F.col("node").alias("_node"))
+        below = levels[at].withColumns({"_archive": archive, "_node": F.col("up")})
+        found = _uneven(below.join(parents, ["replica", "_archive", "_node"], "left_semi").drop("_archive", "_node"))
+    return found.select("replica", "archive", F.col("node").alias("run"))
+
+
+def audit(primary: DataFrame, copy: DataFrame, params: WarcParams = WarcParams(), shifted: bool = True) -> DataFrame:
     """page_id, archive, offset, length, status, copy_archive, copy_offset of
     the records that differ; the place is the primary's where it has one.
 
     ``primary`` is a table as ``digests`` gives it, ``copy`` one as ``digests``
     or ``read_digests`` does. Status: changed, missing (not in the copy), extra
-    (only there) or shifted (intact at another place). An extra record of files
-    has no page_id.
+    (only there) or, unless ``shifted`` is false, shifted (intact at another
+    place). An extra record of files has no page_id. Without the shifted the
+    leaves are cut by content, and only those with damage are gone into.
     """
     rows = primary.withColumn("replica", F.lit("primary")).unionByName(copy.withColumn("replica", F.lit("copy")), allowMissingColumns=True)
-    rows = written(rows, "warc-digests")
-    end = rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 1
-    span = max(params.leaf_bits, int(end).bit_length())
-    placed = rows.withColumn("place", F.shiftleft("archive", span) + F.col("offset"))
-    levels = merkle_levels(placed, params)
-    suspects = _differing(levels[-1], ["node"]).select("node")
-    for level in reversed(levels[:-1]):
-        children = level.withColumn("up", F.shiftright("node", params.fan_bits)).join(suspects.withColumnRenamed("node", "up"), "up", "left_semi")
-        suspects = _differing(children, ["node"]).select("node")
-    inside = placed.withColumn("up", F.shiftright("place", params.leaf_bits)).join(suspects.withColumnRenamed("node", "up"), "up", "left_semi")
+    if shifted:
+        rows = written(rows, "warc-digests")
+        inside = _by_place(rows, params)
+    else:
+        rows = written(_in_runs(rows, params), "warc-digests")
+        inside = rows.join(damaged_leaves(content_levels(rows, params), params), ["replica", "archive", "run"], "left_semi")
     # what lies where it did goes first: of repeated records the moved one is to be named
     exact = ["record_id", "archive", "offset", "length", "digest"]
     both = F.collect_set("replica").over(Window.partitionBy(*exact))
     inside = written(inside.withColumn("sides", F.size(both)).where("sides = 1").select("replica", "page_id", *exact), "warc-suspects")
     intact = written(_matched(inside, ["record_id", "digest"]), "warc-matched")
     one_sided = [intact.where(F.col(o).isNull()).select(F.lit(r).alias("replica"), f"{r}.*") for r, o in (("primary", "copy"), ("copy", "primary"))]
-    rest = _matched(one_sided[0].unionByName(one_sided[1]), ["record_id"])
+    found = _matched(one_sided[0].unionByName(one_sided[1]), ["record_id"])
     status = F.when(F.col("copy").isNull(), "missing").when(F.col("primary").isNull(), "extra").otherwise("changed")
-    shifted = intact.where("primary IS NOT NULL AND copy IS NOT NULL").withColumn("status", F.lit("shifted"))
-    found = shifted.unionByName(rest.withColumn("status", status)).withColumn("at", F.coalesce("primary", "copy"))
+    found = found.withColumn("status", status)
+    if shifted:
+        found = intact.where("primary IS NOT NULL AND copy IS NOT NULL").withColumn("status", F.lit("shifted")).unionByName(found)
+    found = found.withColumn("at", F.coalesce("primary", "copy"))
     return found.select("at.page_id", "at.archive", "at.offset", "at.length", "status", F.col("copy.archive").alias("copy_archive"), F.col("copy.offset").alias("copy_offset"))
 
 
+def _by_place(rows: DataFrame, params: WarcParams) -> DataFrame:
+    """The records in leaves by place that differ."""
+    end = rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 1
+    span = max(params.leaf_bits, int(end).bit_length())
+    placed = rows.withColumn("place", F.shiftleft("archive", span) + F.col("offset"))
+    levels = merkle_levels(placed, params)
+    suspects = _differing(levels[-1], ["node"]).select("node")
+    for level in reversed(levels[:-1]):
+        children = level.withColumn("up", F.shiftright("node", params.fan_bits)).join(suspects.withColumnRenamed("node", "up"), "up", "left_semi")
+        suspects = _differing(children, ["node"]).select("node")
+    return placed.withColumn("up", F.shiftright("place", params.leaf_bits)).join(suspects.withColumnRenamed("node", "up"), "up", "left_semi")
+
+
 def _hurt(record: Column, page_id: Column) -> Column:
     """Known damage: in one record of 97 the last byte is another one."""
     last = F.substring(record, -1, 1)
@@ -285,7 +371,7 @@ def _hurt(record: Column, page_id: Column) -> Column:
 def fixity_report(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     """Lay out ``pages``, write a damaged replica (one record of 97 changed, one
     of 193 lost), read it from its files, and report the damage that the audit
-    locates: intact records that a lost one has shifted are left out."""
+    locates, by leaves cut by content."""
     spark = pages.sparkSession
     rows = _records(pages, params, "page_id", "url", "html")
     # the primary's records are hashed where they are read; the replica's move into files
@@ -295,5 +381,5 @@ def fixity_report(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFr
     copied = rows.where(~lost).withColumn("record", _hurt(F.col("record"), F.col("page_id")))
     path = new_path(spark, "warc-replica")
     write_warc(copied, path, ("page_id", "key"), "gzip")
-    found = audit(laid, read_digests(spark, path), params)
-    return found.where("status <> 'shifted'").select("page_id", "archive", "offset", "length", "status")
+    found = audit(laid, read_digests(spark, path), params, shifted=False)
+    return found.select("page_id", "archive", "offset", "length", "status")

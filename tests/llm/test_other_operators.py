@@ -559,6 +559,47 @@ def test_audit_equals_brute_force(spark):
         assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
 
 
+def _placed_in(rows):
+    out, at = [], {}
+    for i, name, archive, length, digest in rows:
+        out.append((i, name, archive, at.get(archive, 0), length, digest))
+        at[archive] = at.get(archive, 0) + length
+    return out
+
+
+def test_damage_is_found_in_few_leaves(spark):
+    """Leaves by content: no more are gone into than two a damaged record and
+    replica, and the damage is what two plain lists say."""
+    rng = random.Random(3)
+    columns = "page_id long, record_id string, archive long, offset long, length long, digest binary"
+    one = [(i, f"<{i}>", i % 40, rng.randint(20, 90), rng.randbytes(32)) for i in range(4_000)]
+    hurt = {"lost": {77, 2_001}, "changed": {500, 501, 3_999}, "longer": {1_234}}
+    two = [(i, n, a, size + (i in hurt["longer"]), rng.randbytes(32) if i in hurt["changed"] | hurt["longer"] else d) for i, n, a, size, d in one if i not in hurt["lost"]]
+    two.insert(60, (None, "<new>", 3, 44, rng.randbytes(32)))
+    primary, copy = (spark.createDataFrame(_placed_in(x), columns) for x in (one, two))
+    got = sorted((str(r.page_id), r.status) for r in warc.audit(primary, copy, shifted=False).collect())
+    want = [(str(i), "missing") for i in hurt["lost"]] + [(str(i), "changed") for i in hurt["changed"] | hurt["longer"]] + [("None", "extra")]
+    assert got == sorted(want)
+    runs = warc._in_runs(primary.withColumn("replica", F.lit("primary")).unionByName(copy.withColumn("replica", F.lit("copy"))), warc.WarcParams())
+    levels = warc.content_levels(runs.cache(), warc.WarcParams())
+    leaves = warc.damaged_leaves(levels, warc.WarcParams()).count()
+    assert len(want) < leaves <= 4 * len(want) < levels[0].count() / 20
+
+
+def test_damage_by_content_equals_damage_by_place(spark):
+    """Repeated records, records that change archives, an empty replica."""
+    rng = random.Random(8)
+    columns = "page_id long, record_id string, archive long, offset long, length long, digest binary"
+    digest = [rng.randbytes(32) for _ in range(30)]
+    one = [(i, f"<{i % 30}>", rng.randrange(20), 10 + i % 30, digest[i % 30]) for i in range(300)]
+    two = [(i, n, (a + (i % 50 == 1)) % 20, size, rng.randbytes(32) if i % 41 == 3 else d) for i, n, a, size, d in one if i % 23 != 2]
+    for left, right in ((one, two), (two, one), (one, []), ([], one), ([], [])):
+        a, b = (spark.createDataFrame(_placed_in(x), columns) for x in (left, right))
+        by_content = warc.audit(a, b, shifted=False).groupBy("status").count().collect()
+        by_place = warc.audit(a, b).where("status <> 'shifted'").groupBy("status").count().collect()
+        assert {tuple(r) for r in by_content} == {tuple(r) for r in by_place}
+
+
 def test_members_and_broken_files(spark, tmp_path):
     import gzip
 
