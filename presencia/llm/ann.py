@@ -11,8 +11,9 @@ How many buckets to probe is fitted on a bounded number of queries
 their true neighbours is met; every row is indexed, at every size of table.
 Queries whose buckets hold too few rows for a full list are held against all
 rows, in blocks. Equal vectors are one class that carries its smallest ids,
-which is all that a top list can use. Hot buckets are dealt over tasks; a task
-holds a bucket's queries and reads its members once.
+which is all that a top list can use. Hot buckets are dealt over tasks, and so are
+queries where many meet in one bucket; a task holds a block of a bucket's queries
+and reads the members once.
 
 Defined cases: vectors that are null, empty, zero, of another than the most
 common length, or that hold null or non-finite components take no part; null
@@ -38,7 +39,8 @@ from presencia.llm.tables import hot_keys, written
 @dataclass(frozen=True)
 class AnnParams:
     """``most_probes`` bounds the buckets probed in a table once these are more
-    than the signed axes; ``block_rows`` is what one task takes of a hot bucket."""
+    than the signed axes; ``block_rows`` is what one task takes of a hot bucket
+    at a time, ``block_queries`` what it holds of a bucket's queries."""
 
     top: int = 10
     tables: int = 3
@@ -47,6 +49,7 @@ class AnnParams:
     fit_queries: int = 128
     most_probes: int = 1_024
     block_rows: int = 8_192
+    block_queries: int = 1_024
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -271,10 +274,20 @@ def nearest(table: DataFrame, is_query=None, params: AnnParams = AnnParams(), id
     none = spark.createDataFrame([], "bucket long, _llm_salts int")
     hot = hot_keys(counts, "bucket", params.block_rows) or none  # at most a thousand
     asks = written(asked.mapInArrow(probe_rows, "bucket long, " + schema).join(counts, "bucket", "left_semi"), "ann-asks")
-    members = coded.select(F.explode("codes").alias("bucket"), "h1", "h2", "vec", "ids").join(asks.select("bucket").distinct(), "bucket", "left_semi")
-    salts = F.coalesce("_llm_salts", F.lit(1))
-    members = members.join(F.broadcast(hot), "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), salts).cast("int"))
-    asks = asks.join(F.broadcast(hot), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    # a bucket's queries are held in blocks, too; its members pass by each block
+    cells = asks.groupBy("bucket").agg(F.ceil(F.count("*") / params.block_queries).cast("int").alias("blocks"))
+    cells = written(cells.join(F.broadcast(hot), "bucket", "left").select("bucket", "blocks", F.coalesce("_llm_salts", F.lit(1)).alias("salts")), "ann-cells")
+    cell = (F.col("part") * F.col("blocks") + F.col("block")).cast("int").alias("salt")
+
+    def dealt(column, n):
+        return F.pmod(F.xxhash64("h1", "h2", F.lit(column)), n)
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    members = coded.select(F.explode("codes").alias("bucket"), "h1", "h2", "vec", "ids").join(cells, "bucket")
+    members = members.withColumn("part", dealt("part", F.col("salts"))).withColumn("block", each(F.col("blocks"))).select("bucket", cell, "h1", "h2", "vec", "ids")
+    asks = asks.join(cells, "bucket").withColumn("block", dealt("block", F.col("blocks"))).withColumn("part", each(F.col("salts"))).select("bucket", cell, "h1", "h2", "vec")
     found = written(_met(members, asks, dim, params.top), "ann-found")
 
     # as many ids as a list can ask for; a query's own is among what it found
@@ -282,7 +295,7 @@ def nearest(table: DataFrame, is_query=None, params: AnnParams = AnnParams(), id
     enough = found.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= full)
     short = written(asked.join(enough, ["h1", "h2"], "left_anti"), "ann-short")
     if lacking := short.count():
-        blocks, groups = -(-n // (4 * params.block_rows)), -(-lacking // 1_024)
+        blocks, groups = -(-n // (4 * params.block_rows)), -(-lacking // params.block_queries)
         spread = F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks))
         members = classes.select(spread.alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt"), "h1", "h2", "vec", "ids")
         asks = short.select(

@@ -475,6 +475,35 @@ def test_lists_are_filled_from_all_rows(spark):
     assert len(got) == 16 and all(len(x) == 10 for x in got.values())
 
 
+def test_blocks_of_queries_change_nothing(spark):
+    """Buckets cut into cells of few members and few queries give the lists of whole ones."""
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 16)))], "vec_id long, embedding array<double>")
+    whole, cut = (
+        sorted(tuple(r) for r in ann.nearest(df, lambda i: i % 5 == 0, ann.AnnParams(block_rows=rows, block_queries=queries)).collect()) for rows, queries in ((8_192, 1_024), (40, 7))
+    )
+    assert whole == cut and len(whole) == 1_200
+
+
+def test_recall_on_the_whole_table(spark):
+    """The registered query against an exact search of all vectors."""
+    from presencia.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    rows = [(i, v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    got: dict[int, set[int]] = {}
+    for r in queries.op6_cross_polytope(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = want = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        best = [int(ids[j]) for j in np.lexsort((ids, d)) if ids[j] != ids[q]][:10]
+        found, want = found + len(got.get(int(ids[q]), set()) & set(best)), want + len(best)
+    assert want and found >= 0.9 * want
+
+
 def test_an_id_with_two_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [9.0, 9.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in ann.nearest(df, lambda i: i == 0).collect())
