@@ -593,15 +593,14 @@ _QS = ", ".join(f"round(coalesce(qs[{i}], 0), 6) AS background_unique_q{n}" for
 _FRACTIONS = ("initial_exclusion_fraction", "final_exclusion_fraction", "next_requested_fraction", "min_p_resolution", "affected_fraction", "adequate_fraction")
 
 
-@query(
-    calibration(
-        f"""SELECT unit AS analysis_unit_id, iteration_count, round(initial, 6) AS initial_exclusion_fraction, round(final, 6) AS final_exclusion_fraction, round(next, 6) AS next_requested_fraction,
-        active AS active_genomes, background AS background_size, bins AS bin_count, round(resolution, 6) AS min_p_resolution, {_QS},
-        CAST(active - least(ceil(active * initial), active - 1) AS BIGINT) AS initial_background_size, 0.2::DOUBLE AS exclusion_fraction_cap, cap_reached, update_above_cap, converged,
-        round(affected, 6) AS affected_fraction, round(1 - affected, 6) AS adequate_fraction, NOT (cap_reached AND (update_above_cap OR NOT converged) AND affected + 1e-12 >= 0.9) AS suitable
-        FROM {_UNITS} JOIN (SELECT analysis_unit_id AS u, coalesce(sum(active_genomes) FILTER (cap_pressure), 0) / sum(active_genomes) AS affected FROM {_BINS} GROUP BY 1) ON u = unit"""
-    )
-)
+_REPORT = f"""SELECT unit AS analysis_unit_id, iteration_count, round(initial, 6) AS initial_exclusion_fraction, round(final, 6) AS final_exclusion_fraction, round(next, 6) AS next_requested_fraction,
+    active AS active_genomes, background AS background_size, bins AS bin_count, round(resolution, 6) AS min_p_resolution, {_QS},
+    CAST(active - least(ceil(active * initial), active - 1) AS BIGINT) AS initial_background_size, 0.2::DOUBLE AS exclusion_fraction_cap, cap_reached, update_above_cap, converged,
+    round(affected, 6) AS affected_fraction, round(1 - affected, 6) AS adequate_fraction, NOT (cap_reached AND (update_above_cap OR NOT converged) AND affected + 1e-12 >= 0.9) AS suitable
+    FROM {_UNITS} JOIN (SELECT analysis_unit_id AS u, coalesce(sum(active_genomes) FILTER (cap_pressure), 0) / sum(active_genomes) AS affected FROM {_BINS} GROUP BY 1) ON u = unit"""
+
+
+@query(calibration(_REPORT))
 def calibration_trace(spark, d):
     report = _calibrated(spark, d)[3].drop("iteration_trace", "reason").withColumn("initial_background_size", F.col("initial_background_size").cast("long"))
     return _rounded(report, *_FRACTIONS, *[f"background_unique_q{n}" for n in (50, 90, 95, 99)])
@@ -613,18 +612,40 @@ def calibration_steps(spark, d):
     return _rounded(_calibrated(spark, d)[2], "exclude_fraction", "candidate_fraction", "new_fraction")
 
 
+_BIN_ROWS = f"""SELECT b.analysis_unit_id, CAST(b.bin AS INT) AS bin, active_genomes, background_genomes, round(min_p_resolution, 6) AS min_p_resolution, min_unique, max_unique, candidates, {_QS},
+    coalesce(i.n, 0) AS initial_background_genomes, round(candidate_fraction, 6) AS candidate_fraction, u.cap_reached, u.converged, cap_pressure
+    FROM {_BINS} b JOIN (SELECT unit, cap_reached, converged FROM {_UNITS}) u ON u.unit = b.analysis_unit_id
+    LEFT JOIN (SELECT analysis_unit_id, bin, count(*) FILTER (in_background) AS n FROM binned1 GROUP BY 1, 2) i ON i.analysis_unit_id = b.analysis_unit_id AND i.bin = b.bin"""
+
+
+@query(calibration(_BIN_ROWS))
+def bin_diagnostics(spark, d):
+    rows, judged, _, report = _calibrated(spark, d)
+    out = background.bin_report(judged, ALPHA, background.first_bins(rows, 4, ALPHA), report)
+    return _rounded(out, "min_p_resolution", "candidate_fraction", *[f"background_unique_q{n}" for n in (50, 90, 95, 99)])
+
+
 @query(
     calibration(
-        f"""SELECT b.analysis_unit_id, CAST(b.bin AS INT) AS bin, active_genomes, background_genomes, round(min_p_resolution, 6) AS min_p_resolution, min_unique, max_unique, candidates, {_QS},
-        coalesce(i.n, 0) AS initial_background_genomes, round(candidate_fraction, 6) AS candidate_fraction, u.cap_reached, u.converged, cap_pressure
-        FROM {_BINS} b JOIN (SELECT unit, cap_reached, converged FROM {_UNITS}) u ON u.unit = b.analysis_unit_id
-        LEFT JOIN (SELECT analysis_unit_id, bin, count(*) FILTER (in_background) AS n FROM binned1 GROUP BY 1, 2) i ON i.analysis_unit_id = b.analysis_unit_id AND i.bin = b.bin"""
+        f"""SELECT 'calibration' AS name, analysis_unit_id, NULL::INT AS bin, iteration_count AS passes, active_genomes AS active, background_size AS background, suitable AS flag FROM ({_REPORT})
+        UNION ALL SELECT 'bin_diagnostics', analysis_unit_id, bin, NULL, active_genomes, background_genomes, cap_pressure FROM ({_BIN_ROWS})"""
     )
 )
-def bin_diagnostics(spark, d):
+def calibration_files(spark, d):
+    """The tables of a calibration, written as text and read again; the passes
+    are those of the trace in the file."""
     rows, judged, _, report = _calibrated(spark, d)
-    out = background.bin_report(judged, ALPHA, background.first_bins(rows, 4, ALPHA), report)
-    return _rounded(out, "min_p_resolution", "candidate_fraction", *[f"background_unique_q{n}" for n in (50, 90, 95, 99)])
+    path = new_path(spark, "calibration-files")
+    sinks.write_tables({"calibration": report, "bin_diagnostics": background.bin_report(judged, ALPHA, background.first_bins(rows, 4, ALPHA), report)}, path, "tsv")
+    of_units, of_bins = (spark.read.csv(f"{path}/{t}", sep="\t", header=True) for t in ("calibration", "bin_diagnostics"))
+    passes = F.size(F.from_json("iteration_trace", "array<string>"))
+
+    def picked(table, name, bin_of, n, background_of, flag):
+        fixed = [F.lit(name).alias("name"), "analysis_unit_id", bin_of.cast("int").alias("bin"), n.cast("int").alias("passes")]
+        return table.select(*fixed, *[F.col(c).cast("long").alias(k) for c, k in (("active_genomes", "active"), (background_of, "background"))], F.col(flag).cast("boolean").alias("flag"))
+
+    none = F.lit(None)
+    return picked(of_units, "calibration", none, passes, "background_size", "suitable").union(picked(of_bins, "bin_diagnostics", F.col("bin"), none, "background_genomes", "cap_pressure"))
 
 
 @query(diagnosed("SELECT analysis_unit_id, genome_id, CAST(bin AS INT) AS bin, size AS background_size, round(threshold::DOUBLE, 6) AS background_threshold, round(excess::DOUBLE, 6) AS excess_count, round(p_tail, 6) AS p_tail FROM testedd"))
