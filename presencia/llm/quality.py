@@ -3,11 +3,15 @@
 Each document's measures come from its whole text. Per language and source the
 measures are summed up in log-bucket sketches: counts per bucket, whose merge
 is addition, so any partitioning gives the same sketch and every quantile is
-within ``accuracy`` of the true one. Upper fences, quartile plus a multiple of
-the quartile distance, replace fixed cutoffs. A group's quantiles are drawn
-towards those of its language, and these towards those of everything, as if
-``prior_docs`` documents had them: the fewer documents, the more. The fences
-are joined back and decide.
+within ``accuracy`` of the true one. Upper fences replace fixed cutoffs: the
+upper quartile times a power of the quartiles' ratio, as buckets are steps of
+a ratio. Most documents have no symbol and no repeat, so each measure has a
+small addition above and below, as if the document went on for a little: none
+in a long text says more than none in a short one, and the quartiles of such
+rates differ where those of plain ones are zero. The logarithms of a group's
+quartiles are drawn towards those of its language, and these towards those of
+everything, as if ``prior_docs`` documents had them: the fewer documents, the
+more. The fences are joined back and decide.
 
 Defined cases: null or blank text has no words and fails the base rule; null
 lang or source is a group of its own; repeated rows count and are judged as
@@ -31,17 +35,19 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
 #: Measures of the verdict and what they divide.
 MEASURES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+#: Added above and below: half a case in one more place, and twenty words of five letters.
+ADDED = {"symbols": (0.5, 1.0), "dup_lines": (0.5, 1.0), "repeats": (0.5, 1.0), "word_length": (100.0, 20.0)}
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    """A document fails a measure above ``q75 + reach * (q75 - q25)`` and above
+    """A document fails a measure above ``q75 * (q75 / q25) ** reach`` and above
     ``slack`` more than q75, so groups without spread keep what is ordinary."""
 
     accuracy: float = 0.01
-    reach: float = 3.0
     prior_docs: int = 50
-    slack: tuple[tuple[str, float], ...] = (("symbols", 0.1), ("dup_lines", 0.35), ("repeats", 0.1), ("word_length", 3.0))
+    reach: tuple[tuple[str, float], ...] = (("symbols", 2.5), ("dup_lines", 1.25), ("repeats", 2.5), ("word_length", 4.0))
+    slack: tuple[tuple[str, float], ...] = (("symbols", 0.05), ("dup_lines", 0.1), ("repeats", 0.05), ("word_length", 0.5))
 
 
 def text_counts(text: bytes | None) -> tuple[int, int, int, int, int, int]:
@@ -97,17 +103,17 @@ def base_failed(c: str) -> Column:
 
 
 def _measure(c: str, name: str) -> Column:
-    top, below = MEASURES[name]
-    return F.col(f"{c}.{top}") / F.greatest(F.col(f"{c}.{below}"), F.lit(1))
+    (top, below), (a, b) = MEASURES[name], ADDED[name]
+    return (F.col(f"{c}.{top}") + F.lit(a)) / (F.col(f"{c}.{below}") + F.lit(b))
 
 
 def sketches(rows: DataFrame, counts: str, group: list[str], params: QualityParams) -> DataFrame:
-    """(group, measure, bucket, n): log buckets of relative accuracy, zero in a
-    bucket of its own. Sketches merge by adding n."""
+    """(group, measure, bucket, n): log buckets of relative accuracy over the
+    documents with a word. Sketches merge by adding n."""
     gamma = (1 + params.accuracy) / (1 - params.accuracy)
     values = F.array(*[F.struct(F.lit(m).alias("measure"), _measure(counts, m).alias("value")) for m in MEASURES])
     flat = rows.where(F.col(f"{counts}.n_words") > 0).select(*group, F.explode(values).alias("m"))
-    bucket = F.when(F.col("m.value") <= 1e-9, F.lit(-(1 << 30))).otherwise(F.ceil(F.ln("m.value") / F.lit(math.log(gamma)))).cast("int")
+    bucket = F.ceil(F.ln("m.value") / F.lit(math.log(gamma))).cast("int")
     return flat.groupBy(*group, F.col("m.measure").alias("measure"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -116,7 +122,7 @@ def quartiles(sketch: DataFrame, group: list[str], params: QualityParams) -> Dat
     gamma = (1 + params.accuracy) / (1 - params.accuracy)
     by = Window.partitionBy(*group, "measure")
     run = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("docs", F.sum("n").over(by))
-    value = F.when(F.col("bucket") == -(1 << 30), 0.0).otherwise(F.pow(F.lit(gamma), F.col("bucket")) * 2 / (gamma + 1))
+    value = F.pow(F.lit(gamma), F.col("bucket")) * 2 / (gamma + 1)
     return run.groupBy(*group, "measure").agg(
         F.max("docs").alias("docs"),
         *[F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), value)).alias(f"q{int(100 * q)}") for q in (0.25, 0.75)],
@@ -124,7 +130,8 @@ def quartiles(sketch: DataFrame, group: list[str], params: QualityParams) -> Dat
 
 
 def fences(rows: DataFrame, counts: str, params: QualityParams, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, fences map<measure, bound>), one row a group."""
+    """(lang, source, fences map<measure, bound>, floors), one row a group;
+    ``floors`` counts the measures whose bound the slack alone decides."""
     own = sketches(rows, counts, [lang, source], params)
     by_lang = own.groupBy(lang, "measure", "bucket").agg(F.sum("n").alias("n"))
     of_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
@@ -136,18 +143,22 @@ def fences(rows: DataFrame, counts: str, params: QualityParams, lang: str = "lan
     prior = F.lit(float(params.prior_docs))
 
     def pick(q):
-        of_lang = (F.col("b_docs") * F.col(f"b_{q}") + prior * F.col(f"c_{q}")) / (F.col("b_docs") + prior)
-        return (F.col("docs") * F.col(q) + prior * of_lang) / (F.col("docs") + prior)
+        of_lang = (F.col("b_docs") * F.ln(f"b_{q}") + prior * F.ln(f"c_{q}")) / (F.col("b_docs") + prior)
+        return F.exp((F.col("docs") * F.ln(q) + prior * of_lang) / (F.col("docs") + prior))
 
-    slack = F.create_map(*[F.lit(x) for pair in params.slack for x in pair])
-    bound = pick("q75") + F.greatest(params.reach * (pick("q75") - pick("q25")), slack[F.col("measure")])
-    return all_three.groupBy(lang, source).agg(F.map_from_entries(F.collect_list(F.struct("measure", bound.alias("bound")))).alias("fences"))
+    def of(pairs):
+        return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col("measure")]
+
+    spread = all_three.withColumns({"low": pick("q25"), "high": pick("q75")}).withColumns({"reached": F.col("high") * F.pow(F.col("high") / F.col("low"), of(params.reach)), "floor": F.col("high") + of(params.slack)})
+    # one entry a measure
+    entries = F.collect_list(F.struct("measure", F.greatest("reached", "floor").alias("bound")))
+    return spread.groupBy(lang, source).agg(F.map_from_entries(entries).alias("fences"), F.count_if(F.col("floor") > F.col("reached")).alias("floors"))
 
 
 def _judged(rows: DataFrame, counts: str, params: QualityParams, lang: str, source: str) -> DataFrame:
-    bounds = fences(rows, counts, params, lang, source).withColumnsRenamed({lang: "_llm_lang", source: "_llm_source"})
+    bounds = fences(rows, counts, params, lang, source).drop("floors").withColumnsRenamed({lang: "_llm_lang", source: "_llm_source"})
     joined = rows.join(bounds, F.col(lang).eqNullSafe(F.col("_llm_lang")) & F.col(source).eqNullSafe(F.col("_llm_source")), "left")
-    over = [F.coalesce(_measure(counts, m) > F.col("fences")[m], F.lit(False)) for m in MEASURES]
+    over = [F.coalesce((F.col(f"{counts}.n_words") > 0) & (_measure(counts, m) > F.col("fences")[m]), F.lit(False)) for m in MEASURES]
     failed = F.array_compact(F.array(*[F.when(o, F.lit(m)) for o, m in zip(over, MEASURES)]))
     return joined.withColumn("_llm_base_failed", base_failed(counts)).withColumn("_llm_over", failed).withColumn(
         "_llm_kept", ~F.col("_llm_base_failed") & (F.size("_llm_over") == 0)

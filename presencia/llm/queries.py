@@ -114,14 +114,23 @@ def _secret_sql() -> str:
     FROM d LEFT JOIN g USING (id)"""
 
 
+# Measures, what they divide and what is added to both.
+_RATES = (
+    ("symbols", "n_symbols", 0.5, "n_words", 1),
+    ("dup_lines", "n_dup_lines", 0.5, "n_lines", 1),
+    ("repeats", "n_repeat_words", 0.5, "n_words", 1),
+    ("word_length", "word_chars", 100, "n_words", 20),
+)
+
+
 def _quality_sql() -> str:
     """Counts from lists and windows; fences from sorted buckets, which have
     the sketches' quantiles at the same ranks."""
     p = quality.QualityParams()
     gamma = (1 + p.accuracy) / (1 - p.accuracy)
-    zero = -(1 << 30)
-    values = " UNION ALL ".join(f"SELECT id, lang, source, '{m}' AS measure, CAST({top} AS DOUBLE) / greatest({below}, 1) AS v FROM f WHERE n_words > 0" for m, (top, below) in quality.MEASURES.items())
+    values = " UNION ALL ".join(f"SELECT id, lang, source, '{m}' AS measure, ({top} + CAST({a} AS DOUBLE)) / ({below} + CAST({b} AS DOUBLE)) AS v FROM f WHERE n_words > 0" for m, top, a, below, b in _RATES)
     slack = " ".join(f"WHEN '{m}' THEN {x}" for m, x in p.slack)
+    reach = " ".join(f"WHEN '{m}' THEN {x}" for m, x in p.reach)
 
     def at(q):
         return f"list_sort(list(b))[CAST(ceil(count(*) * {q}) AS BIGINT)]"
@@ -131,12 +140,12 @@ def _quality_sql() -> str:
         return f"{name} AS (SELECT {keys}measure, count(*) AS n, {at(0.25)} AS b25, {at(0.75)} AS b75 FROM v GROUP BY {keys}measure)"
 
     def value(b):
-        return f"(CASE WHEN {b} = {zero} THEN 0.0 ELSE pow({gamma!r}, {b}) * 2 / {gamma + 1!r} END)"
+        return f"(pow({gamma!r}, {b}) * 2 / {gamma + 1!r})"
 
     def pick(q):
         prior = float(p.prior_docs)
-        of_lang = f"((l.n * {value('l.b' + q)} + {prior} * {value('g.b' + q)}) / (l.n + {prior}))"
-        return f"((a.n * {value('a.b' + q)} + {prior} * {of_lang}) / (a.n + {prior}))"
+        of_lang = f"((l.n * ln{value('l.b' + q)} + {prior} * ln{value('g.b' + q)}) / (l.n + {prior}))"
+        return f"exp((a.n * ln{value('a.b' + q)} + {prior} * {of_lang}) / (a.n + {prior}))"
 
     counts = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
     return f"""
@@ -149,11 +158,11 @@ def _quality_sql() -> str:
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
         coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN c ON c.id = w.id),
     m AS ({values}),
-    v AS (SELECT *, CASE WHEN v <= 1e-9 THEN {zero} ELSE CAST(ceil(ln(v) / ln({gamma!r})) AS BIGINT) END AS b FROM m),
+    v AS (SELECT *, CAST(ceil(ln(v) / ln({gamma!r})) AS BIGINT) AS b FROM m),
     {level('a', ['lang', 'source'])}, {level('l', ['lang'])}, {level('g', [])},
-    e AS (SELECT a.lang, a.source, a.measure, {pick('75')} + greatest({p.reach} * ({pick('75')} - {pick('25')}), CASE a.measure {slack} END) AS bound
+    e AS (SELECT a.lang, a.source, a.measure, greatest({pick('75')} * pow({pick('75')} / {pick('25')}, CASE a.measure {reach} END), {pick('75')} + CASE a.measure {slack} END) AS bound
         FROM a JOIN l ON l.lang IS NOT DISTINCT FROM a.lang AND l.measure = a.measure JOIN g ON g.measure = a.measure),
-    o AS (SELECT v.id, string_agg(v.measure, ',' ORDER BY list_position({list(quality.MEASURES)}, v.measure)) AS over FROM v JOIN e
+    o AS (SELECT v.id, string_agg(v.measure, ',' ORDER BY list_position({[m for m, *_ in _RATES]}, v.measure)) AS over FROM v JOIN e
         ON e.lang IS NOT DISTINCT FROM v.lang AND e.source IS NOT DISTINCT FROM v.source AND e.measure = v.measure WHERE v.v > e.bound GROUP BY v.id)
     SELECT {counts}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
         NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND o.over IS NULL AS kept, coalesce(o.over, '') AS over

@@ -140,7 +140,7 @@ def test_quality_quantiles_are_close_and_partition_free(spark):
     both = [sorted(map(tuple, quality.sketches(x, "c2", ["lang", "source"], params).collect())) for x in (one, many)]
     assert both[0] == both[1]
     q = {r.measure: r for r in quality.quartiles(quality.sketches(one, "c2", ["lang", "source"], params), ["lang", "source"], params).collect()}
-    values = sorted(sum(1 for w in t.split() if w == "#") / len(t.split()) for _, t, _, _ in rows)
+    values = sorted((sum(1 for w in t.split() if w == "#") + 0.5) / (len(t.split()) + 1) for _, t, _, _ in rows)
     exact = values[int(np.ceil(300 * 0.75)) - 1]
     assert abs(q["symbols"].q75 - exact) <= 0.011 * exact
 
@@ -153,6 +153,33 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert 900 not in kept and len(kept) >= 199
 
 
+def test_fences_follow_the_groups(spark):
+    """Thirty symbols in a text are ordinary in one source and odd in another."""
+    rng = random.Random(9)
+    text = lambda n, s: " ".join(("#" if k < s else "") + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for k in range(n))
+    rows = [(i, text(rng.randint(80, 400), rng.randint(20, 60)), "en", "code") for i in range(300)]
+    rows += [(1_000 + i, text(rng.randint(80, 400), 0), "en", "prose") for i in range(300)]
+    rows += [(5_000, text(90, 30), "en", "code"), (5_001, text(90, 30), "en", "prose")]
+    verdict = {r.doc_id: r for r in quality.quality_report(docs(spark, rows)).collect()}
+    assert verdict[5_000].kept and verdict[5_001].over == "symbols"
+    assert sum(r.kept for r in verdict.values()) >= 590
+    counted = quality.with_counts(docs(spark, rows), "text", "c")
+    found = {r.source: r for r in quality.fences(counted, "c", quality.QualityParams()).collect()}
+    assert found["code"].fences["symbols"] > 2 * found["prose"].fences["symbols"]
+
+
+def test_slack_decides_in_few_groups(spark):
+    """At most one clean document in a hundred goes, and nine in ten of the others."""
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    groups = quality.fences(quality.with_counts(table, "text", "c"), "c", quality.QualityParams()).agg(F.count("*"), F.sum("floors")).first()
+    assert groups[1] <= 0.1 * len(quality.MEASURES) * groups[0]
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    judged = quality.quality_report(table).where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    kept = dict(map(tuple, judged))
+    assert kept[1] >= 0.99 and kept[0] <= 0.1
+
+
 # ---- line dedup ----------------------------------------------------------------
 
 
