@@ -205,8 +205,7 @@ def score(
     strata = written(evidence.strata_counts(p.unit_matches), "strata")
     pages = shared.pool_pages(evidence.knockoff_pools(p.unit_peptides, p.peptides))
     k1, k2 = (max(shared.LEAST_ITERATIONS, k) for k in (params.iterations_stage1, params.iterations_stage2))
-    sums = written(shared.knockoff_sums(targets, strata, pages, 0, k1, params.seed), "knockoff-sums")
-    stage1 = written(shared.null_of(targets, sums), "knockoff-1")
+    stage1 = written(shared.nulls(targets, strata, pages, k1, params.seed), "knockoff-1")
     done("stage1")
 
     def with_shared(rows: DataFrame, null: DataFrame) -> DataFrame:
@@ -228,10 +227,9 @@ def score(
     again = first.where(F.col("is_target") & S.in_any_range(F.col("pvalue"), params.stage2_ranges))
     null = stage1
     if k2 > k1:
-        # the same draws go on where the first stage ended
+        # the first stage's draws and those that go on where it ended
         again = written(again.select(*KEYS, "weighted_evidence_shared"), "refine")
-        more = shared.knockoff_sums(again, strata, pages, k1, k2, params.seed).union(sums.join(again.select(*KEYS), KEYS, "left_semi"))
-        null = written(shared.refined(stage1, shared.null_of(again, more)).drop("refined"), "knockoff")
+        null = written(shared.refined(stage1, shared.nulls(again, strata, pages, k2, params.seed)).drop("refined"), "knockoff")
     done("stage2")
     result = decided(with_shared(base, null), params)
     if mode == "alpha-upper-bound":

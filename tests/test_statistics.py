@@ -219,6 +219,49 @@ def test_draws_equal_brute_force_over_any_pages(spark, monkeypatch, page):
     assert all(whole[g].pvalue_shared == got[g].pvalue_shared for g in "abcd")
 
 
+@pytest.mark.parametrize("page", [1, 2, 1 << 20])
+def test_nulls_move_no_sums_where_a_page_holds_the_pools(spark, monkeypatch, page):
+    """Moments of both kinds of units equal those made from sums; only units
+    with more pages than one write sums."""
+    monkeypatch.setattr(shared, "PAGE", page)
+    seen, sums = [], shared.knockoff_sums
+    monkeypatch.setattr(shared, "knockoff_sums", lambda *a: seen.append(a) or sums(*a))
+    t, s, p = knockoff_input(spark)
+    t = t.union(spark.createDataFrame([("v", "a", 0.4)], t.schema))
+    s, p = s.union(spark.createDataFrame([("v", "a", (1, 0), 300)], s.schema)), p.union(spark.createDataFrame([("v", (1, 0), 0.5, 3)], p.schema))
+    pages = shared.pool_pages(p)
+    got = {(r.analysis_unit_id, r.genome_id): r for r in shared.nulls(t, s, pages, 100, 7).collect()}
+    assert len(seen) == (page < 3)
+    want = {(r.analysis_unit_id, r.genome_id): r for r in shared.null_of(t, sums(t, s, pages, 0, 100, 7)).collect()}
+    assert len(want) == 5 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert tuple(got[k])[2:] == pytest.approx(tuple(r)[2:]), k
+
+
+@pytest.mark.parametrize("cells", [4, 1 << 20])
+def test_many_genomes_are_drawn_at_once(monkeypatch, cells):
+    """Sums of a group equal those of each genome alone, with many draws, with
+    pools of more places than cells and on a page that holds part of a pool."""
+    pd = pytest.importorskip("pandas")
+    monkeypatch.setattr(shared, "CELLS", cells)
+    monkeypatch.setattr(shared, "BLOCK", 1 << 10)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"genome_id": [f"g{i // 2}" for i in range(60)], "deg_bin": [1, 2] * 30, "len_bin": 0, "c": rng.integers(1, 300, 60), "k0": rng.integers(0, 1 << 32, 60), "k1": rng.integers(0, 1 << 32, 60)})
+    n = rng.integers(1, 9, 40)
+    page = pd.concat([pd.DataFrame({"deg_bin": d, "len_bin": 0, "contribution": rng.random(40), "n": n, "low": np.cumsum(n) - n + at, "total": n.sum() + 2 * at, "page": 0}) for d, at in ((1, 0), (2, 5))])
+    heads, sums = next(shared._drawn(rows, page, 10, 60))
+    whole = dict(zip(heads.genome_id, sums))
+    for g, own in rows.groupby("genome_id"):
+        want = np.zeros(50)
+        for r in own.itertuples():
+            pool = page[page.deg_bin == r.deg_bin]
+            at = 5 * (r.deg_bin - 1)
+            cells_of = np.concatenate([np.zeros(at), np.repeat(pool.contribution, pool.n), np.zeros(at)])
+            want += cells_of[shared.draws(r.k0, r.k1, r.c, len(cells_of), 10, 60)].sum(axis=1)
+        assert whole[g] == pytest.approx(want)
+        assert (next(shared._drawn(own, page, 10, 60))[1][0] == whole[g]).all()
+
+
 def test_draws_are_even():
     """Places of a pool are drawn equally often, iterations do not repeat."""
     found = shared.draws(123, 456, 100, 10, 0, 2_000)
