@@ -86,14 +86,15 @@ def with_bins(active: DataFrame, n_bins: int, params: ScoreParams) -> DataFrame:
 
 def _leave_one_out(active: DataFrame, keys: list[str], q: float, tag: str) -> DataFrame:
     """Per (keys, U, membership): size, ge, le, mean and quantile of the
-    background without one own copy.
+    background without one own copy. ``active``: counts ``k`` by bin, U and
+    membership.
 
     Counts below and up to each U are running counts of the background. Without
     one copy of a value the places behind it move down by one, and all members
     ask for the same two places, as all others do; so five values of the whole
     background, found by their places, are all that a group's rows can ask for.
     """
-    hist = counted(active, keys, U, F.count_if("in_background"), "background")
+    hist = counted(active, keys, U, F.sum(F.when(F.col("in_background"), F.col("k")).otherwise(0)), "background")
     total = F.col("total")
 
     def places(size: Column) -> tuple[Column, Column]:
@@ -124,8 +125,9 @@ def background_stats(active: DataFrame, fraction: Column, n_bins: int, params: S
     the leave-one-out statistics of its bin, or of the unit where that is empty."""
     require_opportunity(active)
     rows = written(with_bins(split_background(active, fraction), n_bins, params), "binned")
-    in_bin = _leave_one_out(rows, [UNIT, "bin"], params.threshold_quantile, "b")
-    in_unit = _leave_one_out(rows, [UNIT], params.threshold_quantile, "u")
+    groups = written(rows.groupBy(UNIT, "bin", U, "in_background").agg(F.count("*").alias("k")), "background-groups")
+    in_bin = _leave_one_out(groups, [UNIT, "bin"], params.threshold_quantile, "b")
+    in_unit = _leave_one_out(groups, [UNIT], params.threshold_quantile, "u")
     out = rows.join(in_bin, [UNIT, "bin", U, "in_background"]).join(in_unit, [UNIT, U, "in_background"])
     pick = {k: F.when(F.col("b_size") > 0, F.col(f"b_{k}")).otherwise(F.col(f"u_{k}")) for k in ("size", "ge", "le", "mean", "threshold")}
     size, excess = pick["size"], F.greatest(F.lit(0.0), F.col(U) - pick["threshold"])
@@ -177,19 +179,24 @@ def calibrate(active: DataFrame, n_bins: int, params: ScoreParams) -> tuple[Data
     candidate_fraction, new_fraction; the last pass has iteration null).
     """
     c = params.calibration
-    active = by_strength(active)
+    active = active if STRENGTH[0] in active.columns else by_strength(active)
+    # what a share depends on; all columns go through the last pass alone
+    slim = active.select(UNIT, U, A, *STRENGTH, "pvalue_shared", "is_target")
     start = min(max(c.initial, c.least), c.most)
     state = active.select(UNIT).distinct().withColumns({"fraction": F.lit(start), "done": F.lit(False)})
     trace = None
 
-    def one_pass(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        stats = background_stats(active.join(state.select(UNIT, "fraction"), UNIT), F.col("fraction"), n_bins, params)
-        judged = decide.bh(decide.combined(stats, params))
-        share = judged.groupBy(UNIT).agg(F.avg((F.col("qvalue") <= c.candidate_q).cast("double")).alias("candidate_fraction"))
-        return judged, share
+    def tested(rows: DataFrame, state: DataFrame) -> DataFrame:
+        stats = background_stats(rows.join(state.select(UNIT, "fraction"), UNIT), F.col("fraction"), n_bins, params)
+        return decide.combined(stats, params)
+
+    def share_of(rows: DataFrame, n: Column) -> DataFrame:
+        candidates = F.sum(F.when(F.col("qvalue") <= c.candidate_q, n).otherwise(0))
+        return rows.groupBy(UNIT).agg((candidates / F.sum(n)).alias("candidate_fraction"))
 
     for i in range(1, c.max_iterations + 1):
-        _, share = one_pass(state)
+        # equal p share a q: a row a distinct p tells the share
+        share = share_of(decide.q_values(tested(slim, state)), F.col("n"))
         new = F.greatest(F.least("candidate_fraction", F.lit(c.most)), F.lit(c.least))
         step = written(state.join(share, UNIT).withColumn("new_fraction", new), f"calibration-{i}")
         row = step.where("NOT done").select(UNIT, F.lit(i).alias("iteration"), F.col("fraction").alias("exclude_fraction"), "candidate_fraction", "new_fraction")
@@ -198,9 +205,8 @@ def calibrate(active: DataFrame, n_bins: int, params: ScoreParams) -> tuple[Data
         state = step.select(UNIT, F.when(F.col("done"), F.col("fraction")).otherwise(F.col("new_fraction")).alias("fraction"), (F.col("done") | settled).alias("done"))
         if state.where("NOT done").isEmpty():
             break
-    judged, share = one_pass(state)
-    judged = written(judged.drop(*STRENGTH), "calibrated")
-    last = share.join(state, UNIT).select(UNIT, F.lit(None).cast("int").alias("iteration"), F.col("fraction").alias("exclude_fraction"), "candidate_fraction", F.col("fraction").alias("new_fraction"))
+    judged = written(decide.bh(tested(active, state)).drop(*STRENGTH), "calibrated")
+    last = share_of(judged, F.lit(1)).join(state, UNIT).select(UNIT, F.lit(None).cast("int").alias("iteration"), F.col("fraction").alias("exclude_fraction"), "candidate_fraction", F.col("fraction").alias("new_fraction"))
     return judged, trace.union(last)
 
 

@@ -23,14 +23,18 @@ def bh(rows: DataFrame, p: str = "pvalue", out: str = "qvalue", unit: str = "ana
     get 1. Equal p share a q, so counts of distinct p-values are summed up from
     the least on, and the least value of all larger p is taken, over ranges of
     p: no task holds a unit's p-values."""
-    active = rows.where(F.col(family) >= 1)
-    steps = counted(active, [unit], p, label="p-values").withColumn("raw", F.col(p) * F.col("total") / F.col("upto"))
-    steps = running(steps, [unit], p, "raw", out, F.min, backwards=True)
-    keyed = steps.select(unit, p, F.least(F.lit(1.0), out).alias(out))
+    keyed = q_values(rows.where(F.col(family) >= 1), p, out, unit).drop("n")
     joined = rows.join(keyed, [unit, p], "left")
     return joined.withColumn(out, F.when(F.col(family) >= 1, F.col(out)).otherwise(1.0))
 
 
+def q_values(active: DataFrame, p: str = "pvalue", out: str = "qvalue", unit: str = "analysis_unit_id") -> DataFrame:
+    """unit, p, n, q: a row a distinct p of a unit, and how many rows have it."""
+    steps = counted(active, [unit], p, label="p-values").withColumn("raw", F.col(p) * F.col("total") / F.col("upto"))
+    steps = running(steps, [unit], p, "raw", out, F.min, backwards=True)
+    return steps.select(unit, p, "n", F.least(F.lit(1.0), out).alias(out))
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """presence_rank over all candidates of a unit, the score and the flags."""
     order = [F.asc("qvalue"), F.desc("n_unique"), F.desc("n_matched"), F.asc("genome_id")]

@@ -121,7 +121,8 @@ def prepare(
     degeneracy = panel.degeneracy(matches)
     peptides = save(evidence.peptide_table(degeneracy, observed.peptide_scores(o.seen), observed.peptide_errors(o.seen), params), "peptides")
     unit_matches = save(evidence.unit_matches(o.unit_peptides, peptides, matches), "unit-matches")
-    return Prepared(params, o.rows, o.valid, o.pairs, o.mapping, o.unit_peptides, panel_rows, matches, degeneracy, genomes, peptides, unit_matches, evidence.unit_metrics(unit_matches, params), reused)
+    metrics = save(evidence.unit_metrics(unit_matches, params), "metrics")
+    return Prepared(params, o.rows, o.valid, o.pairs, o.mapping, o.unit_peptides, panel_rows, matches, degeneracy, genomes, peptides, unit_matches, metrics, reused)
 
 
 @dataclass
@@ -167,7 +168,8 @@ def decided(rows: DataFrame, params: ScoreParams) -> DataFrame:
 def score_alpha(p: Prepared) -> DataFrame:
     """Unique evidence by error bounds alone, shared evidence left at 1."""
     rows = decide.with_targets(unique.alpha_bound(full_grid(p), p.params), p.params.knockoff_top_n)
-    return decided(rows.withColumn("pvalue_shared", F.lit(1.0)), p.params)
+    # read by the p-values' counts, the sample of the ranks' ranges and the ranks
+    return decided(written(rows.withColumn("pvalue_shared", F.lit(1.0)), "grid"), p.params)
 
 
 def resolved_mode(p: Prepared) -> tuple[str, int]:
@@ -214,7 +216,7 @@ def score(
     rows = with_shared(base, stage1)
     calibration = bin_table = trace = None
     if mode == "empirical-background":
-        active = rows.where("n_matched >= 1")
+        active = background.by_strength(rows.where("n_matched >= 1"))
         judged, trace = background.calibrate(active, bins, params)
         calibration = written(background.calibration_report(judged, trace, params), "calibration")
         bin_table = background.bin_report(judged, params, background.first_bins(active, bins, params), calibration)
