@@ -514,7 +514,7 @@ def peptide_contributions(spark, d):
 
 def _active(p: score.Prepared) -> DataFrame:
     rows = score.full_grid(p).where("n_matched >= 1")
-    return rows.withColumns({c: F.round(c, 9) for c in ("unique_weighted_evidence", "weighted_evidence")})
+    return written(rows.withColumns({c: F.round(c, 9) for c in ("unique_weighted_evidence", "weighted_evidence")}), "active")
 
 
 @query(statement("binned", "SELECT analysis_unit_id, genome_id, in_background, CAST(bin AS INT) AS bin FROM binned"))
@@ -575,7 +575,7 @@ def auto_eligibility(spark, d):
 
 def _calibrated(spark, d):
     p = _prepared(spark, d)
-    rows = decide.with_targets(_active(p)).withColumn("pvalue_shared", F.lit(1.0))
+    rows = background.by_strength(decide.with_targets(_active(p)).withColumn("pvalue_shared", F.lit(1.0)))
     judged, trace = background.calibrate(rows, 4, p.params)
     return rows, judged, trace, written(background.calibration_report(judged, trace, p.params), "calibration")
 
@@ -948,7 +948,8 @@ def digest_files(spark, d):
     path = new_path(spark, "digests")
     rows = digestion.digest(fixture.proteins(spark, d))
     for _ in range(2):
-        digestion.write_digest(rows.repartition(4, "genome_id"), path)
+        # as many tasks as the text has, however few the genomes
+        digestion.write_digest(rows, path)
     return readers.read_panel(spark, [path])
 
 
@@ -1065,10 +1066,11 @@ def reused_matches(spark, d):
     seen = written(score.observed_peptides(raw, ALPHA, meta), "seen")
     as_read = written(score.observed_peptides(raw, score.with_mode(ALPHA, peptide_policy=exact), meta), "seen-exact")
     english = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("genome_id"))
-    n = F.length("peptide")
+    n, half = F.length("peptide"), F.pmod(F.xxhash64("genome_id", "peptide"), F.lit(2))
     cases = {
         "nothing stored": (rows, seen, ALPHA.peptide_policy, digest),
-        "order": (rows.repartition(3), seen.repartition(3), ALPHA.peptide_policy, digest),
+        # one half after the other: another order without dealing the panel anew
+        "order": (rows.where(half == 1).union(rows.where(half == 0)), seen.repartition(3), ALPHA.peptide_policy, digest),
         "genome list": (panel.select_genomes(rows, exclude=english), seen, ALPHA.peptide_policy, digest),
         "bundle": (rows.where(n < 30), seen, ALPHA.peptide_policy, digest),
         "observed": (rows, seen.where(n > 7), ALPHA.peptide_policy, digest),

@@ -107,9 +107,12 @@ def panel_lines(spark: SparkSession, directories: list[str]) -> DataFrame:
     raw = spark.read.option("pathGlobFilter", "*.{tsv,csv}").option("recursiveFileLookup", "true").text(directories).select(F.split("value", "\t").alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     # numbered once, in a written table: what follows reads it several times
     lined = written(raw.withColumn("row", F.monotonically_increasing_id()), "panel-lines")
-    # a file's head is the least of its rows, found without sorting the file
-    head = lined.groupBy("file").agg(F.min(F.struct("at", "row", F.transform("cells", T.strip_all).alias("names"))).alias("head"))
-    head = head.select("file", F.col("head.row").alias("head_row"), F.col("head.names").alias("names"))
+    # a file's head is the least of its rows, found by sums of numbers; written,
+    # so that Spark knows how small the heads are and no line is dealt or sorted by file
+    first = lined.groupBy("file", "at").agg(F.min("row").alias("row")).groupBy("file").agg(F.min_by("row", "at").alias("row"))
+    first = written(first, "panel-firsts")
+    head = lined.join(first, ["file", "row"]).select("file", F.col("row").alias("head_row"), F.transform("cells", T.strip_all).alias("names"))
+    head = written(head, "panel-heads")
     place = F.coalesce(F.nullif(F.array_position("names", F.lit("Peptide")), F.lit(0)), F.lit(1)).cast("int")
     rows = lined.join(head.withColumn("place", place).withColumn("named", F.array_contains("names", "Peptide")), "file").where("row <> head_row")
     value = T.strip_all(F.try_element_at("cells", F.col("place")))
