@@ -1,11 +1,16 @@
 """Near-duplicate removal by the exact similarity of word shingles.
 
 Documents link where the Jaccard similarity of their shingle sets reaches
-``similarity``; linked groups keep one document. Minima of the shingles' hashes
-under random functions, a few to a band, only find candidates: documents that
-agree in a band meet in a bucket, and there what similar pairs connect is found
-by whole sets, first with the bucket's smallest document, then among the rest. A pair of similarity s is missed with
-probability (1 - s ** band_rows) ** bands, under 0.00003 at 0.8.
+``similarity``; linked groups keep one document. Candidates meet in buckets, and
+there what similar pairs connect is found by whole sets, first with the bucket's
+smallest document, then among the rest. A bucket is
+
+* a component of ``simhash``'s index over the sets' fingerprints (all that pairs
+  within ``distance`` bits connect; exact), and
+* for similar pairs that lie further apart than any index of 64 bits can tell,
+  a band of minima of the shingles' hashes under random functions. A pair of
+  similarity s shares none with probability (1 - s ** band_rows) ** bands,
+  under 0.00003 at 0.8.
 
 Shingles are those of ``simhash.fingerprint``: lower-cased words, the whole
 text where it has fewer words. Sets hold 64-bit hashes of shingles.
@@ -24,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presencia.llm import simhash
 from presencia.llm.components import connected_components
 from presencia.llm.tables import hot_join, hot_keys, reserved, written
 
@@ -31,11 +37,13 @@ from presencia.llm.tables import hot_join, hot_keys, reserved, written
 @dataclass(frozen=True)
 class NearParams:
     """``similarity`` as a fraction, so that it is compared in whole numbers;
-    ``block_rows`` bounds what one task compares at a time."""
+    ``block_rows`` bounds what one task compares at a time. Within six
+    bits two random fingerprints lie once in 2 * 10^11 pairs, so components stay small."""
 
     shingle_words: int = 5
     similarity: tuple[int, int] = (4, 5)
     seed: int = 42
+    distance: int = 6
     bands: int = 20
     band_rows: int = 4
     block_rows: int = 1_024
@@ -79,9 +87,10 @@ def band_keys(found: np.ndarray, functions: tuple[np.ndarray, np.ndarray], param
 
 
 def _with_keys(docs: DataFrame, text: str, params: NearParams) -> DataFrame:
-    """``docs`` with _llm_near: a digest of the whole set and the bands' keys."""
+    """``docs`` with _llm_near: a digest of the whole set, its fingerprint and
+    the bands' keys."""
 
-    @F.pandas_udf("same binary, keys array<long>")
+    @F.pandas_udf("same binary, fp long, keys array<long>")
     def keys(texts):
         import pandas as pd
         import xxhash
@@ -90,8 +99,8 @@ def _with_keys(docs: DataFrame, text: str, params: NearParams) -> DataFrame:
         out = []
         for t in texts:
             found = shingles(t, params)
-            out.append((xxhash.xxh3_128_digest(found.tobytes()), band_keys(found, functions, params)))
-        return pd.DataFrame(out, columns=["same", "keys"])
+            out.append((xxhash.xxh3_128_digest(found.tobytes()), simhash.majority(found), band_keys(found, functions, params)))
+        return pd.DataFrame(out, columns=["same", "fp", "keys"])
 
     return docs.withColumn("_llm_near", keys(F.col(f"`{text}`").cast("binary")))
 
@@ -234,6 +243,16 @@ def links(texts: DataFrame, heads: DataFrame, params: NearParams) -> DataFrame:
     return linked.union(met.mapInArrow(_blocks(params.similarity), "u long, v long"))
 
 
+def with_components(heads: DataFrame, params: NearParams) -> DataFrame:
+    """``heads`` (node, fp, keys) whose keys have their component of the
+    fingerprint index beside the bands."""
+    prints = written(heads.groupBy("fp").agg(F.count("*").alias("n")), "near-prints")
+    index = simhash.SimHashParams(shingle_words=params.shingle_words, seed=params.seed, distance=params.distance)
+    found = written(simhash.near_duplicate_components(prints, index), "near-index")
+    both = hot_join(heads, found, hot_keys(prints, "fp"), "fp")
+    return both.withColumn("keys", F.concat(F.array(F.xxhash64(F.lit("simhash"), "component")), "keys")).drop("fp", "component")
+
+
 def near_dedup(docs: DataFrame, params: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each linked group stays: that of the smallest doc_id (nulls
     last, repeated rows once). Columns and texts are those of ``docs``."""
@@ -242,9 +261,9 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams(), id_col: str =
     keyed = written(_with_keys(keyed, text_col, params), "near-docs")
     order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("doc_id"), F.col("_llm_row").alias("row"))
     heads = keyed.groupBy(F.col("_llm_near.same").alias("same")).agg(F.min(order).alias("first")).select("first", F.col("first.row").alias("node"))
-    heads = written(heads.join(keyed.select(F.col("_llm_row").alias("node"), F.col("_llm_near.keys").alias("keys")), "node"), "near-heads")
+    heads = written(heads.join(keyed.select(F.col("_llm_row").alias("node"), "_llm_near.fp", "_llm_near.keys"), "node"), "near-heads")
     texts = keyed.select(F.col("_llm_row").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    found = connected_components(links(texts, heads, params)).select("node", "component")
+    found = connected_components(links(texts, with_components(heads.drop("first"), params), params)).select("node", "component")
     groups = heads.select("node", "first").join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     stays = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_llm_row"))
     return keyed.join(stays, "_llm_row", "left_semi").select(*[F.col(f"`{n}`") for n in names])

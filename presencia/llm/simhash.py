@@ -43,6 +43,16 @@ class SimHashParams:
     refinements: int = 2
 
 
+def majority(hashed: np.ndarray) -> int:
+    """A signed long whose bits are set in over half of the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashed), 65_536):
+        part = hashed[at : at + 65_536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * ones > len(hashed), bitorder="little")
+    return int(bits.view(np.int64)[0])
+
+
 def fingerprint(text: bytes | None, words_per: int, seed: int) -> int:
     """64 bits of the majority vote of the shingles' XXH64, as a signed long."""
     import xxhash
@@ -60,12 +70,7 @@ def fingerprint(text: bytes | None, words_per: int, seed: int) -> int:
         hashed = np.fromiter(
             (digest(joined[a:b], seed) for a, b in zip(starts, ends[words_per - 1 :].tolist())), np.uint64, len(starts)
         )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashed), 65_536):
-        part = hashed[at : at + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashed), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return majority(hashed)
 
 
 def with_fingerprints(docs: DataFrame, text: str, params: SimHashParams, out: str) -> DataFrame:

@@ -73,3 +73,23 @@ def test_a_hot_bucket_moves_each_set_once_or_twice(spark):
     found = M.links(keyed.select("node", "text"), heads, params)
     assert found.count() < 5 * len(texts)
     assert sorted(r.doc_id for r in M.near_dedup(docs, params).collect()) == [0, 100_000]
+
+
+def test_candidates_come_from_the_fingerprint_index(spark, monkeypatch):
+    """Without any band the index alone finds near copies, and what it finds is
+    held against the whole sets."""
+    import numpy as np
+
+    monkeypatch.setattr(M, "band_keys", lambda found, functions, params: np.zeros(0, np.int64))
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    near, unlike = base[:], " ".join(f"v{rng.randrange(900)}" for _ in range(300))
+    near[200] = "changed"
+    texts = [(2, " ".join(near)), (1, " ".join(base)), (3, unlike)]
+    prints = [M.simhash.majority(M.shingles(t.encode(), M.NearParams())) for _, t in texts]
+    assert 0 < ((prints[0] ^ prints[1]) & (1 << 64) - 1).bit_count() <= M.NearParams().distance and jaccard(texts[0][1], texts[1][1]) >= 0.8
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3]
+    # equal fingerprints of unlike sets do not link
+    monkeypatch.setattr(M.simhash, "majority", lambda hashed: 5)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3]
