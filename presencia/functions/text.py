@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def strip_all(c: Column) -> Column:
-    """Trim every kind of Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of Unicode white space. The pattern, which goes through
+    every letter, is left to values whose ends are not visible ASCII."""
+    bare = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(bare, c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def sample_id(c: Column) -> Column:

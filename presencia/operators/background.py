@@ -18,6 +18,8 @@ from presencia.params import ScoreParams
 from presencia.tables import written
 
 U, A, UNIT = "n_unique", "opportunity", "analysis_unit_id"
+#: What a genome's background statistics depend on.
+GROUP = [UNIT, U, "in_background", "bin"]
 QUANTILES = {f"background_unique_q{n}": n / 100 for n in (50, 90, 95, 99)}
 
 
@@ -42,7 +44,8 @@ def by_strength(active: DataFrame) -> DataFrame:
     calibration ranks once."""
     order = [F.desc(U), F.desc("unique_weighted_evidence"), F.desc("weighted_evidence"), F.asc("genome_id")]
     ranked = with_rank(active, UNIT, order, STRENGTH[0], "strength")
-    return ranked.join(ranked.groupBy(UNIT).agg(F.count("*").alias(STRENGTH[1])), UNIT)
+    # the last place is the unit's size
+    return written(ranked.join(ranked.groupBy(UNIT).agg(F.max(STRENGTH[0]).cast("long").alias(STRENGTH[1])), UNIT), "by-strength")
 
 
 def split_background(active: DataFrame, fraction: Column) -> DataFrame:
@@ -125,10 +128,16 @@ def background_stats(active: DataFrame, fraction: Column, n_bins: int, params: S
     the leave-one-out statistics of its bin, or of the unit where that is empty."""
     require_opportunity(active)
     rows = written(with_bins(split_background(active, fraction), n_bins, params), "binned")
-    groups = written(rows.groupBy(UNIT, "bin", U, "in_background").agg(F.count("*").alias("k")), "background-groups")
+    groups = written(rows.groupBy(*GROUP).agg(F.count("*").alias("k")), "background-groups")
+    return rows.join(group_stats(groups, params), GROUP)
+
+
+def group_stats(groups: DataFrame, params: ScoreParams) -> DataFrame:
+    """The statistics of each bin, U and membership. ``groups``: these with
+    counts ``k``; several rows of one are added up."""
     in_bin = _leave_one_out(groups, [UNIT, "bin"], params.threshold_quantile, "b")
     in_unit = _leave_one_out(groups, [UNIT], params.threshold_quantile, "u")
-    out = rows.join(in_bin, [UNIT, "bin", U, "in_background"]).join(in_unit, [UNIT, U, "in_background"])
+    out = in_bin.join(in_unit, [UNIT, U, "in_background"])
     pick = {k: F.when(F.col("b_size") > 0, F.col(f"b_{k}")).otherwise(F.col(f"u_{k}")) for k in ("size", "ge", "le", "mean", "threshold")}
     size, excess = pick["size"], F.greatest(F.lit(0.0), F.col(U) - pick["threshold"])
     tail = (1.0 + pick["ge"]) / (1.0 + size)
@@ -180,15 +189,21 @@ def calibrate(active: DataFrame, n_bins: int, params: ScoreParams) -> tuple[Data
     """
     c = params.calibration
     active = active if STRENGTH[0] in active.columns else by_strength(active)
+    require_opportunity(active)
     # what a share depends on; all columns go through the last pass alone
     slim = active.select(UNIT, U, A, *STRENGTH, "pvalue_shared", "is_target")
     start = min(max(c.initial, c.least), c.most)
     state = active.select(UNIT).distinct().withColumns({"fraction": F.lit(start), "done": F.lit(False)})
     trace = None
 
-    def tested(rows: DataFrame, state: DataFrame) -> DataFrame:
-        stats = background_stats(rows.join(state.select(UNIT, "fraction"), UNIT), F.col("fraction"), n_bins, params)
-        return decide.combined(stats, params)
+    def split(rows: DataFrame, state: DataFrame) -> DataFrame:
+        return rows.join(state.select(UNIT, "fraction"), UNIT)
+
+    def tested(state: DataFrame) -> DataFrame:
+        """A row for all genomes that share a p-value's makings, and their number k."""
+        binned = with_bins(split_background(split(slim, state), F.col("fraction")), n_bins, params)
+        groups = written(binned.groupBy(*GROUP, "pvalue_shared", "is_target").agg(F.count("*").alias("k")), "binned")
+        return decide.combined(groups.join(group_stats(groups, params), GROUP), params)
 
     def share_of(rows: DataFrame, n: Column) -> DataFrame:
         candidates = F.sum(F.when(F.col("qvalue") <= c.candidate_q, n).otherwise(0))
@@ -196,7 +211,7 @@ def calibrate(active: DataFrame, n_bins: int, params: ScoreParams) -> tuple[Data
 
     for i in range(1, c.max_iterations + 1):
         # equal p share a q: a row a distinct p tells the share
-        share = share_of(decide.q_values(tested(slim, state)), F.col("n"))
+        share = share_of(decide.q_values(tested(state), n=F.sum("k")), F.col("n"))
         new = F.greatest(F.least("candidate_fraction", F.lit(c.most)), F.lit(c.least))
         step = written(state.join(share, UNIT).withColumn("new_fraction", new), f"calibration-{i}")
         row = step.where("NOT done").select(UNIT, F.lit(i).alias("iteration"), F.col("fraction").alias("exclude_fraction"), "candidate_fraction", "new_fraction")
@@ -205,7 +220,8 @@ def calibrate(active: DataFrame, n_bins: int, params: ScoreParams) -> tuple[Data
         state = step.select(UNIT, F.when(F.col("done"), F.col("fraction")).otherwise(F.col("new_fraction")).alias("fraction"), (F.col("done") | settled).alias("done"))
         if state.where("NOT done").isEmpty():
             break
-    judged = written(decide.bh(tested(active, state)).drop(*STRENGTH), "calibrated")
+    stats = background_stats(split(active, state), F.col("fraction"), n_bins, params)
+    judged = written(decide.bh(decide.combined(stats, params)).drop(*STRENGTH), "calibrated")
     last = share_of(judged, F.lit(1)).join(state, UNIT).select(UNIT, F.lit(None).cast("int").alias("iteration"), F.col("fraction").alias("exclude_fraction"), "candidate_fraction", F.col("fraction").alias("new_fraction"))
     return judged, trace.union(last)
 

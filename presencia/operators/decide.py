@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presencia.functions import stats as S
@@ -28,9 +28,10 @@ def bh(rows: DataFrame, p: str = "pvalue", out: str = "qvalue", unit: str = "ana
     return joined.withColumn(out, F.when(F.col(family) >= 1, F.col(out)).otherwise(1.0))
 
 
-def q_values(active: DataFrame, p: str = "pvalue", out: str = "qvalue", unit: str = "analysis_unit_id") -> DataFrame:
-    """unit, p, n, q: a row a distinct p of a unit, and how many rows have it."""
-    steps = counted(active, [unit], p, label="p-values").withColumn("raw", F.col(p) * F.col("total") / F.col("upto"))
+def q_values(active: DataFrame, p: str = "pvalue", out: str = "qvalue", unit: str = "analysis_unit_id", n: Column | None = None) -> DataFrame:
+    """unit, p, n, q: a row a distinct p of a unit, and how many rows have it
+    (or ``n``, an aggregate, where a row stands for several)."""
+    steps = counted(active, [unit], p, n, label="p-values").withColumn("raw", F.col(p) * F.col("total") / F.col("upto"))
     steps = running(steps, [unit], p, "raw", out, F.min, backwards=True)
     return steps.select(unit, p, "n", F.least(F.lit(1.0), out).alias(out))
 

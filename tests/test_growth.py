@@ -48,3 +48,16 @@ def test_metrics_and_grid_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(score, "written", lambda df, label: seen.append(label) or of(df, label))
     queries.QUERIES["presence_matrix"](spark, SF)
     assert seen.count("metrics") == 1 and seen.count("grid") == 1
+
+
+def test_calibration_passes_write_counts_and_rank_once(spark, monkeypatch):
+    """A pass before the last writes a row for all genomes alike, with their
+    number; the places by strength are written and not joined anew."""
+    seen, of = [], background.written
+    monkeypatch.setattr(background, "written", lambda df, label: seen.append((label, of(df, label))) or seen[-1][1])
+    rows = [("u", f"g{i}", 1, i % 5, 3, 0.1, 0.2, 1.0, True) for i in range(400)]
+    names = "analysis_unit_id string, genome_id string, n_matched long, n_unique long, opportunity long, unique_weighted_evidence double, weighted_evidence double, pvalue_shared double, is_target boolean"
+    judged, _ = background.calibrate(spark.createDataFrame(rows, names), 2, ScoreParams(unit_mode="metadata"))
+    passes = [df for label, df in seen if label == "binned"][:-1]
+    assert passes and all(df.count() <= 10 and df.agg(F.sum("k")).first()[0] == 400 for df in passes)
+    assert [label for label, _ in seen].count("by-strength") == 1 and judged.count() == 400
