@@ -548,11 +548,10 @@ def background_loo(spark, d):
 )
 def empirical_p(spark, d):
     """The formal p of both methods, and the least that tails can reach."""
-    rows = background.by_strength(_active(_prepared(spark, d)))
-    one, two = (background.background_stats(rows, F.lit(0.05), 4, score.with_mode(ALPHA, empirical_method=m)) for m in ("empirical-tail", "alpha-excess"))
-    keys = ["analysis_unit_id", "genome_id"]
-    found = one.select(*keys, "in_background", F.col("pvalue_unique").alias("empirical_tail"), "min_attainable_p").join(two.select(*keys, F.ln("pvalue_unique").alias("log")), keys)
-    return _rounded(found.withColumn("log_alpha_excess", F.round("log", 5)).drop("log"), "empirical_tail", "min_attainable_p")
+    found = background.background_stats(_active(_prepared(spark, d)), F.lit(0.05), 4, ALPHA)
+    # one pass carries the p of either method; clipped as pvalue_unique is
+    picked = found.select("analysis_unit_id", "genome_id", "in_background", F.col("p_tail").alias("empirical_tail"), "min_attainable_p", F.round(F.ln("alpha_excess_index"), 5).alias("log_alpha_excess"))
+    return _rounded(picked, "empirical_tail", "min_attainable_p")
 
 
 _EDGES = ", ".join(f"quantile_cont(CAST(opportunity AS DOUBLE), [{', '.join(str(i / k) for i in range(k + 1))}]) AS q{k}" for k in range(2, 9))

@@ -61,3 +61,10 @@ def test_calibration_passes_write_counts_and_rank_once(spark, monkeypatch):
     passes = [df for label, df in seen if label == "binned"][:-1]
     assert passes and all(df.count() <= 10 and df.agg(F.sum("k")).first()[0] == 400 for df in passes)
     assert [label for label, _ in seen].count("by-strength") == 1 and judged.count() == 400
+
+
+def test_both_empirical_p_come_from_one_pass(spark, monkeypatch):
+    seen, of = [], background.written
+    monkeypatch.setattr(background, "written", lambda df, label: seen.append(label) or of(df, label))
+    queries.QUERIES["empirical_p"](spark, SF)
+    assert seen.count("binned") == 1
