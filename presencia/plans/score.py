@@ -56,7 +56,8 @@ class ScoreResult:
         """The result tables by name; ``derived`` adds the full table, the
         lists and unions of called genomes and the three matrices."""
         p, rows = self.prepared, self.unit_genome
-        cohort = summary.ordered_summary(summary.cohort_summary(rows))
+        # read by its own table, both unions and the test that they are nested
+        cohort = summary.ordered_summary(written(summary.cohort_summary(rows), "cohort"))
         out = {
             "unit_genome_results": rows.select(*[c for c in rows.columns if c not in DETAIL]),
             "cohort_genome_summary": cohort,

@@ -68,3 +68,10 @@ def test_both_empirical_p_come_from_one_pass(spark, monkeypatch):
     monkeypatch.setattr(background, "written", lambda df, label: seen.append(label) or of(df, label))
     queries.QUERIES["empirical_p"](spark, SF)
     assert seen.count("binned") == 1
+
+
+def test_result_tables_share_one_cohort_summary(spark, monkeypatch):
+    seen, of = [], score.written
+    monkeypatch.setattr(score, "written", lambda df, label: seen.append(label) or of(df, label))
+    queries.QUERIES["result_files"](spark, SF)
+    assert seen.count("cohort") == 1
