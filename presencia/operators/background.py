@@ -125,11 +125,13 @@ def _leave_one_out(active: DataFrame, keys: list[str], q: float, tag: str) -> Da
 
 def background_stats(active: DataFrame, fraction: Column, n_bins: int, params: ScoreParams) -> DataFrame:
     """``active`` (genomes with a match) with bin, background membership and
-    the leave-one-out statistics of its bin, or of the unit where that is empty."""
+    the leave-one-out statistics of its bin, or of the unit where that is empty.
+    They take the place of columns of ``active`` with their names."""
     require_opportunity(active)
     rows = written(with_bins(split_background(active, fraction), n_bins, params), "binned")
     groups = written(rows.groupBy(*GROUP).agg(F.count("*").alias("k")), "background-groups")
-    return rows.join(group_stats(groups, params), GROUP)
+    stats = group_stats(groups, params)
+    return rows.drop(*[c for c in stats.columns if c not in GROUP]).join(stats, GROUP)
 
 
 def group_stats(groups: DataFrame, params: ScoreParams) -> DataFrame:

@@ -37,6 +37,30 @@ def test_large_panel_uses_the_background(spark):
     assert sorted(map(key, again.unit_genome.collect())) == sorted(map(key, result.unit_genome.collect()))
 
 
+def test_presence_full_equals_plain_python(spark):
+    """The registered query in its default mode: the unique p from the genomes
+    it names as background, then combined p, q and ranks."""
+    from presencia.plans.queries import QUERIES
+    from tests.duck import SF
+    from tests.test_statistics import bh, brute_background
+
+    rows = [r.asDict() for r in QUERIES["presence_full"](spark, SF).collect()]
+    active = [r for r in rows if r["n_matched"]]
+    left_out = sum(not r["in_background"] for r in active)
+    names = ("analysis_unit_id", "genome_id", "n_unique", "opportunity", "unique_weighted_evidence", "weighted_evidence")
+    want = brute_background([tuple(r[c] for c in names) for r in active], (left_out - 0.5) / len(active), 1 + max(r["bin"] for r in active), 0.95, 0.05)
+    assert 0 < left_out < len(active) < len(rows)
+    for r in active:
+        got = (r["bin"], r["background_size"], r["p_tail"], r["background_threshold"], r["pvalue_unique"])
+        assert got == pytest.approx((*want[r["genome_id"]][:4], max(want[r["genome_id"]][4], 1e-300)))
+        a, b = r["pvalue_unique"], r["pvalue_shared"]
+        assert r["pvalue"] == pytest.approx(min(1, 2 * a, max(a, b)) if r["n_unique"] else 1.0)
+    assert [r["qvalue"] for r in active] == pytest.approx(list(bh([r["pvalue"] for r in active])))
+    assert all(r["qvalue"] == r["pvalue_unique"] == 1.0 for r in rows if not r["n_matched"])
+    order = sorted(rows, key=lambda r: (r["qvalue"], -r["n_unique"], -r["n_matched"], r["genome_id"]))
+    assert [r["presence_rank"] for r in order] == list(range(1, len(rows) + 1))
+
+
 def test_nothing_valid_is_an_error(spark):
     panel = spark.createDataFrame([("g", "AAAAAAK")], "genome_id string, peptide string")
     with pytest.raises(ValueError):

@@ -142,6 +142,21 @@ def test_background_equals_brute_force(spark, seed, fraction, bins):
         assert got == pytest.approx(want[r.genome_id], rel=1e-9), r.genome_id
 
 
+def test_background_replaces_columns_of_its_names(spark):
+    """A whole run's rows have a p-value of another mode when they get here."""
+    rows = [("u", f"g{i:03d}", i % 7, i % 11, 0.0, 0.0) for i in range(120)]
+    df = active_frame(spark, rows).withColumns({"pvalue_unique": F.lit(0.5), "p_tail": F.lit(0.5), "other": F.col("genome_id")})
+    out = background.background_stats(df, F.lit(0.1), 2, ScoreParams())
+    assert len(out.columns) == len(set(out.columns))
+    want = brute_background(rows, 0.1, 2, 0.95, 0.05)
+    for r in out.collect():
+        assert (r.p_tail, r.pvalue_unique) == pytest.approx((want[r.genome_id][2], want[r.genome_id][4]), rel=1e-9) and r.other == r.genome_id
+    judged, _ = background.calibrate(df.withColumns({"is_target": F.lit(True), "pvalue_shared": F.lit(1.0), "n_matched": F.lit(1)}), 2, ScoreParams())
+    plain, _ = background.calibrate(active_frame(spark, rows).withColumns({"is_target": F.lit(True), "pvalue_shared": F.lit(1.0), "n_matched": F.lit(1)}), 2, ScoreParams())
+    cols = ["genome_id", "pvalue_unique", "p_tail", "qvalue", "in_background"]
+    assert sorted(judged.select(cols).collect()) == sorted(plain.select(cols).collect()) and judged.count() == 120
+
+
 @pytest.mark.parametrize("n,eligible,low", [(5, False, 4), (101, True, 100)])
 def test_structural_eligibility(spark, n, eligible, low):
     genomes = spark.createDataFrame([(f"g{i}", 3) for i in range(n)], "genome_id string, opportunity long")
